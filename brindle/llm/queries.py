@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_counts, token_files, toxicity
+from . import mixing, near_dup, token_counts, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES |= {f.__name__: f for f in (op3_token_files, op5_token_counts, op9_mixing, op10_toxicity_fm)}
+QUERIES |= {f.__name__: f for f in (op3_token_files, op5_token_counts, op8_near_dup, op9_mixing, op10_toxicity_fm)}
 ORACLES |= {"op9_mixing": mixing.SQL}
