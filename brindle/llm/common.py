@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +22,30 @@ LOCAL_SHARED = "/tmp/brindle-shared"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower Spark's default Arrow batch of 10,000 rows, which whole documents would make too large."""
+    """Lower Spark's default Arrow batch of 10,000 rows, which whole documents would make too large; see also _ship()."""
+    _ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Send the package to the executors, through Spark, unless the path that they inherit has it."""
+    package = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    known = {os.path.realpath(p or ".") for p in ["", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
+    if app in _shipped or str(package.parent) in known:
+        return
+    _shipped.add(app)
+    with tempfile.TemporaryDirectory() as folder:
+        name = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+        kept = Path(tempfile.mkdtemp()) / Path(name).name
+        shutil.copy(name, kept)
+    spark.sparkContext.addPyFile(str(kept))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from spark.checkpoint.dir; a folder of our own only where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
