@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, token_counts, token_files, toxicity
+from . import decontaminate, media, mixing, near_dup, pii, token_counts, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,10 +28,22 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op4_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.encode_wav(_table(spark, sf_dir, "documents")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(_table(spark, sf_dir, "documents"), decontaminate.load_index(_table(spark, sf_dir, "benchmark")))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +59,5 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES |= {f.__name__: f for f in (op3_token_files, op5_token_counts, op8_near_dup, op9_mixing, op10_toxicity_fm)}
+QUERIES |= {f.__name__: f for f in (op3_token_files, op4_wav_fingerprints, op5_token_counts, op6_decontaminate, op7_personal_data, op8_near_dup, op9_mixing, op10_toxicity_fm)}
 ORACLES |= {"op9_mixing": mixing.SQL}
