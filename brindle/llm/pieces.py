@@ -17,6 +17,12 @@ from tokenizers import Tokenizer
 #: White space, or what some library may take for it, besides the blank, line feed, tab and carriage return.
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 _CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: A Latin word, which the pre-tokenizer leaves whole with the blank before it, and a mark after it.
+_WORD = re.compile("( ?[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]+)([.,]?)")
+
+# Byte-level vocabularies write printable Latin-1 bytes as themselves and the others, in order, as characters from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def split(text: str) -> list[str] | None:
@@ -32,14 +38,18 @@ def plain(text: str) -> bool:
 
 
 class _Table(dict):
-    LIMIT = 500_000
+    LIMIT = 1_000_000
 
-    def __init__(self, make, lead: str) -> None:
+    def __init__(self, make, lead: str, marks: str = "") -> None:
+        """marks: what may follow a word without changing the word's value."""
         super().__init__()
-        self.make, self.lead = make, lead
+        self.make, self.lead, self.marks = make, lead, {m: make(m) for m in marks}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key if key[:1] == "\n" else self.lead + key)
+        if self.marks and key[-1:] in self.marks and _WORD.fullmatch(self.lead + key):
+            value = self[key[:-1]] + self.marks[key[-1]]
+        else:
+            value = self.make(key if key[:1] == "\n" else self.lead + key)
         if len(self) < self.LIMIT:
             self[key] = value
         return value
@@ -54,11 +64,14 @@ class PieceEncoder:
         self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self._ids = _Table(self._piece_ids, " ")  # keyed by the piece without its leading blank
+        self._ids = _Table(self._piece_ids, " ", ".,")  # keyed by the piece without its leading blank
         self._raw = _Table(self._piece_ids, "")  # keyed by the piece itself
         self._spans = _Table(self._piece_spans, " ")
 
     def _tokens(self, piece: str) -> list:
+        if word := _WORD.fullmatch(piece):
+            found = self.model.tokenize(word[1].encode().decode("latin-1").translate(_BYTES))
+            return found + self.model.tokenize(word[2]) if word[2] else found
         return [t for part, _ in self.pre.pre_tokenize_str(piece) for t in self.model.tokenize(part)]
 
     def _piece_ids(self, piece: str) -> bytes:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, mixing, near_dup, pii, token_counts, token_files, toxicity
+from . import decontaminate, fixity, media, mixing, near_dup, pii, token_counts, token_files, tool_calls, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,15 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.from_turns(_table(spark, sf_dir, "conversations")))
+
+
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return fixity.audit(pages, fixity.damaged(pages))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -59,5 +68,5 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES |= {f.__name__: f for f in (op3_token_files, op4_wav_fingerprints, op5_token_counts, op6_decontaminate, op7_personal_data, op8_near_dup, op9_mixing, op10_toxicity_fm)}
-ORACLES |= {"op9_mixing": mixing.SQL}
+QUERIES |= {f.__name__: f for f in (op1_tool_calls, op2_merkle_fixity, op3_token_files, op4_wav_fingerprints, op5_token_counts, op6_decontaminate, op7_personal_data, op8_near_dup, op9_mixing, op10_toxicity_fm)}
+ORACLES |= {"op1_tool_calls": tool_calls.SQL, "op2_merkle_fixity": fixity.SQL, "op9_mixing": mixing.SQL}
