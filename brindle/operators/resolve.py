@@ -6,7 +6,7 @@ import difflib
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import compact, name_tokens, normalize_iban
@@ -18,11 +18,16 @@ LEAST_TOKEN = 4
 STOP_WORDS = ("gmbh", "mbh", "limited", "inc", "corp", "company", "group", "holding", "services", "the", "und", "and")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    return (root or "/tmp/brindle-shared").rstrip("/")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder, which outlives executors."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "") or "/tmp/brindle-shared"
-    path = f"{root.rstrip('/')}/resolve-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/resolve-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

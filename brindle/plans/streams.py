@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
+from brindle.operators.resolve import shared_folder
 from brindle.plans.catalog import query, table
 from brindle.streaming import feeds
 
@@ -43,7 +44,7 @@ def streaming_dedup(spark, d):
     source = table(spark, d, "events")
     feed = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     twice = feed.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    name = f"dedup_{abs(hash(d)) % 10**9}"
-    run = feeds.deduplicated(twice, "ts", ["event_id"]).select("event_id").writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    folder = f"{shared_folder(spark)}/dedup-{uuid.uuid4().hex}"
+    run = feeds.deduplicated(twice, "ts", ["event_id"]).select("event_id").writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).agg(F.count("*").alias("n"))
+    return spark.read.schema("event_id long").parquet(f"{folder}/rows").agg(F.count("*").alias("n"))
