@@ -6,9 +6,9 @@ Items are held in blocks; a term has an upper bound for each block. The index gr
 
 Search. A text is read whole, as overlapping passages of 2 * stride words, one each stride; an item of up to stride words
 lies whole in one of them. Bounds are summed for all passages at once: a passage whose bound in a block stays below the
-threshold can't hold any of the block's items. For the others, WAND walks the posting lists of the passage's terms: the pivot
-is where the list bounds first reach the threshold; blocks whose own bounds fall short are jumped over; all items at or above
-the threshold are returned. This is exact: tests hold it against scoring every pair.
+threshold can't hold any of the block's items. For the others, blocks whose bounds over the passage's distinct terms fall short are
+jumped over; in the rest WAND walks the posting lists: the pivot is where the lists' bounds in the block first reach the
+threshold, and items before it are passed over; all items at or above the threshold are returned. This is exact: tests hold it against scoring every pair.
 
 Verification. A retrieved item counts if the text also repeats it in order: an item is cut into question (all sentences
 but the last) and answer (the last); the share of the question's and of the answer's word 5-grams that occur in the text
@@ -22,8 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -65,47 +64,49 @@ class Index:
     postings: list[tuple[np.ndarray, np.ndarray]]  # per term: item numbers, ascending, and impacts
     block_max: np.ndarray  # terms + 1 (for unknown words) by blocks
     stride: int
-    term_max: np.ndarray = field(init=False)
 
-    def __post_init__(self) -> None:
-        self.term_max = self.block_max.max(axis=1) if self.block_max.size else np.zeros(len(self.block_max), np.float32)
-
-    def retrieve(self, terms: Iterable[int], threshold: float) -> dict[int, float]:
-        """All items whose score over the distinct terms is at least the threshold."""
-        lists = [(self.postings[t][0], self.postings[t][1], t) for t in terms]
-        at = [0] * len(lists)
+    def retrieve(self, terms: list[int], threshold: float) -> dict[int, float]:
+        """All items whose score over the distinct terms is at least the threshold. Only blocks whose bounds add up to it
+        are walked."""
         out: dict[int, float] = {}
-        slack = threshold - 1e-6
-        n_items = len(self.items)
+        if terms:
+            slack = threshold - 1e-6
+            for block in np.flatnonzero(self.block_max[terms].sum(axis=0) >= slack - 1e-6).tolist():
+                self._walk(terms, block, slack, out)
+        return out
+
+    def _walk(self, terms: list[int], block: int, slack: float, out: dict[int, float]) -> None:
+        """WAND within a block: lists in the order of their next item, the pivot where their bounds reach the threshold."""
+        first, last = block * BLOCK, (block + 1) * BLOCK
+        lists = []
+        for t in terms:
+            bound = float(self.block_max[t, block])
+            if bound > 0:
+                items, impacts = self.postings[t]
+                a, b = np.searchsorted(items, (first, last))
+                lists.append([items[a:b].tolist(), impacts[a:b].tolist(), 0, bound])
         while True:
-            order = sorted((i for i in range(len(lists)) if at[i] < len(lists[i][0])), key=lambda i: lists[i][0][at[i]])
-            bound, pivot = 0.0, -1
-            for p, i in enumerate(order):
-                bound += float(self.term_max[lists[i][2]])
-                if bound >= slack:
+            order = sorted((x for x in lists if x[2] < len(x[0])), key=lambda x: x[0][x[2]])
+            total, pivot = 0.0, -1
+            for p, x in enumerate(order):
+                total += x[3]
+                if total >= slack:
                     pivot = p
                     break
             if pivot < 0:
-                return out
-            item = int(lists[order[pivot]][0][at[order[pivot]]])
-            while pivot + 1 < len(order) and int(lists[order[pivot + 1]][0][at[order[pivot + 1]]]) == item:
-                pivot += 1
-            upto = order[: pivot + 1]
-            if sum(float(self.block_max[lists[i][2], item // BLOCK]) for i in upto) < slack:
-                # no item of this block before the next list's item can qualify
-                following = int(lists[order[pivot + 1]][0][at[order[pivot + 1]]]) if pivot + 1 < len(order) else n_items
-                target = max(item + 1, min((item // BLOCK + 1) * BLOCK, following))
-                for i in upto:
-                    at[i] += int(np.searchsorted(lists[i][0][at[i] :], target))
-            elif int(lists[order[0]][0][at[order[0]]]) == item:
-                score = sum(float(lists[i][1][at[i]]) for i in upto)
-                if score >= slack:
-                    out[item] = score
-                for i in upto:
-                    at[i] += 1
-            else:
-                for i in upto:
-                    at[i] += int(np.searchsorted(lists[i][0][at[i] :], item))
+                return
+            item = order[pivot][0][order[pivot][2]]
+            score = 0.0
+            for x in order:
+                if x[0][x[2]] > item:
+                    break
+                while x[2] < len(x[0]) and x[0][x[2]] < item:  # passed over: too few lists hold it
+                    x[2] += 1
+                if x[2] < len(x[0]) and x[0][x[2]] == item:
+                    score += x[1][x[2]]
+                    x[2] += 1
+            if score >= slack:
+                out[item] = score
 
 
 def build(rows: list[tuple[int, str]], stride: int = STRIDE) -> Index:
@@ -177,8 +178,6 @@ class Searcher:
         for w in np.flatnonzero(bounds >= self.threshold - 1e-4):
             part = np.unique(ids[w * ix.stride : (w + 2) * ix.stride])
             part = part[part != unknown]
-            if ix.block_max[part].sum(axis=0).max() < self.threshold - 1e-4:
-                continue  # distinct terms only: no block has an item that can qualify
             for k, score in ix.retrieve(part.tolist(), self.threshold).items():
                 out[k] = max(score, out.get(k, 0.0))
         return out
