@@ -37,11 +37,10 @@ BANDS = 14
 ROWS = 4
 #: Hubs grow by this factor from round to round.
 GROWTH = 16
-LARGE = 300
+#: Where hubs meet the texts of a bucket, so many texts of it make one part, which hubs join by themselves.
+SPREAD = 256
 #: In buckets of more texts a pair must share a second band, as 99.7 % of the pairs at the threshold do.
 SMALL = 64
-LARGE_ROUNDS = 2
-LARGE_HUBS = 4
 COUNTERS = 1 << 16
 STRENGTH = 0.1
 #: Ids of texts to verify are broadcast up to this number (some 16 MB); beyond it the join shuffles.
@@ -208,8 +207,8 @@ def links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float =
 
     In every round the hubs of a bucket meet all its texts that are still in other components. A text is done in a bucket
     once it has been a hub there or is in the bucket's largest component: what it could be linked to has then met it or
-    will meet it as a hub. Buckets of over LARGE texts end after LARGE_ROUNDS rounds, in which 1 and then LARGE_HUBS hubs,
-    those with the most shared places, meet all of the bucket; see the README for the recall measured there.
+    will meet it as a hub. Rounds go on, in buckets of every size, until no text outside the largest component is left
+    that hasn't been a hub: any two texts of a bucket have then met or are in one component.
     """
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("samples", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
     places = nodes.select("node", F.explode(bands).alias("bucket"))  # 24 bytes a row
@@ -227,16 +226,17 @@ def links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float =
         if round_:
             most = now.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("most"))
             rest = now.join(most, "bucket").where(F.col("label") != F.col("most.label")).join(used, ["bucket", "node"], "left_anti")
-            rest = rest.where(F.col("n") <= LARGE) if round_ >= LARGE_ROUNDS else rest
         else:
             rest = now
-        part = F.pmod(F.xxhash64("node", F.lit(round_)), F.when(F.col("n") > LARGE, F.lit(min(hubs, LARGE_HUBS))).otherwise(F.lit(hubs)))
-        leaders = rest.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("score", "node", "label", "print")).alias("top"))
-        leaders = stored(leaders.select("bucket", F.col("top.node").alias("a"), F.col("top.label").alias("label_a"), F.col("top.print").alias("print_a")), "near-hubs")
+        part = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(hubs))
+        leaders = rest.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("score", "node", "label", "print")).alias("top"), F.max("n").alias("n"))
+        leaders = stored(leaders.select("bucket", "n", F.col("top.node").alias("a"), F.col("top.label").alias("label_a"), F.col("top.print").alias("print_a")), "near-hubs")
         if leaders.isEmpty():
             return label
         common = sum((F.substring("print", 2 * k + 1, 2) == F.substring("print_a", 2 * k + 1, 2)).cast("int") for k in range(BANDS))
-        met = now.join(leaders, "bucket").where((F.col("label") != F.col("label_a")) & ((F.col("n") <= SMALL) | (common > 1)))
+        parts = F.ceil(F.col("n") / SPREAD)
+        spread = leaders.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
+        met = now.withColumn("spread", F.pmod(F.xxhash64("node"), parts)).join(spread, ["bucket", "spread"]).where((F.col("label") != F.col("label_a")) & ((F.col("n") <= SMALL) | (common > 1)))
         pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         signed = pairs.join(samples.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b").join(samples.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
         # of the 56 samples of a pair at the threshold so few agree once in some 10**7 cases

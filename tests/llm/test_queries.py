@@ -115,6 +115,31 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == {d: root(d) for d in label}
 
 
+def test_near_duplicates_in_large_buckets(spark):
+    """Pairs of copies of one form, by brute force: the form's buckets hold over 300 texts, and most texts aren't similar."""
+    rng = np.random.default_rng(5)
+    form, texts = [f"form{i}" for i in range(300)], []
+    for i in range(400):
+        at = rng.choice(300, 7, replace=False)
+        for other in (at[3:5], at[5:7]):
+            words = list(form)
+            for k in (*at[:3], *other):
+                words[k] = f"own{i}at{k}"
+            texts.append((len(texts), " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sampler = near_dup.Sampler(near_dup.idf_table(docs.select(F.col("text").alias("__text"))))
+    sets = [(h, sampler.weights(h, n)) for h, n in (near_dup.weighted_set(t) for _, t in texts)]
+    places = np.array([np.frombuffer(sampler.sample(*x).tobytes(), f"V{4 * near_dup.ROWS}") for x in sets])
+    assert max(np.unique(column, return_counts=True)[1].max() for column in places.T) > 300
+    wanted = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if wanted[i] != wanted[j] and near_dup.similarity(sets[i], sets[j]) >= near_dup.THRESHOLD:
+                wanted[np.isin(wanted, (wanted[i], wanted[j]))] = min(wanted[i], wanted[j])
+    assert 200 < len(set(wanted)) <= 400
+    assert {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()} == dict(enumerate(wanted.tolist()))
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)
