@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_stored, map_batches, shingle_hashes, small_batches, stored, text_of
@@ -39,8 +39,6 @@ ROWS = 4
 GROWTH = 16
 #: Where hubs meet the texts of a bucket, so many texts of it make one part, which hubs join by themselves.
 SPREAD = 256
-#: In buckets of more texts a pair must share a second band, as 99.7 % of the pairs at the threshold do.
-SMALL = 64
 COUNTERS = 1 << 16
 STRENGTH = 0.1
 #: Ids of texts to verify are broadcast up to this number (some 16 MB); beyond it the join shuffles.
@@ -159,6 +157,13 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return map_batches(docs, run, "key long, node binary, samples binary")
 
 
+def _digits_set(x: Column) -> Column:
+    """How many of the 14 hexadecimal digits of a long aren't 0."""
+    for k in (1, 2):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    return F.bit_count(x.bitwiseAND(F.lit(0x11111111111111)))
+
+
 def _plausible(pairs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, sa, b, sb) of which enough samples agree; keeps a and b."""
 
@@ -215,12 +220,15 @@ def links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float =
     sizes = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     places = places.join(sizes, "bucket")
     score = places.groupBy("node").agg(F.sum("n").alias("score"))
-    # two hexadecimal digits for each band
-    prints = nodes.select("node", F.array_join(F.transform(bands, lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")), "").alias("print"))
+    # a hexadecimal digit of each sample, 14 to a long: where digits differ, samples do
+    digits = [F.substring(F.hex("samples"), 8 * k + 1, 1) for k in range(BANDS * ROWS)]
+    prints = nodes.select("node", F.struct(*[F.conv(F.concat(*digits[k : k + 14]), 16, 10).cast("long").alias(f"p{k}") for k in range(0, len(digits), 14)]).alias("print"))
     places = stored(places.join(score, "node").join(prints, "node"), "near-places")
     samples = nodes.select("node", "samples")
     edges = tried = used = label = None
     hubs, round_ = 1, 0
+    # of the 56 samples of a pair at the threshold so few agree once in some 10**7 cases
+    least = threshold - 0.3
     while True:
         now = places.withColumn("label", F.col("node")) if label is None else places.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         if round_:
@@ -233,14 +241,13 @@ def links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float =
         leaders = stored(leaders.select("bucket", "n", F.col("top.node").alias("a"), F.col("top.label").alias("label_a"), F.col("top.print").alias("print_a")), "near-hubs")
         if leaders.isEmpty():
             return label
-        common = sum((F.substring("print", 2 * k + 1, 2) == F.substring("print_a", 2 * k + 1, 2)).cast("int") for k in range(BANDS))
+        differ = sum(_digits_set(F.col(f"print.p{k}").bitwiseXOR(F.col(f"print_a.p{k}"))) for k in range(0, BANDS * ROWS, 14))
         parts = F.ceil(F.col("n") / SPREAD)
         spread = leaders.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
-        met = now.withColumn("spread", F.pmod(F.xxhash64("node"), parts)).join(spread, ["bucket", "spread"]).where((F.col("label") != F.col("label_a")) & ((F.col("n") <= SMALL) | (common > 1)))
+        met = now.withColumn("spread", F.pmod(F.xxhash64("node"), parts)).join(spread, ["bucket", "spread"]).where((F.col("label") != F.col("label_a")) & (differ <= int(BANDS * ROWS * (1 - least) + 1e-9)))
         pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         signed = pairs.join(samples.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b").join(samples.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
-        # of the 56 samples of a pair at the threshold so few agree once in some 10**7 cases
-        near = _plausible(signed, threshold - 0.3)
+        near = _plausible(signed, least)
         near = stored(near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = near if tried is None else tried.unionByName(near)
         if not near.isEmpty():

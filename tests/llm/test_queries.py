@@ -140,6 +140,22 @@ def test_near_duplicates_in_large_buckets(spark):
     assert {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()} == dict(enumerate(wanted.tolist()))
 
 
+def test_near_duplicates_that_share_one_band(spark):
+    """A pair is found by a single band it shares, however many texts hold that band."""
+    rows, bands = 4 * near_dup.ROWS, near_dup.BANDS
+    rng = np.random.default_rng(3)
+    first = rng.integers(0, 256, bands * rows, np.uint8)
+    second = first.copy()
+    second[rows :: rows] ^= 0xFF  # one sample of each band but the first
+    others = rng.integers(0, 256, (70, bands * rows), np.uint8)
+    others[:, :rows] = first[:rows]
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(0, text), (1, f"{text} more")] + [(k + 2, f"other text {k}") for k in range(70)], "__key long, __text string")
+    nodes = spark.createDataFrame([(k, bytes([k]) * 16, x.tobytes()) for k, x in enumerate([first, second, *others])], "key long, node binary, samples binary")
+    found = near_dup.links(docs, nodes, np.ones(near_dup.COUNTERS))
+    assert found is not None and [(bytes(r.node), bytes(r.label)) for r in found.collect()] == [(bytes([1]) * 16, bytes([0]) * 16)]
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)
