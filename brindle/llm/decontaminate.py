@@ -12,7 +12,9 @@ threshold, and items before it are passed over; all items at or above the thresh
 
 Verification. A retrieved item counts if the text also repeats it in order: an item is cut into question (all sentences
 but the last) and answer (the last); the share of the question's and of the answer's word 5-grams that occur in the text
-must both reach `overlap`, the share of a part shorter than five words being that of its whole word run.
+must both reach `overlap`. A part of three to eight words is cut into shorter runs, of two or three words, so that one
+changed word needn't hide it; a shorter part must occur whole. A text that holds all the item's words as one run has both shares 1, also where the first or last
+word is part of a longer one. Words are runs of letters and digits, so marks next to them don't count.
 
 Nulls: a null, empty or blank text matches nothing; items without words are left out. Repeated rows match alike. Empty
 tables give no match.
@@ -36,11 +38,11 @@ BLOCK = 4
 THRESHOLD = 0.6
 OVERLAP = 0.5
 GRAM = 5
-_STRIP = ".,;:!?\"'()[]"
+_WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in (x.strip(_STRIP) for x in text.lower().split()) if w]
+    return _WORD.findall(text.lower())
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -52,8 +54,14 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[: len(words) // 2], words[len(words) // 2 :]
 
 
-def grams(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + GRAM]) for i in range(len(words) - GRAM + 1)} if len(words) >= GRAM else {tuple(words)} if words else set()
+def width_of(part: list[str]) -> int:
+    """Words in a run of a part: GRAM, or about a third of a short part's words."""
+    n = len(part)
+    return GRAM if n >= 2 * GRAM - 1 else min(n, max(2, (n + 1) // 3))
+
+
+def grams(words: list[str], width: int = GRAM) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
 @dataclass
@@ -138,7 +146,7 @@ def load_index(benchmark: DataFrame, item: str = "item_id", text: str = "text",
 
 
 class _Ids(dict):
-    """Raw word to term number; unknown words get the last number. A bounded number of words is kept."""
+    """Word to term number; unknown words get the last number. A bounded number of words is kept."""
 
     LIMIT = 400_000
 
@@ -147,7 +155,7 @@ class _Ids(dict):
         self.terms = terms
 
     def __missing__(self, word: str) -> int:
-        value = self.terms.get(word.lower().strip(_STRIP), len(self.terms))
+        value = self.terms.get(word, len(self.terms))
         if len(self) < self.LIMIT:
             self[word] = value
         return value
@@ -158,12 +166,12 @@ class Searcher:
         self.index, self.threshold, self.overlap = index, threshold, overlap
         self.ids = _Ids(index.terms)
 
-    def candidates(self, raw: list[str]) -> dict[int, float]:
+    def candidates(self, words: list[str]) -> dict[int, float]:
         """The best score of each item that reaches the threshold in some passage."""
         ix, unknown = self.index, len(self.index.terms)
-        if not raw or not ix.items:
+        if not words or not ix.items:
             return {}
-        ids = np.fromiter(map(self.ids.__getitem__, raw), np.int32, len(raw))
+        ids = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
         known = np.flatnonzero(ids != unknown)
         if not len(known):
             return {}
@@ -184,21 +192,25 @@ class Searcher:
 
     def matches(self, text: str) -> list[tuple[int, float, float, float]]:
         """item id, score, question overlap, answer overlap of each verified item, in the order of ids."""
-        found = self.candidates(text.split())
+        words = words_of(text)
+        found = self.candidates(words)
         if not found:
             return []
-        words = words_of(text)
-        have = grams(words)
-        joined = f" {' '.join(words)} "
+        joined = " ".join(words)
+        have: dict[int, set] = {}
         out = []
         for k in sorted(found):
-            shares = []
-            for part in self.index.parts[k]:
-                if len(part) >= GRAM:
-                    g = grams(part)
-                    shares.append(len(g & have) / len(g))
-                else:
-                    shares.append(float(f" {' '.join(part)} " in joined) if part else 1.0)
+            parts = self.index.parts[k]
+            if " ".join(parts[0] + parts[1]) in joined:
+                shares = [1.0, 1.0]
+            else:
+                shares = []
+                for part in parts:
+                    width = width_of(part)
+                    if width and width not in have:
+                        have[width] = grams(words, width)
+                    g = grams(part, width) if width else set()
+                    shares.append(len(g & have[width]) / len(g) if g else 1.0)
             if min(shares) >= self.overlap:
                 out.append((self.index.items[k], found[k], shares[0], shares[1]))
         return out

@@ -83,6 +83,26 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.search(empty, index).count() == 0
 
 
+def test_decontamination_finds_verbatim_items(spark):
+    """Every document that holds an item's text as it stands, whatever stands next to it."""
+    items = [(1, "one two three four five six seven eight nine ten. Short end"), (2, "red green blue black white grey pink brown. A last one of five"), (3, "sun moon star sky rain snow wind fog. And one *word*")]
+    around = [("", ""), ("before ", " after"), ("*** ", "***"), ("x#", "%%% y"), ("&&&", "&&&"), ("_", "_"), ("glued", "glued"), ("(", ").")]
+    rows = [(100 * i + n, a + t + b, i) for i, t in items for n, (a, b) in enumerate(around)]
+    rows += [(1000, "one two three four five six seven eight nine ten. Other words", 0), (1001, items[1][1].replace("last", "final"), 2)]
+    index = decontaminate.load_index(spark.createDataFrame(items, "item_id long, text string"))
+    got = by_id(decontaminate.search(spark.createDataFrame(rows, "doc_id long, text string, item long"), index))
+    assert {k: r["items"] for k, r in got.items()} == {k: [i] if i else [] for k, _, i in rows}
+
+
+def test_decontamination_finds_verbatim_items_of_the_table(spark):
+    folder = "/root/testdata/sf0.1"
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = by_id(decontaminate.search(docs, decontaminate.build(items)))
+    wanted = {(r.doc_id, i) for r in docs.select("doc_id", "text").toLocalIterator() for i, t in items if t in r.text}
+    assert wanted and [(d, i) for d, i in wanted if i not in got[d]["items"]] == []
+
+
 def test_near_duplicates(docs, empty):
     got = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, None: None}
