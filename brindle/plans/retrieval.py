@@ -95,10 +95,12 @@ def scoped_search(spark, d):
 
 @query()
 def fulltext_cover_density(spark, d):
-    """The proximity score of documents that have all terms, for the best candidates by frequency."""
+    """The proximity score of every document that has all terms."""
     from brindle.functions.text import words
 
-    best = search.fulltext_topk(table(spark, d, "documents"), ("eronth", "thed"), "doc_id", k=20)
-    docs = table(spark, d, "documents").join(F.broadcast(best.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    terms = ("eronth", "thed")
+    docs = table(spark, d, "documents").where(search.all_of(*[F.contains(F.lower("text"), F.lit(t)) for t in terms]))
     numbered = F.transform(words(F.lower("text")), lambda w, i: F.struct(i.alias("pos"), w.alias("term")))
-    return docs.select("doc_id", F.round(search.cover_density(F.filter(numbered, lambda p: p["term"].isin("eronth", "thed")), 2), 6).alias("score"))
+    found = docs.select("doc_id", F.filter(numbered, lambda p: p["term"].isin(*terms)).alias("at"))
+    found = found.where(F.size(F.array_distinct(F.transform("at", lambda p: p["term"]))) == len(terms))
+    return found.select("doc_id", F.round(search.cover_density(F.col("at"), len(terms)), 6).alias("score"))
