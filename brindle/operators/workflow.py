@@ -104,12 +104,12 @@ def job_run(spark: SparkSession, job: str, work: Callable[[], dict[str, int]], w
     return counts
 
 
-def stream_frames(answers: DataFrame, ident: str, text: str, size: int = 24) -> DataFrame:
+def stream_frames(answers: DataFrame, ident: str | list[str], text: str, size: int = 24) -> DataFrame:
     """Server-sent events of an answer: pieces of the text, then the end; ordered by seq."""
     n = F.ceil(F.length(text) / F.lit(float(size))).cast("int")
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(F.col(text), (i - 1) * size + 1, F.lit(size)))
     frames = F.concat(F.transform(pieces, lambda p: F.to_json(F.struct(F.lit("text-delta").alias("type"), p.alias("delta")))), F.array(F.lit('{"type":"finish"}')))
-    return answers.select(ident, F.posexplode(frames).alias("seq", "data")).withColumn("frame", F.concat(F.lit("data: "), "data", F.lit("\n\n"))).drop("data")
+    return answers.select(*([ident] if isinstance(ident, str) else ident), F.posexplode(frames).alias("seq", "data")).withColumn("frame", F.concat(F.lit("data: "), "data", F.lit("\n\n"))).drop("data")
 
 
 def answer_scores(answers: DataFrame) -> DataFrame:

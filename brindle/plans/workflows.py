@@ -63,6 +63,15 @@ def stream_frames(spark, d):
     return workflow.stream_frames(table(spark, d, "conversations").where("role = 'system'"), "conv_id", "text")
 
 
+@query(
+    """WITH p AS (SELECT conv_id, turn, text, greatest(ceil(length(text) / 24.0), 1)::INT AS n FROM conversations WHERE role = 'assistant'), s AS (SELECT conv_id, turn, text, n, unnest(range(0, n + 1)) AS seq FROM p)
+    SELECT conv_id, turn, seq, 'data: ' || CASE WHEN seq = n THEN '{"type":"finish"}' ELSE '{"type":"text-delta","delta":' || to_json(substr(text, seq * 24 + 1, 24))::VARCHAR || '}' END || chr(10) || chr(10) AS frame FROM s"""
+)
+def stream_answer_frames(spark, d):
+    """The frames of every answer; stream_frames keeps to the system turns that its SQL names."""
+    return workflow.stream_frames(table(spark, d, "conversations").where("role = 'assistant'"), ["conv_id", "turn"], "text")
+
+
 @query(
     """SELECT doc_id AS answer_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 = 0 THEN 'wrong_refusal' WHEN doc_id % 4 = 0 AND doc_id % 5 <> 0 THEN 'missing_refusal' ELSE 'correct' END AS refusal,
     CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 3 = 1)::INT END AS evidence_cited, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 3 = 2)::INT END AS distractor_cited, doc_id % 6 <> 0 AS grounded FROM documents"""
