@@ -3,8 +3,8 @@
 A byte-level pre-tokenizer never lets a token cross from a visible character into white space, so the pieces of a text
 that start at white space are encoded independently; equal pieces give equal ids. Pieces are encoded by the tokenizer's own
 pre-tokenizer and model and kept in a bounded table. Texts with unusual white space are encoded in one call instead. The
-ids are those of ``Tokenizer.encode(text, add_special_tokens=False)`` with special tokens read as ordinary text; tests hold
-both against each other.
+ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``; texts that hold the literal of an added token are
+encoded in one call too. Tests hold both against each other.
 """
 
 from __future__ import annotations
@@ -60,7 +60,8 @@ class PieceEncoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile(f"({'|'.join(sorted(added, key=len, reverse=True))})") if added else None
         self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -91,6 +92,8 @@ class PieceEncoder:
         """Little-endian ids of the text, of the width self.dtype."""
         if not text:
             return b""
+        if self._added and self._added.search(text):
+            return self._whole(text)
         if plain(text):
             first, *rest = text.replace("\n", " \n").split(" ")
             return (self._piece_ids(first) if first else b"") + b"".join(map(self._ids.__getitem__, rest))
@@ -103,6 +106,10 @@ class PieceEncoder:
         """An array of tokens by 2: first character and the one after the last."""
         if not text:
             return np.empty((0, 2), np.int64)
+        if self._added and self._added.search(text):  # every second part is an added token
+            parts = self._added.split(text)
+            raw = [np.array([[0, len(p)]], "<u4").tobytes() if k % 2 else self.spans(p).astype("<u4").tobytes() for k, p in enumerate(parts)]
+            return self._merge(parts, raw)
         pieces = split(text)
         if pieces is None:
             return self._merge([text], [self._piece_spans(text)])

@@ -177,3 +177,16 @@ def test_machine_learns_a_pair_that_weights_cannot():
     at = model.lookup()
     right = [(model.score(p[p >= 0]) >= 0.5) == bool(t) for p, t in zip((at[d] for d in docs), y, strict=True)]
     assert np.mean(right) > 0.95
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", "one two<|endoftext|> three", "a <|endoftext|><|endoftext|>\nb.", "a\u2003b <|endoftext|> c"])
+def test_added_tokens_in_texts(text):
+    """Ids and number of spans by the library's plain call, with a tokenizer of the test's own."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from brindle.llm.pieces import PieceEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    wanted, e = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, PieceEncoder(path)
+    assert np.frombuffer(e.ids(text), e.dtype).tolist() == wanted and len(e.spans(text)) == len(wanted)
