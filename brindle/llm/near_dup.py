@@ -1,70 +1,104 @@
 """Near duplicates by improved consistent weighted sampling (ICWS) over TF-IDF word shingles.
 
 A text is the weighted set of its five-word shingles (lower case, split at white space). The weight of a shingle is
-(1 + tf_strength * ln tf) * (1 - idf_strength * (1 - idf)), where idf in [0, 1] falls with the shingle's share of all
-shingles of the corpus. The shares come from a table of 2**16 hashed counters over all rows, whose size is fixed. Both
-strengths are 0.1: a repeated or common shingle then weighs a little more or less, but a group of near copies that holds a
-third of the corpus doesn't make its own text count as common, and the threshold keeps the meaning of five-word Jaccard.
-
-Steps: (1) texts with equal words collapse by a 128-bit hash, so exact copies of any number cost one row; (2) each text
-gets bands x rows ICWS samples; texts that agree on a band share a bucket; (3) buckets are resolved in rounds: hubs (texts
-that share the most bucket places) meet the texts of their bucket, pairs whose samples agree too rarely for the threshold
-are passed over, the others are verified by weighted Jaccard of their whole shingle sets. Links make components, by
-alternating large-star and small-star steps, and only texts in different components meet in later rounds, so a group of
-near copies isn't expanded into pairs, and no bucket is gathered in one task. (4) Components are the classes.
-
-At similarity 0.8, 14 bands of 4 rows propose a pair with probability 0.9994; from 0.9 on, one pair in 10**6 is missed.
-
-Nulls: a text without words (null, empty, blank) is in no group; its class is its own id. A null id is a class null. Ids
-stand for one text each. Repeated rows share the class of their text. An empty table gives no row.
+(1 + 0.1 ln tf) * (1 - STRENGTH * (1 - idf)), where idf is ln(N / df) / ln(1 / COMMON) and 1 at most; N and df count
+different texts, all of them. A shingle is common from a share of COMMON on; as a text has a bounded number of shingles on
+average, so has the table of common ones, however many texts there are, and df is counted for each of them exactly.
+STRENGTH keeps a group of near copies that holds a third of the corpus from making its own text light and its edits heavy.
+
+Steps: (1) texts with equal words collapse by a 128-bit hash, so exact copies of any number cost one row. (2) Document
+frequencies: a shingle that is common is so in some partition too, so candidates come from single partitions and are then
+counted over all. (3) Each text gets BANDS x ROWS samples. (4) Texts that agree on one of the first bands meet, in chunks of
+CHUNK, and links that hold by weighted Jaccard of the whole shingle sets make components. (5) Texts of different components
+that agree on two bands meet, all of them: a bucket of several chunks is compared chunk by chunk, so no task holds more than
+two. Work in a chunk is done where it lies: pairs are bounded by a matrix product and the rest compared exactly; only links
+leave it, of a component as many as hold it together. Buckets with the same texts count once. (6) Components of all links,
+by alternating large-star and small-star steps, are the classes.
+
+A pair of similarity 0.8 shares two of 18 bands with probability 0.9990, of 0.85 with 0.99999; nothing depends on the size
+of a bucket. Texts that lie just below the threshold of each other, in a group of n, cost n^2 / CHUNK rows.
+
+Nulls: a text without words (null, empty, blank) is in no group; its class is its own id, and keep_one keeps it. A null id
+is the last of all ids. Repeated rows, and different texts under one id, have the classes of their texts; keep_one goes by
+texts. Very long texts count into chunks by their shingles. An empty table gives no row. Other columns may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, map_batches, shingle_hashes, small_batches, stored, text_of
 
 WIDTH = 5
 THRESHOLD = 0.8
-BANDS = 14
+BANDS = 18
 ROWS = 4
-#: Hubs grow by this factor from round to round.
-GROWTH = 16
-#: Where hubs meet the texts of a bucket, so many texts of it make one part, which hubs join by themselves.
-SPREAD = 256
-COUNTERS = 1 << 16
-STRENGTH = 0.1
-#: Ids of texts to verify are broadcast up to this number (some 16 MB); beyond it the join shuffles.
+#: Bands by which texts meet for the first links.
+FIRST = 4
+#: Texts, and shingles, of a chunk.
+CHUNK = 256
+CHUNK_SHINGLES = 1 << 22
+#: A shingle is common if so large a share of texts has it; the weight of one that all texts have is less by STRENGTH.
+COMMON = 1 / 256
+STRENGTH = 0.25
+TF_STRENGTH = 0.1
+#: Least number of texts of a partition in which candidates for common shingles are looked for.
+LEAST_TEXTS = 4096
+#: Rows of ids are broadcast up to this number (some 40 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 #: Quantiles of the Gamma distribution in a table; three tables of this size stay in a core's first cache.
 _POOL = 1 << 11
 
 
+def words_of(text: str) -> list[str]:
+    return text.lower().split()
+
+
+def node_of(words: list[str]) -> bytes | None:
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None
+
+
+def weighted_set(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 32-bit keys of the shingles, and how often each occurs."""
+    h = shingle_hashes(words_of(text), WIDTH)
+    return np.unique((h ^ (h >> np.uint64(32))).astype("<u4"), return_counts=True)
+
+
+class Weights:
+    """Weights of shingles, from the sorted keys of the common ones and their factors."""
+
+    def __init__(self, common: np.ndarray, factors: np.ndarray) -> None:
+        self.common, self.factors = np.append(common.astype(np.uint32), np.uint32(0)), np.append(factors.astype(np.float32), np.float32(1))
+
+    def of(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.common[:-1], keys)
+        idf = np.where(self.common[at] == keys, self.factors[at], np.float32(1))
+        return (idf * (1 + TF_STRENGTH * np.log(counts))).astype(np.float32)
+
+
 class Sampler:
     """ICWS: for each of k samples and each shingle, r and c are Gamma(2, 1) and b uniform, all by hash of the shingle."""
 
-    def __init__(self, idf: np.ndarray, samples: int = BANDS * ROWS, seed: int = 11) -> None:
+    def __init__(self, samples: int = BANDS * ROWS, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
-        self.idf = idf.astype(np.float32)
         self.r = rng.gamma(2.0, 1.0, _POOL).astype(np.float32)
         self.inverse = (1 / self.r).astype(np.float32)
         self.log_c = np.log(rng.gamma(2.0, 1.0, _POOL)).astype(np.float32)
         self.xor = rng.integers(0, 1 << 63, samples, dtype=np.uint64)[:, None]
         self.odd = rng.integers(0, 1 << 63, samples, dtype=np.uint64)[:, None] | np.uint64(1)
 
-    def weights(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return ((1 + STRENGTH * np.log(counts)) * self.idf[hashes & np.uint64(COUNTERS - 1)]).astype(np.float32)
-
-    def sample(self, hashes: np.ndarray, weights: np.ndarray, step: int = 512) -> np.ndarray:
+    def sample(self, keys: np.ndarray, weights: np.ndarray, step: int = 512) -> np.ndarray:
         """One 32-bit value for each sample; equal with the probability of the weighted Jaccard similarity."""
+        hashes = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(29)
         log_w = np.log(weights).astype(np.float32)
         k = len(self.xor)
         best, out = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64)
@@ -92,13 +126,14 @@ class Sampler:
         out ^= out >> np.uint64(31)
         return (out & np.uint64(0xFFFFFFFF)).astype("<u4")
 
-
-def words_of(text: str) -> list[str]:
-    return text.lower().split()
-
-
-def weighted_set(text: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(shingle_hashes(words_of(text), WIDTH), return_counts=True)
+    def bands(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each band's number and samples."""
+        rows = self.sample(keys, weights).reshape(-1, ROWS).astype(np.uint64)
+        out = np.arange(1, len(rows) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(ROWS):
+            out = ((out ^ rows[:, k]) * np.uint64(0xBF58476D1CE4E5B9)) ^ (out >> np.uint64(30))
+            out ^= out >> np.uint64(27)
+        return out.view(np.int64)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -109,154 +144,189 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / total) if total else 0.0
 
 
-def _short(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of 32 bits, which keep the bits that idf goes by; of two texts of 1000 words one key in 4000 pairs is shared by
-    chance."""
-    keys, at = np.unique((hashes & np.uint64(0xFFFFFFFF)).astype("<u4"), return_inverse=True)
-    return keys, np.minimum(np.bincount(at, counts, len(keys)), 0xFFFF).astype("<u2")
+def at_least(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> Iterator[tuple[int, int]]:
+    """Pairs of sets, the likeliest first, that may reach the threshold: the sum of minima is at most that of geometric
+    means, a scalar product, which only grows where keys share a column of a smaller matrix."""
+    n = len(sets)
+    if n < 8:
+        yield from ((i, j) for i in range(n) for j in range(i))
+        return
+    columns = 1 << int(np.clip(np.ceil(np.log2(16 * np.median([len(k) for k, _ in sets]) + 1)), 10, 15))
+    m = np.zeros((n, columns), np.float32)
+    for row, (k, w) in zip(m, sets, strict=True):
+        row += np.bincount((k % np.uint32(columns)).astype(np.int64), np.sqrt(w), columns)
+    shared, total = m @ m.T, np.array([w.sum(dtype=np.float64) for _, w in sets])
+    bound = shared / np.maximum(total[:, None] + total[None, :] - shared, 1e-9)
+    bound[shared >= (total[:, None] + total[None, :]) / 2] = 1
+    i, j = np.nonzero(np.tril(bound >= threshold - 1e-3, -1))
+    for p in np.argsort(-bound[i, j], kind="stable"):
+        yield int(i[p]), int(j[p])
+
+
+def links_within(sets: list[tuple[np.ndarray, np.ndarray]], labels: list[bytes], parts: list[int], threshold: float) -> list[tuple[int, int]]:
+    """Pairs that are similar enough, as many as hold their components together. Texts of one label are linked already;
+    where there are two parts, only pairs across them count."""
+    above: dict = {}
+
+    def root(x):
+        while x in above:
+            x = above[x]
+        return x
+
+    out, two = [], len(set(parts)) > 1
+    for i, j in at_least(sets, threshold):
+        if two and parts[i] == parts[j]:
+            continue
+        a, b = root(labels[i]), root(labels[j])
+        if a != b and similarity(sets[i], sets[j]) >= threshold:
+            above[a] = b
+            out.append((i, j))
+    return out
+
+
+def vectors(docs: DataFrame) -> DataFrame:
+    """key, node (the hash of the words; null without words), shingle keys and counts of each row."""
+
+    def run(b: dict) -> dict:
+        out: dict = {"key": b["__key"], "node": [], "keys": [], "counts": []}
+        for x in b["__text"].to_pylist():
+            node = node_of(words_of(x))
+            k, n = weighted_set(x) if node else (None, None)
+            out["node"].append(node)
+            out["keys"].append(k.tobytes() if node else None)
+            out["counts"].append((n.astype("<u4").tobytes() if n.max() > 1 else b"") if node else None)
+        return out
+
+    return map_batches(docs, run, "key long, node binary, keys binary, counts binary")
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """The idf factor of each counter: from 1 - STRENGTH for a shingle that is the whole corpus to 1 for a rare one."""
+def _set(keys: bytes, counts: bytes, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+    k = np.frombuffer(keys, "<u4")
+    return k, weights.of(k, np.frombuffer(counts, "<u4") if counts else np.ones(len(k), np.uint32))
 
+
+def _counted(nodes: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        keys, n = count(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
+
+    return nodes.select("keys").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
+
+
+def weights_of(nodes: DataFrame) -> Weights:
+    """Weights by document frequency over all nodes, which are dealt out by hash, so that partitions resemble each other."""
+    small_batches(nodes.sparkSession)
+    total = nodes.count()
+    if total < 2:
+        return Weights(np.empty(0, np.uint32), np.empty(0, np.float32))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        """The keys that so large a share of the partition's texts has; two of them at least."""
+        texts, held, keys, n, size = 0, [], np.empty(0, np.uint32), np.empty(0, np.int64), 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every, at = np.unique(np.concatenate([keys, *held]), return_inverse=True)
+            return every, np.bincount(at, np.concatenate([n, *(np.ones(len(h)) for h in held)]), len(every)).astype(np.int64)
+
+        for batch in batches:
+            texts += len(batch)
+            held.append(_keys(batch))
+            size += len(held[-1])
+            if size > 1 << 22:
+                (keys, n), held, size = merged(), [], 0
+        keys, n = merged()
+        kept = n >= max(2 if texts < total else 1, COMMON * texts)
+        return keys[kept], n[kept]
+
+    parts = max(1, min(nodes.rdd.getNumPartitions(), total // LEAST_TEXTS))
+    found = np.sort(_counted(nodes.coalesce(parts), candidates).select("k").toArrow()["k"].to_numpy()).astype(np.uint32)
+    shared = nodes.sparkSession.sparkContext.broadcast(found)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        wanted = np.append(shared.value, np.uint32(0))
+        out = np.zeros(len(wanted), np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                h = shingle_hashes(words_of(x), WIDTH)
-                total += np.bincount((np.unique(h) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
+            k = _keys(batch)
+            at = np.searchsorted(wanted[:-1], k)
+            out += np.bincount(at[wanted[at] == k], minlength=len(out))
+        seen = np.flatnonzero(out[:-1])
+        return wanted[seen], out[seen]
 
-    small_batches(docs.sparkSession)
-    sums = docs.select("__text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    count = np.ones(COUNTERS)
-    count[sums["id"].to_numpy()] += sums["n"].to_numpy()
-    return 1 - STRENGTH * (1 - np.log(count.sum() / count) / np.log(count.sum()))
+    counted = _counted(nodes, exact).where(F.col("n") >= max(2, COMMON * total)).orderBy("k").toArrow()
+    idf = np.minimum(1, np.log(total / counted["n"].to_numpy()) / np.log(1 / COMMON))
+    return Weights(counted["k"].to_numpy(), 1 - STRENGTH * (1 - idf))
 
 
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """key, node (the hash of the words; null without words) and the samples of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(Sampler(idf))
+def signatures(nodes: DataFrame, weights: Weights) -> DataFrame:
+    """node and the hashes of its bands."""
+    shared = nodes.sparkSession.sparkContext.broadcast((weights, Sampler()))
 
     def run(b: dict) -> dict:
-        sampler: Sampler = shared.value
-        nodes: list = []
-        samples: list = []
-        for x in b["__text"].to_pylist():
-            words = words_of(x)
-            if not words:
-                nodes.append(None)
-                samples.append(None)
-                continue
-            nodes.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
-            h, n = np.unique(shingle_hashes(words, WIDTH), return_counts=True)
-            samples.append(sampler.sample(h, sampler.weights(h, n)).tobytes())
-        return {"key": b["__key"], "node": nodes, "samples": samples}
+        w, sampler = shared.value
+        sets = (_set(k, c, w) for k, c in zip(b["keys"].to_pylist(), b["counts"].to_pylist(), strict=True))
+        found = [sampler.bands(*s) for s in sets]
+        flat = np.concatenate(found) if found else np.empty(0, np.int64)
+        return {"node": b["node"], "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(flat, pa.int64()))}
 
-    return map_batches(docs, run, "key long, node binary, samples binary")
+    return map_batches(nodes.select("node", "keys", "counts"), run, "node binary, bands array<long>")
 
 
-def _digits_set(x: Column) -> Column:
-    """How many of the 14 hexadecimal digits of a long aren't 0."""
-    for k in (1, 2):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-    return F.bit_count(x.bitwiseAND(F.lit(0x11111111111111)))
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast df if its row count, which is read here, is within the bound."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
-def _plausible(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, sa, b, sb) of which enough samples agree; keeps a and b."""
+def _parts(places: DataFrame, sizes: DataFrame, whole: bool) -> DataFrame:
+    """group, part, node, label of places (bucket, node, label, n_keys). A bucket has as many chunks as its texts and
+    shingles need. Every chunk is a group; if whole, so is every two chunks of a bucket. Of groups with the same texts one
+    stays."""
+    cut = places.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    if whole:
+        other = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+        cut = cut.withColumn("other", F.explode(other)).withColumn("group", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
+    else:
+        cut = cut.withColumn("group", F.xxhash64("bucket", "part"))
+    cut = stored(cut.select("group", "part", "node", "label"), "near-places")
+    alike = cut.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("part", "node").cast("decimal(20,0)")).alias("p"), (F.min("label") != F.max("label")).alias("open"))
+    kept = alike.where("n > 1 AND open").groupBy("n", "s", "p").agg(F.min("group").alias("group")).select("group")
+    return cut.join(kept, "group")
 
-    def run(b: dict) -> dict:
-        n = len(b["a"])
-        x, y = (np.frombuffer(b"".join(b[c].to_pylist()), "<u4").reshape(n, -1) for c in ("sa", "sb"))
-        keep = np.flatnonzero((x == y).mean(axis=1) >= least) if n else np.empty(0, np.int64)
-        return {c: b[c].take(pa.array(keep)) for c in ("a", "b")}
-
-    return map_batches(pairs.select("a", "b", "sa", "sb"), run, "a binary, b binary")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float, repeated: bool) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
-    spark = docs.sparkSession
-    wanted = stored(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("node").alias("a"), F.col("key").alias("__key")), "a"), "near-wanted")
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "__key").select("a", "__text")
-    shared = spark.sparkContext.broadcast(Sampler(idf))
-
-    def build(b: dict) -> dict:
-        sets = [weighted_set(x) for x in b["__text"].to_pylist()]
-        keys = [_short(h, n) for h, n in sets]
-        return {"a": b["a"], "keys": [k.tobytes() for k, _ in keys], "counts": [n.tobytes() for _, n in keys]}
-
-    vectors = map_batches(texts, build, "a binary, keys binary, counts binary")
-    vectors = stored(vectors.dropDuplicates(["a"]) if repeated else vectors, "near-vectors")
-    other = vectors.select(F.col("a").alias("b"), F.col("keys").alias("keys_b"), F.col("counts").alias("counts_b"))
-
-    def verify(b: dict) -> dict:
-        keep = []
-        for i, (ka, na, kb, nb) in enumerate(zip(*(b[c].to_pylist() for c in ("keys", "counts", "keys_b", "counts_b")), strict=True)):
-            read = ((np.frombuffer(k, "<u4"), np.frombuffer(n, "<u2")) for k, n in ((ka, na), (kb, nb)))
-            first, second = ((k, shared.value.weights(k.astype(np.uint64), n)) for k, n in read)
-            if similarity(first, second) >= threshold:
-                keep.append(i)
-        return {c: b[c].take(pa.array(keep, pa.int64())) for c in ("a", "b")}
-
-    out = stored(map_batches(pairs.join(other, "b").join(vectors, "a"), verify, "a binary, b binary"), "near-links")
-    drop_stored(wanted, vectors)
-    return out
 
+def _sizes(places: DataFrame) -> DataFrame:
+    """bucket, chunks of the buckets that hold texts of several labels."""
+    sums = places.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_keys").alias("n_keys"), (F.min("label") != F.max("label")).alias("open"))
+    return sums.where("n > 1 AND open").select("bucket", F.ceil(F.greatest(F.col("n") / CHUNK, F.col("n_keys") / CHUNK_SHINGLES)).alias("chunks"))
 
-def links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, repeated: bool = True) -> DataFrame | None:
-    """Labels of the components that verified links make (node, label), or None without a link. docs: __key, __text.
-
-    In every round the hubs of a bucket meet all its texts that are still in other components. A text is done in a bucket
-    once it has been a hub there or is in the bucket's largest component: what it could be linked to has then met it or
-    will meet it as a hub. Rounds go on, in buckets of every size, until no text outside the largest component is left
-    that hasn't been a hub: any two texts of a bucket have then met or are in one component.
-    """
-    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("samples", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
-    places = nodes.select("node", F.explode(bands).alias("bucket"))  # 24 bytes a row
-    sizes = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    places = places.join(sizes, "bucket")
-    score = places.groupBy("node").agg(F.sum("n").alias("score"))
-    # a hexadecimal digit of each sample, 14 to a long: where digits differ, samples do
-    digits = [F.substring(F.hex("samples"), 8 * k + 1, 1) for k in range(BANDS * ROWS)]
-    prints = nodes.select("node", F.struct(*[F.conv(F.concat(*digits[k : k + 14]), 16, 10).cast("long").alias(f"p{k}") for k in range(0, len(digits), 14)]).alias("print"))
-    places = stored(places.join(score, "node").join(prints, "node"), "near-places")
-    samples = nodes.select("node", "samples")
-    edges = tried = used = label = None
-    hubs, round_ = 1, 0
-    # of the 56 samples of a pair at the threshold so few agree once in some 10**7 cases
-    least = threshold - 0.3
-    while True:
-        now = places.withColumn("label", F.col("node")) if label is None else places.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if round_:
-            most = now.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("most"))
-            rest = now.join(most, "bucket").where(F.col("label") != F.col("most.label")).join(used, ["bucket", "node"], "left_anti")
-        else:
-            rest = now
-        part = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(hubs))
-        leaders = rest.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("score", "node", "label", "print")).alias("top"), F.max("n").alias("n"))
-        leaders = stored(leaders.select("bucket", "n", F.col("top.node").alias("a"), F.col("top.label").alias("label_a"), F.col("top.print").alias("print_a")), "near-hubs")
-        if leaders.isEmpty():
-            return label
-        differ = sum(_digits_set(F.col(f"print.p{k}").bitwiseXOR(F.col(f"print_a.p{k}"))) for k in range(0, BANDS * ROWS, 14))
-        parts = F.ceil(F.col("n") / SPREAD)
-        spread = leaders.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
-        met = now.withColumn("spread", F.pmod(F.xxhash64("node"), parts)).join(spread, ["bucket", "spread"]).where((F.col("label") != F.col("label_a")) & (differ <= int(BANDS * ROWS * (1 - least) + 1e-9)))
-        pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        signed = pairs.join(samples.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b").join(samples.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
-        near = _plausible(signed, least)
-        near = stored(near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        tried = near if tried is None else tried.unionByName(near)
-        if not near.isEmpty():
-            linked = _verified(near, docs, nodes, idf, threshold, repeated)
-            edges = linked if edges is None else edges.unionByName(linked)
-            label = stored(components(edges), "near-components")
-        done = leaders.select("bucket", F.col("a").alias("node"))
-        used = done if used is None else used.unionByName(done)
-        hubs, round_ = hubs * GROWTH, round_ + 1
+
+def _linked(groups: DataFrame, nodes: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """a, b: links found in the groups."""
+    groups = stored(groups, "near-groups")
+    shared = nodes.sparkSession.sparkContext.broadcast(weights)
+    rows = nodes.select("node", "keys", "counts").join(_few(groups), "node").select("group", "part", "node", "label", "keys", "counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(rows: list[tuple]) -> pa.RecordBatch:
+            found = links_within([_set(r[4], r[5], shared.value) for r in rows], [r[3] for r in rows], [r[1] for r in rows], threshold) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][2] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        at, held = None, []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[0] != at:
+                    if held:
+                        yield solved(held)
+                    at, held = r[0], []
+                held.append(r)
+        if held:
+            yield solved(held)
+
+    out = stored(rows.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a binary, b binary"), "near-links")
+    drop_stored(groups)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,32 +341,75 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
         after = stored(small.where("u <> v").distinct(), "near-stars")
         if after.count() == now.count() and after.join(now, ["u", "v"], "left_anti").isEmpty():
+            drop_stored(now)
             return after.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        drop_stored(now)
         now = after
 
 
+def links(nodes: DataFrame, signed: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b: links that hold the classes together. nodes: node, keys, counts; signed: node, bands."""
+    length = nodes.select("node", (F.octet_length("keys") / 4).cast("long").alias("n_keys"))
+    known = stored(signed.join(length, "node"), "near-bands")
+    first = known.select("node", F.col("node").alias("label"), "n_keys", F.explode(F.slice("bands", 1, FIRST)).alias("bucket"))
+    edges = _linked(_parts(first, _sizes(first), whole=False), nodes, weights, threshold)
+    label = components(edges)
+    named = known.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    every = named.select("node", "label", "n_keys", F.explode("bands").alias("bucket"))
+    open_ = every.join(_sizes(every).select("bucket"), "bucket").groupBy("node", "label", "n_keys").agg(F.array_sort(F.collect_list("bucket")).alias("bands")).where(F.size("bands") > 1)
+    two = F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
+    second = stored(open_.select("node", "label", "n_keys", F.explode(two).alias("bucket")), "near-pairs")
+    more = _linked(_parts(second, _sizes(second), whole=True), nodes, weights, threshold)
+    drop_stored(known, second)
+    return edges.unionByName(more)
+
+
+def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, node) of docs, and node, label and least key of each different text."""
+    frame = docs.select(F.col(f"`{key}`").cast("long").alias("__key"), text_of(text).alias("__text"))
+    rows = stored(vectors(frame), "near-vectors")
+    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("keys").alias("keys"), F.first("counts").alias("counts")), "near-nodes")
+    weights = weights_of(nodes)
+    signed = stored(signatures(nodes, weights), "near-signed")
+    edges = links(nodes, signed, weights, threshold)
+    label = stored(nodes.select("node", "key").join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "key"), "near-labels")
+    drop_stored(nodes, signed, edges)
+    return rows.select("key", "node"), label
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key and class_id, the least key of its class, of each row."""
-    frame = docs.select(F.col(f"`{key}`").cast("long").alias("__key"), text_of(text).alias("__text"))
-    idf = idf_table(frame)
-    rows = stored(signatures(frame, idf), "near-samples")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("samples").alias("samples"))
-    nodes = stored(nodes, "near-nodes")
-    repeated = not rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    found = links(frame, nodes, idf, threshold, repeated)
-    label = nodes.select("node", F.col("node").alias("label"), "key")
-    if found is not None:
-        label = nodes.select("node", "key").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "key")
-    label = stored(label, "near-labels")
+    rows, label = labelled(docs, key, text, threshold)
     least = label.groupBy("label").agg(F.min("key").alias("class_id"))
     of_node = label.join(least, "label").select("node", "class_id")
-    return rows.select(F.col("key").alias(key), "node").join(of_node, "node", "left").select(key, F.coalesce("class_id", key).alias("class_id"))
+    return rows.join(of_node, "node", "left").select(F.col("key").alias(key), F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are the least of their class, with all their columns; of repeated rows one stays."""
-    found = stored(classes(docs, key, text, threshold).groupBy(key).agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")), "near-classes")
-    kept = found.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__kept"))
-    few = kept.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(kept) if few else kept, F.col(f"`{key}`").eqNullSafe(F.col("__kept")), "left_semi")
-    return out.dropDuplicates([key]) if not found.where("n > 1").isEmpty() else out
+    """The rows of docs without those whose class has a row of a lesser id (nulls last, then by hash of the words), with all
+    their columns; of rows with equal words and ids one stays."""
+    rows, label = labelled(docs, key, text, threshold)
+    best = label.groupBy("label").agg(F.min(F.struct(F.col("key").isNull(), "key", "node")).alias("best"))
+    counts = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n"))
+    judged = label.join(best, "label").join(counts, "node").select(F.col("node").alias("__node"), (F.col("best.node") == F.col("node")).alias("__best"), F.col("key").alias("__least"), F.col("n").alias("__rows"))
+    # texts that stand alone in their class and in the table aren't looked up
+    judged = stored(judged.where("NOT __best OR __rows > 1"), "near-judged")
+
+    def node(texts: Iterator) -> Iterator:
+        import pandas as pd
+
+        for x in texts:
+            yield pd.Series([node_of(words_of(t)) for t in x], dtype=object)
+
+    node.__annotations__ = {}
+    small_batches(docs.sparkSession)
+    found = docs.withColumn("__of", F.pandas_udf(node, "binary", functionType=204)(text_of(text)))
+    found = found.join(_few(judged), F.col("__of") == F.col("__node"), "left")
+    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__least"))
+    found = found.where(F.col("__node").isNull() | (F.col("__best") & same))
+    again = rows.where("node is not null").groupBy("node", "key").agg(F.count("*").alias("n")).where("n > 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if again.isEmpty():
+        return found.select(*columns)
+    once = found.where("__node is not null").dropDuplicates(["__node"])
+    return found.where("__node is null").unionByName(once).select(*columns)

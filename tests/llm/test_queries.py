@@ -109,71 +109,85 @@ def test_near_duplicates(docs, empty):
     kept = near_dup.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (True, None)]
-    assert near_dup.classes(empty).count() == 0
+    assert near_dup.classes(empty).count() == 0 and near_dup.keep_one(empty).count() == 0
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Different texts stay, whatever their ids; of equal texts the one of the least id stays."""
+    rows = [(None, "one text without an id"), (None, "another text without any id"), (None, "and a third such text"), (7, "a text of id seven"), (7, "not the same text of seven"), (8, "a text of id seven"), (8, "a text of id seven"), (None, "a text of id seven"), (9, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), r.text or "") for r in near_dup.keep_one(docs).collect())
+    assert kept == sorted([("None", rows[0][1]), ("None", rows[1][1]), ("None", rows[2][1]), ("7", rows[3][1]), ("7", rows[4][1]), ("9", ""), ("9", "")])
+    assert near_dup.keep_one(spark.createDataFrame(rows[7:8] + rows[7:8], "doc_id long, text string")).count() == 1
+
+
+def brute_force(spark, docs):
+    """Ids to the least id of their class, and the weighted sets, by comparing all pairs; ids and texts are distinct."""
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    sets = [near_dup.weighted_set(t) for _, t in rows]
+    distinct = {t: s for (_, t), s in zip(rows, sets, strict=True)}
+    df = {}
+    for k, _ in distinct.values():
+        for x in k.tolist():
+            df[x] = df.get(x, 0) + 1
+    n = len(distinct)
+    common = sorted(x for x, c in df.items() if c >= max(2, near_dup.COMMON * n))
+    idf = np.minimum(1, np.log(n / np.array([df[x] for x in common])) / np.log(1 / near_dup.COMMON))
+    weights = near_dup.Weights(np.array(common, np.uint32), 1 - near_dup.STRENGTH * (1 - idf))
+    sets = [(k, weights.of(k, c)) for k, c in sets]
+    label = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and near_dup.similarity(sets[i], sets[j]) >= near_dup.THRESHOLD:
+                label[np.isin(label, (label[i], label[j]))] = min(label[i], label[j])
+    return {rows[i][0]: rows[x][0] for i, x in enumerate(label)}, sets
 
 
 def test_near_duplicates_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()} == brute_force(spark, docs)[0]
+
+
+def forms(opening, n, shared, own):
+    """n pairs of texts with one opening; a pair has `shared` words more in common, each text `own` of its own."""
+    start = [f"form{i}" for i in range(opening)]
+    return [" ".join(start + [f"p{i}w{k}" for k in range(shared)] + [f"o{i}t{t}w{k}" for k in range(own)]) for i in range(n) for t in (0, 1)]
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """600 pairs, weighted similarity some 0.82, of one form; strangers lie just below the threshold. Buckets have many
+    chunks."""
+    monkeypatch.setattr(near_dup, "CHUNK", 100)
+    docs = spark.createDataFrame(list(enumerate(forms(270, 600, 18, 24))), "doc_id long, text string")
+    wanted, sets = brute_force(spark, docs)
+    strangers = near_dup.similarity(sets[0], sets[2])
+    assert 0.7 < strangers < near_dup.THRESHOLD < near_dup.similarity(sets[0], sets[1]) < 0.85
+    assert len(set(wanted.values())) == 600
     got = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
-    sampler = near_dup.Sampler(near_dup.idf_table(docs.select(F.col("text").alias("__text"))))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(600)) >= 594 and all(got[2 * i] == 2 * i for i in range(600))
+
+
+def test_common_shingles_weigh_less(spark):
+    docs = spark.createDataFrame(list(enumerate(forms(30, 40, 3, 3))), "doc_id long, text string").select(F.col("doc_id").alias("__key"), F.col("text").alias("__text"))
+    nodes = near_dup.vectors(docs)
+    weights = near_dup.weights_of(nodes)
+    factors = sorted(weights.factors.tolist())
+    assert min(factors) == pytest.approx(1 - near_dup.STRENGTH) and factors.count(min(factors)) == 26
+    (k, c), once = near_dup.weighted_set("a b c d e a b c d e a b c d e f"), near_dup.Weights(np.empty(0, np.uint32), np.empty(0))
+    assert max(once.of(k, c)) == pytest.approx(1 + near_dup.TF_STRENGTH * np.log(3))
+
+
+def test_bounds_hold_for_all_pairs():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 32, 300, dtype=np.uint32))
     sets = []
-    for r in docs.orderBy("doc_id").collect():
-        h, n = near_dup.weighted_set(r.text)
-        sets.append((r.doc_id, (h, sampler.weights(h, n))))
-    label = {d: d for d, _ in sets}
-
-    def root(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
-            if near_dup.similarity(x, y) >= near_dup.THRESHOLD:
-                lo, hi = sorted((root(a), root(b)))
-                label[hi] = lo
-    assert got == {d: root(d) for d in label}
-
-
-def test_near_duplicates_in_large_buckets(spark):
-    """Pairs of copies of one form, by brute force: the form's buckets hold over 300 texts, and most texts aren't similar."""
-    rng = np.random.default_rng(5)
-    form, texts = [f"form{i}" for i in range(300)], []
-    for i in range(400):
-        at = rng.choice(300, 7, replace=False)
-        for other in (at[3:5], at[5:7]):
-            words = list(form)
-            for k in (*at[:3], *other):
-                words[k] = f"own{i}at{k}"
-            texts.append((len(texts), " ".join(words)))
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    sampler = near_dup.Sampler(near_dup.idf_table(docs.select(F.col("text").alias("__text"))))
-    sets = [(h, sampler.weights(h, n)) for h, n in (near_dup.weighted_set(t) for _, t in texts)]
-    places = np.array([np.frombuffer(sampler.sample(*x).tobytes(), f"V{4 * near_dup.ROWS}") for x in sets])
-    assert max(np.unique(column, return_counts=True)[1].max() for column in places.T) > 300
-    wanted = np.arange(len(sets))
-    for i in range(len(sets)):
-        for j in range(i):
-            if wanted[i] != wanted[j] and near_dup.similarity(sets[i], sets[j]) >= near_dup.THRESHOLD:
-                wanted[np.isin(wanted, (wanted[i], wanted[j]))] = min(wanted[i], wanted[j])
-    assert 200 < len(set(wanted)) <= 400
-    assert {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()} == dict(enumerate(wanted.tolist()))
-
-
-def test_near_duplicates_that_share_one_band(spark):
-    """A pair is found by a single band it shares, however many texts hold that band."""
-    rows, bands = 4 * near_dup.ROWS, near_dup.BANDS
-    rng = np.random.default_rng(3)
-    first = rng.integers(0, 256, bands * rows, np.uint8)
-    second = first.copy()
-    second[rows :: rows] ^= 0xFF  # one sample of each band but the first
-    others = rng.integers(0, 256, (70, bands * rows), np.uint8)
-    others[:, :rows] = first[:rows]
-    text = " ".join(f"w{i}" for i in range(100))
-    docs = spark.createDataFrame([(0, text), (1, f"{text} more")] + [(k + 2, f"other text {k}") for k in range(70)], "__key long, __text string")
-    nodes = spark.createDataFrame([(k, bytes([k]) * 16, x.tobytes()) for k, x in enumerate([first, second, *others])], "key long, node binary, samples binary")
-    found = near_dup.links(docs, nodes, np.ones(near_dup.COUNTERS))
-    assert found is not None and [(bytes(r.node), bytes(r.label)) for r in found.collect()] == [(bytes([1]) * 16, bytes([0]) * 16)]
+    for _ in range(40):
+        k = np.unique(np.where(rng.random(len(base)) < 0.08, rng.integers(0, 1 << 32, len(base), dtype=np.uint32), base))
+        sets.append((k, (0.75 + 0.5 * rng.random(len(k))).astype(np.float32)))
+    wanted = {(i, j) for i in range(40) for j in range(i) if near_dup.similarity(sets[i], sets[j]) >= 0.6}
+    assert wanted and wanted <= set(near_dup.at_least(sets, 0.6))
+    found = near_dup.links_within(sets, [bytes([i]) for i in range(40)], [0] * 40, 0.6)
+    assert len(found) < 40
 
 
 def test_mixing(docs, empty):
