@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,8 +50,12 @@ def _ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a folder of our own only where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    """The cluster's shared folder, from spark.checkpoint.dir. A folder of our own only in a session of one machine that
+    names none, as in tests; elsewhere its lack is an error, since executors don't share local folders."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not root and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (root or LOCAL_SHARED).rstrip("/")
 
 
@@ -74,6 +81,22 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def of_text(function: Callable[[str], Any], kind: str, text: str = "text") -> Column:
+    """A function of one whole text as a column, in Arrow batches."""
+
+    @F.pandas_udf(kind)  # type: ignore[call-overload]
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([function(x) for x in texts], dtype=bool if kind == "boolean" else object)
+
+    return run(text_of(text))
+
+
+def where_text(docs: DataFrame, function: Callable[[str], bool], text: str = "text") -> DataFrame:
+    """The rows of docs whose text passes, with all their columns."""
+    small_batches(docs.sparkSession)
+    return docs.where(of_text(function, "boolean", text))
+
+
 def map_batches(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply a function of column lists, with the state it builds once per task, to each Arrow batch."""
     from pyspark.sql.types import StructType, _parse_datatype_string

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, text_of
+from .common import map_batches, text_of, where_text
 
 K1, B = 1.2, 0.75
 STRIDE = 64
@@ -241,17 +241,12 @@ def search(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text
 
 def clean(docs: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of docs that hold no test item, with all their columns."""
-    from pyspark.sql.functions import pandas_udf
-
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     state: dict[str, Searcher] = {}
 
-    def run(texts):
-        import pandas as pd
-
+    def free(text: str) -> bool:
         if "searcher" not in state:
             state["searcher"] = Searcher(shared.value, threshold, overlap)
-        return pd.Series([not state["searcher"].matches(x) for x in texts], dtype=bool)
+        return not state["searcher"].matches(text)
 
-    return docs.where(pandas_udf(run, "boolean", functionType=200)(text_of(text)))
+    return where_text(docs, free, text)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, map_batches, shingle_hashes, small_batches, stored, text_of
+from .common import drop_stored, map_batches, of_text, shingle_hashes, small_batches, stored, text_of
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -395,15 +395,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     # texts that stand alone in their class and in the table aren't looked up
     judged = stored(judged.where("NOT __best OR __rows > 1"), "near-judged")
 
-    def node(texts: Iterator) -> Iterator:
-        import pandas as pd
-
-        for x in texts:
-            yield pd.Series([node_of(words_of(t)) for t in x], dtype=object)
-
-    node.__annotations__ = {}
     small_batches(docs.sparkSession)
-    found = docs.withColumn("__of", F.pandas_udf(node, "binary", functionType=204)(text_of(text)))
+    found = docs.withColumn("__of", of_text(lambda x: node_of(words_of(x)), "binary", text))
     found = found.join(_few(judged), F.col("__of") == F.col("__node"), "left")
     same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__least"))
     found = found.where(F.col("__node").isNull() | (F.col("__best") & same))
