@@ -119,7 +119,7 @@ def map_batches(df: DataFrame, function: Callable[[dict[str, list]], dict[str, l
 class WordHash(dict):
     """Word to 63-bit hash, equal on every executor; grows to a bounded number of words and then only looks up."""
 
-    LIMIT = 400_000
+    LIMIT = 1 << 17
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1

@@ -25,7 +25,7 @@ texts. Very long texts count into chunks by their shingles. An empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,8 @@ CHUNK_SHINGLES = 1 << 22
 COMMON = 1 / 256
 STRENGTH = 0.25
 TF_STRENGTH = 0.1
-#: Least number of texts of a partition in which candidates for common shingles are looked for.
+#: What share of COMMON makes a shingle a candidate in a partition, and the least number of texts of such a partition.
+SLACK = 0.25
 LEAST_TEXTS = 4096
 #: Rows of ids are broadcast up to this number (some 40 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -205,64 +206,64 @@ def _set(keys: bytes, counts: bytes, weights: Weights) -> tuple[np.ndarray, np.n
     return k, weights.of(k, np.frombuffer(counts, "<u4") if counts else np.ones(len(k), np.uint32))
 
 
-def _counted(nodes: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = count(batches)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
-
-    return nodes.select("keys").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-
-
 def _keys(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
 
 
 def weights_of(nodes: DataFrame) -> Weights:
-    """Weights by document frequency over all nodes, which are dealt out by hash, so that partitions resemble each other."""
+    """Weights by document frequency over all nodes.
+
+    A partition tells the keys that SLACK * COMMON of its texts have, with their number and that of its texts. Elsewhere a
+    key is rarer than that, so a common key's numbers, less the share that these partitions would be allowed, still reach
+    the rest of the whole; the keys that do are at most some shingles of a text / COMMON, and are then counted exactly.
+    """
     small_batches(nodes.sparkSession)
     total = nodes.count()
     if total < 2:
         return Weights(np.empty(0, np.uint32), np.empty(0, np.float32))
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        """The keys that so large a share of the partition's texts has; two of them at least."""
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, held, keys, n, size = 0, [], np.empty(0, np.uint32), np.empty(0, np.int64), 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             every, at = np.unique(np.concatenate([keys, *held]), return_inverse=True)
-            return every, np.bincount(at, np.concatenate([n, *(np.ones(len(h)) for h in held)]), len(every)).astype(np.int64)
+            return every, np.bincount(at, np.concatenate([n, *(np.ones(len(h), np.int64) for h in held)]), len(every)).astype(np.int64)
 
         for batch in batches:
             texts += len(batch)
             held.append(_keys(batch))
             size += len(held[-1])
-            if size > 1 << 22:
+            if size > 1 << 21:
                 (keys, n), held, size = merged(), [], 0
         keys, n = merged()
-        kept = n >= max(2 if texts < total else 1, COMMON * texts)
-        return keys[kept], n[kept]
+        kept = n >= SLACK * COMMON * texts
+        yield pa.RecordBatch.from_arrays([pa.array(keys[kept], pa.int64()), pa.array(n[kept]), pa.array(np.full(kept.sum(), texts))], names=["k", "n", "texts"])
 
     parts = max(1, min(nodes.rdd.getNumPartitions(), total // LEAST_TEXTS))
-    found = np.sort(_counted(nodes.coalesce(parts), candidates).select("k").toArrow()["k"].to_numpy()).astype(np.uint32)
+    sums = nodes.select("keys").coalesce(parts).mapInArrow(local, "k long, n long, texts long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    likely = sums.where((F.col("n") - SLACK * COMMON * F.col("texts") >= (1 - SLACK) * COMMON * total - 1e-6) & (F.col("n") > 1))
+    found = np.sort(likely.select("k").toArrow()["k"].to_numpy()).astype(np.uint32)
     shared = nodes.sparkSession.sparkContext.broadcast(found)
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.append(shared.value, np.uint32(0))
         out = np.zeros(len(wanted), np.int64)
         for batch in batches:
             k = _keys(batch)
             at = np.searchsorted(wanted[:-1], k)
-            out += np.bincount(at[wanted[at] == k], minlength=len(out))
+            at[wanted[at] != k] = len(found)
+            out += np.bincount(at, minlength=len(out))
         seen = np.flatnonzero(out[:-1])
-        return wanted[seen], out[seen]
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[seen], pa.int64()), pa.array(out[seen])], names=["k", "n"])
 
-    counted = _counted(nodes, exact).where(F.col("n") >= max(2, COMMON * total)).orderBy("k").toArrow()
+    counted = nodes.select("keys").mapInArrow(exact, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counted = counted.where(F.col("n") >= max(2, COMMON * total)).orderBy("k").toArrow()
     idf = np.minimum(1, np.log(total / counted["n"].to_numpy()) / np.log(1 / COMMON))
     return Weights(counted["k"].to_numpy(), 1 - STRENGTH * (1 - idf))
 
 
 def signatures(nodes: DataFrame, weights: Weights) -> DataFrame:
-    """node and the hashes of its bands."""
+    """node, number of shingles and the hashes of the bands."""
     shared = nodes.sparkSession.sparkContext.broadcast((weights, Sampler()))
 
     def run(b: dict) -> dict:
@@ -270,9 +271,9 @@ def signatures(nodes: DataFrame, weights: Weights) -> DataFrame:
         sets = (_set(k, c, w) for k, c in zip(b["keys"].to_pylist(), b["counts"].to_pylist(), strict=True))
         found = [sampler.bands(*s) for s in sets]
         flat = np.concatenate(found) if found else np.empty(0, np.int64)
-        return {"node": b["node"], "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(flat, pa.int64()))}
+        return {"node": b["node"], "n_keys": [len(k) // 4 for k in b["keys"].to_pylist()], "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(flat, pa.int64()))}
 
-    return map_batches(nodes.select("node", "keys", "counts"), run, "node binary, bands array<long>")
+    return map_batches(nodes.select("node", "keys", "counts"), run, "node binary, n_keys long, bands array<long>")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -348,32 +349,40 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, signed: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b: links that hold the classes together. nodes: node, keys, counts; signed: node, bands."""
-    length = nodes.select("node", (F.octet_length("keys") / 4).cast("long").alias("n_keys"))
-    known = stored(signed.join(length, "node"), "near-bands")
-    first = known.select("node", F.col("node").alias("label"), "n_keys", F.explode(F.slice("bands", 1, FIRST)).alias("bucket"))
+    """a, b: links that hold the classes together. nodes: node, keys, counts; signed: node, n_keys, bands."""
+    first = signed.select("node", F.col("node").alias("label"), "n_keys", F.explode(F.slice("bands", 1, FIRST)).alias("bucket"))
     edges = _linked(_parts(first, _sizes(first), whole=False), nodes, weights, threshold)
     label = components(edges)
-    named = known.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = signed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     every = named.select("node", "label", "n_keys", F.explode("bands").alias("bucket"))
     open_ = every.join(_sizes(every).select("bucket"), "bucket").groupBy("node", "label", "n_keys").agg(F.array_sort(F.collect_list("bucket")).alias("bands")).where(F.size("bands") > 1)
     two = F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
     second = stored(open_.select("node", "label", "n_keys", F.explode(two).alias("bucket")), "near-pairs")
     more = _linked(_parts(second, _sizes(second), whole=True), nodes, weights, threshold)
-    drop_stored(known, second)
+    drop_stored(second)
     return edges.unionByName(more)
 
 
 def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, node) of docs, and node, label and least key of each different text."""
+    """Rows (key, node) of docs, and node, label, least key and number of rows of each different text."""
     frame = docs.select(F.col(f"`{key}`").cast("long").alias("__key"), text_of(text).alias("__text"))
-    rows = stored(vectors(frame), "near-vectors")
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("keys").alias("keys"), F.first("counts").alias("counts")), "near-nodes")
+    rows = stored(vectors(frame).withColumn("row", F.monotonically_increasing_id()), "near-vectors")
+    sums = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.min("row").alias("first"), F.count("*").alias("n"))
+    ids = stored(sums, "near-ids")
+    copies = rows.select("node", "row").join(ids.where("n > 1").select("node", "first"), "node").where("row <> first").select("row")
+    copies = stored(copies, "near-copies")
+    nodes = rows.where("node is not null")
+    if copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        nodes = nodes.join(F.broadcast(copies), "row", "left_anti")
+    else:
+        nodes = stored(nodes.join(copies, "row", "left_anti"), "near-nodes")
+    nodes = nodes.select("node", "keys", "counts")
     weights = weights_of(nodes)
     signed = stored(signatures(nodes, weights), "near-signed")
     edges = links(nodes, signed, weights, threshold)
-    label = stored(nodes.select("node", "key").join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "key"), "near-labels")
-    drop_stored(nodes, signed, edges)
+    label = ids.join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "key", F.col("n").alias("rows"))
+    label = stored(label, "near-labels")
+    drop_stored(ids, copies, signed, edges)
     return rows.select("key", "node"), label
 
 
@@ -390,8 +399,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     their columns; of rows with equal words and ids one stays."""
     rows, label = labelled(docs, key, text, threshold)
     best = label.groupBy("label").agg(F.min(F.struct(F.col("key").isNull(), "key", "node")).alias("best"))
-    counts = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n"))
-    judged = label.join(best, "label").join(counts, "node").select(F.col("node").alias("__node"), (F.col("best.node") == F.col("node")).alias("__best"), F.col("key").alias("__least"), F.col("n").alias("__rows"))
+    judged = label.join(best, "label").select(F.col("node").alias("__node"), (F.col("best.node") == F.col("node")).alias("__best"), F.col("key").alias("__least"), F.col("rows").alias("__rows"))
     # texts that stand alone in their class and in the table aren't looked up
     judged = stored(judged.where("NOT __best OR __rows > 1"), "near-judged")
 
