@@ -15,7 +15,7 @@ two. Work in a chunk is done where it lies: pairs are bounded by a matrix produc
 leave it, of a component as many as hold it together. Buckets with the same texts count once. (6) Components of all links,
 by alternating large-star and small-star steps, are the classes.
 
-A pair of similarity 0.8 shares two of 18 bands with probability 0.9990, of 0.85 with 0.99999; nothing depends on the size
+A pair of similarity 0.8 shares two of 14 bands with probability 0.9933, of 0.85 with 0.9995; nothing depends on the size
 of a bucket. Texts that lie just below the threshold of each other, in a group of n, cost n^2 / CHUNK rows.
 
 Nulls: a text without words (null, empty, blank) is in no group; its class is its own id, and keep_one keeps it. A null id
@@ -37,7 +37,7 @@ from .common import drop_stored, map_batches, of_text, shingle_hashes, small_bat
 
 WIDTH = 5
 THRESHOLD = 0.8
-BANDS = 18
+BANDS = 14
 ROWS = 4
 #: Bands by which texts meet for the first links.
 FIRST = 4
@@ -51,8 +51,8 @@ TF_STRENGTH = 0.1
 #: What share of COMMON makes a shingle a candidate in a partition, and the least number of texts of such a partition.
 SLACK = 0.25
 LEAST_TEXTS = 4096
-#: Rows of ids are broadcast up to this number (some 40 MB); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Rows of a few numbers are broadcast up to this many (some 40 MB); beyond it the join shuffles.
+BROADCAST_IDS = 500_000
 
 #: Quantiles of the Gamma distribution in a table; three tables of this size stay in a core's first cache.
 _POOL = 1 << 11
@@ -62,7 +62,7 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def node_of(words: list[str]) -> bytes | None:
+def hash_of(words: list[str]) -> bytes | None:
     return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None
 
 
@@ -164,7 +164,7 @@ def at_least(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> Ite
         yield int(i[p]), int(j[p])
 
 
-def links_within(sets: list[tuple[np.ndarray, np.ndarray]], labels: list[bytes], parts: list[int], threshold: float) -> list[tuple[int, int]]:
+def links_within(sets: list[tuple[np.ndarray, np.ndarray]], labels: list[int], parts: list[int], threshold: float) -> list[tuple[int, int]]:
     """Pairs that are similar enough, as many as hold their components together. Texts of one label are linked already;
     where there are two parts, only pairs across them count."""
     above: dict = {}
@@ -186,19 +186,19 @@ def links_within(sets: list[tuple[np.ndarray, np.ndarray]], labels: list[bytes],
 
 
 def vectors(docs: DataFrame) -> DataFrame:
-    """key, node (the hash of the words; null without words), shingle keys and counts of each row."""
+    """key, words (their hash; null without words), shingle keys and counts of each row."""
 
     def run(b: dict) -> dict:
-        out: dict = {"key": b["__key"], "node": [], "keys": [], "counts": []}
+        out: dict = {"key": b["__key"], "words": [], "keys": [], "counts": []}
         for x in b["__text"].to_pylist():
-            node = node_of(words_of(x))
-            k, n = weighted_set(x) if node else (None, None)
-            out["node"].append(node)
-            out["keys"].append(k.tobytes() if node else None)
-            out["counts"].append((n.astype("<u4").tobytes() if n.max() > 1 else b"") if node else None)
+            words = hash_of(words_of(x))
+            k, n = weighted_set(x) if words else (None, None)
+            out["words"].append(words)
+            out["keys"].append(k.tobytes() if words else None)
+            out["counts"].append((n.astype("<u4").tobytes() if n.max() > 1 else b"") if words else None)
         return out
 
-    return map_batches(docs, run, "key long, node binary, keys binary, counts binary")
+    return map_batches(docs, run, "key long, words binary, keys binary, counts binary")
 
 
 def _set(keys: bytes, counts: bytes, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
@@ -268,12 +268,11 @@ def signatures(nodes: DataFrame, weights: Weights) -> DataFrame:
 
     def run(b: dict) -> dict:
         w, sampler = shared.value
-        sets = (_set(k, c, w) for k, c in zip(b["keys"].to_pylist(), b["counts"].to_pylist(), strict=True))
-        found = [sampler.bands(*s) for s in sets]
-        flat = np.concatenate(found) if found else np.empty(0, np.int64)
-        return {"node": b["node"], "n_keys": [len(k) // 4 for k in b["keys"].to_pylist()], "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(flat, pa.int64()))}
+        sets = [_set(k, c, w) for k, c in zip(b["keys"].to_pylist(), b["counts"].to_pylist(), strict=True)]
+        flat = np.concatenate([sampler.bands(*s) for s in sets]) if sets else np.empty(0, np.int64)
+        return {"node": b["node"], "n_keys": [len(k) for k, _ in sets], "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(flat, pa.int64()))}
 
-    return map_batches(nodes.select("node", "keys", "counts"), run, "node binary, n_keys long, bands array<long>")
+    return map_batches(nodes, run, "node long, n_keys long, bands array<long>")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -281,38 +280,35 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
-def _parts(places: DataFrame, sizes: DataFrame, whole: bool) -> DataFrame:
-    """group, part, node, label of places (bucket, node, label, n_keys). A bucket has as many chunks as its texts and
-    shingles need. Every chunk is a group; if whole, so is every two chunks of a bucket. Of groups with the same texts one
-    stays."""
-    cut = places.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")))
+def _groups(places: DataFrame, whole: bool) -> DataFrame:
+    """group, part, node, label of places (bucket, node, label, n_keys), for buckets with texts of several labels. A bucket
+    has as many chunks as its texts and shingles need. Every chunk is a group; if whole, so is every two chunks of a bucket.
+    Of groups with the same texts one stays."""
+    open_ = F.min("label") != F.max("label")
+    sums = places.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_keys").alias("n_keys"), open_.alias("open")).where("open")
+    sizes = sums.select("bucket", F.ceil(F.greatest(F.col("n") / CHUNK, F.col("n_keys") / CHUNK_SHINGLES)).alias("chunks"))
+    cut = places.join(_few(stored(sizes, "near-sizes")), "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")))
     if whole:
-        other = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-        cut = cut.withColumn("other", F.explode(other)).withColumn("group", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        cut = cut.withColumn("group", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
     else:
         cut = cut.withColumn("group", F.xxhash64("bucket", "part"))
-    cut = stored(cut.select("group", "part", "node", "label"), "near-places")
-    alike = cut.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("part", "node").cast("decimal(20,0)")).alias("p"), (F.min("label") != F.max("label")).alias("open"))
-    kept = alike.where("n > 1 AND open").groupBy("n", "s", "p").agg(F.min("group").alias("group")).select("group")
+    cut = stored(cut.select("group", "part", "node", "label"), "near-cut")
+    alike = cut.groupBy("group").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("part", "node")).alias("p"), open_.alias("open"))
+    kept = alike.where("open").groupBy("n", "s", "p").agg(F.min("group").alias("group")).select("group")
     return cut.join(kept, "group")
 
 
-def _sizes(places: DataFrame) -> DataFrame:
-    """bucket, chunks of the buckets that hold texts of several labels."""
-    sums = places.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_keys").alias("n_keys"), (F.min("label") != F.max("label")).alias("open"))
-    return sums.where("n > 1 AND open").select("bucket", F.ceil(F.greatest(F.col("n") / CHUNK, F.col("n_keys") / CHUNK_SHINGLES)).alias("chunks"))
-
-
 def _linked(groups: DataFrame, nodes: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """a, b: links found in the groups."""
     groups = stored(groups, "near-groups")
     shared = nodes.sparkSession.sparkContext.broadcast(weights)
-    rows = nodes.select("node", "keys", "counts").join(_few(groups), "node").select("group", "part", "node", "label", "keys", "counts")
+    rows = nodes.join(_few(groups), "node").select("group", "part", "node", "label", "keys", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(rows: list[tuple]) -> pa.RecordBatch:
             found = links_within([_set(r[4], r[5], shared.value) for r in rows], [r[3] for r in rows], [r[1] for r in rows], threshold) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][2] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][2] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         at, held = None, []
         for batch in batches:
@@ -325,7 +321,7 @@ def _linked(groups: DataFrame, nodes: DataFrame, weights: Weights, threshold: fl
         if held:
             yield solved(held)
 
-    out = stored(rows.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a binary, b binary"), "near-links")
+    out = stored(rows.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a long, b long"), "near-links")
     drop_stored(groups)
     return out
 
@@ -350,67 +346,66 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, signed: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: links that hold the classes together. nodes: node, keys, counts; signed: node, n_keys, bands."""
-    first = signed.select("node", F.col("node").alias("label"), "n_keys", F.explode(F.slice("bands", 1, FIRST)).alias("bucket"))
-    edges = _linked(_parts(first, _sizes(first), whole=False), nodes, weights, threshold)
-    label = components(edges)
-    named = signed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    every = named.select("node", "label", "n_keys", F.explode("bands").alias("bucket"))
-    open_ = every.join(_sizes(every).select("bucket"), "bucket").groupBy("node", "label", "n_keys").agg(F.array_sort(F.collect_list("bucket")).alias("bands")).where(F.size("bands") > 1)
+    every = signed.select("node", "n_keys", F.posexplode("bands").alias("band", "bucket"))
+    shared = stored(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-shared")
+    places = stored(every.join(_few(shared), "bucket"), "near-places")
+    first = places.where(F.col("band") < FIRST).withColumn("label", F.col("node"))
+    edges = _linked(_groups(first, whole=False), nodes, weights, threshold)
+    named = places.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("bucket")
+    bands = named.join(several, "bucket").groupBy("node", "label", "n_keys").agg(F.array_sort(F.collect_list("bucket")).alias("bands"))
     two = F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
-    second = stored(open_.select("node", "label", "n_keys", F.explode(two).alias("bucket")), "near-pairs")
-    more = _linked(_parts(second, _sizes(second), whole=True), nodes, weights, threshold)
-    drop_stored(second)
+    second = stored(bands.select("node", "label", "n_keys", F.explode(two).alias("bucket")), "near-pairs")
+    more = _linked(_groups(second, whole=True), nodes, weights, threshold)
+    drop_stored(shared, places, second)
     return edges.unionByName(more)
 
 
 def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, node) of docs, and node, label, least key and number of rows of each different text."""
+    """Rows (key, words) of docs, and of each different text its words' hash, node (the first row), label, least key and number
+    of rows."""
     frame = docs.select(F.col(f"`{key}`").cast("long").alias("__key"), text_of(text).alias("__text"))
     rows = stored(vectors(frame).withColumn("row", F.monotonically_increasing_id()), "near-vectors")
-    sums = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.min("row").alias("first"), F.count("*").alias("n"))
+    sums = rows.where("words is not null").groupBy("words").agg(F.min("key").alias("key"), F.min("row").alias("node"), F.count("*").alias("rows"))
     ids = stored(sums, "near-ids")
-    copies = rows.select("node", "row").join(ids.where("n > 1").select("node", "first"), "node").where("row <> first").select("row")
+    copies = rows.select("words", "row").join(ids.where("rows > 1").select("words", "node"), "words").where("row <> node").select("row")
     copies = stored(copies, "near-copies")
-    nodes = rows.where("node is not null")
+    nodes = rows.where("words is not null")
     if copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         nodes = nodes.join(F.broadcast(copies), "row", "left_anti")
     else:
         nodes = stored(nodes.join(copies, "row", "left_anti"), "near-nodes")
-    nodes = nodes.select("node", "keys", "counts")
+    nodes = nodes.select(F.col("row").alias("node"), "keys", "counts")
     weights = weights_of(nodes)
     signed = stored(signatures(nodes, weights), "near-signed")
     edges = links(nodes, signed, weights, threshold)
-    label = ids.join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "key", F.col("n").alias("rows"))
-    label = stored(label, "near-labels")
+    label = stored(ids.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node")), "near-labels")
     drop_stored(ids, copies, signed, edges)
-    return rows.select("key", "node"), label
+    return rows.select("key", "words"), label
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key and class_id, the least key of its class, of each row."""
     rows, label = labelled(docs, key, text, threshold)
     least = label.groupBy("label").agg(F.min("key").alias("class_id"))
-    of_node = label.join(least, "label").select("node", "class_id")
-    return rows.join(of_node, "node", "left").select(F.col("key").alias(key), F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"))
+    of_text = label.join(least, "label").select("words", "class_id")
+    return rows.join(of_text, "words", "left").select(F.col("key").alias(key), F.when(F.col("words").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without those whose class has a row of a lesser id (nulls last, then by hash of the words), with all
     their columns; of rows with equal words and ids one stays."""
     rows, label = labelled(docs, key, text, threshold)
-    best = label.groupBy("label").agg(F.min(F.struct(F.col("key").isNull(), "key", "node")).alias("best"))
-    judged = label.join(best, "label").select(F.col("node").alias("__node"), (F.col("best.node") == F.col("node")).alias("__best"), F.col("key").alias("__least"), F.col("rows").alias("__rows"))
+    best = label.groupBy("label").agg(F.min(F.struct(F.col("key").isNull(), "key", "words")).alias("best"))
+    judged = label.join(best, "label").select("words", (F.col("best.words") == F.col("words")).alias("best"), F.col("key").alias("least"), "rows")
     # texts that stand alone in their class and in the table aren't looked up
-    judged = stored(judged.where("NOT __best OR __rows > 1"), "near-judged")
-
+    judged = stored(judged.where("NOT best OR rows > 1").drop("rows"), "near-judged")
     small_batches(docs.sparkSession)
-    found = docs.withColumn("__of", of_text(lambda x: node_of(words_of(x)), "binary", text))
-    found = found.join(_few(judged), F.col("__of") == F.col("__node"), "left")
-    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__least"))
-    found = found.where(F.col("__node").isNull() | (F.col("__best") & same))
-    again = rows.where("node is not null").groupBy("node", "key").agg(F.count("*").alias("n")).where("n > 1")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = docs.select(row, F.col(f"`{key}`").cast("long").alias("key"), of_text(lambda x: hash_of(words_of(x)), "binary", text).alias("of"))
+    found = found.join(_few(judged), F.col("of") == F.col("words"), "left").where(F.col("words").isNull() | (F.col("best") & F.col("key").eqNullSafe(F.col("least"))))
+    again = rows.where("words is not null").groupBy("words", "key").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
-        return found.select(*columns)
-    once = found.where("__node is not null").dropDuplicates(["__node"])
-    return found.where("__node is null").unionByName(once).select(*columns)
+        return found.select("row.*")
+    once = found.where("words is not null").dropDuplicates(["words"])
+    return found.where("words is null").unionByName(once).select("row.*")

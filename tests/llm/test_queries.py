@@ -169,7 +169,7 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
 
 def test_common_shingles_weigh_less(spark):
     docs = spark.createDataFrame(list(enumerate(forms(30, 40, 3, 3))), "doc_id long, text string").select(F.col("doc_id").alias("__key"), F.col("text").alias("__text"))
-    nodes = near_dup.vectors(docs)
+    nodes = near_dup.vectors(docs).select("keys")
     weights = near_dup.weights_of(nodes)
     factors = sorted(weights.factors.tolist())
     assert min(factors) == pytest.approx(1 - near_dup.STRENGTH) and factors.count(min(factors)) == 26
@@ -186,7 +186,7 @@ def test_bounds_hold_for_all_pairs():
         sets.append((k, (0.75 + 0.5 * rng.random(len(k))).astype(np.float32)))
     wanted = {(i, j) for i in range(40) for j in range(i) if near_dup.similarity(sets[i], sets[j]) >= 0.6}
     assert wanted and wanted <= set(near_dup.at_least(sets, 0.6))
-    found = near_dup.links_within(sets, [bytes([i]) for i in range(40)], [0] * 40, 0.6)
+    found = near_dup.links_within(sets, list(range(40)), [0] * 40, 0.6)
     assert len(found) < 40
 
 
