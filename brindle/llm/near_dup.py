@@ -352,8 +352,8 @@ def links(nodes: DataFrame, signed: DataFrame, weights: Weights, threshold: floa
     first = places.where(F.col("band") < FIRST).withColumn("label", F.col("node"))
     edges = _linked(_groups(first, whole=False), nodes, weights, threshold)
     named = places.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("bucket")
-    bands = named.join(several, "bucket").groupBy("node", "label", "n_keys").agg(F.array_sort(F.collect_list("bucket")).alias("bands"))
+    several = stored(named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("bucket"), "near-open")
+    bands = named.join(_few(several), "bucket").groupBy("node", "label", "n_keys").agg(F.array_sort(F.collect_list("bucket")).alias("bands"))
     two = F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
     second = stored(bands.select("node", "label", "n_keys", F.explode(two).alias("bucket")), "near-pairs")
     more = _linked(_groups(second, whole=True), nodes, weights, threshold)
