@@ -37,6 +37,16 @@ def plain(text: str) -> bool:
     return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\t" in text or "\r" in text or _UNUSUAL.search(text))
 
 
+_tokenizers: dict[str, Tokenizer] = {}
+
+
+def tokenizer(path: str) -> Tokenizer:
+    """The worker's tokenizer of a vocabulary file."""
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return _tokenizers[path]
+
+
 class _Table(dict):
     LIMIT = 1_000_000
 
@@ -56,10 +66,10 @@ class _Table(dict):
 
 
 class PieceEncoder:
-    """Encodes texts to arrays of ids, and to character spans of tokens. One per Python worker; see encoder()."""
+    """Encodes texts to arrays of ids. One per Python worker; see encoder()."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer(path)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._added = re.compile(f"({'|'.join(sorted(added, key=len, reverse=True))})") if added else None
         self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
@@ -67,7 +77,6 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self._ids = _Table(self._piece_ids, " ", ".,")  # keyed by the piece without its leading blank
         self._raw = _Table(self._piece_ids, "")  # keyed by the piece itself
-        self._spans = _Table(self._piece_spans, " ")
 
     def _tokens(self, piece: str) -> list:
         if word := _WORD.fullmatch(piece):
@@ -78,13 +87,6 @@ class PieceEncoder:
     def _piece_ids(self, piece: str) -> bytes:
         return np.array([t.id for t in self._tokens(piece)], self.dtype).tobytes()
 
-    def _piece_spans(self, piece: str) -> bytes:
-        """Start and end of each token in the piece, in characters; a token inside a character spans all of it."""
-        at = np.repeat(np.arange(len(piece)), [len(c.encode("utf-8")) for c in piece])
-        ends = np.cumsum([len(t.value) for t in self._tokens(piece)], dtype=np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        return np.stack([at[starts], at[ends - 1] + 1], axis=1).astype("<u4").tobytes()
-
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -102,26 +104,6 @@ class PieceEncoder:
             return self._whole(text)
         return b"".join([self._ids[p[1:]] if p[0] == " " and p[1:2] not in ("", " ", "\n", "\t", "\r") else self._raw[p] for p in pieces])
 
-    def spans(self, text: str) -> np.ndarray:
-        """An array of tokens by 2: first character and the one after the last."""
-        if not text:
-            return np.empty((0, 2), np.int64)
-        if self._added and self._added.search(text):  # every second part is an added token
-            parts = self._added.split(text)
-            raw = [np.array([[0, len(p)]], "<u4").tobytes() if k % 2 else self.spans(p).astype("<u4").tobytes() for k, p in enumerate(parts)]
-            return self._merge(parts, raw)
-        pieces = split(text)
-        if pieces is None:
-            return self._merge([text], [self._piece_spans(text)])
-        return self._merge(pieces, [self._spans[p[1:]] if p[0] == " " and p[1:2] not in ("", " ", "\n", "\t", "\r") else self._piece_spans(p) for p in pieces])
-
-    @staticmethod
-    def _merge(pieces: list[str], raw: list[bytes]) -> np.ndarray:
-        local = np.frombuffer(b"".join(raw), "<u4").reshape(-1, 2).astype(np.int64)
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        counts = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
-        return local + np.repeat(np.cumsum(lengths) - lengths, counts)[:, None]
-
 
 _encoders: dict[str, PieceEncoder] = {}
 

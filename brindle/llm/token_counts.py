@@ -1,47 +1,62 @@
 """Token counts of the sections of a document, from one encoding of the whole document.
 
-The whole text is encoded once; the character spans of its tokens are joined to the spans of its sections by binary search.
-A token that lies in several sections counts for the one that holds most of its characters, and of equals for the earliest
-(rule "majority"), or for the one where it starts (rule "start"). A token inside a multi-byte character spans the
-character. Sections are the lines of the text; the line feed belongs to the line that it ends.
+The tokenizer encodes the whole text once; the character offsets that it gives for its tokens are joined to the spans of the
+text's sections as intervals. A token that lies in several sections counts for the one that holds most of its characters,
+and of equals for the earliest (rule "majority"), or for the one where it starts (rule "start"). A token inside a multi-byte
+character spans the character.
 
-Nulls: a null or empty text has no section and no token. Repeated rows give repeated results; an empty table none.
+Sections are sentences: one ends with a line feed, or with the white space after ".", "!" or "?" and closing marks. As a
+token takes the blank before its word, the first token of a sentence often crosses the boundary before it.
+
+Nulls: a null or empty text has no section and no token; a null key stays null. Repeated rows give repeated results. Very
+long texts are encoded whole, one at a time. An empty table gives no row. Other columns may have any name.
 """
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Encoding
 
 from .common import map_batches, text_of
-from .pieces import encoder
+from .pieces import tokenizer
+
+_END = re.compile(r"""\n|[.!?]["')\]]*[^\S\n]+""")
 
 
-def line_starts(text: str) -> np.ndarray:
-    """First characters of the lines; a final line feed starts no further line."""
+def section_starts(text: str) -> np.ndarray:
+    """First characters of the sections; the end of the text starts no further one."""
     if not text:
         return np.empty(0, np.int64)
-    starts, at = [0], text.find("\n")
-    while at >= 0 and at + 1 < len(text):
-        starts.append(at + 1)
-        at = text.find("\n", at + 1)
-    return np.array(starts, np.int64)
+    return np.array([0, *(m.end() for m in _END.finditer(text) if m.end() < len(text))], np.int64)
+
+
+def spans_of(encoding: Encoding) -> np.ndarray:
+    """First character and the one after the last of each token."""
+    offsets = encoding.offsets
+    return np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
 
 
 def allocate(spans: np.ndarray, starts: np.ndarray, length: int, rule: str = "majority") -> tuple[np.ndarray, int]:
     """The section of each token, and the number of tokens that cross a boundary. Sections follow each other without gaps."""
     first = np.searchsorted(starts, spans[:, 0], "right") - 1
-    last = np.searchsorted(starts, spans[:, 1] - 1, "right") - 1
+    last = np.maximum(np.searchsorted(starts, spans[:, 1] - 1, "right") - 1, first)
     crossing = np.flatnonzero(first != last)
     out = first.copy()
-    if rule == "majority":
+    if rule == "majority" and len(crossing):
         ends = np.append(starts[1:], length)
-        for t in crossing:
-            among = np.arange(first[t], last[t] + 1)
-            held = np.minimum(ends[among], spans[t, 1]) - np.maximum(starts[among], spans[t, 0])
-            out[t] = among[np.argmax(held)]
-    elif rule != "start":
+        among = (last - first + 1)[crossing]
+        token = np.repeat(crossing, among)
+        begin = np.cumsum(among) - among
+        section = first[token] + np.arange(len(token)) - np.repeat(begin, among)
+        held = np.minimum(ends[section], spans[token, 1]) - np.maximum(starts[section], spans[token, 0])
+        best = np.repeat(np.maximum.reduceat(held, begin), among)
+        out[crossing] = np.minimum.reduceat(np.where(held == best, section, len(starts)), begin)
+    elif rule not in ("majority", "start"):
         raise ValueError(f"unknown rule {rule!r}")
     return out, len(crossing)
 
@@ -50,18 +65,18 @@ def attribute(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     """Per row: key, n_tokens, n_sections, n_crossing and section_tokens, which sum to n_tokens."""
 
     def run(b: dict) -> dict:
-        e = encoder(path)
+        encode = tokenizer(path).encode
         out: dict[str, list] = {"key": b["__key"], "n_tokens": [], "n_sections": [], "n_crossing": [], "section_tokens": []}
         for x in b["__text"].to_pylist():
-            spans, starts = e.spans(x), line_starts(x)
+            spans, starts = spans_of(encode(x, add_special_tokens=False)), section_starts(x)
             owner, crossing = allocate(spans, starts, len(x), rule)
             out["n_tokens"].append(len(spans))
             out["n_sections"].append(len(starts))
             out["n_crossing"].append(crossing)
-            out["section_tokens"].append(np.bincount(owner, minlength=len(starts)).astype(np.int32) if len(starts) else np.empty(0, np.int32))
+            out["section_tokens"].append(np.bincount(owner, minlength=len(starts)).astype(np.int32))
         return out
 
-    frame = docs.select(F.col(key).cast("long").alias("__key"), text_of(text).alias("__text"))
+    frame = docs.select(F.col(f"`{key}`").cast("long").alias("__key"), text_of(text).alias("__text"))
     return map_batches(frame, run, "key long, n_tokens long, n_sections int, n_crossing int, section_tokens array<int>").withColumnRenamed("key", key)
 
 
