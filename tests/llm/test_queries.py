@@ -207,6 +207,23 @@ def test_mixing_meets_targets(spark):
     assert all(abs(r.taken - r.target) <= r.most for r in rows)
 
 
+@pytest.mark.parametrize("last", [50_000, 3])
+def test_mixing_of_repeated_rows(spark, monkeypatch, last):
+    """Any number of equal rows: the taken words come as near to the targets as one document allows, and agree with SQL."""
+    monkeypatch.setattr(mixing, "LAST", last)
+    monkeypatch.setattr(mixing, "BINS", 8)
+    rows = [(1, "a b c d", "x")] * 90 + [(i, "w " * (i % 7 + 1), "xyz"[i % 3]) for i in range(2, 60)] + [(None, "n n", None)] * 3 + [(5, None, "y"), (1, "a b", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    wanted = con.execute(mixing.SQL.replace("order_key, w.size", "order_key, w.size, w.doc_id")).fetchall()
+    assert sorted(str((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken)) for r in got) == sorted(str((a, b, c, round(d, 6), e)) for a, b, c, d, e in wanted)
+    for target in {r.target for r in got}:
+        part = [r for r in got if r.target == target]
+        assert abs(sum(r.taken for r in part) - target * len({r.source_size for r in part})) <= max(r.size for r in part)
+
+
 def test_toxicity(spark, docs, empty):
     bad = [(i, f"alpha beta you idiot{'s' * (i % 2)} gamma", 1) for i in range(0, 120, 2)]
     good = [(i, f"alpha beta you see gamma {i % 7}", 0) for i in range(1, 400, 2)]
