@@ -255,15 +255,78 @@ def test_tool_calls_order_and_errors(spark):
     assert tool_calls.link(calls.where("false"), results, schemas).count() == 0
 
 
-def test_fixity_finds_the_damage(spark):
-    pages = spark.createDataFrame([(i, f"u{i}", "x" * i) for i in range(40)] + [(None, None, None), (3, "u3", "xxx")], "page_id long, url string, html string")
-    same = fixity.audit(pages, pages)
-    assert same.count() == 42 and same.where("corrupt").isEmpty() and same.select("primary_root").distinct().count() == 1
-    rotten = pages.withColumn("html", F.when(F.col("page_id") == 17, "y" * 17).otherwise(F.col("html")))
-    assert [r.page_id for r in fixity.audit(pages, rotten).where("corrupt").collect()] == [17]
-    rows = fixity.audit(pages, rotten).orderBy("position").collect()
-    assert rows[0].page_id is None and [r.record_offset for r in rows] == list(np.cumsum([0] + [r.record_length for r in rows[:-1]]))
-    assert fixity.audit(pages.where("false"), pages.where("false")).count() == 0
+def audited(found):
+    """(id, status, number) of what isn't intact, sorted."""
+    rows = found.where("status <> 'ok'").groupBy("page_id", "status").count().collect()
+    return sorted(((r.page_id, r.status, r["count"]) for r in rows), key=str)
+
+
+def test_fixity_finds_the_damage(spark, monkeypatch):
+    rows = [(i, f"u{i}", "x" * i, 1) for i in range(40)] + [(None, None, None, 2), (3, "u3", "xxx", 3), (50, "u50", "long " * 100_000, 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, hash int")
+    for most in (fixity.MOST, 2):
+        monkeypatch.setattr(fixity, "MOST", most)
+        same = fixity.audit(pages, pages)
+        assert same.count() == 43 and audited(same) == [] and same.where("primary_root <> replica_root").isEmpty()
+        rotten = pages.withColumn("html", F.when(F.col("page_id") == 17, "y" * 17).otherwise(F.col("html")))
+        found = fixity.audit(pages, rotten)
+        assert audited(found) == [(17, "corrupt", 1)] and found.where("primary_root = replica_root").isEmpty()
+        spans = sorted((r.record_offset, r.record_offset + r.record_length) for r in found.collect())
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+        assert audited(fixity.audit(pages, pages.where("page_id IS NULL OR page_id <> 10"))) == [(10, "missing", 1)]
+        more = spark.createDataFrame([(100 + i, "new", "n", 0) for i in range(5)] + [(12, "u12", "other", 0), (3, "u3", "xxx", 0)], pages.schema)
+        assert audited(fixity.audit(pages, pages.unionByName(more))) == sorted([(100 + i, "extra", 1) for i in range(5)] + [(12, "extra", 1), (3, "extra", 1)], key=str)
+        assert audited(fixity.audit(pages, pages.dropDuplicates(["page_id"]))) == [(3, "missing", 1)]
+    none = pages.where("false")
+    assert fixity.audit(none, none).count() == 0
+    assert fixity.audit(none, pages).where("status = 'extra'").count() == fixity.audit(pages, none).where("status = 'missing'").count() == 43
+
+
+def test_fixity_of_sparse_and_repeated_ids(spark):
+    """Hashed ids, a third of all rows equal and a third without id: roots differ by one record, which is found."""
+    pages = spark.range(600).select(F.when(F.col("id") % 3 == 0, F.xxhash64("id")).when(F.col("id") % 3 == 1, 7).alias("page_id"), F.when(F.col("id") % 3 == 2, F.col("id").cast("string")).otherwise("u").alias("url"), F.when(F.col("id") % 3 == 2, F.col("id").cast("string")).otherwise("same").alias("html"))
+    wrong = pages.withColumn("html", F.when(F.col("url") == "302", "other").otherwise(F.col("html")))
+    found = fixity.audit(pages, wrong)
+    assert found.count() == 600 and [(r.url, r.status) for r in found.where("status <> 'ok'").collect()] == [("302", "corrupt")]
+
+
+def test_fixity_by_brute_force(spark):
+    """The root, built anew from the records in order."""
+    from hashlib import sha256
+
+    pages = [(i * 5, f"http://x/{i}", f"<p>{i}</p>") for i in range(300)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = sorted(fixity.audit(frame, frame).collect(), key=lambda r: r.record_offset)
+    assert [r.page_id for r in found] == [p[0] for p in pages]
+    width, ranges = -(-(pages[-1][0] + 1) // 255), {}
+    for (k, u, h), r in zip(pages, found, strict=True):
+        record = fixity_record(k, u, h)
+        assert (r.record_length, r.leaf_sha256) == (len(record), sha256(record).hexdigest())
+        ranges.setdefault(k // width + 1, []).append((r.record_length, r.leaf_sha256))
+
+    def node(children):
+        at, said = 0, []
+        for n, h in children:
+            said.append(f"{at}:{at + n}:{h}")
+            at += n
+        return at, sha256(",".join(said).encode()).hexdigest()
+
+    level = {k: node([node(v)]) for k, v in ranges.items()}
+    for _ in range(2):
+        above = {}
+        for k in sorted(level):
+            above.setdefault(k // 16, []).append(level[k])
+        level = {k: node(v) for k, v in above.items()}
+    assert {r.primary_root for r in found} == {level[0][1]}
+
+
+def fixity_record(key, url, html):
+    import hashlib
+    import uuid
+
+    ident = uuid.UUID(hashlib.md5(f"{key}|{url}".encode()).hexdigest())
+    head = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{ident}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", "Content-Type: text/html", f"Content-Length: {len(html.encode())}"]
+    return "\r\n".join([*head, "", html, "", ""]).encode()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
