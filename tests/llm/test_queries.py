@@ -240,19 +240,50 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(train, none).where("predicted = 1").isEmpty()
 
 
+CALLS = "conv_id long, call_id string, position long, name string, arguments string, depends_on array<string>"
+
+
 def test_tool_calls_order_and_errors(spark):
     calls = spark.createDataFrame(
         [(1, "c", 0, "f", '{"b":1,"a":"x"}', ["a"]), (1, "a", 1, "f", '{"a":2}', []), (1, "b", 2, "g", "{}", ["c"]), (2, "x", 0, "f", "oops", ["y"]), (2, "y", 1, "f", None, ["x"]), (None, "z", 0, "f", '{"a":"x"}', []), (1, "c", 0, "f", '{"b":1,"a":"x"}', ["a"])],
-        "conv_id long, call_id string, position long, name string, arguments string, depends_on array<string>",
-    )
-    results = spark.createDataFrame([(1, "c", 3, "r"), (1, "c", 4, "late"), (None, "z", 1, None), (9, "q", 0, "orphan")], "conv_id long, call_id string, position long, content string")
-    schemas = spark.createDataFrame([("f", "a", "STRING", True), ("f", "b", "BIGINT", False)], "tool string, field string, type string, required boolean")
+        CALLS,
+    ).withColumns({"uid": F.lit(1), "level": F.lit("x"), "errors": F.lit("y")})
+    results = spark.createDataFrame([(1, "c", 3, "r"), (1, "c", 4, "late"), (None, "z", 1, None), (9, "q", 0, "orphan"), (3, None, 1, "of none")], "conv_id long, call_id string, position long, content string")
+    schemas = spark.createDataFrame([("f", "a", "STRING", True), ("f", "b", "BIGINT", False), ("f", "d", "DOUBLE", False)], "tool string, field string, type string, required boolean")
     got = {(r.conv_id, r.call_id): r for r in tool_calls.link(calls, results, schemas).collect()}
     assert {k: r.topo_order for k, r in got.items()} == {(1, "a"): 0, (1, "c"): 1, (1, "b"): 2, (2, "x"): None, (2, "y"): None, (None, "z"): 0}
     assert {k: r.errors for k, r in got.items()} == {(1, "a"): "type:a", (1, "c"): "", (1, "b"): "tool", (2, "x"): "arguments", (2, "y"): "arguments", (None, "z"): ""}
     assert got[1, "c"].line == '{"arguments":{"a":"x","b":1},"call_id":"c","name":"f","result":{"content":"r","position":3},"topo_order":1}'
     assert got[1, "c"].n_results == 2
     assert tool_calls.link(calls.where("false"), results, schemas).count() == 0
+    long = '{"a":"' + "x" * 300_000 + '"}'
+    more = [(3, None, 0, "f", '{"a":"x"}', None), (3, None, 1, "f", '{"a":"x","a":"y"}', []), (3, None, 1, "f", '{"a":"x","a":"y"}', []), (3, "t", 2, "f", '{"a":"x"} trailing', ["gone"]), (3, "u", 3, "f", '{"a":"x"},{}', []), (3, "l", 4, "f", long, []), (3, "d", 5, "f", '{"d":1,"b":1.5,"a":{"z":1,"y":2}}', [None]), (3, "n", None, None, "[]", [])]
+    rows = tool_calls.link(spark.createDataFrame(more, CALLS), results, schemas).collect()
+    assert sorted((str(r.call_id), r.topo_order, r.n_results, r.errors) for r in rows) == sorted([("None", 1, 0, ""), ("None", 2, 0, "arguments"), ("t", 3, 0, "arguments,unknown:gone"), ("u", 4, 0, "arguments"), ("l", 5, 0, ""), ("d", 6, 0, "type:a,type:b"), ("n", 0, 0, "tool")])
+    assert next(r for r in rows if r.call_id == "l").line == '{"arguments":' + long + ',"call_id":"l","name":"f","result":null,"topo_order":5}'
+    assert '"arguments":{"a":{"y":2,"z":1},"b":1.5,"d":1}' in next(r for r in rows if r.call_id == "d").line
+
+
+def test_tool_calls_in_random_graphs(spark):
+    """Orders by releasing calls one level at a time, conversation by conversation."""
+    rng, rows, wanted = np.random.default_rng(8), [], {}
+    for conv in range(40):
+        n = int(rng.integers(1, 9))
+        needs = {i: sorted({int(x) for x in rng.integers(0, n, int(rng.integers(0, 3))) if conv % 3 or x < i}) for i in range(n)}
+        rows += [(conv, f"c{i}", i, "f", "{}", [f"c{x}" for x in needs[i]]) for i in range(n)]
+        if all(x < i for i, xs in needs.items() for x in xs):
+            order = list(range(n))
+        else:
+            order, left = [], dict(needs)
+            while free := [i for i in sorted(left) if not any(x in left for x in left[i])]:
+                order += free
+                left = {i: xs for i, xs in left.items() if i not in free}
+        wanted |= {(conv, f"c{i}"): order.index(i) if i in order else None for i in range(n)}
+    calls = spark.createDataFrame(rows, CALLS)
+    none = spark.createDataFrame([], "conv_id long, call_id string, position long, content string")
+    schemas = spark.createDataFrame([("f", "a", "STRING", False)], "tool string, field string, type string, required boolean")
+    assert {(r.conv_id, r.call_id): r.topo_order for r in tool_calls.link(calls, none, schemas).collect()} == wanted
+    assert None in wanted.values()
 
 
 def audited(found):
