@@ -1,23 +1,27 @@
 """Benchmark decontamination: a BM25 index of the test items, searched for every passage of every text by block-max WAND.
 
-Index. The documents of the index are the test items; a posting's impact is its BM25 weight divided by the item's own total,
-so a score is the share of the item's BM25 mass that a passage holds, between 0 and 1, and one threshold serves all items.
-Items are held in blocks; a term has an upper bound for each block. The index grows with the benchmark only.
-
-Search. A text is read whole, as overlapping passages of 2 * stride words, one each stride; an item of up to stride words
-lies whole in one of them. Bounds are summed for all passages at once: a passage whose bound in a block stays below the
-threshold can't hold any of the block's items. For the others, blocks whose bounds over the passage's distinct terms fall short are
-jumped over; in the rest WAND walks the posting lists: the pivot is where the lists' bounds in the block first reach the
-threshold, and items before it are passed over; all items at or above the threshold are returned. This is exact: tests hold it against scoring every pair.
-
-Verification. A retrieved item counts if the text also repeats it in order: an item is cut into question (all sentences
-but the last) and answer (the last); the share of the question's and of the answer's word 5-grams that occur in the text
-must both reach `overlap`. A part of three to eight words is cut into shorter runs, of two or three words, so that one
-changed word needn't hide it; a shorter part must occur whole. A text that holds all the item's words as one run has both shares 1, also where the first or last
-word is part of a longer one. Words are runs of letters and digits, so marks next to them don't count.
-
-Nulls: a null, empty or blank text matches nothing; items without words are left out. Repeated rows match alike. Empty
-tables give no match.
+Index. The documents of the index are the test items, in segments of at most `stride` words; a posting's impact is its BM25
+weight divided by the segment's own total, so a score is the share of the segment's BM25 mass that a passage holds, between 0
+and 1, and one threshold serves all. Segments are held in blocks; with its postings a term has an upper bound for each block
+in which it occurs, and none for the others. The index grows with the benchmark only, in proportion; its size is checked.
+
+Search. A text is read whole, as overlapping passages of 2 * stride words, one each stride, so that each segment lies whole
+in one of them. Bounds are summed for all passages at once: a passage whose bound in a block stays below the threshold can't
+hold any of the block's segments. For the others, blocks whose bounds over the passage's distinct terms fall short are jumped
+over; in the rest WAND walks the posting lists: the pivot is where the lists' bounds in the block first reach the threshold,
+and segments before it are passed over; all segments at or above the threshold are returned. This is exact: tests hold it
+against scoring every pair.
+
+Verification. A retrieved item counts if the passages that gave it also repeat it in order: an item is cut into question (all
+sentences but the last) and answer (the last); the share of the question's and of the answer's word 5-grams that occur in the
+passages must both reach `overlap`. A part of three to eight words is cut into shorter runs, of two or three words, so that
+one changed word needn't hide it; a shorter part must occur whole. A text that holds all the item's words as one run has both
+shares 1, also where the first or last word is part of a longer one. An item of fewer than five words, which any text may
+hold by chance, counts only where it is the whole text. Words are runs of letters and digits, so marks next to them don't
+count.
+
+Nulls: a null, empty or blank text matches nothing; items without words are left out. Repeated rows match alike; of repeated
+items each counts. Long texts and long items are searched whole. Empty tables give no match. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -38,6 +42,10 @@ BLOCK = 4
 THRESHOLD = 0.6
 OVERLAP = 0.5
 GRAM = 5
+#: Largest benchmark, of texts, that is read into the driver and sent to all workers.
+MOST_MB = 64
+#: Passages whose bounds are summed at once.
+AT_ONCE = 512
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -68,31 +76,42 @@ def grams(words: list[str], width: int = GRAM) -> set[tuple[str, ...]]:
 class Index:
     items: list[int]
     parts: list[tuple[list[str], list[str]]]
+    item_of: np.ndarray  # of each segment
     terms: dict[str, int]
-    postings: list[tuple[np.ndarray, np.ndarray]]  # per term: item numbers, ascending, and impacts
-    block_max: np.ndarray  # terms + 1 (for unknown words) by blocks
+    postings: list[tuple[np.ndarray, np.ndarray]]  # per term: segments, ascending, and impacts
+    first: np.ndarray  # per term, and after the last: where its bounds begin
+    blocks: np.ndarray  # of each bound, ascending within a term
+    bounds: np.ndarray
     stride: int
 
+    def sums(self, terms: np.ndarray, cells: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the terms' bounds by cell, of n, and block."""
+        size = 1 + (int(self.item_of.size) - 1) // BLOCK
+        count = self.first[terms + 1] - self.first[terms]
+        at = np.repeat(self.first[terms] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.bincount(np.repeat(cells, count) * size + self.blocks[at], self.bounds[at], n * size).reshape(n, size)
+
     def retrieve(self, terms: list[int], threshold: float) -> dict[int, float]:
-        """All items whose score over the distinct terms is at least the threshold. Only blocks whose bounds add up to it
+        """All segments whose score over the distinct terms is at least the threshold. Only blocks whose bounds add up to it
         are walked."""
         out: dict[int, float] = {}
         if terms:
             slack = threshold - 1e-6
-            for block in np.flatnonzero(self.block_max[terms].sum(axis=0) >= slack - 1e-6).tolist():
+            for block in np.flatnonzero(self.sums(np.array(terms), np.zeros(len(terms), np.int64), 1)[0] >= slack - 1e-6).tolist():
                 self._walk(terms, block, slack, out)
         return out
 
     def _walk(self, terms: list[int], block: int, slack: float, out: dict[int, float]) -> None:
-        """WAND within a block: lists in the order of their next item, the pivot where their bounds reach the threshold."""
-        first, last = block * BLOCK, (block + 1) * BLOCK
+        """WAND within a block: lists in the order of their next segment, the pivot where their bounds reach the threshold."""
+        low, high = block * BLOCK, (block + 1) * BLOCK
         lists = []
         for t in terms:
-            bound = float(self.block_max[t, block])
-            if bound > 0:
-                items, impacts = self.postings[t]
-                a, b = np.searchsorted(items, (first, last))
-                lists.append([items[a:b].tolist(), impacts[a:b].tolist(), 0, bound])
+            x, y = int(self.first[t]), int(self.first[t + 1])
+            at = x + int(np.searchsorted(self.blocks[x:y], block))
+            if at < y and self.blocks[at] == block:
+                segments, impacts = self.postings[t]
+                a, b = np.searchsorted(segments, (low, high))
+                lists.append([segments[a:b].tolist(), impacts[a:b].tolist(), 0, float(self.bounds[at])])
         while True:
             order = sorted((x for x in lists if x[2] < len(x[0])), key=lambda x: x[0][x[2]])
             total, pivot = 0.0, -1
@@ -103,25 +122,31 @@ class Index:
                     break
             if pivot < 0:
                 return
-            item = order[pivot][0][order[pivot][2]]
+            segment = order[pivot][0][order[pivot][2]]
             score = 0.0
             for x in order:
-                if x[0][x[2]] > item:
+                if x[0][x[2]] > segment:
                     break
-                while x[2] < len(x[0]) and x[0][x[2]] < item:  # passed over: too few lists hold it
+                while x[2] < len(x[0]) and x[0][x[2]] < segment:  # passed over: too few lists hold it
                     x[2] += 1
-                if x[2] < len(x[0]) and x[0][x[2]] == item:
+                if x[2] < len(x[0]) and x[0][x[2]] == segment:
                     score += x[1][x[2]]
                     x[2] += 1
             if score >= slack:
-                out[item] = score
+                out[segment] = score
 
 
 def build(rows: list[tuple[int, str]], stride: int = STRIDE) -> Index:
     """Index the items (id, text), in the order of ids."""
     kept = [(i, question_and_answer(t or "")) for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))]
     kept = [(i, qa) for i, qa in kept if qa[0] or qa[1]]
-    bags = [Counter(q + a) for _, (q, a) in kept]
+    bags, item_of = [], []
+    for k, (_, (q, a)) in enumerate(kept):
+        words = q + a
+        # segments of equal length, the last one whole
+        for at in sorted({min(s, max(0, len(words) - stride)) for s in range(0, len(words), stride)}):
+            bags.append(Counter(words[at : at + stride]))
+            item_of.append(k)
     df = Counter(w for bag in bags for w in bag)
     n, lengths = len(bags), [sum(b.values()) for b in bags]
     mean = sum(lengths) / max(1, n)
@@ -134,15 +159,24 @@ def build(rows: list[tuple[int, str]], stride: int = STRIDE) -> Index:
             found[w].append((k, float(x / total)))
     terms = {w: t for t, w in enumerate(sorted(found))}
     postings = [(np.array([k for k, _ in found[w]], np.int32), np.array([x for _, x in found[w]], np.float32)) for w in terms]
-    block_max = np.zeros((len(terms) + 1, -(-n // BLOCK)), np.float32)
-    for t, (items, impacts) in enumerate(postings):
-        np.maximum.at(block_max[t], items // BLOCK, impacts)
-    return Index([i for i, _ in kept], [qa for _, qa in kept], terms, postings, block_max, max([stride, *lengths]))
-
-
-def load_index(benchmark: DataFrame, item: str = "item_id", text: str = "text", stride: int = STRIDE) -> Index:
-    """The test set is read into the driver: it is the stated query set, and doesn't grow with the corpus."""
-    return build([tuple(r) for r in benchmark.select(item, text).collect()], stride)
+    first, blocks, bounds = [0], [], []
+    for segments, impacts in postings:
+        edges = np.flatnonzero(np.r_[True, np.diff(segments // BLOCK) > 0])
+        blocks.append(segments[edges] // BLOCK)
+        bounds.append(np.maximum.reduceat(impacts, edges))
+        first.append(first[-1] + len(edges))
+    flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
+    return Index([i for i, _ in kept], [qa for _, qa in kept], np.array(item_of, np.int64), terms, postings, np.array(first), flat(blocks, np.int64), flat(bounds, np.float32), stride)
+
+
+def load_index(benchmark: DataFrame, item: str = "item_id", text: str = "text", stride: int = STRIDE, most_mb: int = MOST_MB) -> Index:
+    """The test set is read into the driver: it is the stated query set, and doesn't grow with the corpus. One of more than
+    most_mb MB is refused; its parts can be searched for one after the other."""
+    rows = benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{text}`").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    if size > most_mb * 1_000_000:
+        raise ValueError(f"a benchmark of {size / 1e6:.0f} MB is more than {most_mb} MB")
+    return build([tuple(r) for r in rows.collect()], stride)
 
 
 class _Ids(dict):
@@ -166,28 +200,28 @@ class Searcher:
         self.index, self.threshold, self.overlap = index, threshold, overlap
         self.ids = _Ids(index.terms)
 
-    def candidates(self, words: list[str]) -> dict[int, float]:
-        """The best score of each item that reaches the threshold in some passage."""
+    def candidates(self, words: list[str]) -> dict[int, tuple[float, list[int]]]:
+        """Of each item with a segment that reaches the threshold in some passage: the best score, and the passages."""
         ix, unknown = self.index, len(self.index.terms)
         if not words or not ix.items:
             return {}
-        ids = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
+        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         known = np.flatnonzero(ids != unknown)
         if not len(known):
             return {}
-        windows = -(-len(ids) // ix.stride)
-        cell = known // ix.stride
-        terms = ids[known]
-        edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        sums = np.zeros((windows + 1, ix.block_max.shape[1]), np.float32)
-        sums[cell[edges]] = np.add.reduceat(ix.block_max[terms], edges, axis=0)
-        bounds = (sums[:-1] + sums[1:]).max(axis=1)
-        out: dict[int, float] = {}
-        for w in np.flatnonzero(bounds >= self.threshold - 1e-4):
-            part = np.unique(ids[w * ix.stride : (w + 2) * ix.stride])
-            part = part[part != unknown]
-            for k, score in ix.retrieve(part.tolist(), self.threshold).items():
-                out[k] = max(score, out.get(k, 0.0))
+        out: dict[int, tuple[float, list[int]]] = {}
+        strides = -(-len(ids) // ix.stride)
+        for start in range(0, strides, AT_ONCE):  # of a very long text, some passages at a time
+            stop = min(strides, start + AT_ONCE)
+            a, b = np.searchsorted(known, (start * ix.stride, (stop + 1) * ix.stride))
+            part = known[a:b]
+            sums = ix.sums(ids[part], part // ix.stride - start, stop + 1 - start)
+            bounds = (sums[:-1] + sums[1:]).max(axis=1)
+            for w in np.flatnonzero(bounds >= self.threshold - 1e-4).tolist():
+                terms = np.unique(ids[(start + w) * ix.stride : (start + w + 2) * ix.stride])
+                for k, score in ix.retrieve(terms[terms != unknown].tolist(), self.threshold).items():
+                    best, passages = out.setdefault(int(ix.item_of[k]), (0.0, []))
+                    out[int(ix.item_of[k])] = (max(best, score), [*passages, start + w])
         return out
 
     def matches(self, text: str) -> list[tuple[int, float, float, float]]:
@@ -196,23 +230,30 @@ class Searcher:
         found = self.candidates(words)
         if not found:
             return []
-        joined = " ".join(words)
-        have: dict[int, set] = {}
+        joined, stride = " ".join(words), self.index.stride
+        have: dict[tuple[int, int], set] = {}
         out = []
         for k in sorted(found):
+            score, passages = found[k]
             parts = self.index.parts[k]
-            if " ".join(parts[0] + parts[1]) in joined:
+            whole = parts[0] + parts[1]
+            if len(whole) < GRAM:
+                shares = [1.0, 1.0] if words == whole else [0.0, 0.0]
+            elif " ".join(whole) in joined:
                 shares = [1.0, 1.0]
             else:
                 shares = []
                 for part in parts:
                     width = width_of(part)
-                    if width and width not in have:
-                        have[width] = grams(words, width)
                     g = grams(part, width) if width else set()
-                    shares.append(len(g & have[width]) / len(g) if g else 1.0)
+                    hit: set = set()
+                    for w in passages if g else []:
+                        if (w, width) not in have:
+                            have[w, width] = grams(words[w * stride : (w + 2) * stride], width)
+                        hit |= g & have[w, width]
+                    shares.append(len(hit) / len(g) if g else 1.0)
             if min(shares) >= self.overlap:
-                out.append((self.index.items[k], found[k], shares[0], shares[1]))
+                out.append((self.index.items[k], score, shares[0], shares[1]))
         return out
 
 

@@ -136,11 +136,17 @@ def test_viterbi_by_enumeration():
     assert field.decode(e, np.array([5])).tolist() == list(best)
 
 
+def first_of_runs(part, n):
+    """Where each different run of n words begins."""
+    return list({tuple(part[i : i + n]): i for i in range(len(part) - n + 1)}.values())
+
+
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(7)
     words = [f"w{i}" for i in range(60)]
     index = decontaminate.build([(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(60)], k=rng.randint(3, 15)))) for i in range(40)], stride=8)
-    dense = np.zeros((len(index.terms), len(index.items)), np.float32)
+    assert len(index.item_of) > len(index.items)
+    dense = np.zeros((len(index.terms), len(index.item_of)), np.float32)
     for t, (items, impacts) in enumerate(index.postings):
         dense[t, items] = impacts
     for threshold in (0.1, 0.3, 0.6):
@@ -152,8 +158,21 @@ def test_wand_finds_all_above_the_threshold():
     for text in (" ".join(rng.choices(words, k=50)) for _ in range(60)):
         raw = text.split()
         windows = [sorted({index.terms[w] for w in raw[a : a + 2 * index.stride] if w in index.terms}) for a in range(0, len(raw), index.stride)]
-        want = {int(k) for w in windows if w for k in np.flatnonzero(dense[w].sum(axis=0) >= 0.6 - 1e-6)}
+        want = {int(index.item_of[k]) for w in windows if w for k in np.flatnonzero(dense[w].sum(axis=0) >= 0.6 - 1e-6)}
+        assert set(searcher.candidates(raw)) == want
+        kept, decontaminate.AT_ONCE = decontaminate.AT_ONCE, 2
         assert set(searcher.candidates(raw)) == want
+        decontaminate.AT_ONCE = kept
+        wanted = []
+        for k in sorted(want):
+            q, a = index.parts[k]
+            spans = [raw[i : i + 2 * index.stride] for i in range(0, len(raw), index.stride)]
+            spans = [x for x in spans if dense[sorted({index.terms[w] for w in x if w in index.terms})][:, index.item_of == k].sum(axis=0).max() >= 0.6 - 1e-6]
+            share = lambda p: sum(any(p[i : i + n] == x[j : j + n] for x in spans for j in range(len(x))) for i in starts) / len(starts) if (n := decontaminate.width_of(p)) and (starts := first_of_runs(p, n)) else 1.0  # noqa: B023, E731
+            both = (1.0, 1.0) if " ".join(q + a) in text else (share(q), share(a))
+            if min(both) >= searcher.overlap and (len(q + a) >= 5 or raw == q + a):
+                wanted.append((index.items[k], *(round(x, 6) for x in both)))
+        assert [(m[0], round(m[2], 6), round(m[3], 6)) for m in searcher.matches(text)] == wanted
 
 
 def test_samples_agree_as_often_as_sets_are_similar():

@@ -94,6 +94,18 @@ def test_decontamination_finds_verbatim_items(spark):
     assert {k: r["items"] for k, r in got.items()} == {k: [i] if i else [] for k, _, i in rows}
 
 
+def test_decontamination_of_short_and_long_items(spark):
+    long = " ".join(f"w{i}" for i in range(1000)) + ". The end of it"
+    index = decontaminate.load_index(spark.createDataFrame([(1, "yes"), (2, long), (3, "one two three four five six. seven eight nine")], "item_id long, text string"))
+    assert index.stride == decontaminate.STRIDE
+    far = " ".join(f"x{i}" for i in range(2000))
+    rows = [(1, "yes"), (2, "and yes it is"), (3, f"{far} {long} {far}"), (4, f"{far} one two three four five six {far} seven eight nine {far}"), (5, f"{far} one two three four five six. {far[:40]} seven eight nine")]
+    got = by_id(decontaminate.search(spark.createDataFrame(rows, "doc_id long, text string"), index))
+    assert {k: r["items"] for k, r in got.items()} == {1: [1], 2: [], 3: [2], 4: [], 5: [3]}
+    with pytest.raises(ValueError, match="MB"):
+        decontaminate.load_index(spark.createDataFrame([(1, "yes")], "item_id long, text string"), most_mb=0)
+
+
 def test_decontamination_finds_verbatim_items_of_the_table(spark):
     folder = "/root/testdata/sf0.1"
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
