@@ -9,7 +9,8 @@ driver is a count per vocabulary entry; (3) range-partition the stored ids by ke
 committing writer; (4) read the files back. Lost executors repeat only their tasks.
 
 Nulls: a null text is an empty one and holds the end id only; a null key sorts first. Repeated keys and rows stay, each with
-its tokens, beside each other. An empty table gives no row.
+its tokens, beside each other, in the order of a hash of their ids. Very long texts are a block of their own. An empty table
+gives no row. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         raw = [e.ids(x) + end for x in b["__text"].to_pylist()]
         return {"key": b["__key"], "n_tokens": [len(r) // e.dtype.itemsize for r in raw], "ids": [press.compress(r) for r in raw]}
 
-    return map_batches(docs.select(F.col(key).cast("long").alias("__key"), text_of(text).alias("__text")), run, "key long, n_tokens int, ids binary")
+    return map_batches(docs.select(F.col(f"`{key}`").cast("long").alias("__key"), text_of(text).alias("__text")), run, "key long, n_tokens int, ids binary")
 
 
 def _inflate(blob: bytes, dtype: np.dtype) -> np.ndarray:
@@ -131,8 +132,9 @@ def write_blocks(encoded: DataFrame, by_rank: np.ndarray, dtype: np.dtype, folde
         if keys:
             yield flush()
 
-    ordered = encoded.select("key", "ids").repartitionByRange("key").sortWithinPartitions("key")
-    ordered.mapInArrow(run, "part int, block int, keys array<long>, counts array<int>, control binary, data binary").write.option("compression", "zstd").parquet(folder)
+    # rows of one key stand in the order of their ids' hash, so that retries write the same, and can go to several files
+    ordered = encoded.select("key", "ids", F.xxhash64("ids").alias("tie")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
+    ordered.select("key", "ids").mapInArrow(run, "part int, block int, keys array<long>, counts array<int>, control binary, data binary").write.option("compression", "zstd").parquet(folder)
 
 
 def read_blocks(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
