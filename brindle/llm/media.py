@@ -15,8 +15,10 @@ import hashlib
 import io
 import wave
 import zlib
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,10 +132,13 @@ def fingerprints(media: DataFrame, key: str = "doc_id", column: str = "media") -
 
 
 def digests(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """What is read back from each stored value of encode_wav, and a feature string: number and checksum of its codes."""
+    """What is read back from each stored value of encode_wav, the time-coded array of its peak pairs, and a feature string:
+    number and checksum of the codes."""
 
     def run(b: dict) -> dict:
-        out: dict[str, list] = {c: [] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+        out: dict[str, Any] = {c: [] for c in names}
+        arrays = [np.empty(0, np.int64)]
         for m in b["media"].to_pylist():
             samples, _ = from_wav(m)
             codes = fingerprint(samples)
@@ -143,8 +148,11 @@ def digests(media: DataFrame, key: str = "doc_id", column: str = "media") -> Dat
             out["media_bytes"].append(len(m))
             out["media_sha256"].append(hashlib.sha256(m).hexdigest())
             out["feature"].append(f"{len(codes)}:{hashlib.sha256(codes.astype('<i8').tobytes()).hexdigest()[:32]}")
+            arrays.append(codes)
+        ends = np.cumsum([len(a) for a in arrays], dtype=np.int32)
+        out["codes"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays)))
         return {"key": b["key"], "n_bytes": b["n_bytes"]} | out
 
-    schema = "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codes array<long>"
     frame = media.select(F.col(f"`{key}`").cast("long").alias("key"), "n_bytes", F.col(f"`{column}`").alias("media"))
     return map_batches(frame, run, schema).withColumnRenamed("key", key)

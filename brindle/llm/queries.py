@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fixity, media, mixing, near_dup, pii, token_counts, token_files, tool_calls, toxicity
+from .common import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +39,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.encode_wav(_table(spark, sf_dir, "documents")))
+    return media.digests(stored(media.encode_wav(_table(spark, sf_dir, "documents")), "wav-media", compression="zstd"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,91 +161,6 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit([flat[ends[i] : ends[i + 1]] for i in order], table["y"].to_numpy()[order].astype(np.int64))
 
 
-def score(self, positions: np.ndarray) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.margin(positions), -30.0, 30.0))))
-
-
-def neutral() -> FactorizationMachine:
-    return FactorizationMachine(np.empty(0, np.int32), -40.0, np.empty(0, np.float32), np.empty((0, 1), np.float32))
-
-
-def select_terms(docs: list[np.ndarray], labels: np.ndarray, keep: int, least_df: int = 3) -> np.ndarray:
-    """The terms whose document frequency differs most between the classes, by a two-proportion z statistic."""
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    count = [np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)]
-    for ids, y in zip(docs, labels, strict=True):
-        count[int(y)][ids] += 1
-    c0, c1 = count[0].astype(np.float64), count[1].astype(np.float64)
-    pooled = (c0 + c1) / (n0 + n1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    z[(c0 + c1 < least_df) | ~np.isfinite(z)] = 0
-    best = np.argsort(-z, kind="stable")[:keep]
-    return np.sort(best[z[best] > 2.5]).astype(np.int32)
-
-
-def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, keep: int = 4096, epochs: int = 20, rate: float = 0.05, decay: float = 1e-4, batch: int = 256, seed: int = 7) -> FactorizationMachine:
-    """Logistic loss, minibatch Adam; deterministic for the same rows in the same order."""
-    labels = labels.astype(np.int64)
-    if len(docs) == 0 or labels.min() == labels.max():
-        return neutral()
-    terms = select_terms(docs, labels, keep)
-    lookup = np.full(1 << BITS, -1, np.int32)
-    lookup[terms] = np.arange(len(terms), dtype=np.int32)
-    rows = [p[p >= 0] for p in (lookup[d] for d in docs)]
-    rng = np.random.default_rng(seed)
-    m = len(terms)
-    params = np.zeros((m, 1 + factors))
-    params[:, 1:] = rng.normal(0, 0.02, (m, factors))
-    bias = np.array([np.log(labels.mean() / (1 - labels.mean()))])
-    moments = [np.zeros_like(params), np.zeros_like(params), np.zeros(1), np.zeros(1)]
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for start in range(0, len(order), batch):
-            part = order[start : start + batch]
-            sizes = np.array([len(rows[i]) for i in part])
-            flat = np.concatenate([rows[i] for i in part]) if sizes.sum() else np.empty(0, np.int32)
-            owner = np.repeat(np.arange(len(part)), sizes)
-            w, v = params[flat, 0], params[flat, 1:]
-            totals = np.stack([np.bincount(owner, v[:, f], len(part)) for f in range(factors)], axis=1)
-            squares = np.bincount(owner, (v * v).sum(axis=1), len(part))
-            margin = bias[0] + np.bincount(owner, w, len(part)) + 0.5 * ((totals**2).sum(axis=1) - squares)
-            error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[part]) / len(part)
-            grad = np.zeros_like(params)
-            grad[:, 0] = np.bincount(flat, error[owner], m)
-            pull = error[owner][:, None] * (totals[owner] - v)
-            for f in range(factors):
-                grad[:, 1 + f] = np.bincount(flat, pull[:, f], m)
-            grad += decay * params
-            step += 1
-            for value, g, m1, m2 in ((params, grad, moments[0], moments[1]), (bias, np.array([error.sum()]), moments[2], moments[3])):
-                m1 += 0.1 * (g - m1)
-                m2 += 0.001 * (g * g - m2)
-                value -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(terms, float(bias[0]), params[:, 0].astype(np.float32), params[:, 1:].astype(np.float32))
-
-
-def learnable(labels: DataFrame, key: str = "doc_id", label: str = "toxic", fold: int = 2) -> DataFrame:
-    """Labelled keys outside the held-out fold, crc32(key as text) mod 4; of repeated labels the largest counts."""
-    return (
-        labels.select(F.col(f"`{key}`").cast("long").alias("__key"), F.col(f"`{label}`").cast("int").alias("__y"))
-        .where(F.col("__key").isNotNull() & F.col("__y").isin(0, 1) & (F.crc32(F.col("__key").cast("string")) % 4 != fold))
-        .groupBy("__key")
-        .agg(F.max("__y").alias("__y"))
-    )
-
-
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 12_000) -> FactorizationMachine:
-    """Fit on the first `sample_rows` labelled rows in the order of a hash of the key. Only hashed terms reach the driver."""
-    wanted = learnable(labels, key).orderBy(F.xxhash64("__key"), "__key").limit(sample_rows)
-    joined = docs.select(F.col(key).alias("__key"), text_of(text).alias("__text")).join(F.broadcast(wanted), "__key")  # sample_rows bounds the broadcast side
-    terms = map_batches(joined, lambda b: {"k": b["__key"], "y": b["__y"], "t": [term_ids(x) for x in b["__text"].to_pylist()]}, "k long, y int, t array<int>")
-    table = terms.toArrow().to_pylist()
-    table.sort(key=lambda r: (r["k"], len(r["t"]), r["t"]))
-    return fit([np.array(r["t"], np.int32) for r in table], np.array([r["y"] for r in table], np.int64))
-
-
 def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per row of docs: its key, score and prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -88,6 +88,28 @@ def test_wav_round_trip_and_fingerprints():
     media.FRAMES_AT_ONCE = kept
 
 
+def test_fingerprints_by_brute_force():
+    """Spectrum, peaks and pairs, each by its definition."""
+    rng = np.random.default_rng(9)
+    for n in (192, 480, 1920):
+        x = rng.integers(60, 200, n).astype(np.uint8)
+        total = 1 + (n - 192) // 96
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(192) / 192)
+        turn = np.exp(-2j * np.pi * np.outer(np.arange(97), np.arange(192)) / 192)
+        m = np.array([np.abs(turn @ ((x[96 * t : 96 * t + 192].astype(float) - 128) * window)) for t in range(total)])
+        got = media.spectrum(x.tobytes(), 0, total)
+        assert np.abs(got - m).max() <= 0.51
+        at = lambda t, f: int(got[t, f]) if 0 <= t < total and 0 <= f < 97 else -1  # noqa: B023, E731
+        found = []
+        for t in range(total):
+            here = [f for f in range(1, 97) if at(t, f) > at(t, f - 1) and at(t, f) >= at(t, f + 1) and at(t, f) > at(t - 1, f) and at(t, f) >= at(t + 1, f)]
+            found += [(t, f) for f in sorted(sorted(here, key=lambda f: (-at(t, f), f))[:5])]
+        t, f = media.peaks(x.tobytes())
+        assert list(zip(t.tolist(), f.tolist(), strict=True)) == found
+        codes = {t << 24 | f << 16 | g << 8 | (u - t) for i, (t, f) in enumerate(found) for u, g in [p for p in found[i:] if p[0] > t][:3] if u - t <= 32}
+        assert media.fingerprint(x.tobytes()).tolist() == sorted(codes)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -217,6 +239,21 @@ def test_samples_agree_as_often_as_sets_are_similar():
     assert abs(agree - near_dup.similarity(*sets)) < 0.04
 
 
+def test_score_by_pairs():
+    rng = np.random.default_rng(6)
+    model = toxicity.FactorizationMachine(np.arange(30, dtype=np.int32), -0.3, rng.normal(0, 1, 30).astype(np.float32), rng.normal(0, 0.4, (30, 4)).astype(np.float32))
+    for n in (0, 1, 2, 9):
+        p = np.sort(rng.choice(30, n, replace=False))
+        margin = model.bias + sum(float(model.weights[i]) for i in p) + sum(float(model.factors[i] @ model.factors[j]) for i in p for j in p if i < j)
+        assert model.score(p) == pytest.approx(1 / (1 + np.exp(-margin)), rel=1e-4)
+    words = "Idiot, idiots! the the (group)"
+    terms = {w.strip(toxicity.STRIP) for w in words.lower().split()}
+    every = terms | {"^" + w[:k] if len(w) > k else w for w in terms for k in toxicity.PREFIXES}
+    import xxhash
+
+    assert toxicity.term_ids(words).tolist() == sorted({xxhash.xxh32_intdigest(t.encode()) % (1 << toxicity.BITS) for t in every})
+
+
 def test_machine_learns_a_pair_that_weights_cannot():
     rng = np.random.default_rng(2)
     docs, labels = [], []

@@ -59,7 +59,7 @@ def test_token_counts(docs, empty):
 def test_media(docs, empty):
     got = by_id(media.digests(media.encode_wav(docs)))
     assert got[2].feature == got[3].feature and got[2].payload_bytes == 192 and got[2].n_bytes == 0
-    assert got[5].payload_bytes % 192 == 0
+    assert got[5].payload_bytes % 192 == 0 and got[5].codes == sorted(set(got[5].codes))
     assert media.fingerprints(media.encode_wav(docs)).where("doc_id = 5").first().codes
     assert media.digests(media.encode_wav(empty)).count() == 0
 
@@ -236,6 +236,28 @@ def test_mixing_of_repeated_rows(spark, monkeypatch, last):
         assert abs(sum(r.taken for r in part) - target * len({r.source_size for r in part})) <= max(r.size for r in part)
 
 
+def test_token_files_of_repeated_keys(spark):
+    """Many rows of one key, and of none: the order is the same whatever the partitions."""
+    rows = [(None if i % 2 else 3, f"text {i % 40} of many") for i in range(120)] + [(i, "x") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r.start, str(r.doc_id), r.n_tokens, r.ids_crc32) for r in token_files.token_files(docs.repartition(n), PATH).collect()) for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert all(a[0] + a[2] == b[0] for a, b in zip(got[0], got[0][1:], strict=False))
+
+
+def test_toxicity_learns_from_bounded_rows(spark):
+    """A labelled id that is repeated counts once; other columns may be called like the operator's own."""
+    rows = [(1, f"text {i % 3}") for i in range(500)] + [(i, "bad words" if i % 2 else "fine words") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__key": F.lit(0), "__y": F.lit("q"), "score": F.lit("s")})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model)
+    assert got.columns == ["doc_id", "score", "predicted"] and got.count() == len(rows)
+    one = toxicity.train(docs.where("doc_id <> 1").unionByName(docs.where("doc_id = 1 AND text = 'text 0'").limit(1)), labels)
+    assert np.array_equal(model.weights, one.weights) and model.bias == one.bias
+    assert toxicity.train(docs, labels, sample_rows=0).score(np.empty(0, np.int64)) < 1e-9
+
+
 def test_toxicity(spark, docs, empty):
     bad = [(i, f"alpha beta you idiot{'s' * (i % 2)} gamma", 1) for i in range(0, 120, 2)]
     good = [(i, f"alpha beta you see gamma {i % 7}", 0) for i in range(1, 400, 2)]
