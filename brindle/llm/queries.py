@@ -43,7 +43,9 @@ def op4_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.attribute(_table(spark, sf_dir, "documents"), _vocabulary())
+    import public_tokenizers
+
+    return token_counts.attribute(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

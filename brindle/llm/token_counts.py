@@ -1,29 +1,29 @@
 """Token counts of the sections of a document, from one encoding of the whole document.
 
-The tokenizer encodes the whole text once; the character offsets that it gives for its tokens are joined to the spans of the
-text's sections as intervals. A token that lies in several sections counts for the one that holds most of its characters,
+A byte-level tokenizer (tiktoken, from a file of ranks) encodes the whole text once; as its tokens are the text's bytes in
+order, their lengths give each token's character offsets, which are joined to the spans of the text's sections as intervals. A token that lies in several sections counts for the one that holds most of its characters,
 and of equals for the earliest (rule "majority"), or for the one where it starts (rule "start"). A token inside a multi-byte
 character spans the character.
 
 Sections are sentences: one ends with a line feed, or with the white space after ".", "!" or "?" and closing marks. As a
 token takes the blank before its word, the first token of a sentence often crosses the boundary before it.
 
-Nulls: a null or empty text has no section and no token; a null key stays null. Repeated rows give repeated results. Very
+Strings of special tokens in a text are ordinary text. Nulls: a null or empty text has no section and no token; a null key
+stays null. Repeated rows give repeated results. Very
 long texts are encoded whole, one at a time. An empty table gives no row. Other columns may have any name.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
+from base64 import b64decode
 
 import numpy as np
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Encoding
 
 from .common import map_batches, text_of
-from .pieces import tokenizer
 
 _END = re.compile(r"""\n|[.!?]["')\]]*[^\S\n]+""")
 
@@ -35,10 +35,36 @@ def section_starts(text: str) -> np.ndarray:
     return np.array([0, *(m.end() for m in _END.finditer(text) if m.end() < len(text))], np.int64)
 
 
-def spans_of(encoding: Encoding) -> np.ndarray:
-    """First character and the one after the last of each token."""
-    offsets = encoding.offsets
-    return np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
+class Tokenizer:
+    """Whole texts to tokens with the characters that they cover."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        with open(path, "rb") as lines:
+            ranks = {b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """ids, and of each the first character and the one after the last; of part of a character, that character."""
+        ids = np.array(self.encoding.encode_ordinary(text), np.int64)
+        ends = np.cumsum(self.lengths[ids])
+        starts = ends - self.lengths[ids]
+        if not text.isascii():
+            character = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
+            starts, ends = character[starts], character[ends - 1] + 1
+        return ids, np.stack([starts, ends], axis=1)
+
+
+_tokenizers: dict[tuple[str, str], Tokenizer] = {}
+
+
+def tokenizer(path: str, pattern: str) -> Tokenizer:
+    """The worker's tokenizer of a file of ranks."""
+    if (path, pattern) not in _tokenizers:
+        _tokenizers[path, pattern] = Tokenizer(path, pattern)
+    return _tokenizers[path, pattern]
 
 
 def allocate(spans: np.ndarray, starts: np.ndarray, length: int, rule: str = "majority") -> tuple[np.ndarray, int]:
@@ -61,14 +87,14 @@ def allocate(spans: np.ndarray, starts: np.ndarray, length: int, rule: str = "ma
     return out, len(crossing)
 
 
-def attribute(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", rule: str = "majority") -> DataFrame:
+def attribute(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", rule: str = "majority") -> DataFrame:
     """Per row: key, n_tokens, n_sections, n_crossing and section_tokens, which sum to n_tokens."""
 
     def run(b: dict) -> dict:
-        encode = tokenizer(path).encode
+        spans_of = tokenizer(path, pattern).spans
         out: dict[str, list] = {"key": b["__key"], "n_tokens": [], "n_sections": [], "n_crossing": [], "section_tokens": []}
         for x in b["__text"].to_pylist():
-            spans, starts = spans_of(encode(x, add_special_tokens=False)), section_starts(x)
+            (_, spans), starts = spans_of(x), section_starts(x)
             owner, crossing = allocate(spans, starts, len(x), rule)
             out["n_tokens"].append(len(spans))
             out["n_sections"].append(len(starts))

@@ -33,19 +33,24 @@ def test_sections_and_tokens_by_brute_force():
     from tokenizers import Tokenizer
 
     own, crossings = Tokenizer.from_file(VOCABULARY), 0
+    own.encode_special_tokens = True
+    counted = token_counts.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     for x in [*strings(" abé中\n.!\")", 300, 60, 2), "One. Two! (Three?) 4.5\n\nSix 😀. Seven", "a<|endoftext|>. b", "x." * 2000]:
         starts = token_counts.section_starts(x).tolist()
         section = [max((k for k, s in enumerate(starts) if s <= c), default=0) for c in range(len(x))]
         assert starts == [c for c in range(len(x)) if c == 0 or x[c - 1] == "\n" or (x[c - 1].isspace() and (not x[c].isspace() or x[c] == "\n") and re.search(r"""[.!?]["')\]]*[^\S\n]+$""", x[:c]))]
         e = own.encode(x, add_special_tokens=False)
-        spans = token_counts.spans_of(e)
-        assert [tuple(s) for s in spans.tolist()] == e.offsets
+        ids, spans = counted.spans(x)
+        assert ids.tolist() == e.ids and [tuple(s) for s in spans.tolist()] == e.offsets
         owner, crossing = token_counts.allocate(spans, np.array(starts, np.int64), len(x))
         inside = [[section[c] for c in range(a, b)] for a, b in e.offsets]
         assert owner.tolist() == [min(set(s), key=lambda k: (-s.count(k), k)) for s in inside]
         assert crossing == sum(len(set(s)) > 1 for s in inside)
         crossings += crossing
     assert crossings > 50
+    for x in ("a" * 300_000, " " * 300_000, "ab c. " * 100_000, "é" * 300_000):
+        _, spans = counted.spans(x)
+        assert spans[0, 0] == 0 and spans[-1, 1] == len(x) and (spans[1:, 0] <= spans[:-1, 1]).all()
 
 
 def test_allocation_by_brute_force():

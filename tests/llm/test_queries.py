@@ -15,7 +15,7 @@ from brindle.llm import decontaminate, fixity, media, mixing, near_dup, pii, que
 from brindle.llm.pieces import encoder  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-PATH = public_tokenizers.path("byte_bpe_50k.json")
+PATH, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 LONG = " ".join(f"word{i % 977} und{i % 31}" for i in range(30_000))
 ROWS = [(1, "a b c d e f g h", "s1"), (2, None, None), (3, "", "s1"), (1, "a b c d e f g h", "s1"), (4, "mail x@y.example now", None), (5, LONG, "s2"), (None, "no id here", "s2"), (6, LONG + " tail", "s2")]
 
@@ -49,11 +49,11 @@ def test_token_files(docs, empty):
 
 
 def test_token_counts(docs, empty):
-    got = by_id(token_counts.attribute(docs, PATH))
+    got = by_id(token_counts.attribute(docs, RANKS, public_tokenizers.PATTERN))
     assert got[2].n_tokens == got[3].n_sections == 0
     assert all(sum(r.section_tokens) == r.n_tokens for r in got.values())
-    assert token_counts.sections(token_counts.attribute(docs, PATH)).where("doc_id = 4").count() == 1
-    assert token_counts.attribute(empty, PATH).count() == 0
+    assert token_counts.sections(token_counts.attribute(docs, RANKS, public_tokenizers.PATTERN)).where("doc_id = 4").count() == 1
+    assert token_counts.attribute(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 def test_media(docs, empty):
