@@ -182,7 +182,7 @@ def load_index(benchmark: DataFrame, item: str = "item_id", text: str = "text",
 class _Ids(dict):
     """Word to term number; unknown words get the last number. A bounded number of words is kept."""
 
-    LIMIT = 400_000
+    LIMIT = 1 << 17
 
     def __init__(self, terms: dict[str, int]) -> None:
         super().__init__()
