@@ -28,19 +28,8 @@ def content_hash(body: Column, subject: Column) -> Column:
 
 
 def message_id(c: Column) -> Column:
-    """Without angle brackets; empty becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(F.trim(c), r"^<+|>+$", "")), F.lit(""))
-
-
-def html_to_text(c: Column) -> Column:
-    """Block tags break lines, other tags part words, entities of markup are resolved, the result is tidied."""
-    c = F.regexp_replace(c, r"(?is)<!--.*?-->", " ")
-    c = F.regexp_replace(c, r"(?i)</?(p|div|h[1-6]|ul|ol|table|section|article)\b[^>]*>", "\n\n")
-    c = F.regexp_replace(c, r"(?i)<(br|li|tr)\b[^>]*>", "\n")
-    c = F.regexp_replace(c, r"<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return tidy_text(c)
+    """Without its angle brackets, one on each side; empty becomes null."""
+    return F.nullif(F.trim(F.regexp_replace(F.trim(c), r"^<|>$", "")), F.lit(""))
 
 
 def compact(c: Column) -> Column:
@@ -58,7 +47,16 @@ def normalize_iban(c: Column) -> Column:
 
 
 #: The length of an IBAN by country.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 
 
 def iban_valid(c: Column) -> Column:
@@ -110,7 +108,40 @@ def compared_url(c: Column) -> Column:
 
 
 def is_front_page(c: Column) -> Column:
-    return F.regexp_extract(c, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1).isin("", "/") & ~F.contains(c, F.lit("?"))
+    """No path, and no query but for utm_ parameters."""
+    c = F.trim(c)
+    query = F.filter(F.split(F.regexp_extract(c, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~F.lower(p).startswith("utm_"))
+    return F.regexp_extract(c, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1).isin("", "/") & (F.size(query) == 0)
+
+
+#: The newsletters' own sites.
+NEWSLETTER_HOSTS = ("tldr.tech", "tldrnewsletter.com", "alphasignal.ai")
+
+
+def _host(c: Column) -> Column:
+    return F.lower(F.regexp_extract(F.trim(c), r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
+def is_own_site(c: Column, hosts: tuple[str, ...] = NEWSLETTER_HOSTS) -> Column:
+    """On one of the hosts or below it."""
+    host = _host(c)
+    return F.exists(F.array(*map(F.lit, hosts)), lambda h: (host == h) | host.endswith(F.concat(F.lit("."), h)))
+
+
+def is_article_link(c: Column, hosts: tuple[str, ...] = NEWSLETTER_HOSTS) -> Column:
+    """A web address, but for the front pages of the newsletters' own sites; null isn't one."""
+    web = F.trim(c).rlike(r"(?i)^https?://[^/?#]")
+    return F.coalesce(web & ~(is_front_page(c) & is_own_site(c, hosts)), F.lit(False))
+
+
+def url_in_text(c: Column, body: Column) -> Column:
+    """An article link that the text has: as it stands, without scheme and query, or, on GitHub, as owner/repo."""
+    c = F.trim(c)
+    path = F.regexp_extract(c, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    bare = F.regexp_replace(F.concat(F.regexp_extract(c, r"^[A-Za-z]+://([^/?#]*)", 1), path), "/+$", "")
+    repo = F.regexp_replace(path, "^/+|/+$", "")
+    github = _host(c).isin("github.com", "www.github.com") & repo.rlike("^[^/]+/[^/]+$") & F.contains(body, repo)
+    return F.coalesce(is_article_link(c) & (F.contains(body, c) | F.contains(body, bare) | github), F.lit(False))
 
 
 def title_key(c: Column) -> Column:
@@ -162,9 +193,13 @@ def xml_escape(c: Column) -> Column:
 
 
 def epc_payload(payee: Column, iban: Column, bic: Column, amount: Column, reference: Column) -> Column:
-    """The lines of a transfer code; null unless the amount is within 0.01 and 999999999.99. Final empty lines go."""
-    lines = F.concat_ws("\n", F.lit("BCD"), F.lit("002"), F.lit("1"), F.lit("SCT"), F.coalesce(bic, F.lit("")), F.substring(payee, 1, 70), normalize_iban(iban), F.concat(F.lit("EUR"), amount.cast("decimal(14,2)").cast("string")), F.lit(""), F.lit(""), F.substring(F.coalesce(reference, F.lit("")), 1, 140))
-    return F.when(amount.between(0.01, 999999999.99), F.regexp_replace(lines, r"\n+$", ""))
+    """The lines of a transfer code; null unless the amount is within 0.01 and 999999999.99 and of whole cents. Final empty
+    lines go."""
+    cents = amount.cast("decimal(38,10)")
+    exact = (F.round(cents, 2) == cents) & cents.between(F.lit("0.01").cast("decimal(12,2)"), F.lit("999999999.99").cast("decimal(12,2)"))
+    trimmed = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    lines = F.concat_ws("\n", F.lit("BCD"), F.lit("002"), F.lit("1"), F.lit("SCT"), F.upper(trimmed(bic)), F.substring(trimmed(payee), 1, 70), normalize_iban(iban), F.concat(F.lit("EUR"), F.round(cents, 2).cast("decimal(14,2)").cast("string")), F.lit(""), F.lit(""), F.substring(trimmed(reference), 1, 140))
+    return F.when(exact, F.regexp_replace(lines, r"\n+$", ""))
 
 
 def local_date(c: Column, zone: str = "Europe/Berlin") -> Column:
@@ -172,10 +207,20 @@ def local_date(c: Column, zone: str = "Europe/Berlin") -> Column:
     return F.to_date(F.from_utc_timestamp(c.cast("timestamp"), zone))
 
 
-def invoice_filename(c: Column, names: tuple[str, ...] = ("invoice", "rechnung", "receipt", "beleg", "bill", "faktura", "quittung")) -> Column:
+#: What an invoice is called in file names.
+INVOICE_WORDS = ("rechnung", "invoice", "faktura", "factura", "facture", "számla", "szamla")
+
+
+def invoice_filename(c: Column, names: tuple[str, ...] = INVOICE_WORDS) -> Column:
     return F.lower(c).endswith(".pdf") & F.lower(c).rlike("|".join(names))
 
 
+def format_plain_amount(amount: Column, currency: Column) -> Column:
+    """€12.00, 12.00 USD, or "amount unknown"."""
+    shown = amount.cast("decimal(38,2)").cast("string")
+    return F.when(amount.isNull(), "amount unknown").when(currency == "EUR", F.concat(F.lit("€"), shown)).otherwise(F.rtrim(F.concat_ws(" ", shown, currency)))
+
+
 def known_or(c: Column, values: tuple[str, ...], default: str = "other") -> Column:
     c = F.lower(F.trim(c))
     return F.when(c.isin(*values), c).otherwise(default)

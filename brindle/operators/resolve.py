@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import difflib
+import re
 import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.text import compact, name_tokens, normalize_iban
+from brindle.functions.text import compact, compared_url, is_article_link, name_tokens
 
 WINDOW_HOURS = 48
 MATCH_DAYS = 120
 LEAST_TOKEN = 4
-#: Words of company names that identify nobody.
-STOP_WORDS = ("gmbh", "mbh", "limited", "inc", "corp", "company", "group", "holding", "services", "the", "und", "and")
+#: Words that most company names share.
+STOP_WORDS = ("gmbh", "kgaa", "mbh", "deutschland", "germany", "europe", "service", "services")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    """The folder in spark.checkpoint.dir. One of our own only in a session of one machine that names none, as in tests."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not root and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (root or "/tmp/brindle-shared").rstrip("/")
 
 
@@ -48,6 +52,28 @@ def story_pairs(items: DataFrame, same: Column | None = None, block: str = "bloc
     return pairs.where(same if same is not None else F.lit(True)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
+def story_edges(items: DataFrame, block: str = "block") -> DataFrame:
+    """a, b: as many of the pairs of story_pairs as hold its components together.
+
+    Items of one block, day and source have the same partners, so they are one node, with the least id; in the order of day
+    and source a node is linked to the nearest one before and the nearest one after that has another source, if within the
+    window. What lies between two nodes within the window lies within it too, so every pair is linked by a path. A block has
+    a row for each day and source, however many items it has.
+    """
+    nodes = items.groupBy(F.col(block).alias("block"), "day", "source").agg(F.min("id").alias("id"))
+    order = Window.partitionBy("block").orderBy("day", "source")
+    to = lambda step: F.struct(step("source").over(order).alias("source"), step("id").over(order).alias("id"), step("day").over(order).alias("day"))
+    beside = nodes.withColumns({"before": to(F.lag), "after": to(F.lead)})
+    other = lambda c: F.col(f"{c}.source").isNotNull() & (F.col(f"{c}.source") != F.col("source"))
+    # neighbours of the same source hand on theirs
+    past, coming = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    beside = beside.withColumns({"before": F.last(F.when(other("before"), F.col("before")), ignorenulls=True).over(past), "after": F.first(F.when(other("after"), F.col("after")), ignorenulls=True).over(coming)})
+    links = beside.select("block", "day", "source", F.col("id").alias("b"), F.explode(F.array("before", "after")).alias("a")).where("a is not null").where(in_window(F.col("a.day"), F.col("day")))
+    links = saved(links.select("block", "day", "source", F.col("a.id").alias("a"), "b"))
+    members = items.select(F.col(block).alias("block"), "day", "source", F.col("id").alias("a")).join(links.select("block", "day", "source", "b").distinct(), ["block", "day", "source"])
+    return links.select("a", "b").unionByName(members.where("a <> b").select("a", "b"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, story: the least id that is reachable. Least labels spread along edges and then jump to their own labels, so
     that the rounds grow with the logarithm of the longest path."""
@@ -81,16 +107,16 @@ def story_rank(found: DataFrame, k: int | None = None) -> DataFrame:
 def match_signals(invoices: DataFrame, debits: DataFrame, days: int = MATCH_DAYS) -> DataFrame:
     """invoice_id, debit_id, signals of all pairs of one amount and currency in the time after the invoice.
 
-    Signals: iban (equal), reference (number or reference, four characters or more, within the remittance) and name (a
-    common word of the payee). The equi-join on amount and currency carries the range as a residual condition.
+    Signals: amount (all pairs have it), iban (equal), reference (number or reference, four characters or more, within the
+    remittance) and name (a common word of the payee). The equi-join on amount and currency carries the range as a residual condition.
     """
     i, d = invoices.alias("i"), debits.alias("d")
     gate = (F.col("i.amount") == F.col("d.amount")) & (F.col("i.currency") == F.col("d.currency")) & F.col("d.booking_date").between(F.col("i.start"), F.date_add(F.col("i.start"), days))
     remittance = compact(F.coalesce("d.remittance", F.lit("")))
     within = lambda c: F.coalesce((F.length(compact(c)) >= LEAST_TOKEN) & F.contains(remittance, compact(c)), F.lit(False))
-    iban = F.coalesce(normalize_iban(F.col("i.iban")) == normalize_iban(F.col("d.counterparty_iban")), F.lit(False))
+    iban = F.coalesce((F.col("i.iban") != "") & (compact(F.col("i.iban")) == compact(F.col("d.counterparty_iban"))), F.lit(False))
     name = F.coalesce(F.arrays_overlap(name_tokens(F.col("i.payee"), STOP_WORDS), name_tokens(F.col("d.counterparty_name"), STOP_WORDS)), F.lit(False))
-    signals = F.filter(F.array(F.when(iban, "iban"), F.when(within(F.col("i.invoice_number")) | within(F.col("i.reference")), "reference"), F.when(name, "name")), lambda s: s.isNotNull())
+    signals = F.filter(F.array(F.lit("amount"), F.when(iban, "iban"), F.when(within(F.col("i.invoice_number")) | within(F.col("i.reference")), "reference"), F.when(name, "name")), lambda s: s.isNotNull())
     return i.join(d, gate).select(F.col("i.id").alias("invoice_id"), F.col("d.id").alias("debit_id"), signals.alias("signals"))
 
 
@@ -126,20 +152,31 @@ def assign(pairs: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def apply_proposals(matches: DataFrame, proposals: DataFrame) -> DataFrame:
-    """New rows, or new status and signals of what was there; a linked invoice loses its other suggestions."""
+    """New rows, or new status and signals of suggestions that were there; what the owner linked or rejected stays, and a
+    linked invoice or debit loses its other suggestions."""
     keys = ["invoice_id", "debit_id"]
     new = proposals.select(*keys, F.col("status").alias("s"), F.col("signals").alias("g"))
-    merged = matches.join(new, keys, "full").select(*keys, F.coalesce("s", "status").alias("status"), F.coalesce("g", "signals").alias("signals"))
-    linked = proposals.where("status = 'linked'").select("invoice_id").distinct()
-    flagged = merged.join(linked.withColumn("__l", F.lit(True)), "invoice_id", "left")
-    return flagged.where(~(F.col("status").eqNullSafe("suggested") & F.col("__l").isNotNull())).drop("__l")
+    settled = F.col("status").isin("linked", "rejected")
+    merged = matches.join(new, keys, "full").select(*keys, F.when(settled, F.col("status")).otherwise(F.coalesce("s", "status")).alias("status"), F.when(settled, F.col("signals")).otherwise(F.coalesce("g", "signals")).alias("signals"))
+    linked = merged.where("status = 'linked'")
+    for side in keys:
+        merged = merged.join(linked.select(side).distinct().withColumn(f"__{side}", F.lit(True)), side, "left")
+    gone = (F.col("status") == "suggested") & (F.col("__invoice_id").isNotNull() | F.col("__debit_id").isNotNull())
+    return merged.where(~F.coalesce(gone, F.lit(False))).select(*keys, "status", "signals")
+
+
+def proposal_counts(proposals: DataFrame) -> DataFrame:
+    """One row: how many proposals are linked and how many suggested, and the invoices that become paid."""
+    is_ = lambda s: F.col("status") == s
+    return proposals.agg(F.count(F.when(is_("linked"), 1)).alias("linked"), F.count(F.when(is_("suggested"), 1)).alias("suggested"), F.countDistinct(F.when(is_("linked"), F.col("invoice_id"))).alias("paid"))
 
 
 def match_urls(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """First phase of item matching: equal links of one group, first come first served. Both: group, idx, url."""
+    """First phase of item matching: equal article links of one group, normalised, first come first served. Both: group, idx,
+    url. Front pages, empty links and labels identify no item."""
     number = F.row_number().over(Window.partitionBy("group", "url").orderBy("idx"))
-    e = expected.where("url <> ''").withColumn("n", number).select("group", "url", "n", F.col("idx").alias("expected_idx"))
-    a = actual.where("url <> ''").withColumn("n", number).select("group", "url", "n", F.col("idx").alias("actual_idx"))
+    links = lambda side: side.where(is_article_link(F.col("url"))).select("group", "idx", compared_url(F.trim("url")).alias("url")).withColumn("n", number)
+    e, a = links(expected).withColumnRenamed("idx", "expected_idx"), links(actual).withColumnRenamed("idx", "actual_idx")
     return e.join(a, ["group", "url", "n"]).select("group", "expected_idx", "actual_idx")
 
 
@@ -150,7 +187,7 @@ def match_titles(expected: DataFrame, actual: DataFrame, least: float = 0.85) ->
     """
 
     def one(e: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        found = sorted((-difflib.SequenceMatcher(None, x.title.casefold(), y.title.casefold()).ratio(), x.idx, y.idx) for x in e.itertuples() for y in a.itertuples())
+        found = sorted((-difflib.SequenceMatcher(None, x.title.casefold().strip(), y.title.casefold().strip()).ratio(), x.idx, y.idx) for x in e.itertuples() for y in a.itertuples())
         rows, used_e, used_a = [], set(), set()
         for ratio, i, j in found:
             if -ratio >= least and i not in used_e and j not in used_a:

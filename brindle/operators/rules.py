@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.text import iban_valid, invoice_filename
+from brindle.functions.text import citation_url, iban_valid, invoice_filename, normalize_iban
 
 
 def newsletter_source(address: Column, sources: dict[str, str]) -> Column:
@@ -31,9 +31,14 @@ def attachment_content(content: Column, cap: int = 10 * 1024 * 1024) -> tuple[Co
 
 
 def invoice_issues(payee: Column, iban: Column, amount: Column, currency: Column) -> Column:
-    """In this order: payee, iban, amount, currency."""
-    none = lambda c: c.isNull() | (F.trim(c.cast("string")) == "")
-    checks = [F.when(none(payee), "missing_payee"), F.when(none(iban), "missing_iban").when(~iban_valid(iban), "invalid_iban"), F.when(amount.isNull() | (amount <= 0), "invalid_amount"), F.when(none(currency) | (F.upper(currency) != "EUR"), "unsupported_currency")]
+    """In this order: payee, iban, amount, currency. Only EUR, in capitals, passes."""
+    none = lambda c: F.coalesce(F.trim(c.cast("string")) == "", F.lit(True))
+    checks = [
+        F.when(none(payee), "missing_payee"),
+        F.when(F.coalesce(iban == "", F.lit(True)), "missing_iban").when(~iban_valid(iban), "invalid_iban"),
+        F.when(amount.isNull(), "missing_amount").when(amount <= 0, "amount_not_positive"),
+        F.when(~currency.eqNullSafe("EUR"), "currency_not_eur"),
+    ]
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
@@ -55,66 +60,99 @@ def clean_amount(c: Column) -> Column:
 
 
 def refusal(status: Column, iban: Column, draft_iban: Column, amount: Column, draft_amount: Column) -> Column:
-    """Why a draft can't be approved; null if it can."""
-    return F.when(~status.eqNullSafe("open"), "not_open").when(~iban_valid(iban), "invalid_iban").when(~iban.eqNullSafe(draft_iban), "iban_changed").when(~amount.eqNullSafe(draft_amount), "amount_changed")
+    """Why a draft can't be approved; null if it can. IBANs are compared without blanks and in capitals."""
+    changed = ~normalize_iban(iban).eqNullSafe(normalize_iban(draft_iban))
+    return F.when(~status.eqNullSafe("open"), "not_open").when(~iban_valid(iban), "invalid_iban").when(changed, "iban_changed").when(~amount.eqNullSafe(draft_amount), "amount_changed")
 
 
 def connection_status(valid_until: Column, invalidated: Column, now: Column, days: int = 14) -> Column:
-    gone = invalidated.isNotNull() | F.coalesce(valid_until <= now, F.lit(False))
-    return F.when(gone, "expired").when(F.coalesce(F.datediff(valid_until, now) <= days, F.lit(False)), "expiring").otherwise("active")
+    """Of instants; a connection without an end is expired."""
+    until, at = (c.cast("timestamp") for c in (valid_until, now))
+    gone = invalidated.isNotNull() | F.coalesce(until <= at, F.lit(True))
+    return F.when(gone, "expired").when(until <= at + F.expr(f"INTERVAL {days} DAYS"), "expiring").otherwise("active")
 
 
 #: Stages of an expiry notice, from the first to the last, with the days left at which they begin.
 STAGES = (("14d", 14), ("3d", 3), ("expired", 0))
 
 
-def due_notice(days_left: Column, sent: Column) -> Column:
-    """The last stage that is reached, unless it or a later one was sent."""
+def due_notice(valid_until: Column, invalidated: Column, now: Column, sent: Column) -> Column:
+    """The last stage that a connection has reached, unless it or a later one was sent."""
+    until, at = (c.cast("timestamp") for c in (valid_until, now))
     reached = F.lit(0)
-    for i, (_, days) in enumerate(STAGES):
-        reached = F.when(days_left <= days, i + 1).otherwise(reached)
-    before = F.coalesce(F.array_position(F.array(*[F.lit(s) for s, _ in STAGES]), sent), F.lit(0))
-    return F.when(reached > before, F.element_at(F.array(*[F.lit(s) for s, _ in STAGES]), reached.cast("int")))
+    for i, (_, days) in enumerate(STAGES[:-1]):
+        reached = F.when(until <= at + F.expr(f"INTERVAL {days} DAYS"), i + 1).otherwise(reached)
+    reached = F.when(connection_status(valid_until, invalidated, now) == "expired", len(STAGES)).otherwise(reached)
+    names = F.array(*[F.lit(s) for s, _ in STAGES])
+    return F.when(reached > F.coalesce(F.array_position(names, sent), F.lit(0)), F.element_at(names, reached.cast("int")))
 
 
 def grounding(insufficient: Column, cited: Column, seen: Column) -> Column:
-    """Why an answer isn't grounded, null if it is. cited: array of (chunk_id, citation_index); seen: array of ids."""
-    indices = F.transform(cited, lambda c: c["citation_index"])
-    duplicate = F.size(F.array_distinct(indices)) < F.size(indices)
-    unknown = F.size(F.array_except(F.transform(cited, lambda c: c["chunk_id"]), seen)) > 0
-    return F.when(insufficient & (F.size(cited) > 0), "refusal_with_citations").when(~insufficient & (F.size(cited) == 0), "missing_citations").when(duplicate, "duplicate_index").when(unknown, "unknown_chunk")
+    """Why an answer isn't grounded, null if it is. cited: array of (chunk_id, citation_index); seen: array of ids.
+
+    The first citation that fails decides: a repeated index, or a chunk that was not seen.
+    """
+    before = lambda i: F.transform(F.slice(cited, 1, i), lambda c: c["citation_index"])
+    fails = F.transform(cited, lambda c, i: F.when(F.array_contains(before(i), c["citation_index"]), "duplicate_index").when(~F.array_contains(seen, c["chunk_id"]), "unknown_chunk"))
+    first = F.element_at(F.concat(F.filter(fails, lambda f: f.isNotNull()), F.array(F.lit(None).cast("string"))), 1)
+    return F.when(insufficient, F.when(F.size(cited) > 0, "insufficient_with_citations")).when(F.size(cited) == 0, "missing_citations").otherwise(first)
+
+
+def news_grounding(insufficient: Column, cited: Column, seen: Column, web: Column, web_seen: Column) -> Column:
+    """grounding for answers that cite the web too. web: array of (url, citation_index); web_seen: normalised addresses.
+
+    Web citations that weren't seen are only removed; an answer that cited nothing but the web stands without them. An index
+    that an item and a web citation share is a repeated one.
+    """
+    kept = F.filter(web, lambda c: F.array_contains(web_seen, citation_url(c["url"])))
+    plain = F.when((F.size(cited) > 0) | (F.size(web) == 0), grounding(insufficient, cited, seen))
+    indices = F.concat(*[F.transform(x, lambda c: c["citation_index"].cast("int")) for x in (cited, kept)])
+    late = F.when(insufficient & (F.size(kept) > 0), "insufficient_with_citations").when(F.size(F.array_distinct(indices)) < F.size(indices), "duplicate_index")
+    return F.coalesce(plain, late)
 
 
 def plan_notifications(invoices: DataFrame, known: DataFrame, today: Column, due_days: int = 3, enabled: bool = True) -> DataFrame:
     """key, kind, status of messages not sent before. invoices: id, status, due_date.
 
-    A new invoice is announced once; one that is due within due_days once more, and an invoice that is both gets only the
-    first message now, the second being recorded as skipped. Disabled sending records everything as skipped.
+    A new invoice is announced once, one that arrives paid is recorded as skipped. An open one that is due within due_days is
+    announced once more, but with a new invoice only recorded, since its first message says so. Disabled sending records
+    everything as skipped.
     """
-    open_ = invoices.where("status <> 'paid'")
-    due = F.coalesce(F.col("due_date").between(today, F.date_add(today, due_days)), F.lit(False))
-    new = open_.select(F.concat(F.lit("invoice:"), F.col("id").cast("string")).alias("key"), F.lit("new").alias("kind"), "id")
-    soon = open_.where(due).select(F.concat(F.lit("due:"), F.col("id").cast("string")).alias("key"), F.lit("due").alias("kind"), "id")
-    fresh = new.unionByName(soon).join(known, "key", "left_anti")
-    both = F.max((F.col("kind") == "new").cast("int")).over(Window.partitionBy("id")) == 1
-    skip = F.lit(not enabled) | ((F.col("kind") == "due") & both)
-    return fresh.select("key", "kind", F.when(skip, "skipped").otherwise("pending").alias("status"))
+    key = lambda kind: F.concat(F.lit(f"{kind}:"), F.col("id").cast("string"))
+    due = (F.col("status") == "open") & F.coalesce(F.col("due_date").between(today, F.date_add(today, due_days)), F.lit(False))
+    seen = known.select("key").distinct()
+    told = invoices.withColumns({"new_key": key("invoice_new"), "due": due}).join(seen.select(F.col("key").alias("new_key"), F.lit(True).alias("told")), "new_key", "left")
+    state = lambda skip: F.when(F.lit(not enabled) | skip, "skipped").otherwise("pending")
+    new = told.where("told is null").select(F.col("new_key").alias("key"), F.lit("invoice_new").alias("kind"), state(F.col("status") == "paid").alias("status"))
+    soon = told.where("due").select(key("invoice_due").alias("key"), F.lit("invoice_due").alias("kind"), state(F.col("told").isNull()).alias("status"))
+    return new.unionByName(soon.join(seen, "key", "left_anti"))
 
 
 def announce_stories(items: DataFrame, known: DataFrame) -> DataFrame:
-    """story, kind, key of stories to announce: none of whose items was announced; an alert goes before big news.
+    """key, kind, status of every item not recorded before of the stories to announce: big ones and alerts, which go before
+    big news. The first item of a story none of whose items was recorded is pending, all others are skipped.
 
-    items: story, big, alert, item_key, position.
+    items: story, big, alert (null, "new" or "update"; one value a story), item_key, position.
     """
-    seen = items.join(known, items["item_key"] == known["key"], "left_semi").select("story").distinct()
-    fresh = items.join(seen, "story", "left_anti").where(F.col("alert") | F.col("big"))
-    first = fresh.groupBy("story").agg(F.bool_or("alert").alias("alert"), F.min(F.struct("position", "item_key")).alias("first"))
-    return first.select("story", F.when(F.col("alert"), "alert").otherwise("big").alias("kind"), F.col("first.item_key").alias("key"))
+    wanted = items.where(F.col("alert").isNotNull() | F.col("big"))
+    seen = known.select(F.col("key").alias("item_key"), F.lit(True).alias("told")).distinct()
+    marked = wanted.join(seen, "item_key", "left")
+    first = marked.groupBy("story").agg(F.min_by("item_key", F.struct("position", "item_key")).alias("first"), F.max(F.coalesce("told", F.lit(False))).alias("announced"))
+    fresh = marked.where("told is null").join(first, "story")
+    status = F.when(~F.col("announced") & (F.col("item_key") == F.col("first")), "pending").otherwise("skipped")
+    return fresh.select(F.col("item_key").alias("key"), F.when(F.col("alert").isNotNull(), "news_security").otherwise("news_big").alias("kind"), status.alias("status"))
 
 
 def delivery(status: Column, attempts: Column, code: Column, most: int = 5) -> Column:
-    """State after an attempt: sent on 200, pending again until the last attempt, and untouched by a rate limit (429)."""
-    return F.when((status != "pending") | (code == 429) | code.isNull(), status).when(code == 200, "sent").when(attempts + 1 >= most, "failed").otherwise("pending")
+    """State after an attempt: sent on 200; tried again, until the last attempt, after 429, a server's error (500 and more) or
+    none at all (null); failed at once after any other code."""
+    again = code.isNull() | (code == 429) | (code >= 500)
+    return F.when(status != "pending", status).when(code == 200, "sent").when(again & (attempts + 1 < most), "pending").otherwise("failed")
+
+
+def stops_run(code: Column) -> Column:
+    """Whether a response means that every further message of the run would be refused too."""
+    return F.coalesce((code != 200) & (code < 500), F.lit(False))
 
 
 def exactly_one(*columns: Column) -> Column:

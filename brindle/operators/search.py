@@ -6,6 +6,7 @@ each partition; only ids and scores are ranked, and texts are joined to the few
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -72,8 +73,8 @@ def postings(rows: DataFrame, ident: str, text: str = "text") -> DataFrame:
 
 def fulltext_topk(rows: DataFrame, terms: Sequence[str], ident: str, text: str = "text", k: int = CANDIDATES) -> DataFrame:
     """Rows that have all terms, by their total frequency. Without an index, terms are counted in the scan, not exploded."""
-    found = words(F.lower(F.col(text)))
-    count = lambda t: F.size(F.filter(found, lambda w: w == t))
+    # a term as a whole word, counted in one pass of the text and without an array of its words
+    count = lambda t: F.regexp_count(F.lower(F.col(text)), F.lit(rf"(?U)(?<!\S){re.escape(t)}(?!\S)"))
     counts = [count(t) for t in dict.fromkeys(x.lower() for x in terms)]
     hit = rows.where(all_of(*[F.contains(F.lower(F.col(text)), F.lit(t.lower())) for t in terms])).select(ident, F.array(*counts).alias("__tf"))
     return ranked(hit.where(F.forall("__tf", lambda n: n > 0)), F.aggregate("__tf", F.lit(0), lambda a, n: a + n).cast("double"), ident, k)
@@ -136,7 +137,9 @@ def newest(rows: DataFrame, time: str, ident: str, k: int) -> DataFrame:
 def fixed_chunks(rows: DataFrame, ident: str, text: str = "text", size: int = 512) -> DataFrame:
     """Windows of `size` words without overlap; an empty text is one empty chunk with the count 1."""
     w = words(F.coalesce(F.col(text), F.lit("")))
-    split = rows.select(F.col(ident).alias("parent_id"), w.alias("__w"))
-    each = split.select("parent_id", "__w", F.posexplode(F.sequence(F.lit(0), F.greatest(F.size("__w") - 1, F.lit(0)), F.lit(size))).alias("chunk_index", "__at"))
-    part = F.slice("__w", F.col("__at") + 1, size)
-    return each.select("parent_id", "chunk_index", F.array_join(part, " ").alias("chunk_text"), F.greatest(F.size(part), F.lit(1)).alias("token_count"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("__w") - 1, F.lit(0)), F.lit(size))
+    # slices are made before the explode, so that no row carries the words of the whole text
+    parts = F.transform(starts, lambda at: F.slice("__w", at + 1, size))
+    chunks = F.transform(parts, lambda p: F.struct(F.array_join(p, " ").alias("chunk_text"), F.greatest(F.size(p), F.lit(1)).alias("token_count")))
+    split = rows.select(F.col(ident).alias("parent_id"), w.alias("__w")).select("parent_id", chunks.alias("__c"))
+    return split.select("parent_id", F.posexplode("__c").alias("chunk_index", "c")).select("parent_id", "chunk_index", "c.chunk_text", "c.token_count")

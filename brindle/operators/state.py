@@ -76,7 +76,8 @@ def evenly_spaced(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
     return placed.where((F.col("__n") <= k) | F.array_contains(wanted, F.col("__p").cast("long"))).drop("__p", "__n")
 
 
-def referenced(items: DataFrame, keep: DataFrame, replaced: DataFrame, key: str) -> DataFrame:
-    """Keys to delete: replaced or referred to by no item, unless protected by `keep`."""
-    unused = replaced.select(key).union(items.select(key).where(F.lit(False)))
+def doomed(parents: DataFrame, items: DataFrame, keep: DataFrame, replaced: DataFrame, key: str) -> DataFrame:
+    """Keys of parents to delete: replaced, or referred to by no item, unless protected by `keep`."""
+    used = items.select(key).where(F.col(key).isNotNull()).distinct()
+    unused = parents.select(key).join(used, key, "left_anti").union(parents.select(key).join(replaced.select(key), key, "left_semi"))
     return unused.distinct().join(keep, key, "left_anti")

@@ -41,7 +41,7 @@ def news_big_only(spark, d):
 )
 def story_cluster(spark, d):
     items = _items(spark, d)
-    return resolve.components(items, resolve.story_pairs(items))
+    return resolve.components(items, resolve.story_edges(items))
 
 
 _FEED = f"""{_ITEMS}, placed AS (SELECT block AS story, max(day) AS day, count(DISTINCT source) > 1 AS big, bool_or(id % 7 = 0) AS security, arg_max(title, (length(blurb), -id)) AS title,
@@ -91,31 +91,42 @@ def coverage_lines(spark, d):
 
 
 @query(
-    """WITH i AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'open' ELSE 'needs_info' END AS status, (o_orderdate + INTERVAL 14 DAY)::DATE AS due FROM orders),
-    o AS (SELECT * FROM i WHERE status <> 'paid'), k AS (SELECT 'invoice:' || id AS key FROM i WHERE id % 3 = 0),
-    f AS (SELECT key, kind, id FROM (SELECT 'invoice:' || id AS key, 'new' AS kind, id FROM o UNION ALL SELECT 'due:' || id, 'due', id FROM o WHERE due BETWEEN DATE '1997-06-01' AND DATE '1997-06-04') WHERE key NOT IN (SELECT key FROM k))
-    SELECT key, kind, CASE WHEN kind = 'due' AND bool_or(kind = 'new') OVER (PARTITION BY id) THEN 'skipped' ELSE 'pending' END AS status FROM f"""
+    """WITH i AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'open' ELSE 'needs_info' END AS status, (o_orderdate + INTERVAL 14 DAY)::DATE AS due, o_orderkey % 3 = 0 AS told, o_orderkey % 12 = 0 AS told_due FROM orders)
+    SELECT 'invoice_new:' || id AS key, 'invoice_new' AS kind, CASE WHEN status = 'paid' THEN 'skipped' ELSE 'pending' END AS status FROM i WHERE NOT told
+    UNION ALL SELECT 'invoice_due:' || id, 'invoice_due', CASE WHEN told THEN 'pending' ELSE 'skipped' END FROM i WHERE status = 'open' AND due BETWEEN DATE '1997-06-01' AND DATE '1997-06-04' AND NOT told_due"""
 )
 def notification_plan(spark, d):
     o = table(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "paid").when(F.col("o_orderstatus") == "O", "open").otherwise("needs_info")
     invoices = o.select(F.col("o_orderkey").alias("id"), status.alias("status"), F.date_add(F.to_date("o_orderdate"), 14).alias("due_date"))
-    known = invoices.where("id % 3 = 0").select(F.concat(F.lit("invoice:"), F.col("id").cast("string")).alias("key"))
+    key = lambda kind: F.concat(F.lit(f"{kind}:"), F.col("id").cast("string")).alias("key")
+    known = invoices.where("id % 3 = 0").select(key("invoice_new")).union(invoices.where("id % 12 = 0").select(key("invoice_due")))
     return rules.plan_notifications(invoices, known, F.lit("1997-06-01").cast("date"))
 
 
 @query(
-    f"""WITH {_ITEMS}, x AS (SELECT block AS story, count(DISTINCT source) OVER (PARTITION BY block) > 1 AS big, id % 7 = 0 AS alert, 'news:' || id AS item_key, id AS position FROM items),
-    s AS (SELECT DISTINCT story FROM x WHERE position % 11 = 0)
-    SELECT story, CASE WHEN bool_or(alert) THEN 'alert' ELSE 'big' END AS kind, min_by(item_key, position) AS key FROM x WHERE (alert OR big) AND story NOT IN (SELECT story FROM s) GROUP BY story"""
+    f"""WITH {_ITEMS}, x AS (SELECT block AS story, count(DISTINCT source) OVER (PARTITION BY block) > 1 AS big, bool_or(id % 7 = 0) OVER (PARTITION BY block) AS alert, 'news:' || id AS key, id FROM items),
+    w AS (SELECT *, id % 11 = 0 AS told, bool_or(id % 11 = 0) OVER (PARTITION BY story) AS announced, min(id) OVER (PARTITION BY story) AS first FROM x WHERE alert OR big)
+    SELECT key, CASE WHEN alert THEN 'news_security' ELSE 'news_big' END AS kind, CASE WHEN id = first AND NOT announced THEN 'pending' ELSE 'skipped' END AS status FROM w WHERE NOT told"""
 )
 def story_announcements(spark, d):
     items = _items(spark, d)
-    big = items.groupBy(F.col("block").alias("story")).agg((F.countDistinct("source") > 1).alias("big"))
-    flat = items.select(F.col("block").alias("story"), (F.col("id") % 7 == 0).alias("alert"), F.concat(F.lit("news:"), F.col("id").cast("string")).alias("item_key"), F.col("id").alias("position")).join(big, "story")
+    facts = items.groupBy(F.col("block").alias("story")).agg((F.countDistinct("source") > 1).alias("big"), F.when(F.bool_or(F.col("id") % 7 == 0), "new").alias("alert"))
+    flat = items.select(F.col("block").alias("story"), F.concat(F.lit("news:"), F.col("id").cast("string")).alias("item_key"), F.col("id").alias("position")).join(facts, "story")
     return rules.announce_stories(flat, flat.where("position % 11 = 0").select(F.col("item_key").alias("key")))
 
 
+@query(
+    f"""WITH {_ITEMS}, p AS (SELECT DISTINCT block AS story FROM items WHERE id % 2 = 0 UNION SELECT 'orphan'), i AS (SELECT block AS story FROM items WHERE id % 4 <> 2), k AS (SELECT block AS story FROM items WHERE id % 5 = 0), r AS (SELECT block AS story FROM items WHERE id % 6 = 0)
+    SELECT story FROM p WHERE (story IN (SELECT story FROM r) OR story NOT IN (SELECT story FROM i)) AND story NOT IN (SELECT story FROM k)"""
+)
+def stories_to_delete(spark, d):
+    """Stories that were replaced or that no item names any more, but for those that a protected item names."""
+    x = _items(spark, d).select("id", F.col("block").alias("story"))
+    parents = x.where("id % 2 = 0").select("story").distinct().union(spark.range(1).select(F.lit("orphan")))
+    return state.doomed(parents, x.where("id % 4 <> 2"), x.where("id % 5 = 0").select("story"), x.where("id % 6 = 0"), "story")
+
+
 @query("SELECT text AS headline, min(doc_id) AS first_id FROM documents GROUP BY text ORDER BY first_id LIMIT 50")
 def recent_unique_headlines(spark, d):
     return table(spark, d, "documents").groupBy(F.col("text").alias("headline")).agg(F.min("doc_id").alias("first_id")).orderBy("first_id").limit(50)

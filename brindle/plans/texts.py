@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from brindle.functions import markup
 from brindle.functions import text as X
 from brindle.operators import rules, search, state
 from brindle.plans.catalog import query, table
@@ -44,24 +45,27 @@ def ingest_action(spark, d):
     """SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#]', 'i') THEN regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') END AS citation,
     lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')
       || CASE WHEN q = '' THEN '' ELSE '?' || q END AS compared,
-    regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') AND NOT contains(url, '?') AS front_page
+    regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') AND NOT regexp_matches(regexp_replace(regexp_extract(url, '\\?([^#]*)', 1), '(^|&)(utm_[^&]*|&*)', '', 'gi'), '[^&]') AS front_page,
+    regexp_matches(url, '^https?://[^/?#]', 'i') AS article
     FROM (SELECT page_id, url, array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_')), '&') AS q FROM pages)"""
 )
 def normalize_url(spark, d):
     u = F.col("url")
-    return table(spark, d, "pages").select("page_id", X.citation_url(u).alias("citation"), X.compared_url(u).alias("compared"), X.is_front_page(u).alias("front_page"))
+    return table(spark, d, "pages").select("page_id", X.citation_url(u).alias("citation"), X.compared_url(u).alias("compared"), X.is_front_page(u).alias("front_page"), X.is_article_link(u).alias("article"))
 
 
 @query(
-    """WITH a AS (SELECT page_id, regexp_replace(html, '<!--.*?-->', ' ', 'gs') AS t FROM pages),
-    b AS (SELECT page_id, regexp_replace(t, '</?(p|div|h[1-6]|ul|ol|table|section|article)\\b[^>]*>', chr(10) || chr(10), 'gi') AS t FROM a),
-    c AS (SELECT page_id, regexp_replace(regexp_replace(t, '<(br|li|tr)\\b[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS t FROM b),
-    e AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&') AS t FROM c),
-    f AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '[^\\S\\n]+', ' ', 'g'), ' *\\n *', chr(10), 'g') AS t FROM e)
-    SELECT page_id, regexp_replace(regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM f"""
+    """WITH s AS (SELECT page_id, replace(html, 't="</p>"', 't="' || chr(3) || '"') AS t FROM pages),
+    a AS (SELECT page_id, regexp_replace(regexp_replace(t, '<!--.*?-->', ' ', 'gs'), '<!DOCTYPE[^>]*>', ' ', 'gi') AS t FROM s),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(t, '</(p|h[1-6]|table|blockquote)>', chr(2), 'gi'), '</?(br|div|tr|li|table|ul|ol)\\b[^>]*>', chr(1), 'gi') AS t FROM a),
+    c AS (SELECT page_id, regexp_replace(t, '<[^>]*>', ' ', 'g') AS t FROM b),
+    e AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&') AS t FROM c),
+    g AS (SELECT page_id, regexp_replace(regexp_replace(t, '[\\x01\\s]*\\x02[\\x01\\x02\\s]*', chr(10) || chr(10), 'g'), '\\s*\\x01[\\x01\\s]*', chr(10), 'g') AS t FROM e),
+    f AS (SELECT page_id, regexp_replace(regexp_replace(t, '[^\\S\\n]+', ' ', 'g'), ' *\\n *', chr(10), 'g') AS t FROM g)
+    SELECT page_id, replace(trim(regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)), chr(3), '</p>') AS body FROM f"""
 )
 def html_to_text(spark, d):
-    return table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("body"))
+    return table(spark, d, "pages").select("page_id", markup.html_to_text(F.col("html")).alias("body"))
 
 
 IBAN = "'DE' || lpad((98 - ((lpad(c_custkey::VARCHAR, 18, '0') || '131400')::HUGEINT % 97))::VARCHAR, 2, '0') || lpad(c_custkey::VARCHAR, 18, '0')"
@@ -111,16 +115,34 @@ def thread_sequence(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT conv_id, turn, turn % 5 = 4 AS insufficient, CASE WHEN turn % 3 = 2 THEN [] WHEN turn % 7 = 6 THEN [0, 1, 1] ELSE [0, 1] END AS cited, CASE WHEN turn % 2 = 1 THEN [0, 1, 2] ELSE [0, 5] END AS seen FROM conversations WHERE role = 'assistant')
-    SELECT conv_id, turn, CASE WHEN insufficient AND len(cited) > 0 THEN 'refusal_with_citations' WHEN NOT insufficient AND len(cited) = 0 THEN 'missing_citations' WHEN len(list_distinct(cited)) < len(cited) THEN 'duplicate_index' WHEN len(list_filter(cited, lambda x: NOT list_contains(seen, x))) > 0 THEN 'unknown_chunk' END AS problem FROM a"""
+    """WITH a AS (SELECT conv_id, turn, turn % 5 = 4 AS insufficient, CASE WHEN turn % 3 = 2 THEN [] WHEN turn % 7 = 6 THEN [0, 1, 1] WHEN turn % 7 = 5 THEN [7, 0, 0] ELSE [0, 1] END AS cited, CASE WHEN turn % 2 = 1 THEN [0, 1, 2] ELSE [0, 5] END AS seen FROM conversations WHERE role = 'assistant'),
+    f AS (SELECT *, [CASE WHEN list_contains(cited[1 : i - 1], cited[i]) THEN 'duplicate_index' WHEN NOT list_contains(seen, cited[i]) THEN 'unknown_chunk' END for i in range(1, len(cited) + 1)] AS fails FROM a)
+    SELECT conv_id, turn, CASE WHEN insufficient THEN CASE WHEN len(cited) > 0 THEN 'insufficient_with_citations' END WHEN len(cited) = 0 THEN 'missing_citations' ELSE list_filter(fails, lambda x: x IS NOT NULL)[1] END AS problem FROM f"""
 )
 def grounding_check(spark, d):
+    return _cited(spark, d).select("conv_id", "turn", rules.grounding(F.col("turn") % 5 == 4, F.col("cited"), F.col("seen")).alias("problem"))
+
+
+def _cited(spark, d):
     turn = F.col("turn")
-    cited = F.when(turn % 3 == 2, F.expr("array()").cast("array<int>")).when(turn % 7 == 6, F.array(*map(F.lit, (0, 1, 1)))).otherwise(F.array(F.lit(0), F.lit(1)))
+    cited = F.when(turn % 3 == 2, F.expr("array()").cast("array<int>")).when(turn % 7 == 6, F.array(*map(F.lit, (0, 1, 1)))).when(turn % 7 == 5, F.array(*map(F.lit, (7, 0, 0)))).otherwise(F.array(F.lit(0), F.lit(1)))
     pairs = F.transform(cited, lambda c: F.struct(c.alias("chunk_id"), c.alias("citation_index")))
     seen = F.when(turn % 2 == 1, F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(F.lit(0), F.lit(5)))
-    answers = table(spark, d, "conversations").where("role = 'assistant'")
-    return answers.select("conv_id", "turn", rules.grounding(turn % 5 == 4, pairs, seen).alias("problem"))
+    return table(spark, d, "conversations").where("role = 'assistant'").withColumns({"cited": pairs, "seen": seen})
+
+
+@query(
+    """WITH a AS (SELECT conv_id, turn, turn % 5 = 4 AS insufficient, CASE WHEN turn % 3 = 2 THEN [] WHEN turn % 7 = 6 THEN [0, 1, 1] WHEN turn % 7 = 5 THEN [7, 0, 0] ELSE [0, 1] END AS cited, CASE WHEN turn % 2 = 1 THEN [0, 1, 2] ELSE [0, 5] END AS seen,
+      CASE WHEN turn % 4 = 1 THEN [] ELSE [(turn % 9)::INT] END AS web, turn % 4 = 3 AS web_known FROM conversations WHERE role = 'assistant'),
+    f AS (SELECT *, CASE WHEN web_known THEN web ELSE [] END AS kept, [CASE WHEN list_contains(cited[1 : i - 1], cited[i]) THEN 'duplicate_index' WHEN NOT list_contains(seen, cited[i]) THEN 'unknown_chunk' END for i in range(1, len(cited) + 1)] AS fails FROM a),
+    p AS (SELECT *, CASE WHEN insufficient THEN CASE WHEN len(cited) > 0 THEN 'insufficient_with_citations' END WHEN len(cited) = 0 THEN 'missing_citations' ELSE list_filter(fails, lambda x: x IS NOT NULL)[1] END AS plain FROM f)
+    SELECT conv_id, turn, coalesce(CASE WHEN len(cited) > 0 OR len(web) = 0 THEN plain END, CASE WHEN insufficient AND len(kept) > 0 THEN 'insufficient_with_citations' WHEN len(list_distinct(list_concat(cited, kept))) < len(cited) + len(kept) THEN 'duplicate_index' END) AS problem FROM p"""
+)
+def news_grounding_check(spark, d):
+    turn = F.col("turn")
+    web = F.when(turn % 4 == 1, F.expr("array()").cast("array<struct<url:string,citation_index:int>>")).otherwise(F.array(F.struct(F.when(turn % 4 == 3, "https://www.x.org/a/?q=1").otherwise("https://y.org/").alias("url"), (turn % 9).cast("int").alias("citation_index"))))
+    rows = _cited(spark, d).withColumn("web", web)
+    return rows.select("conv_id", "turn", rules.news_grounding(turn % 5 == 4, F.col("cited"), F.col("seen"), F.col("web"), F.array(F.lit("x.org/a"))).alias("problem"))
 
 
 @query()
@@ -163,7 +185,7 @@ def bank_entries(spark, d):
 def vector_codec(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
     back = bank.decode_vector(bank.encode_vector(F.col("embedding")))
-    return v.select("vec_id", (F.array_sort(back) == F.array_sort("embedding")).alias("same"))
+    return v.select("vec_id", (back == F.col("embedding")).alias("same"))
 
 
 @query("SELECT doc_id, CASE WHEN p % 5 IN (1, 3) THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p FROM documents)")

@@ -56,11 +56,12 @@ def verdict_parse(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT conv_id, turn, text, greatest(ceil(length(text) / 24.0), 1)::INT AS n FROM conversations WHERE role = 'system'), s AS (SELECT conv_id, text, n, unnest(range(0, n + 1)) AS seq FROM p)
-    SELECT conv_id, seq, 'data: ' || CASE WHEN seq = n THEN '{"type":"finish"}' ELSE '{"type":"text-delta","delta":' || to_json(substr(text, seq * 24 + 1, 24))::VARCHAR || '}' END || chr(10) || chr(10) AS frame FROM s"""
+    """WITH p AS (SELECT conv_id, turn, text, greatest(ceil(length(text) / 24.0), 1)::INT AS n FROM conversations), s AS (SELECT conv_id, turn, text, n, unnest(range(0, n + 1)) AS seq FROM p)
+    SELECT conv_id, turn, seq, 'data: ' || CASE WHEN seq = n THEN '{"type":"finish"}' ELSE '{"type":"text-delta","delta":' || to_json(substr(text, seq * 24 + 1, 24))::VARCHAR || '}' END || chr(10) || chr(10) AS frame FROM s"""
 )
 def stream_frames(spark, d):
-    return workflow.stream_frames(table(spark, d, "conversations").where("role = 'system'"), "conv_id", "text")
+    """The frames of every turn."""
+    return workflow.stream_frames(table(spark, d, "conversations"), ["conv_id", "turn"], "text")
 
 
 @query(
@@ -68,7 +69,7 @@ def stream_frames(spark, d):
     SELECT conv_id, turn, seq, 'data: ' || CASE WHEN seq = n THEN '{"type":"finish"}' ELSE '{"type":"text-delta","delta":' || to_json(substr(text, seq * 24 + 1, 24))::VARCHAR || '}' END || chr(10) || chr(10) AS frame FROM s"""
 )
 def stream_answer_frames(spark, d):
-    """The frames of every answer; stream_frames keeps to the system turns that its SQL names."""
+    """The frames of every answer."""
     return workflow.stream_frames(table(spark, d, "conversations").where("role = 'assistant'"), ["conv_id", "turn"], "text")
 
 
