@@ -7,10 +7,10 @@ each partition; only ids and scores are ranked, and texts are joined to the few
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import local_date, words
@@ -66,35 +66,91 @@ def semantic_topk(rows: DataFrame, query: Sequence[float] | Column, ident: str,
     return ranked(rows.where(F.col(vector).isNotNull()), F.round(cosine(F.col(vector), q), 6), ident, k)
 
 
-def postings(rows: DataFrame, ident: str, text: str = "text") -> DataFrame:
-    """id, term, tf. At scale this table is written once, partitioned by a hash of the term."""
-    return rows.select(F.col(ident).alias("id"), F.explode(words(F.lower(F.col(text)))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+#: English words that carry no meaning in a search.
+STOP_WORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself",
+    "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into",
+    "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when",
+    "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can",
+    "will", "just", "don", "should", "now",
+)
+Stemmer = Callable[[Column], Column]
 
 
-def fulltext_topk(rows: DataFrame, terms: Sequence[str], ident: str, text: str = "text", k: int = CANDIDATES) -> DataFrame:
-    """Rows that have all terms, by their total frequency. Without an index, terms are counted in the scan, not exploded."""
-    # a term as a whole word, counted in one pass of the text and without an array of its words
-    count = lambda t: F.regexp_count(F.lower(F.col(text)), F.lit(rf"(?U)(?<!\S){re.escape(t)}(?!\S)"))
-    counts = [count(t) for t in dict.fromkeys(x.lower() for x in terms)]
-    hit = rows.where(all_of(*[F.contains(F.lower(F.col(text)), F.lit(t.lower())) for t in terms])).select(ident, F.array(*counts).alias("__tf"))
-    return ranked(hit.where(F.forall("__tf", lambda n: n > 0)), F.aggregate("__tf", F.lit(0), lambda a, n: a + n).cast("double"), ident, k)
+def light_stem(word: Column) -> Column:
+    """Plurals to singulars; the default of the pluggable stemmer."""
+    cut = lambda n, end="": F.concat(F.substr(word, F.lit(1), F.length(word) - n), F.lit(end))
+    return F.when(word.rlike("[^ea]ies$"), cut(3, "y")).when(word.rlike("[^aeo]es$"), cut(1)).when(word.rlike("[^us]s$"), cut(1)).otherwise(word)
 
 
-def cover_density(positions: Column, needed: int) -> Column:
-    """Sum over the minimal covers of all query terms of 1 / their extent; positions: (pos, term) in the order of pos.
+def query_terms(query: str, stop: Sequence[str] = STOP_WORDS) -> list[str]:
+    """Distinct words of a plain query, in small letters, without stop words; they are still to be stemmed."""
+    return [w for w in dict.fromkeys(re.findall(r"[^\W_]+", query.lower())) if w not in stop]
 
-    A cover ends at a position if the window that ends there holds all terms and starts as late as possible.
+
+def stems_of(spark: SparkSession, query: str, stem: Stemmer = light_stem) -> list[str]:
+    """The distinct stems of a query's terms."""
+    terms = query_terms(query)
+    return list(dict.fromkeys(spark.range(1).select(F.array(*[stem(F.lit(t)) for t in terms])).first()[0])) if terms else []
+
+
+def lexemes(text: Column, stem: Stemmer = light_stem) -> Column:
+    """Stems of all words with their places, from 1; stop words keep their place and are left out."""
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)")), lambda w, i: F.struct((i + 1).alias("pos"), w.alias("word")))
+    kept = F.filter(found, lambda p: ~p["word"].isin(*STOP_WORDS))
+    return F.transform(kept, lambda p: F.struct(p["pos"].alias("pos"), stem(p["word"]).alias("term")))
+
+
+def postings(rows: DataFrame, ident: str, text: str = "text", stem: Stemmer = light_stem) -> DataFrame:
+    """term, id, positions: the index. Written once, partitioned by term, it serves queries without the texts."""
+    each = rows.select(F.col(ident).alias("id"), F.explode(lexemes(F.col(text), stem)).alias("p"))
+    return each.groupBy(F.col("p.term").alias("term"), "id").agg(F.array_sort(F.collect_list("p.pos")).alias("positions"))
+
+
+def occurrences(rows: DataFrame, stems: Sequence[str], ident: str, text: str = "text", stem: Stemmer = light_stem) -> DataFrame:
+    """id, pos and term of the given stems in the texts that have the beginnings of all of them, without an index. Only these
+    texts are cut into words."""
+    # a stem ends otherwise than its word in the last letter at most, y for ies
+    begins = [F.contains(F.lower(F.col(text)), F.lit(t[: max(1, len(t) - 1)])) for t in stems]
+    found = rows.where(all_of(*begins)).select(F.col(ident).alias("id"), F.filter(lexemes(F.col(text), stem), lambda p: p["term"].isin(*stems)).alias("at"))
+    return found.where(F.size(F.array_distinct(F.transform("at", lambda p: p["term"]))) == len(stems)).select("id", F.inline("at"))
+
+
+def cover_density(found: DataFrame, stems: Sequence[str]) -> DataFrame:
+    """id and score of the rows that have all stems. found: id, pos, term.
+
+    A cover is a stretch of a text that has all terms and no shorter one within. It weighs 0.1 / (1 + the words in it that
+    aren't terms), and a text the sum of its covers. The occurrences of one text stand in one window.
     """
-    starts = F.transform(
-        positions,
-        lambda p: F.when(
-            F.size(F.array_distinct(F.transform(F.filter(positions, lambda q: q["pos"] <= p["pos"]), lambda q: q["term"]))) == needed,
-            F.array_min(F.transform(F.array_distinct(F.transform(positions, lambda q: q["term"])), lambda t: F.array_max(F.transform(F.filter(positions, lambda q: (q["term"] == t) & (q["pos"] <= p["pos"])), lambda q: q["pos"])))),
-        ),
-    )
-    covers = F.zip_with(starts, F.transform(positions, lambda p: p["pos"]), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    first = F.transform(F.array_distinct(F.filter(F.transform(covers, lambda c: c["a"]), lambda a: a.isNotNull())), lambda a: F.struct(a.alias("a"), F.array_min(F.transform(F.filter(covers, lambda c: c["a"] == a), lambda c: c["b"])).alias("b")))
-    return F.aggregate(first, F.lit(0.0), lambda s, c: s + 1.0 / (c["b"] - c["a"] + 1))
+    order = Window.partitionBy("id").orderBy("pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = found.withColumn("rn", F.row_number().over(order))
+    # where each term stood last; the least of these places begins the cover that ends here
+    last = [F.last(F.when(F.col("term") == t, F.struct("pos", "rn")), ignorenulls=True).over(so_far) for t in stems]
+    covers = numbered.withColumn("last", F.array(*last)).where(~F.exists("last", lambda x: x.isNull())).withColumn("first", F.array_min("last"))
+    fresh = covers.withColumn("earlier", F.lag("first.pos").over(order)).where(~F.col("first.pos").eqNullSafe(F.col("earlier")))
+    noise = (F.col("pos") - F.col("first.pos")) - (F.col("rn") - F.col("first.rn"))
+    return fresh.groupBy("id").agg(F.sum(F.lit(0.1) / (1 + noise)).alias("score"))
+
+
+def fulltext_topk(rows: DataFrame, query: str, ident: str, text: str = "text", k: int = CANDIDATES, stem: Stemmer = light_stem) -> DataFrame:
+    """Rows that have all of the query's terms, by cover density. A query of stop words only finds nothing."""
+    stems = stems_of(rows.sparkSession, query, stem)
+    if not stems:
+        return ranked(rows.where(F.lit(False)), F.lit(0.0), ident, k)
+    return ranked(cover_density(occurrences(rows, stems, ident, text, stem), stems), F.round("score", 6), "id", k)
+
+
+def indexed_topk(index: DataFrame, query: str, k: int = CANDIDATES, stem: Stemmer = light_stem) -> DataFrame:
+    """fulltext_topk over postings(): only the lists of the query's terms are read."""
+    stems = stems_of(index.sparkSession, query, stem)
+    if not stems:
+        return ranked(index.where(F.lit(False)), F.lit(0.0), "id", k)
+    lists = index.where(F.col("term").isin(*stems))
+    every = lists.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(stems)).select("id")
+    found = lists.join(every, "id", "left_semi").select("id", F.explode("positions").alias("pos"), "term")
+    return ranked(cover_density(found, stems), F.round("score", 6), "id", k)
 
 
 def rrf(semantic: DataFrame, fulltext: DataFrame, top: int = TOP, k: int = RRF_K) -> DataFrame:

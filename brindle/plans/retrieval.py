@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.operators import search
+from brindle.operators.resolve import saved
 from brindle.plans.catalog import query, table
 
 _SEM = """SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank, score FROM (
   SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings {where}) ORDER BY score DESC, vec_id LIMIT {k}"""
-_FTS = """SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, score FROM (
-  SELECT doc_id AS id, (len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'of')))::DOUBLE AS score FROM (SELECT doc_id, string_split_regex(lower(text), '\\s+') AS w FROM documents)
-  WHERE list_contains(w, 'the') AND list_contains(w, 'of')) ORDER BY score DESC, id LIMIT {k}"""
-_FUSED = f"""s AS ({_SEM.format(where='', k=50)}), f AS ({_FTS.format(k=50)}),
+_STEM = "CASE WHEN regexp_matches(w, '[^ea]ies$') THEN left(w, -3) || 'y' WHEN regexp_matches(w, '[^aeo]es$') OR regexp_matches(w, '[^us]s$') THEN left(w, -1) ELSE w END"
+_PLACES = "SELECT doc_id AS id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents)"
+
+
+def _cover(a: str, b: str) -> str:
+    """SQL of id and score by cover density for two stems."""
+    last = lambda t, what: f"last_value(CASE WHEN term = '{t}' THEN {what} END IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos)"
+    return f"""SELECT id, sum(0.1::DOUBLE / (1 + (pos - s) - (rn - rs))) AS score FROM (
+      SELECT *, lag(s) OVER (PARTITION BY id ORDER BY pos) AS earlier FROM (
+        SELECT id, pos, rn, least(pa, pb) AS s, CASE WHEN pa < pb THEN ra ELSE rb END AS rs FROM (
+          SELECT id, pos, rn, {last(a, "pos")} AS pa, {last(b, "pos")} AS pb, {last(a, "rn")} AS ra, {last(b, "rn")} AS rb FROM (
+            SELECT id, pos, term, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM (SELECT id, pos, {_STEM} AS term FROM ({_PLACES})) WHERE term IN ('{a}', '{b}')))
+        WHERE pa IS NOT NULL AND pb IS NOT NULL))
+      WHERE earlier IS NULL OR earlier <> s GROUP BY id"""
+
+
+_QUERY = "The tions of the thon"
+_FTS = f"""SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, score FROM (SELECT id, round(score, 6) AS score FROM ({_cover("tion", "thon")})) ORDER BY score DESC, id LIMIT 50"""
+_FUSED = f"""s AS ({_SEM.format(where='', k=50)}), f AS ({_FTS}),
   u AS (SELECT coalesce(s.id, f.id) AS id, s.rank AS semantic_rank, f.rank AS fulltext_rank, round(coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + f.rank), 0), 9) AS fusion_score FROM s FULL JOIN f ON s.id = f.id),
   fused AS (SELECT row_number() OVER (ORDER BY fusion_score DESC, coalesce(semantic_rank, 1000000 + fulltext_rank)) AS rank, * FROM u QUALIFY rank <= 10)"""
 
@@ -27,7 +43,7 @@ def _semantic(spark, d, k=50):
 
 
 def _fulltext(spark, d, k=50):
-    return search.fulltext_topk(table(spark, d, "documents"), ("the", "of"), "doc_id", k=k)
+    return search.fulltext_topk(table(spark, d, "documents"), _QUERY, "doc_id", k=k)
 
 
 @query(_SEM.format(where="", k=50))
@@ -41,7 +57,7 @@ def semantic_topk_filtered(spark, d):
     return search.semantic_topk(table(spark, d, "embeddings").join(wanted, "vec_id", "left_semi"), _vector(spark, d), "vec_id")
 
 
-@query(_FTS.format(k=50))
+@query(_FTS)
 def fulltext_match_topk(spark, d):
     return _fulltext(spark, d)
 
@@ -93,14 +109,22 @@ def scoped_search(spark, d):
     return found.where(search.on_local_days(F.col("ts"), "2024-01-01", "2024-01-03") & search.contains_any("i", F.col("event_type"))).select("event_id")
 
 
-@query()
+@query(f"SELECT id AS doc_id, round(score, 6) AS score FROM ({_cover('eronth', 'thed')})")
 def fulltext_cover_density(spark, d):
     """The proximity score of every document that has all terms."""
-    from brindle.functions.text import words
-
-    terms = ("eronth", "thed")
-    docs = table(spark, d, "documents").where(search.all_of(*[F.contains(F.lower("text"), F.lit(t)) for t in terms]))
-    numbered = F.transform(words(F.lower("text")), lambda w, i: F.struct(i.alias("pos"), w.alias("term")))
-    found = docs.select("doc_id", F.filter(numbered, lambda p: p["term"].isin(*terms)).alias("at"))
-    found = found.where(F.size(F.array_distinct(F.transform("at", lambda p: p["term"]))) == len(terms))
-    return found.select("doc_id", F.round(search.cover_density(F.col("at"), len(terms)), 6).alias("score"))
+    stems = ("eronth", "thed")
+    found = search.cover_density(search.occurrences(table(spark, d, "documents"), stems, "doc_id"), stems)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_FTS)
+def fulltext_index_topk(spark, d):
+    """The same ranking from a stored index, of which only two terms' lists are read."""
+    index = saved(search.postings(table(spark, d, "documents"), "doc_id").repartition("term").sortWithinPartitions("term"))
+    return search.indexed_topk(index, _QUERY)
+
+
+@query(f"SELECT id AS doc_id, term, array_to_string(list(pos ORDER BY pos), ',') AS positions FROM (SELECT id, pos, w, {_STEM} AS term FROM ({_PLACES})) WHERE w NOT IN ({', '.join(repr(w) for w in search.STOP_WORDS)}) GROUP BY 1, 2")
+def text_vectors(spark, d):
+    """Stems of every document and their places."""
+    return search.postings(table(spark, d, "documents"), "doc_id").select(F.col("id").alias("doc_id"), "term", F.array_join("positions", ",").alias("positions"))
