@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.state import ranks
+
 
 def retrieval_scores(hits: DataFrame, expected: DataFrame, cases: DataFrame, near: int = 3) -> DataFrame:
     """Per case: recall, recall_at_near, precision, reciprocal_rank, first_rank, empty.
@@ -37,18 +39,12 @@ def by_kind(scores: DataFrame, kind: str, *metrics: str) -> DataFrame:
     return scores.rollup(kind).agg(G.count("*").alias("n"), *[G.round(G.avg(m), 6).alias(m) for m in metrics])
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value at round(share * (n - 1)), halves to even, of the sorted values."""
-    ordered = F.array_sort(F.collect_list(values))
-    at = F.bround(F.lit(share).cast("decimal(4,2)") * (F.size(ordered) - 1), 0).cast("int")
-    return F.element_at(ordered, F.least(at, F.size(ordered) - 1) + 1)
-
-
 def latency(rows: DataFrame, group: str, value: str, share: float = 0.95) -> DataFrame:
-    """Mean, nearest-rank percentile, upper median and maximum of each group, by ranks: no group is gathered in an array."""
-    n = F.count("*").over(Window.partitionBy(group))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1
-    ranked = rows.where(F.col(value).isNotNull()).select(group, F.col(value).alias("v")).withColumnRenamed("v", value).withColumns({"n": n, "place": place})
+    """Mean, nearest-rank percentile, upper median and maximum of each group, by ranks that no single task makes."""
+    kept = rows.where(F.col(value).isNotNull()).select(group, value)
+    placed = ranks(kept.withColumn("__tie", F.monotonically_increasing_id()), group, [value, "__tie"], "place")
+    n = placed.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("n"))
+    ranked = placed.join(n, F.col(group).eqNullSafe(F.col("__g")))
     at = F.bround(F.lit(share).cast("decimal(4,2)") * (F.col("n") - 1), 0)
     return ranked.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(F.when(F.col("place") == at, F.col(value))).alias("p95"), F.max(F.when(F.col("place") == F.floor(F.col("n") / 2), F.col(value))).alias("upper_median"), F.max(value).alias("max"))
 

@@ -17,7 +17,7 @@ def newsletter_source(address: Column, sources: dict[str, str]) -> Column:
 
 def label(address: Column, attachments: Column, sources: dict[str, str], classified: Column) -> Column:
     """A known newsletter, else mail with an invoice attached, else what the classifier said."""
-    return F.when(newsletter_source(address, sources).isNotNull(), "ai_newsletter").when(F.exists(attachments, invoice_filename), "invoice").otherwise(classified)
+    return F.when(newsletter_source(address, sources).isNotNull(), "ai_newsletter").when(F.exists(attachments, lambda name: invoice_filename(name)), "invoice").otherwise(classified)
 
 
 def ingest_action(new_hash: Column, old_hash: Column, old_model: Column, model: str, old_dims: Column, dims: int) -> Column:
@@ -54,6 +54,11 @@ def display_status(status: Column, due: Column, today: Column, pending_since: Co
     return out.when(F.coalesce(due < today, F.lit(False)), "overdue").otherwise(status)
 
 
+def clean_text(c: Column) -> Column:
+    """Trimmed; empty becomes null."""
+    return F.nullif(F.trim(c), F.lit(""))
+
+
 def clean_amount(c: Column) -> Column:
     """Two digits, halves to even."""
     return F.bround(c.cast("decimal(20,6)"), 2).cast("decimal(12,2)")

@@ -185,6 +185,27 @@ def rerank(fused: DataFrame, verdicts: DataFrame, top: int = TOP) -> DataFrame:
     return best.select(F.row_number().over(Window.orderBy("__g", "rank")).alias("rank"), "id", F.coalesce("verdict", F.lit("partial")).alias("verdict"))
 
 
+def remote_scan(rows: DataFrame, columns: Sequence[str], equal: dict | None = None, null: Sequence[str] = (), where: Sequence[Column] = (), order: Sequence[Column] = (), limit: int | None = None) -> DataFrame:
+    """The select, eq, is null, order and limit of a remote table's interface; filters come first, so that they reach the scan."""
+    conditions = [F.col(c) == v for c, v in (equal or {}).items()] + [F.col(c).isNull() for c in null] + list(where)
+    found = rows.where(all_of(*conditions)).select(*columns)
+    found = found.orderBy(*order) if order else found
+    return found.limit(limit) if limit else found
+
+
+def with_count(parents: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:
+    """Parents with the number of their children, 0 where there are none."""
+    counts = children.groupBy(key).agg(F.count("*").alias(name))
+    return parents.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def scoped_hydrate(fused: DataFrame, rows: DataFrame, ident: str, owner: Column, user, mailbox: Column, mailboxes: DataFrame) -> DataFrame:
+    """hydrate with the owner's scope applied once more: rows of the user's active mailboxes. mailboxes: id, user_id,
+    is_active."""
+    active = mailboxes.where((F.col("user_id") == user) & F.col("is_active")).select(F.col("id").alias("__m"))
+    return hydrate(fused, rows.where(owner == user).join(F.broadcast(active), mailbox == F.col("__m"), "left_semi"), ident)
+
+
 def newest(rows: DataFrame, time: str, ident: str, k: int) -> DataFrame:
     """Filters only: the newest rows with the constant score 1."""
     return rows.orderBy(F.desc(time), ident).limit(k).select(F.col(ident).alias("id"), F.col(time).alias("at"), F.lit(1.0).alias("score"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.resolve import saved
+
 
 def latest_wins(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Upsert of whole rows: a key of the new table replaces the old row."""
@@ -61,19 +63,32 @@ def next_numbers(existing: DataFrame, new: DataFrame, group: str, number: str, o
     return new.withColumn("__n", n).join(top, group, "left").withColumn(number, F.coalesce(F.col("__top"), F.lit(-1)) + F.col("__n")).drop("__n", "__top")
 
 
-def split_of(group: str, order: str, modulus: int = 5, held: Sequence[int] = (1, 3)) -> Column:
-    """test for the places 1 and 3 of each five in a group's order, else train."""
-    place = (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) % modulus
-    return F.when(place.isin(*held), "test").otherwise("train")
+def ranks(rows: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """Adds each row's place in its group, from 0, by an order without ties. Rows are range-partitioned by group and order, so
+    that a hot group is spread over many tasks; counts per partition give each one's first place."""
+    spread = saved(rows.repartitionByRange(group, *order).withColumn("__part", F.spark_partition_id()))
+    counts = spread.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    inside = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order)) - 1
+    placed = spread.withColumn("__inside", inside).join(first, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return placed.withColumn(name, F.col("__first") + F.col("__inside")).drop("__part", "__inside", "__g", "__p", "__first")
+
+
+def splits(rows: DataFrame, group: str, order: str, modulus: int = 5, held: Sequence[int] = (1, 3)) -> DataFrame:
+    """Adds split: test for the places 1 and 3 of each five in a group's order, else train."""
+    placed = ranks(rows, group, [order], "__place")
+    return placed.withColumn("split", F.when((F.col("__place") % modulus).isin(*held), "test").otherwise("train")).drop("__place")
 
 
 def evenly_spaced(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
     """k rows of each group, in the middle of k equal steps through its order; small groups are taken whole."""
-    n = F.count("*").over(Window.partitionBy(group))
-    placed = rows.withColumns({"__p": F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1, "__n": n})
+    placed = ranks(rows, group, [order], "__place")
+    sizes = placed.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
     step = F.col("__n") / F.lit(k)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(step * i + step / 2))
-    return placed.where((F.col("__n") <= k) | F.array_contains(wanted, F.col("__p").cast("long"))).drop("__p", "__n")
+    sized = placed.join(sizes, F.col(group).eqNullSafe(F.col("__g")))
+    return sized.where((F.col("__n") <= k) | F.array_contains(wanted, F.col("__place"))).drop("__place", "__n", "__g")
 
 
 def doomed(parents: DataFrame, items: DataFrame, keep: DataFrame, replaced: DataFrame, key: str) -> DataFrame:

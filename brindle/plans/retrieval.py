@@ -128,3 +128,13 @@ def fulltext_index_topk(spark, d):
 def text_vectors(spark, d):
     """Stems of every document and their places."""
     return search.postings(table(spark, d, "documents"), "doc_id").select(F.col("id").alias("doc_id"), "term", F.array_join("positions", ",").alias("positions"))
+
+
+@query(f"WITH {_FUSED} SELECT rank, id, source FROM fused JOIN documents ON doc_id = id WHERE id % 2 = 0 AND source IN (SELECT source FROM documents GROUP BY 1 ORDER BY 1 LIMIT 3)")
+def scoped_hydration(spark, d):
+    """Hits of another owner, or in a mailbox that isn't active, drop out."""
+    docs = table(spark, d, "documents").withColumn("owner", F.col("doc_id") % 2)
+    names = [r[0] for r in docs.select("source").distinct().orderBy("source").collect()]
+    boxes = spark.createDataFrame([(n, i // 3 % 2, i < 3) for i, n in enumerate(names)], "id string, user_id int, is_active boolean")
+    fused = search.rrf(_semantic(spark, d), _fulltext(spark, d))
+    return search.scoped_hydrate(fused, docs, "doc_id", F.col("owner"), 0, F.col("source"), boxes).select("rank", F.col("doc_id").alias("id"), "source")

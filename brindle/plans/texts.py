@@ -190,7 +190,7 @@ def vector_codec(spark, d):
 
 @query("SELECT doc_id, CASE WHEN p % 5 IN (1, 3) THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p FROM documents)")
 def split_assignment(spark, d):
-    return table(spark, d, "documents").select("doc_id", state.split_of("source", "doc_id").alias("split"))
+    return state.splits(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "split")
 
 
 @query(

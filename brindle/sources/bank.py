@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,3 +68,25 @@ def decode_vector(c: Column) -> Column:
         return v.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
 
     return unpack(F.unbase64(c))
+
+
+def paged(accounts: DataFrame, key: str, rows: str, fetch: Callable[[int, list, str | None], tuple[list[str], str | None]]) -> DataFrame:
+    """key, page, json and error of every account's entries, page by page until no continuation key comes. An account whose
+    fetch fails keeps the pages it gave and gets one row with the error (500 characters), and the others go on; raising at the
+    end is left to the caller. fetch: (account, the account's column `rows`, continuation key) to entries and the next key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for account, given in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found, page, at = [], 0, None
+                try:
+                    while page == 0 or at:
+                        entries, at = fetch(account, given, at)
+                        found += [(page, x, None) for x in entries]
+                        page += 1
+                except Exception as e:
+                    found.append((page, None, f"{type(e).__name__}: {e}"[:500]))
+                columns = list(zip(*found, strict=True)) if found else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array([account] * len(found), pa.int64()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=[key, "page", "json", "error"])
+
+    return accounts.select(F.col(key).cast("long").alias(key), rows).mapInArrow(run, f"{key} long, page int, json string, error string")
