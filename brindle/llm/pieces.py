@@ -48,7 +48,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class _Table(dict):
-    LIMIT = 1 << 18
+    LIMIT = 1 << 19
 
     def __init__(self, make, lead: str, marks: str = "") -> None:
         """marks: what may follow a word without changing the word's value."""
