@@ -10,6 +10,7 @@ encoded in one call too. Tests hold both against each other.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -19,6 +20,8 @@ _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028
 _CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: A Latin word, which the pre-tokenizer leaves whole with the blank before it, and a mark after it.
 _WORD = re.compile("( ?[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]+)([.,]?)")
+#: A Latin word and the run of marks after it, which the pre-tokenizer parts; an apostrophe may begin an ending.
+_MARKED = re.compile("([A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]+)([!-&(-/:-@[-`{-~]+)")
 
 # Byte-level vocabularies write printable Latin-1 bytes as themselves and the others, in order, as characters from 256 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -50,14 +53,14 @@ def tokenizer(path: str) -> Tokenizer:
 class _Table(dict):
     LIMIT = 1 << 19
 
-    def __init__(self, make, lead: str, marks: str = "") -> None:
-        """marks: what may follow a word without changing the word's value."""
+    def __init__(self, make, lead: str, marks: dict[str, bytes] | None = None) -> None:
+        """marks: table of runs of marks, where what follows a word doesn't change the word's value."""
         super().__init__()
-        self.make, self.lead, self.marks = make, lead, {m: make(m) for m in marks}
+        self.make, self.lead, self.marks = make, lead, marks
 
     def __missing__(self, key: str) -> bytes:
-        if self.marks and key[-1:] in self.marks and _WORD.fullmatch(self.lead + key):
-            value = self[key[:-1]] + self.marks[key[-1]]
+        if self.marks is not None and (m := _MARKED.fullmatch(key)):
+            value = self[m[1]] + self.marks[m[2]]
         else:
             value = self.make(key if key[:1] == "\n" else self.lead + key)
         if len(self) < self.LIMIT:
@@ -75,17 +78,19 @@ class PieceEncoder:
         self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self._ids = _Table(self._piece_ids, " ", ".,")  # keyed by the piece without its leading blank
         self._raw = _Table(self._piece_ids, "")  # keyed by the piece itself
+        self._ids = _Table(self._piece_ids, " ", self._raw)  # keyed by the piece without its leading blank
 
     def _tokens(self, piece: str) -> list:
+        if piece[:1] == " " and (word := piece[1:]).isascii() and word.isalpha():
+            return self.model.tokenize("\u0120" + word)  # the character of the blank
         if word := _WORD.fullmatch(piece):
             found = self.model.tokenize(word[1].encode().decode("latin-1").translate(_BYTES))
             return found + self.model.tokenize(word[2]) if word[2] else found
         return [t for part, _ in self.pre.pre_tokenize_str(piece) for t in self.model.tokenize(part)]
 
     def _piece_ids(self, piece: str) -> bytes:
-        return np.array([t.id for t in self._tokens(piece)], self.dtype).tobytes()
+        return array(self.dtype.char, [t.id for t in self._tokens(piece)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
