@@ -35,13 +35,15 @@ BLOCK_TOKENS = 1 << 18
 # A control byte holds four lengths less one, the first in the lowest bits.
 _CODES = np.array([[(c >> (2 * k)) & 3 for k in range(4)] for c in range(256)], np.int64)
 _LENGTHS = (_CODES + 1).sum(axis=1)
-#: Of each control byte, where the 16 bytes of four 32-bit values stand after the group's start; 16 is the zero byte.
-_PLACES = np.full((256, 16), 16, np.int64)
+#: Of each control byte, where the 16 bytes of four 32-bit values stand after the group's start, and which of them count.
+_PLACES = np.zeros((256, 16), np.int32)
+_COUNT = np.zeros((256, 16), np.uint8)
 for _c in range(256):
     _at = 0
     for _k in range(4):
         for _b in range(_CODES[_c, _k] + 1):
             _PLACES[_c, 4 * _k + _b] = _at
+            _COUNT[_c, 4 * _k + _b] = 0xFF
             _at += 1
 
 
@@ -62,11 +64,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     if not len(c):
         return np.empty(0, np.uint32)
     sizes = _LENGTHS[c]
-    starts = np.cumsum(sizes) - sizes
-    places = _PLACES[c]
-    raw = np.frombuffer(data + b"\0", np.uint8)
-    at = np.where(places == 16, len(raw) - 1, starts[:, None] + places)
-    return raw[at].reshape(-1).view("<u4")[:n]
+    starts = (np.cumsum(sizes) - sizes).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+    raw = np.frombuffer(data, np.uint8)[starts[:, None] + _PLACES[c]]
+    raw &= _COUNT[c]
+    return raw.reshape(-1).view("<u4")[:n]
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -82,8 +83,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     return map_batches(docs.select(F.col(f"`{key}`").cast("long").alias("__key"), text_of(text).alias("__text")), run, "key long, n_tokens int, ids binary")
 
 
+_press = zstandard.ZstdDecompressor()
+
+
 def _inflate(blob: bytes, dtype: np.dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
+    return np.frombuffer(_press.decompress(blob), dtype)
 
 
 def frequency_ranks(encoded: DataFrame, size: int, dtype: np.dtype) -> np.ndarray:
@@ -92,8 +96,9 @@ def frequency_ranks(encoded: DataFrame, size: int, dtype: np.dtype) -> np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                total += np.bincount(_inflate(blob, dtype), minlength=size)
+            blobs = batch.column(0).to_pylist()
+            for at in range(0, len(blobs), 64):  # a count takes as long as the vocabulary is large
+                total += np.bincount(np.concatenate([_inflate(x, dtype) for x in blobs[at : at + 64]]), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
