@@ -76,7 +76,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def run(b: dict) -> dict:
         e = encoder(path)
         end = np.array([end_id], e.dtype).tobytes()
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=1)
         raw = [e.ids(x) + end for x in b["__text"].to_pylist()]
         return {"key": b["__key"], "n_tokens": [len(r) // e.dtype.itemsize for r in raw], "ids": [press.compress(r) for r in raw]}
 
