@@ -15,8 +15,10 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-#: White space, or what some library may take for it, besides the blank, line feed, tab and carriage return.
-_UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+#: White space, or what some library may take for it, besides the blank, line feed, tab and carriage return: single bytes in
+#: Latin-1, and others.
+_RARE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+_WIDE = re.compile("[\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 _CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: A Latin word, which the pre-tokenizer leaves whole with the blank before it, and a mark after it.
 _WORD = re.compile("( ?[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]+)([.,]?)")
@@ -28,16 +30,27 @@ _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+def unusual(text: str) -> bool:
+    """Whether a text holds one of these; plain searches and a copy take a fraction of a pattern's time."""
+    if any(c in text for c in _RARE):
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WIDE.search(text) is not None
+    return False
+
+
 def split(text: str) -> list[str] | None:
     """Pieces that concatenate to the text, or None where it has to be encoded in one call."""
-    if _UNUSUAL.search(text):
+    if unusual(text):
         return None
     return _CHUNK.findall(text)
 
 
 def plain(text: str) -> bool:
     """Whether blanks and line feeds, each between visible characters, are the only white space."""
-    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\t" in text or "\r" in text or _UNUSUAL.search(text))
+    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\t" in text or "\r" in text or unusual(text))
 
 
 _tokenizers: dict[str, Tokenizer] = {}
@@ -73,8 +86,7 @@ class PieceEncoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._added = re.compile(f"({'|'.join(sorted(added, key=len, reverse=True))})") if added else None
+        self._added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -99,7 +111,7 @@ class PieceEncoder:
         """Little-endian ids of the text, of the width self.dtype."""
         if not text:
             return b""
-        if self._added and self._added.search(text):
+        if any(a in text for a in self._added):
             return self._whole(text)
         if plain(text):
             first, *rest = text.replace("\n", " \n").split(" ")
