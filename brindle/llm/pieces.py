@@ -63,20 +63,22 @@ def tokenizer(path: str) -> Tokenizer:
     return _tokenizers[path]
 
 
-class _Table(dict):
-    LIMIT = 1 << 19
+#: Pieces that a worker keeps, some 70 MB.
+PIECES = 1 << 19
+
 
-    def __init__(self, make, lead: str, marks: dict[str, bytes] | None = None) -> None:
+class _Table(dict):
+    def __init__(self, limit: int, make, lead: str, marks: dict[str, bytes] | None = None) -> None:
         """marks: table of runs of marks, where what follows a word doesn't change the word's value."""
         super().__init__()
-        self.make, self.lead, self.marks = make, lead, marks
+        self.limit, self.make, self.lead, self.marks = limit, make, lead, marks
 
     def __missing__(self, key: str) -> bytes:
         if self.marks is not None and (m := _MARKED.fullmatch(key)):
             value = self[m[1]] + self.marks[m[2]]
         else:
             value = self.make(key if key[:1] == "\n" else self.lead + key)
-        if len(self) < self.LIMIT:
+        if len(self) < self.limit:
             self[key] = value
         return value
 
@@ -84,14 +86,14 @@ class _Table(dict):
 class PieceEncoder:
     """Encodes texts to arrays of ids. One per Python worker; see encoder()."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pieces: int = PIECES) -> None:
         self.tokenizer = tokenizer(path)
         self._added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self._raw = _Table(self._piece_ids, "")  # keyed by the piece itself
-        self._ids = _Table(self._piece_ids, " ", self._raw)  # keyed by the piece without its leading blank
+        self._raw = _Table(pieces, self._piece_ids, "")  # keyed by the piece itself
+        self._ids = _Table(pieces, self._piece_ids, " ", self._raw)  # keyed by the piece without its leading blank
 
     def _tokens(self, piece: str) -> list:
         if piece[:1] == " " and (word := piece[1:]).isascii() and word.isalpha():
@@ -122,11 +124,11 @@ class PieceEncoder:
         return b"".join([self._ids[p[1:]] if p[0] == " " and p[1:2] not in ("", " ", "\n", "\t", "\r") else self._raw[p] for p in pieces])
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, pieces: int = PIECES) -> PieceEncoder:
     """The worker's encoder for a vocabulary file; workers are reused, so its table of pieces serves many tasks."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, pieces) not in _encoders:
+        _encoders[path, pieces] = PieceEncoder(path, pieces)
+    return _encoders[path, pieces]

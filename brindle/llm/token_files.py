@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, map_batches, shared_dir, small_batches, stored, text_of
-from .pieces import PieceEncoder, encoder
+from .pieces import PIECES, PieceEncoder, encoder
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 18
@@ -70,11 +70,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return raw.reshape(-1).view("<u4")[:n]
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """key, n_tokens and the compressed ids of each whole text, with the end id."""
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, pieces: int = PIECES) -> DataFrame:
+    """key, n_tokens and the compressed ids of each whole text, with the end id. pieces: see encoder()."""
 
     def run(b: dict) -> dict:
-        e = encoder(path)
+        e = encoder(path, pieces)
         end = np.array([end_id], e.dtype).tobytes()
         press = zstandard.ZstdCompressor(level=1)
         raw = [e.ids(x) + end for x in b["__text"].to_pylist()]
@@ -160,7 +160,7 @@ def read_blocks(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
     return blocks.mapInArrow(run, "part int, block int, place int, key long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", folder: str | None = None, pieces: int = PIECES) -> DataFrame:
     """Encode docs, write the files and read them back: key, start, n_tokens, ids_crc32 of each document.
 
     start is the number of ids of all documents before it. Parts are summed first, so that the running sum over all parts
@@ -168,7 +168,7 @@ def token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     """
     spark = docs.sparkSession
     own: PieceEncoder = encoder(path)
-    encoded = stored(encode(docs, path, key, text), "token-ids", compression="none")
+    encoded = stored(encode(docs, path, key, text, pieces=pieces), "token-ids", compression="none")
     by_rank = frequency_ranks(encoded, own.size, own.dtype)
     folder = folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_blocks(encoded, by_rank, own.dtype, folder)

@@ -30,7 +30,7 @@ _WIDTH = 1 + len(PREFIXES)
 class _Terms(dict):
     """Word to a row of term ids; the rows of a bounded number of words are kept."""
 
-    LIMIT = 1 << 17
+    LIMIT = 1 << 16
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         core = word.strip(STRIP) or word
