@@ -42,7 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the shared folder; the result is what their documents decode to."""
-    return token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # workers hold the tables of the stages before too, so this one keeps fewer pieces
+    return token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), pieces=1 << 17)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
