@@ -113,7 +113,12 @@ def occurrences(rows: DataFrame, stems: Sequence[str], ident: str, text: str = "
     texts are cut into words."""
     # a stem ends otherwise than its word in the last letter at most, y for ies
     begins = [F.contains(F.lower(F.col(text)), F.lit(t[: max(1, len(t) - 1)])) for t in stems]
-    found = rows.where(all_of(*begins)).select(F.col(ident).alias("id"), F.filter(lexemes(F.col(text), stem), lambda p: p["term"].isin(*stems)).alias("at"))
+    # of all words only those that begin like a stem are looked at closely; explode keeps Spark from doing it all twice
+    near = lambda w: reduce(lambda a, b: a | b, [w.startswith(t[: max(1, len(t) - 1)]) for t in stems])
+    placed = F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}]+)")), lambda w, i: F.struct((i + 1).alias("pos"), w.alias("word")))
+    kept = F.filter(placed, lambda p: near(p["word"]) & ~p["word"].isin(*STOP_WORDS))
+    at = F.filter(F.transform(kept, lambda p: F.struct(p["pos"].alias("pos"), stem(p["word"]).alias("term"))), lambda p: p["term"].isin(*stems))
+    found = rows.where(all_of(*begins)).select(F.col(ident).alias("id"), F.explode(F.array(at)).alias("at"))
     return found.where(F.size(F.array_distinct(F.transform("at", lambda p: p["term"]))) == len(stems)).select("id", F.inline("at"))
 
 
@@ -215,8 +220,8 @@ def fixed_chunks(rows: DataFrame, ident: str, text: str = "text", size: int = 51
     """Windows of `size` words without overlap; an empty text is one empty chunk with the count 1."""
     w = words(F.coalesce(F.col(text), F.lit("")))
     starts = F.sequence(F.lit(0), F.greatest(F.size("__w") - 1, F.lit(0)), F.lit(size))
-    # slices are made before the explode, so that no row carries the words of the whole text
+    # explode of one array keeps Spark from splitting the text for every slice; slices come before the next, so that no row carries the words of the whole text
     parts = F.transform(starts, lambda at: F.slice("__w", at + 1, size))
     chunks = F.transform(parts, lambda p: F.struct(F.array_join(p, " ").alias("chunk_text"), F.greatest(F.size(p), F.lit(1)).alias("token_count")))
-    split = rows.select(F.col(ident).alias("parent_id"), w.alias("__w")).select("parent_id", chunks.alias("__c"))
+    split = rows.select(F.col(ident).alias("parent_id"), F.explode(F.array(w)).alias("__w")).select("parent_id", chunks.alias("__c"))
     return split.select("parent_id", F.posexplode("__c").alias("chunk_index", "c")).select("parent_id", "chunk_index", "c.chunk_text", "c.token_count")
