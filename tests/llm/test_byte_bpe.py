@@ -25,7 +25,7 @@ def library():
 
 def odd_texts():
     rng = random.Random(12)
-    made = ["".join(rng.choice("'''''stmdrvle  \n\t  abS1²!.-é中😀\x00\x1ćſ") for _ in range(rng.randint(0, 30))) for _ in range(8000)]
+    made = ["".join(rng.choice("'''''stmdrvle  \n\t  abS1²!.-é中😀\x00\x1c\u0107\u017f") for _ in range(rng.randint(0, 30))) for _ in range(8000)]
     return [*made, "", " ", "  ", "a  ", "it's we'll they'RE 'rest 'll'll''s", "x" * 5000, "ab" * 3000, "'" * 700, " " * 999, "\n" * 10 + "a", "<|endoftext|>"]
 
 
