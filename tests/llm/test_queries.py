@@ -397,7 +397,7 @@ def fixity_record(key, url, html):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     wanted = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in wanted.description]
