@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, filter_audit, fixity, media, mixing, near_dup, pii, token_counts, token_files, tool_calls, toxicity
+from . import byte_bpe, decontaminate, filter_audit, fixity, media, mixing, near_dup, pii, token_counts, token_files, tool_calls, toxicity, whitening
 from .common import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,5 +86,5 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_tool_calls, op2_merkle_fixity, op3_token_files, op4_wav_fingerprints, op5_token_counts, op6_decontaminate, op7_personal_data, op8_near_dup, op9_mixing, op10_toxicity_fm, op12_byte_bpe, op13_filter_audit)}
+QUERIES |= {f.__name__: f for f in (op1_tool_calls, op2_merkle_fixity, op3_token_files, op4_wav_fingerprints, op5_token_counts, op6_decontaminate, op7_personal_data, op8_near_dup, op9_mixing, op10_toxicity_fm, op11_embedding_whitening, op12_byte_bpe, op13_filter_audit)}
 ORACLES |= {"op1_tool_calls": tool_calls.SQL, "op2_merkle_fixity": fixity.SQL, "op9_mixing": mixing.SQL, "op13_filter_audit": filter_audit.SQL}
