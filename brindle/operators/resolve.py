@@ -33,7 +33,17 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/resolve-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables that saved() made and nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_window(a: Column, b: Column, hours: int = WINDOW_HOURS) -> Column:
@@ -84,7 +94,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         spread = label.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("story", F.coalesce("m", "story")).alias("story"))
         jump = spread.join(spread.select(F.col("id").alias("story"), F.col("story").alias("j")), "story", "left").select("id", F.least("story", F.coalesce("j", "story")).alias("story"))
         after = saved(jump)
-        if after.join(label.withColumnRenamed("story", "old"), "id").where("story <> old").isEmpty():
+        same = after.join(label.withColumnRenamed("story", "old"), "id").where("story <> old").isEmpty()
+        dropped(label)
+        if same:
+            dropped(both)
             return after
         label = after
 

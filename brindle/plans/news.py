@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as X
-from brindle.operators import resolve, rules, state
+from brindle.operators import matching, resolve, rules, state
 from brindle.plans.catalog import query, table
+from brindle.streaming import stories as kept_stories
 
 _ITEMS = """items AS (SELECT doc_id AS id, source, (DATE '2024-01-01' + (doc_id % 30)::INT)::DATE AS day, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS block, substr(text, 1, 40) AS title, text AS blurb FROM documents)"""
 _STORY = f"""{_ITEMS}, st AS (SELECT block AS story, min(day) AS first_seen, max(day) AS last_seen, list_sort(list_distinct(list(source))) AS sources, count(*) AS item_count, count(DISTINCT source) > 1 AS is_big FROM items GROUP BY 1)"""
@@ -159,3 +162,48 @@ def upsert_latest_wins(spark, d):
 def replace_children(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
     return state.replace_children(turns, turns.where("conv_id % 3 = 0 AND turn < 2").withColumn("role", F.lit("new")), "conv_id")
+
+
+#: Titles are the first 90 characters; near copies among the documents have other words there. The verdict: true from 0.6 on,
+#: or on the same day; of the rest it isn't known.
+_TITLED = r"""titled AS (SELECT doc_id AS id, source, (DATE '2024-01-01' + (doc_id % 30)::INT)::DATE AS day, list_sort(list_distinct(regexp_extract_all(lower(substr(text, 1, 90)), '[\p{L}\p{N}]+'))) AS words FROM documents),
+  met AS (SELECT l.id AS a, r.id AS b, l.day = r.day AS same_day, len(list_intersect(l.words, r.words)) / (len(l.words) + len(r.words) - len(list_intersect(l.words, r.words))) AS similarity
+    FROM titled l JOIN titled r ON l.id < r.id AND l.source <> r.source AND abs(date_diff('day', l.day, r.day)) <= 2 AND len(l.words) > 0 AND len(r.words) > 0),
+  judged AS (SELECT a, b, similarity, CASE WHEN similarity >= 0.6 OR same_day THEN true END AS answer FROM met WHERE similarity >= 0.5)"""
+_MATCHED = f"""WITH RECURSIVE {_TITLED}, g AS (SELECT a, b FROM judged WHERE answer UNION ALL SELECT b, a FROM judged WHERE answer),
+  walk AS (SELECT id, id AS story FROM titled UNION SELECT g.b AS id, walk.story FROM walk JOIN g ON walk.id = g.a)
+  SELECT id, min(story) AS story FROM walk GROUP BY id"""
+
+
+def _titled(spark, d):
+    return _items(spark, d).select("id", "source", "day", F.substring("blurb", 1, 90).alias("title"))
+
+
+def _same_story(left, right, similarity):
+    return F.when((similarity >= 0.6) | (left["day"] == right["day"]), True)
+
+
+@query(_MATCHED)
+def story_match(spark, d):
+    """Stories of items whose titles are similar, not equal: set-similarity join, verdicts, components."""
+    items = _titled(spark, d)
+    return matching.matched_stories(items, matching.decisions(items, _same_story))
+
+
+@query(
+    f"""WITH {_TITLED}, node AS (SELECT words, source, day, min(id) AS node FROM titled GROUP BY ALL), n AS (SELECT id, node FROM titled JOIN node USING (words, source, day))
+    SELECT least(x.node, y.node) AS a, greatest(x.node, y.node) AS b, any_value(similarity) AS similarity, any_value(answer) AS answer FROM judged JOIN n x ON x.id = a JOIN n y ON y.id = b GROUP BY 1, 2"""
+)
+def story_decisions(spark, d):
+    """The verdict on every similar pair, unknown ones too; equal items of one day and source count once."""
+    return matching.decisions(_titled(spark, d), _same_story)
+
+
+@query(_MATCHED)
+def stream_stories(spark, d):
+    """The same stories, kept up over four batches of a stream."""
+    folder = f"{resolve.shared_folder(spark)}/stories-{uuid.uuid4().hex}"
+    _titled(spark, d).repartitionByRange(4, "id").write.parquet(f"{folder}/feed")
+    feed = spark.readStream.schema("id long, source string, day date, title string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
+    kept_stories.keep_stories(feed, folder, _same_story).awaitTermination()
+    return kept_stories.stories(spark, folder).select("id", "story")
