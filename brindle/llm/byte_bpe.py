@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 from base64 import b64decode
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import tiktoken
@@ -41,10 +42,10 @@ _LETTERS = (LETTER, ONE, R_V, ELL, E)
 (NONE, WORD, DIGITS, SIGNS, SPACE, WIDE, MARK, MARK_R_V, MARK_L, ENDING) = range(10)
 _STATES = 10
 #: Code points that are pre-tokenised at once, and the length of the scan's blocks.
-BATCH_POINTS = 1 << 21
+BATCH_POINTS = 1 << 18
 BLOCK = 256
-#: Matches that a worker keeps, some 50 MB.
-KEPT = 1 << 18
+#: Matches that a worker keeps, some 40 MB.
+KEPT = 3 << 16
 #: Bytes of a match up to which its pairs are looked through again and again.
 SHORT = 64
 
@@ -268,6 +269,10 @@ def grouped(texts: list[str], points: int = BATCH_POINTS) -> Iterator[list[str]]
         yield group
 
 
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{key}`").cast("long").alias("__key"), text_of(text).alias("__text"))
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", kept: int = KEPT) -> DataFrame:
     """key, n_tokens, ids and offsets (little-endian unsigned 32-bit integers; the last offset is the end) of whole texts."""
 
@@ -276,21 +281,29 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         ids = [x for group in grouped(b["__text"].to_pylist()) for x in own.encode(group)]
         return {"key": b["__key"], "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids], "offsets": [own.offsets(x).astype("<u4").tobytes() for x in ids]}
 
-    found = map_batches(docs.select(F.col(f"`{key}`").cast("long").alias("__key"), text_of(text).alias("__text")), run, "key long, n_tokens long, ids binary, offsets binary")
-    return found.withColumnRenamed("key", key)
+    return map_batches(_rows(docs, key, text), run, "key long, n_tokens long, ids binary, offsets binary").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """encoded with the decoded bytes as a column `bytes`."""
+    """key and the text of rows of encode()."""
 
     def run(b: dict) -> dict:
         own = codec(path)
         pairs = zip(b["ids"].to_pylist(), b["offsets"].to_pylist(), strict=True)
-        return {n: b[n] for n in ("key", "n_tokens", "ids", "offsets")} | {"bytes": [own.decode(np.frombuffer(i, "<u4"), np.frombuffer(o, "<u4").astype(np.int64)).tobytes() for i, o in pairs]}
+        return {"key": b["key"], "text": [own.decode(np.frombuffer(i, "<u4"), np.frombuffer(o, "<u4").astype(np.int64)).tobytes().decode() for i, o in pairs]}
+
+    return map_batches(encoded.withColumnRenamed(key, "key"), run, "key long, text string").withColumnRenamed("key", key)
 
-    return map_batches(encoded.withColumnRenamed(key, "key"), run, "key long, n_tokens long, ids binary, offsets binary, bytes binary").withColumnRenamed("key", key)
 
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", kept: int = KEPT) -> DataFrame:
+    """key, n_tokens and checksums of the ids and of what they decode to. Texts are encoded and decoded in one pass, since a
+    second one would hold the ranks in further Python workers."""
+
+    def run(b: dict) -> dict:
+        own, out = codec(path, kept), []
+        for group in grouped(b["__text"].to_pylist()):
+            for ids in own.encode(group):
+                out.append((len(ids), sha256(ids.tobytes()).hexdigest(), sha256(own.decode(ids, own.offsets(ids)).tobytes()).hexdigest()))
+        return {"key": b["__key"]} | {n: [r[k] for r in out] for k, n in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
 
-def digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Checksums of ids and bytes."""
-    return decoded.select(key, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return map_batches(_rows(docs, key, text), run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

@@ -78,8 +78,7 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), path), path))
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,13 +82,17 @@ def test_nulls_repeats_long_texts_and_clashing_columns(spark, library):
     long = " ".join(f"word{i % 977}'s über{i % 31}" for i in range(30_000))
     rows = [(1, "it's"), (2, None), (3, ""), (1, "it's"), (None, "no id"), (5, long)]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS key", "'x' AS ids", "2 AS bytes", "3 AS n_tokens", "4 AS __text")
-    got = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, PATH), PATH)).collect()
+    got = byte_bpe.digests(docs, PATH).collect()
     wanted = []
     for key, text in rows:
         ids = library.encode_ordinary(text or "")
         wanted.append((key, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str)
-    assert byte_bpe.decode(byte_bpe.encode(docs.where("false"), PATH), PATH).count() == 0
+    stored = byte_bpe.encode(docs, PATH)
+    assert sorted(map(tuple, byte_bpe.decode(stored, PATH).collect()), key=str) == sorted(((k, t or "") for k, t in rows), key=str)
+    for r in stored.collect():
+        assert r.n_tokens == len(r.ids) // 4 == len(r.offsets) // 4 - 1
+    assert byte_bpe.decode(byte_bpe.encode(docs.where("false"), PATH), PATH).count() == 0 == byte_bpe.digests(docs.where("false"), PATH).count()
 
 
 def test_whole_table(spark, library):
