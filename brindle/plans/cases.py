@@ -10,7 +10,7 @@ from brindle.functions import text as X
 from brindle.operators import feed, metrics, resolve, rules, search, state, workflow
 from brindle.plans.catalog import query, table
 from brindle.sources import bank
-from brindle.streaming import feeds
+from brindle.streaming import keyed
 
 _NEWS = """n AS (SELECT doc_id AS id, source, (DATE '2024-01-01' + (doc_id % 30)::INT)::DATE AS day, CASE WHEN doc_id % 4 <> 0 THEN 's' || (doc_id % 97) END AS story, doc_id % 12 AS position FROM documents)"""
 
@@ -320,14 +320,16 @@ def streaming_once_ever(spark, d):
     """Users as keys of a stream, each announced once."""
     source = table(spark, d, "events").select("user_id")
     stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select("user_id")
-    return _ran(spark, feeds.once_ever(stream, "user_id"), source.schema, "append").agg(F.count("*").alias("n"))
+    keyed.with_store(spark)
+    return _ran(spark, keyed.once(stream, "user_id"), source.schema, "append").agg(F.count("*").alias("n"))
 
 
 @query("SELECT min(day) AS day, user_id FROM (SELECT user_id, ts::DATE AS day FROM events) GROUP BY user_id")
 def streaming_first_starts(spark, d):
     """Starts of every user, of which one in a long time is let through: the first."""
+    keyed.with_store(spark)
     stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    found = feeds.rate_limit_stream(stream, "user_id", "ts", 1, 1e12)
+    found = keyed.rate_limit_stream(stream, "user_id", "ts", 1, 1e12)
     rows = _ran(spark, found, "u long, t double, allowed boolean", "append").where("allowed")
     return rows.select(F.to_date(F.timestamp_seconds("t")).alias("day"), F.col("u").alias("user_id"))
 

@@ -1,13 +1,12 @@
-"""Polling jobs as Structured Streaming: cursors with overlap, once-ever keys, rate limits, windows, deliveries."""
+"""Polling jobs as Structured Streaming: cursors with overlap, rate limits, windows, deliveries. Keyed state is in keyed.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.operators.rules import delivery
 
@@ -44,48 +43,36 @@ def allowed(times: list[float], most: int, seconds: float, before: list[float])
 
 
 def rate_limited(rows: DataFrame, user: str, time: str, most: int = 5, seconds: float = 3600) -> DataFrame:
-    """Batch form: user, time, allowed. The decisions of a user follow each other, so they are one group's."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        pdf["allowed"], _ = allowed(pdf["t"].tolist(), most, seconds, [])
-        return pdf[["u", "t", "allowed"]]
+    """Batch form: user, time, allowed.
 
+    A start that follows the one before after `seconds` or more finds an empty window, so the starts between two such gaps are
+    decided by themselves, wherever they are; within them a task goes through sorted rows and holds `most` starts at a time.
+    """
     seconds_of = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
-    return rows.select(F.col(user).cast("long").alias("u"), seconds_of.alias("t")).groupBy("u").applyInPandas(one, "u long, t double, allowed boolean").withColumnsRenamed({"u": user, "t": time})
-
-
-def rate_limit_stream(feed: DataFrame, user: str, time: str, most: int = 5, seconds: float = 3600) -> DataFrame:
-    """Stream form; the state of a user holds the allowed starts of the last hour only."""
-
-    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = list(state.get[0]) if state.exists else []
-        times = sorted(t for b in batches for t in b["t"].tolist())
-        out, kept = allowed(times, most, seconds, before)
-        state.update((kept,))
-        yield pd.DataFrame({"u": [key[0]] * len(times), "t": times, "allowed": out})
-
-    rows = feed.select(F.col(user).cast("long").alias("u"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("t"))
-    return rows.groupBy("u").applyInPandasWithState(one, "u long, t double, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def once_ever(feed: DataFrame, key: str) -> DataFrame:
-    """Keys that were never seen, across restarts: the state is kept in the query's checkpoint."""
+    order = Window.partitionBy("u").orderBy("t")
+    gap = F.coalesce(F.col("t") - F.lag("t").over(order) >= seconds, F.lit(True))
+    each = rows.select(F.col(user).cast("long").alias("u"), seconds_of.alias("t")).withColumn("run", F.sum(gap.cast("long")).over(order))
 
-    def one(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, kept = None, []
         for b in batches:
-            if not state.exists and len(b):
-                state.update((True,))
-                yield b.head(1)
+            out = []
+            for u, n, t in zip(b["u"], b["run"], b["t"], strict=True):
+                if (u, n) != at:
+                    at, kept = (u, n), []
+                ok, kept = allowed([t], most, seconds, kept)
+                out += ok
+            yield pd.DataFrame({"u": b["u"], "t": b["t"], "allowed": out})
 
-    return feed.groupBy(key).applyInPandasWithState(one, feed.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    dealt = each.repartition("u", "run").sortWithinPartitions("u", "run", "t")
+    return dealt.mapInPandas(run, "u long, t double, allowed boolean").withColumnsRenamed({"u": user, "t": time})
 
 
 def deliver(pending: DataFrame, send: Callable[[pd.Series], pd.Series], most: int = 5) -> DataFrame:
-    """One attempt for each pending row: its new status and attempts. send: texts to response codes, in batches."""
+    """One attempt for each pending row: its new status and attempts, whatever the answer. send: texts to response codes, in batches."""
     code = F.pandas_udf(lambda t: send(t), "int", functionType=200)(F.col("text"))
     tried = pending.withColumn("code", F.when(F.col("status") == "pending", code))
-    counted = F.col("attempts") + F.when((F.col("status") == "pending") & (F.col("code") != 429), 1).otherwise(0)
+    counted = F.col("attempts") + F.when(F.col("status") == "pending", 1).otherwise(0)
     return tried.select("id", delivery(F.col("status"), F.col("attempts"), F.col("code"), most).alias("status"), counted.alias("attempts"))
 
 

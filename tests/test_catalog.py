@@ -43,8 +43,8 @@ def test_matches_sql(spark, sql, name):
     assert a == b
 
 
-def test_all_but_five_have_sql():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"invoice_assignment", "item_match_title", "rate_limit_sliding_hour", "rfc822_parse", "sec_table_extract"}
+def test_all_but_four_have_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"invoice_assignment", "item_match_title", "rfc822_parse", "sec_table_extract"}
 
 
 def test_invoice_assignment_by_a_loop(spark):
@@ -79,16 +79,6 @@ def test_title_matches_by_a_loop(spark):
     assert {tuple(r) for r in catalog.QUERIES["item_match_title"](spark, SF).select("group", "expected_idx", "actual_idx", "ratio").collect()} == wanted
 
 
-def test_rate_limit_by_a_loop(spark):
-    events, kept, wanted = spark.read.parquet(f"{SF}/events.parquet").collect(), {}, []
-    for r in sorted(events, key=lambda r: r.ts):
-        ok = r.user_id not in kept or (r.ts - kept[r.user_id]).total_seconds() >= 3600
-        kept |= {r.user_id: r.ts} if ok else {}
-        wanted.append((r.user_id, ok))
-    got = catalog.QUERIES["rate_limit_sliding_hour"](spark, SF).collect()
-    assert sorted((r.user_id, r.allowed) for r in got) == sorted(wanted)
-
-
 def test_mails_by_their_parts(spark):
     turns = {f"{r.conv_id}/{r.turn}": r for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
     got = catalog.QUERIES["rfc822_parse"](spark, SF).collect()
