@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.stem import english
 from brindle.functions.text import local_date, words
 
 CANDIDATES, TOP, RRF_K, RADIUS = 50, 10, 60, 1
@@ -75,13 +76,19 @@ STOP_WORDS = (
     "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can",
     "will", "just", "don", "should", "now",
 )
+#: Of an array of words to that of their stems. A stem may end otherwise than its word in the last TAIL letters only.
 Stemmer = Callable[[Column], Column]
+TAIL = 2
 
 
-def light_stem(word: Column) -> Column:
-    """Plurals to singulars; the default of the pluggable stemmer."""
-    cut = lambda n, end="": F.concat(F.substr(word, F.lit(1), F.length(word) - n), F.lit(end))
-    return F.when(word.rlike("[^ea]ies$"), cut(3, "y")).when(word.rlike("[^aeo]es$"), cut(1)).when(word.rlike("[^us]s$"), cut(1)).otherwise(word)
+def light_stem(words: Column) -> Column:
+    """Plurals to singulars: a stemmer without Python, for other languages than English."""
+
+    def one(word: Column) -> Column:
+        cut = lambda n, end="": F.concat(F.substr(word, F.lit(1), F.length(word) - n), F.lit(end))
+        return F.when(word.rlike("[^ea]ies$"), cut(3, "y")).when(word.rlike("[^aeo]es$"), cut(1)).when(word.rlike("[^us]s$"), cut(1)).otherwise(word)
+
+    return F.transform(words, one)
 
 
 def query_terms(query: str, stop: Sequence[str] = STOP_WORDS) -> list[str]:
@@ -89,36 +96,42 @@ def query_terms(query: str, stop: Sequence[str] = STOP_WORDS) -> list[str]:
     return [w for w in dict.fromkeys(re.findall(r"[^\W_]+", query.lower())) if w not in stop]
 
 
-def stems_of(spark: SparkSession, query: str, stem: Stemmer = light_stem) -> list[str]:
+def stems_of(spark: SparkSession, query: str, stem: Stemmer = english) -> list[str]:
     """The distinct stems of a query's terms."""
     terms = query_terms(query)
-    return list(dict.fromkeys(spark.range(1).select(F.array(*[stem(F.lit(t)) for t in terms])).first()[0])) if terms else []
+    return list(dict.fromkeys(spark.range(1).select(stem(F.array(*map(F.lit, terms)))).first()[0])) if terms else []
 
 
-def lexemes(text: Column, stem: Stemmer = light_stem) -> Column:
-    """Stems of all words with their places, from 1; stop words keep their place and are left out."""
+def _stemmed(placed: Column, stem: Stemmer) -> Column:
+    """pos and term of an array of (pos, word)."""
+    return F.zip_with(placed, stem(F.transform(placed, lambda p: p["word"])), lambda p, t: F.struct(p["pos"].alias("pos"), t.alias("term")))
+
+
+def _placed(text: Column) -> Column:
     found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)")), lambda w, i: F.struct((i + 1).alias("pos"), w.alias("word")))
-    kept = F.filter(found, lambda p: ~p["word"].isin(*STOP_WORDS))
-    return F.transform(kept, lambda p: F.struct(p["pos"].alias("pos"), stem(p["word"]).alias("term")))
+    return F.filter(found, lambda p: ~p["word"].isin(*STOP_WORDS))
+
+
+def lexemes(text: Column, stem: Stemmer = english) -> Column:
+    """Stems of all words with their places, from 1; stop words keep their place and are left out."""
+    return _stemmed(_placed(text), stem)
 
 
-def postings(rows: DataFrame, ident: str, text: str = "text", stem: Stemmer = light_stem) -> DataFrame:
+def postings(rows: DataFrame, ident: str, text: str = "text", stem: Stemmer = english) -> DataFrame:
     """term, id, positions: the index. Written once, partitioned by term, it serves queries without the texts."""
     each = rows.select(F.col(ident).alias("id"), F.explode(lexemes(F.col(text), stem)).alias("p"))
     return each.groupBy(F.col("p.term").alias("term"), "id").agg(F.array_sort(F.collect_list("p.pos")).alias("positions"))
 
 
-def occurrences(rows: DataFrame, stems: Sequence[str], ident: str, text: str = "text", stem: Stemmer = light_stem) -> DataFrame:
+def occurrences(rows: DataFrame, stems: Sequence[str], ident: str, text: str = "text", stem: Stemmer = english) -> DataFrame:
     """id, pos and term of the given stems in the texts that have the beginnings of all of them, without an index. Only these
     texts are cut into words."""
-    # a stem ends otherwise than its word in the last letter at most, y for ies
-    begins = [F.contains(F.lower(F.col(text)), F.lit(t[: max(1, len(t) - 1)])) for t in stems]
-    # of all words only those that begin like a stem are looked at closely; explode keeps Spark from doing it all twice
-    near = lambda w: reduce(lambda a, b: a | b, [w.startswith(t[: max(1, len(t) - 1)]) for t in stems])
-    placed = F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}]+)")), lambda w, i: F.struct((i + 1).alias("pos"), w.alias("word")))
-    kept = F.filter(placed, lambda p: near(p["word"]) & ~p["word"].isin(*STOP_WORDS))
-    at = F.filter(F.transform(kept, lambda p: F.struct(p["pos"].alias("pos"), stem(p["word"]).alias("term"))), lambda p: p["term"].isin(*stems))
-    found = rows.where(all_of(*begins)).select(F.col(ident).alias("id"), F.explode(F.array(at)).alias("at"))
+    heads = [t[: max(1, len(t) - TAIL)] for t in stems]
+    begins = [F.contains(F.lower(F.col(text)), F.lit(h)) for h in heads]
+    # of all words only those that begin like a stem are stemmed; explode keeps Spark from doing it all twice
+    near = F.filter(_placed(F.col(text)), lambda p: reduce(lambda a, b: a | b, [p["word"].startswith(h) for h in heads]))
+    few = rows.where(all_of(*begins)).select(F.col(ident).alias("id"), F.explode(F.array(near)).alias("near"))
+    found = few.select("id", _stemmed(F.col("near"), stem).alias("at")).select("id", F.explode(F.array(F.filter("at", lambda p: p["term"].isin(*stems)))).alias("at"))
     return found.where(F.size(F.array_distinct(F.transform("at", lambda p: p["term"]))) == len(stems)).select("id", F.inline("at"))
 
 
@@ -139,7 +152,7 @@ def cover_density(found: DataFrame, stems: Sequence[str]) -> DataFrame:
     return fresh.groupBy("id").agg(F.sum(F.lit(0.1) / (1 + noise)).alias("score"))
 
 
-def fulltext_topk(rows: DataFrame, query: str, ident: str, text: str = "text", k: int = CANDIDATES, stem: Stemmer = light_stem) -> DataFrame:
+def fulltext_topk(rows: DataFrame, query: str, ident: str, text: str = "text", k: int = CANDIDATES, stem: Stemmer = english) -> DataFrame:
     """Rows that have all of the query's terms, by cover density. A query of stop words only finds nothing."""
     stems = stems_of(rows.sparkSession, query, stem)
     if not stems:
@@ -147,7 +160,7 @@ def fulltext_topk(rows: DataFrame, query: str, ident: str, text: str = "text", k
     return ranked(cover_density(occurrences(rows, stems, ident, text, stem), stems), F.round("score", 6), "id", k)
 
 
-def indexed_topk(index: DataFrame, query: str, k: int = CANDIDATES, stem: Stemmer = light_stem) -> DataFrame:
+def indexed_topk(index: DataFrame, query: str, k: int = CANDIDATES, stem: Stemmer = english) -> DataFrame:
     """fulltext_topk over postings(): only the lists of the query's terms are read."""
     stems = stems_of(index.sparkSession, query, stem)
     if not stems:

@@ -4,16 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brindle.functions import stem
 from brindle.operators import search
 from brindle.operators.resolve import saved
 from brindle.plans.catalog import query, table
 
 _SEM = """SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank, score FROM (
   SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings {where}) ORDER BY score DESC, vec_id LIMIT {k}"""
-_STEM = "CASE WHEN regexp_matches(w, '[^ea]ies$') THEN left(w, -3) || 'y' WHEN regexp_matches(w, '[^aeo]es$') OR regexp_matches(w, '[^us]s$') THEN left(w, -1) ELSE w END"
 _PLACES = "SELECT doc_id AS id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents)"
 
 
+def _stems() -> str:
+    """SQL of w and term: the Porter2 steps over the distinct words, one after the other. x: the word so far, with Y for a y
+    that is no vowel; p1, p2: where R1 and R2 begin."""
+    region = "'^[^aeiouy]*[aeiouy]+[^aeiouy]'"
+    short = "'([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$'"
+    fixed = lambda pairs: " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs)
+    second, third = ("|".join(sorted(m, key=len, reverse=True)) for m in (stem.SECOND, stem.THIRD))
+    cut = "length(x) - length(e) + 1"
+    return f"""words AS (SELECT DISTINCT w FROM ({_PLACES})),
+    a AS (SELECT w, regexp_replace(CASE WHEN left(w, 1) = 'y' THEN 'Y' || substr(w, 2) ELSE w END, '([aeiouy])y', '\\1Y', 'g') AS x FROM words WHERE length(w) > 2 AND w NOT IN ({", ".join(repr(k) for k in stem.SPECIAL)})),
+    b AS (SELECT w, x, CASE WHEN regexp_matches(x, '^({"|".join(stem.LEADS)})') THEN length(regexp_extract(x, '^({"|".join(stem.LEADS)})')) + 1
+      WHEN regexp_matches(x, {region}) THEN length(regexp_extract(x, {region})) + 1 ELSE length(x) + 1 END AS p1 FROM a),
+    c AS (SELECT w, x, p1, CASE WHEN regexp_matches(substr(x, p1), {region}) THEN p1 + length(regexp_extract(substr(x, p1), {region})) ELSE length(x) + 1 END AS p2 FROM b),
+    plural AS (SELECT w, p1, p2, CASE WHEN x LIKE '%sses' THEN left(x, -2) WHEN regexp_matches(x, '(ied|ies)$') THEN CASE WHEN length(x) > 4 THEN left(x, -2) ELSE left(x, -1) END
+      WHEN regexp_matches(x, '(us|ss)$') THEN x WHEN regexp_matches(x, '[aeiouy].+s$') THEN left(x, -1) ELSE x END AS x FROM c),
+    past AS (SELECT w, p1, p2, x, regexp_extract(x, '(eedly|ingly|edly|eed|ing|ed)$') AS e FROM plural WHERE x NOT IN {stem.FINISHED}),
+    cut AS (SELECT w, p1, p2, CASE WHEN e LIKE 'eed%' THEN CASE WHEN {cut} >= p1 THEN left(x, length(x) - length(e) + 2) ELSE x END ELSE x END AS x,
+      CASE WHEN e <> '' AND e NOT LIKE 'eed%' AND regexp_matches(left(x, length(x) - length(e)), '[aeiouy]') THEN left(x, length(x) - length(e)) END AS r FROM past),
+    mended AS (SELECT w, p1, p2, CASE WHEN r IS NULL THEN x WHEN regexp_matches(r, '(at|bl|iz)$') THEN r || 'e' WHEN regexp_matches(r, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(r, -1)
+      WHEN p1 > length(r) AND regexp_matches(r, {short}) THEN r || 'e' ELSE r END AS x FROM cut),
+    ys AS (SELECT w, p1, p2, CASE WHEN regexp_matches(x, '.[^aeiouy][yY]$') THEN left(x, -1) || 'i' ELSE x END AS x FROM mended),
+    s2 AS (SELECT *, regexp_extract(x, '({second})$') AS e FROM ys),
+    t2 AS (SELECT w, p1, p2, CASE WHEN e = '' OR {cut} < p1 OR e = 'ogi' AND x NOT LIKE '%logi' OR e = 'li' AND NOT regexp_matches(x, '[cdeghkmnrt]li$') THEN x ELSE left(x, length(x) - length(e)) || CASE e {fixed(stem.SECOND.items())} END END AS x FROM s2),
+    s3 AS (SELECT *, regexp_extract(x, '({third})$') AS e FROM t2),
+    t3 AS (SELECT w, p1, p2, CASE WHEN e = '' OR {cut} < p1 OR e = 'ative' AND {cut} < p2 THEN x ELSE left(x, length(x) - length(e)) || CASE e {fixed(stem.THIRD.items())} END END AS x FROM s3),
+    s4 AS (SELECT *, regexp_extract(x, '({"|".join(sorted(stem.FOURTH, key=len, reverse=True))})$') AS e FROM t3),
+    t4 AS (SELECT w, p1, p2, CASE WHEN e = '' OR {cut} < p2 OR e = 'ion' AND NOT regexp_matches(x, '[st]ion$') THEN x ELSE left(x, length(x) - length(e)) END AS x FROM s4),
+    t5 AS (SELECT w, CASE WHEN x LIKE '%e' AND (length(x) >= p2 OR length(x) >= p1 AND NOT regexp_matches(left(x, -1), {short})) OR x LIKE '%ll' AND length(x) >= p2 THEN left(x, -1) ELSE x END AS x FROM t4),
+    stems AS (SELECT w, lower(x) AS term FROM t5 UNION ALL SELECT w, x FROM plural WHERE x IN {stem.FINISHED} UNION ALL SELECT w, w FROM words WHERE length(w) <= 2
+      UNION ALL SELECT w, CASE w {fixed(stem.SPECIAL.items())} END FROM words WHERE w IN ({", ".join(repr(k) for k in stem.SPECIAL)}))"""
+
+
+_TERMS = f"(WITH {_stems()} SELECT id, pos, w, term FROM ({_PLACES}) JOIN stems USING (w))"
+
+
 def _cover(a: str, b: str) -> str:
     """SQL of id and score by cover density for two stems."""
     last = lambda t, what: f"last_value(CASE WHEN term = '{t}' THEN {what} END IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos)"
@@ -21,7 +56,7 @@ def _cover(a: str, b: str) -> str:
       SELECT *, lag(s) OVER (PARTITION BY id ORDER BY pos) AS earlier FROM (
         SELECT id, pos, rn, least(pa, pb) AS s, CASE WHEN pa < pb THEN ra ELSE rb END AS rs FROM (
           SELECT id, pos, rn, {last(a, "pos")} AS pa, {last(b, "pos")} AS pb, {last(a, "rn")} AS ra, {last(b, "rn")} AS rb FROM (
-            SELECT id, pos, term, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM (SELECT id, pos, {_STEM} AS term FROM ({_PLACES})) WHERE term IN ('{a}', '{b}')))
+            SELECT id, pos, term, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM {_TERMS} WHERE w NOT IN ({', '.join(repr(w) for w in search.STOP_WORDS)}) AND term IN ('{a}', '{b}')))
         WHERE pa IS NOT NULL AND pb IS NOT NULL))
       WHERE earlier IS NULL OR earlier <> s GROUP BY id"""
 
@@ -124,7 +159,7 @@ def fulltext_index_topk(spark, d):
     return search.indexed_topk(index, _QUERY)
 
 
-@query(f"SELECT id AS doc_id, term, array_to_string(list(pos ORDER BY pos), ',') AS positions FROM (SELECT id, pos, w, {_STEM} AS term FROM ({_PLACES})) WHERE w NOT IN ({', '.join(repr(w) for w in search.STOP_WORDS)}) GROUP BY 1, 2")
+@query(f"SELECT id AS doc_id, term, array_to_string(list(pos ORDER BY pos), ',') AS positions FROM {_TERMS} WHERE w NOT IN ({', '.join(repr(w) for w in search.STOP_WORDS)}) GROUP BY 1, 2")
 def text_vectors(spark, d):
     """Stems of every document and their places."""
     return search.postings(table(spark, d, "documents"), "doc_id").select(F.col("id").alias("doc_id"), "term", F.array_join("positions", ",").alias("positions"))
