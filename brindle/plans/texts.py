@@ -9,7 +9,7 @@ from brindle.functions import markup
 from brindle.functions import text as X
 from brindle.operators import rules, search, state
 from brindle.plans.catalog import query, table
-from brindle.sources import bank, mail, tables
+from brindle.sources import bank, chunks, mail, tables
 
 
 @query(
@@ -153,12 +153,63 @@ def rfc822_parse(spark, d):
     return mail.parsed_mail(t.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), raw.cast("binary").alias("content")))
 
 
-@query()
+#: A filing of each customer: its orders as a table whose cells are written in one of four ways by the order's key, with a fact
+#: in each amount, and a table of changes whose year spans two columns.
+_FILED = """o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS p, o_totalprice::DECIMAL(14,2)::VARCHAR AS a, (o_orderkey % 90 + 1)::VARCHAR AS s FROM orders),
+  cells AS (SELECT c, k, 'Order ' || k || ' ' || p AS label, CASE k % 4 WHEN 0 THEN '$' || a WHEN 1 THEN a WHEN 2 THEN '( ' || a || ' )' ELSE '$' || a END AS amount, s || '%' AS share, a AS fact, 'F' || k AS fact_id FROM o)"""
+
+
+@query(
+    f"""WITH {_FILED} SELECT c::VARCHAR AS doc_key, 0 AS table_index, 'Orders of customer ' || c AS title, CASE WHEN c % 2 = 0 THEN 'in thousands' END AS units, label, amount || ' ' || share AS cells, 'Price:' || fact_id || ':EUR:2:' || fact AS facts,
+      CASE WHEN c % 3 = 0 THEN '(1) Of customer ' || c ELSE '' END AS notes FROM cells
+    UNION ALL SELECT c::VARCHAR, 1, 'Changes', NULL, 'Order ' || k, '$' || a || ' ' || s || '% ' || a || ' ' || CASE WHEN k % 2 = 0 THEN '-' ELSE s || '%' END, '', '' FROM o"""
+)
 def sec_table_extract(spark, d):
-    """A balance table around each page's text."""
-    row = "<table><tr><td></td><td>2024</td><td>2023</td></tr><tr><td>Net sales</td><td>$</td><td>1,234</td><td>$ 1,100</td></tr><tr><td>Share</td><td>12</td><td>%</td><td>11%</td></tr></table><p>(1) Restated.</p>"
-    p = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("k"), F.concat(F.lit("<p>Results</p><p>(in millions)</p>" + row), F.col("html")).alias("html"))
-    return tables.filing_tables(p, "k", "html")
+    """Filings made of each customer's orders, parsed again."""
+    found = tables.filing_tables(_filings(spark, d), "k", "html").select("*", F.inline("rows"))
+    facts = F.flatten(F.transform("cells", lambda c: c["facts"]))
+    return found.select(
+        "doc_key", "table_index", "title", "units", "label", F.array_join(F.transform("cells", lambda c: c["text"]), " ").alias("cells"),
+        F.array_join(F.transform(facts, lambda f: F.concat_ws(":", f["name"], f["fact_id"], f["unit_ref"], f["decimals"], f["value"])), ",").alias("facts"), F.array_join("footnotes", ",").alias("notes"),
+    )
+
+
+def _filings(spark, d):
+    """k and html of a filing of each customer with orders."""
+    key, amount = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(14,2)").cast("string")
+    share = (key % 90 + 1).cast("string")
+    fact = F.concat(F.lit('<ix:nonFraction name="Price" contextRef="c1" unitRef="EUR" decimals="2" scale="0" id="F'), key.cast("string"), F.lit('">'), amount, F.lit("</ix:nonFraction>"))
+    cell = lambda *parts: F.concat(F.lit("<td>"), *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("</td>"))
+    way = key % 4
+    written = F.when(way == 0, F.concat(cell("$ ", fact), cell(share, "%"))).when(way == 1, F.concat(cell(fact), cell(share), cell("%"))).when(way == 2, F.concat(cell("( ", fact, " )"), cell(""), cell(share, "%"))).otherwise(F.concat(cell("$"), cell(fact), cell(share, " %")))
+    row = F.concat(F.lit("<tr>"), cell("<p>Order ", key.cast("string"), "</p> ", F.col("o_orderpriority")), written, F.lit("</tr>"))
+    share_cells = lambda even: F.when(even, cell("—")).otherwise(F.concat(cell(share), cell("%")))
+    change = F.concat(F.lit("<tr>"), cell("Order ", key.cast("string")), cell("$", amount), share_cells(F.lit(False)), cell(amount), share_cells(key % 2 == 0), F.lit("</tr>"))
+    made = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), key.alias("key"), F.regexp_replace(row, " %</td>", "%</td>").alias("row"), change.alias("change"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", c))), lambda x: x[c]), "")
+    each = made.groupBy("k").agg(joined("row").alias("rows"), joined("change").alias("changes"))
+    k = F.col("k").cast("string")
+    units, note = F.when(F.col("k") % 2 == 0, "<p>(in thousands)</p>").otherwise(""), F.when(F.col("k") % 3 == 0, F.concat(F.lit("<p>(1) Of customer "), k, F.lit("</p>"))).otherwise("")
+    html = F.concat(
+        F.lit("<html><body><h1>Part "), k, F.lit("</h1><p>Text of the part. Item 7A. follows.</p><h2>Orders</h2><p>Orders of customer "), k, F.lit("</p>"), units, F.lit("<p>The following table has them.</p><table><thead><tr><td></td><td></td></tr><tr><td></td><th>2024</th><th>2023</th></tr></thead>"), F.col("rows"), F.lit("</table>"), note,
+        F.lit("<p>Changes</p><table><tr><th></th><th>2024</th><th colspan=2>Change</th><th>2023</th><th colspan=2>Change</th></tr>"), F.col("changes"), F.lit("</table><p>The end.</p></body></html>"),
+    )
+    return each.select("k", html.alias("html"))
+
+
+@query()
+def structural_chunks(spark, d):
+    """Chunks of the filings, of 512 tokens at most, with their tables row by row."""
+    import public_tokenizers
+
+    count = chunks.token_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return chunks.structural_chunks(_filings(spark, d), "k", "html", count=count)
+
+
+@query()
+def page_markdown(spark, d):
+    """Headings, paragraphs and lists of raw web pages as Markdown."""
+    return chunks.markdown_of(table(spark, d, "pages"), "page_id", "html")
 
 
 @query(

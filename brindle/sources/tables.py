@@ -1,167 +1,316 @@
-"""Tables of filings: HTML to columns, labelled rows, footnotes and Markdown, as a table function over documents."""
+"""Pages of filings as blocks in reading order: headings, paragraphs, list items and tables.
+
+Tables become a grid first: each cell takes the places that its colspan and rowspan say, next to those that cells above take,
+so that every place knows its cell. Rows are then read as labels and values, with the inline facts of each value's cells.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from hashlib import sha256
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-SCHEMA = "doc_key string, table_index int, title string, units string, columns array<string>, rows array<struct<label:string,cells:array<string>>>, footnotes array<string>, facts array<struct<name:string,context_ref:string,value:string>>, markdown string"
+FACT = "struct<name:string,context_ref:string,unit_ref:string,decimals:string,scale:string,fact_id:string,value:string>"
+SCHEMA = f"doc_key string, table_index int, title string, units string, columns array<string>, rows array<struct<label:string,cells:array<struct<text:string,facts:array<{FACT}>>>>>, footnotes array<string>, markdown string, source_html_hash string"
+#: So many blocks before and after a table, up to the next table, say what it is.
+NEAR = 4
+
+#: What counts as an amount, a footnote and a statement of units.
+AMOUNT = re.compile(r"^\(?\$?[\d,]+(?:\.\d+)?\)?$")
+SHARE = re.compile(r"^\(?\d+\)?%?$")
+NOTE = re.compile(r"^\(\d+\)")
+UNITS = re.compile(r"\(([^)]*(?:million|thousand|billion)[^)]*)\)", re.IGNORECASE)
+
+_BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol section article header footer nav blockquote pre center body html".split())
+_SILENT = frozenset(("script", "style", "title", "template"))
+_FACTS = frozenset(("ix:nonfraction", "ix:nonnumeric", "nonfraction", "nonnumeric"))
+
+
+@dataclass
+class Cell:
+    colspan: int = 1
+    rowspan: int = 1
+    parts: list[str] = field(default_factory=list)
+    facts: list[dict] = field(default_factory=list)
+
+    @property
+    def text(self) -> str:
+        return tidy_cell(" ".join(self.parts))
+
 
-_NUMBER = re.compile(r"^[($-]*[\d,]+(?:\.\d+)?\)?%?$")
-_NOTE = re.compile(r"^\(?\d{1,2}\)\s+\S")
-_UNITS = re.compile(r"\(?\b(?:in|amounts in)\s+(?:thousands|millions|billions)\b[^)]*\)?", re.I)
+@dataclass
+class Block:
+    """kind: heading (with its level), text, item or table. A table within a cell is a block of its own; its texts also belong
+    to that cell."""
 
+    kind: str
+    level: int = 0
+    parts: list[str] = field(default_factory=list)
+    rows: list[list[Cell]] = field(default_factory=list)
 
-class _Walker(HTMLParser):
-    """Collects rows of cells of each table, the texts between tables, and inline facts."""
+    @property
+    def text(self) -> str:
+        return plain(" ".join(self.parts))
+
+
+def plain(text: str) -> str:
+    return " ".join(text.replace("\xa0", " ").split())
+
+
+def tidy_cell(text: str) -> str:
+    """Dashes as hyphens, no blank after a dollar sign or within brackets around whole numbers."""
+    text = plain(text)
+    if text in ("–", "—"):
+        return "-"
+    return re.sub(r"\( +([\d,]+) +\)", r"(\1)", text.replace("$ ", "$"))
+
+
+class _Reader(HTMLParser):
+    """Blocks of a page. Unclosed cells and rows end with the next one; a table's texts don't reach the block around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tables: list[dict] = []
-        self.texts: list[str] = []
-        self.open: dict | None = None
-        self.cell: list[str] | None = None
-        self.span = 1
-        self.fact: dict | None = None
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "table" and self.open is None:
-            self.open = {"rows": [], "before": self.texts[-4:], "at": len(self.texts), "facts": []}
-        elif self.open is not None and tag == "tr":
-            self.open["rows"].append([])
-        elif self.open is not None and tag in ("td", "th"):
-            self.cell = []
-            self.span = int(a["colspan"]) if (a.get("colspan") or "").isdigit() else 1
-        elif tag in ("ix:nonfraction", "ix:nonnumeric"):
-            self.fact = {"name": a.get("name"), "context_ref": a.get("contextref"), "value": ""}
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None and self.open is not None:
-            if not self.open["rows"]:
-                self.open["rows"].append([])
-            self.open["rows"][-1].append((clean(" ".join(self.cell)), self.span))
-            self.cell = None
-        elif tag == "table" and self.open is not None:
-            self.tables.append(self.open)
-            self.open = None
-        elif tag.startswith("ix:") and self.fact is not None:
-            if self.open is not None:
-                self.open["facts"].append(self.fact)
-            self.fact = None
-
-    def handle_data(self, data):
-        if self.fact is not None:
-            self.fact["value"] += data.strip()
-        if self.cell is not None:
-            self.cell.append(data)
-        elif self.open is None and data.strip():
-            self.texts.append(clean(data))
-
-
-def clean(text: str) -> str:
-    text = re.sub(r"\s+", " ", text.replace("\xa0", " ").replace("–", "-").replace("—", "-")).strip()
-    return re.sub(r"\( +", "(", re.sub(r" +\)", ")", re.sub(r"\$ +", "$", text)))
-
-
-def merged(cells: list[tuple[str, int]]) -> list[str]:
-    """Cells with text; a lone currency sign joins the next one, a lone percent sign or bracket the one before."""
-    out: list[str] = []
-    prefix = ""
-    for text, _ in cells:
-        if not text:
-            continue
-        if text in ("$", "€", "("):
-            prefix += text
-        elif text in ("%", ")", ")%") and out:
-            out[-1] += text
+        self.blocks: list[Block] = []
+        self.tables: list[tuple[Block, list[Cell]]] = []  # open ones, the innermost last, each with its open cell
+        self.facts: list[dict] = []
+        self.silent = 0
+        self.current: Block | None = None
+
+    def _begin(self, kind: str, level: int = 0) -> None:
+        self.current = Block(kind, level)
+        self.blocks.append(self.current)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a = {k: v or "" for k, v in attrs}
+        if tag in _SILENT:
+            self.silent += 1
+        elif tag == "table":
+            table = Block("table")
+            self.blocks.append(table)
+            self.tables.append((table, []))
+        elif tag == "tr" and self.tables:
+            self.tables[-1][1].clear()
+            self.tables[-1][0].rows.append([])
+        elif tag in ("td", "th") and self.tables:
+            table, cell = self.tables[-1]
+            cell[:] = [Cell(_span(a.get("colspan")), _span(a.get("rowspan")))]
+            if not table.rows:
+                table.rows.append([])
+            table.rows[-1].append(cell[0])
+        elif tag in _FACTS:
+            names = {"name": "name", "context_ref": "contextref", "unit_ref": "unitref", "decimals": "decimals", "scale": "scale", "fact_id": "id"}
+            fact = {k: a.get(v) for k, v in names.items()} | {"parts": []}
+            self.facts.append(fact)
+            for _, cell in self.tables:
+                for c in cell:
+                    c.facts.append(fact)
+        elif not self.tables and tag in _BLOCKS:
+            if re.fullmatch("h[1-6]", tag):
+                self._begin("heading", int(tag[1]))
+            else:
+                self._begin("item" if tag == "li" else "text")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in _SILENT:
+            self.silent = max(0, self.silent - 1)
+        elif tag == "table" and self.tables:
+            self.tables.pop()
+            self.current = None
+        elif tag in ("td", "th", "tr") and self.tables:
+            self.tables[-1][1].clear()
+        elif tag in _FACTS and self.facts:
+            self.facts.pop()
+        elif not self.tables and tag in _BLOCKS:
+            self.current = None
+
+    def handle_data(self, data: str) -> None:
+        if self.silent or not data.strip():
+            return
+        for fact in self.facts:
+            fact["parts"].append(data)
+        if self.tables:
+            for _, cell in self.tables:
+                for c in cell:
+                    c.parts.append(data)
         else:
-            out.append(prefix + text)
-            prefix = ""
+            if self.current is None:
+                self._begin("text")
+            self.current.parts.append(data)
+
+
+def _span(value: str | None) -> int:
+    return min(max(int(value), 1), 1000) if value and value.strip().isdigit() else 1
+
+
+def blocks(html: str | None) -> list[Block]:
+    """Blocks with text, and tables, in reading order."""
+    reader = _Reader()
+    reader.feed(html or "")
+    reader.close()
+    return [b for b in reader.blocks if b.kind == "table" or b.text]
+
+
+def grid(rows: list[list[Cell]]) -> list[list[Cell | None]]:
+    """The cell at every place; None where there is none. A cell that reaches over several places stands at all of them."""
+    taken: dict[tuple[int, int], Cell] = {}
+    out: list[list[Cell | None]] = []
+    for y, row in enumerate(rows):
+        x = 0
+        for cell in row:
+            while (y, x) in taken:
+                x += 1
+            for below in range(y, min(y + cell.rowspan, len(rows))):
+                for at in range(x, x + cell.colspan):
+                    taken.setdefault((below, at), cell)
+            x += cell.colspan
+        width = 1 + max((at for line, at in taken if line == y), default=-1)
+        out.append([taken.pop((y, at), None) for at in range(width)])
+    return out
+
+
+def _filled(line: list[Cell | None], above: list[Cell | None] | None) -> list[Cell]:
+    """A row's cells with text, each once; of those from above, the label alone belongs to this row too."""
+    old = {id(c) for c in above or [] if c}
+    out: list[Cell] = []
+    for place, cell in enumerate(line):
+        if cell is not None and cell.text and not any(c is cell for c in out) and (id(cell) not in old or place == 0):
+            out.append(cell)
     return out
 
 
-def extract(html: str) -> list[dict]:
-    """Tables with at least two texts and a number in a row; rows of another width than the header are left out."""
-    walker = _Walker()
-    walker.feed(html or "")
-    found = []
-    for t in walker.tables:
-        rows = [r for r in map(merged, t["rows"]) if r]
-        if not any(len(r) >= 2 and any(_NUMBER.match(x) for x in r[1:]) for r in rows):
+def _amount(cells: list[Cell]) -> tuple[str | None, int]:
+    """An amount at the beginning of some cells, with signs that have cells of their own, and the cells it takes."""
+    signs = 0
+    while signs < len(cells) - 1 and cells[signs].text in ("$", "€", "("):
+        signs += 1
+    text = "".join(c.text for c in cells[: signs + 1])
+    return (text, signs + 1) if signs or text.startswith("$") or AMOUNT.match(text) else (None, 0)
+
+
+def _change(cells: list[Cell]) -> tuple[str, int]:
+    """A share: with its sign, or up to the cell that has the sign; without one, the rest of the row is taken."""
+    if cells[0].text.endswith("%") and cells[0].text != "%":
+        return cells[0].text, 1
+    end = next((i for i, c in enumerate(cells) if c.text == "%"), len(cells))
+    if not end:
+        return "", 1
+    distinct = list(dict.fromkeys(c.text for c in cells[:end]))
+    return ("-" if distinct == ["-"] else f"{distinct[0]}%"), min(end + 1, len(cells))
+
+
+def _row(cells: list[Cell], n: int, changes: bool) -> dict | None:
+    """label and n values; None if there are fewer. changes: every second value is a share."""
+    if len(cells) < 2:
+        return None
+    values: list[dict] = []
+    at = 1
+    while at < len(cells) and len(values) < n:
+        if changes and len(values) % 2:
+            text, used = _change(cells[at:])
+        else:
+            text, used = _amount(cells[at:])
+            if text is None and not changes:
+                text, used = cells[at].text, 1
+            while not changes and at + used < len(cells) and cells[at + used].text in ("%", ")", ")%"):
+                text, used = text + cells[at + used].text, used + 1
+        if not text:
+            at += max(used, 1)
             continue
-        numeric = [i for i, r in enumerate(rows) if any(_NUMBER.match(x) and not re.fullmatch(r"(19|20)\d\d", x) for x in r[1:])]
-        head = rows[: numeric[0]] if numeric else rows[:1]
-        columns = head[-1] if head else []
-        body = rows[len(head) :]
-        width = len(columns) if columns and _width(body, len(columns)) else len(columns) + 1
-        kept = [r for r in body if len(r) == width]
-        after = walker.texts[t["at"] : t["at"] + 4]
-        notes = [x for x in after if _NOTE.match(x)]
-        around = t["before"]
-        units = next((m[0].strip("()") for x in [*reversed(around), *[" ".join(r) for r in head]] if (m := _UNITS.search(x))), None)
-        title = next((x for x in reversed(around) if not _UNITS.fullmatch(x)), None)
-        labels = columns[1:] if len(columns) == width else columns
-        found.append({"title": title, "units": units, "columns": labels, "rows": [{"label": r[0], "cells": r[1:]} for r in kept], "footnotes": notes, "facts": t["facts"], "markdown": markdown(labels, kept, notes)})
-    return found
+        facts = [{k: v for k, v in f.items() if k != "parts"} | {"value": plain(" ".join(f["parts"]))} for c in cells[at : at + used] for f in c.facts]
+        values.append({"text": text, "facts": facts})
+        at += used
+    return {"label": cells[0].text, "cells": values} if len(values) == n else None
+
+
+def _columns(header: list[str]) -> tuple[list[str], bool]:
+    """The columns' names and whether the table pairs each year's amount with its change."""
+    if "Change" in header:
+        year, names = None, []
+        for text in header:
+            if re.fullmatch(r"\d{4}", text):
+                year = text
+                names.append(f"{year} Sales")
+            elif text == "Change" and year:
+                names.append(f"{year} Change")
+        return ["Category", *names], True
+    values_only = re.search(r"\b\d{4}\b", header[0]) or header[0].lower() in ("amount", "value")
+    return (["Metric", *header] if values_only else header), False
+
+
+def read_table(table: Block) -> dict | None:
+    """columns and rows; None for a table without two texts, a number, or a row that fits its header."""
+    lines = grid(table.rows)
+    rows = [_filled(line, lines[i - 1] if i else None) for i, line in enumerate(lines)]
+    texts = [c.text for r in rows for c in r]
+    if len(texts) < 2 or not any(AMOUNT.match(t) or SHARE.match(t) for t in texts):
+        return None
+    head = next((i for i, r in enumerate(rows) if len(r) > 1), None)
+    if head is None:
+        return None
+    columns, changes = _columns([c.text for c in rows[head]])
+    body = [r for cells in rows[head + 1 :] if (r := _row(cells, len(columns) - 1, changes))]
+    return {"columns": columns, "rows": body} if body else None
+
 
+def pipes(cells: list[str]) -> str:
+    return "| " + " | ".join(cells) + " |"
 
-def _width(body: list[list[str]], n: int) -> bool:
-    return sum(len(r) == n for r in body) >= sum(len(r) == n + 1 for r in body)
 
+def table_markdown(columns: list[str], rows: list[dict], notes: list[str]) -> str:
+    lines = [pipes(columns), pipes(["---"] * len(columns)), *(pipes([r["label"], *(c["text"] for c in r["cells"])]) for r in rows)]
+    return "\n".join([*lines, "", *notes] if notes else lines)
 
-def markdown(columns: list[str], rows: list[list[str]], notes: list[str]) -> str:
-    line = lambda cells: "| " + " | ".join(c.replace("|", "\\|") for c in cells) + " |"
-    out = [line(["", *columns]), line(["---"] * (len(columns) + 1)), *map(line, rows)]
-    return "\n".join(out + ([""] + notes if notes else []))
+
+def extract(html: str | None) -> list[dict]:
+    """The tables of a page with title, units and footnotes from the blocks around each."""
+    every, found = blocks(html), []
+    digest = sha256((html or "").encode("utf-8", "surrogatepass")).hexdigest()
+    for at, block in enumerate(every):
+        if block.kind != "table" or (table := read_table(block)) is None:
+            continue
+        before, after = [], []
+        for texts, places in ((before, range(at - 1, -1, -1)), (after, range(at + 1, len(every)))):
+            for i in places:
+                if every[i].kind == "table" or len(texts) == NEAR:
+                    break
+                texts.append(every[i].text)
+        units = next((m[1] for t in before if (m := UNITS.search(t))), None)
+        title = next((t for t in before if not UNITS.search(t) and not t.lower().startswith("the following table")), None)
+        notes = [t for t in after if NOTE.match(t)]
+        found.append({"table_index": len(found), "title": title, "units": units, **table, "footnotes": notes, "markdown": table_markdown(table["columns"], table["rows"], notes), "source_html_hash": digest})
+    return found
+
+
+def to_markdown(html: str | None) -> str:
+    """A page as Markdown: headings, paragraphs, list items, tables as rows of pipes."""
+    out: list[str] = []
+    for b in blocks(html):
+        if b.kind == "heading":
+            out.append("#" * b.level + " " + b.text)
+        elif b.kind == "item":
+            out.append("- " + b.text)
+        elif b.kind == "text":
+            out.append(b.text)
+        else:
+            lines = [[c.text.replace("|", "\\|") if c and (not i or line[i - 1] is not c) else "" for i, c in enumerate(line)] for line in grid(b.rows)]
+            lines = [line for line in lines if any(line)]
+            if lines:
+                out.append("\n".join([pipes(lines[0]), pipes(["---"] * len(lines[0])), *map(pipes, lines[1:])]))
+    return "\n\n".join(out)
 
 
 def filing_tables(docs: DataFrame, key: str, html: str) -> DataFrame:
+    """One row for each table."""
+    names = ["doc_key", "table_index", "title", "units", "columns", "rows", "footnotes", "markdown", "source_html_hash"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in "doc_key,table_index,title,units,columns,rows,footnotes,facts,markdown".split(",")]
         for b in batches:
-            rows = [{"doc_key": str(k), "table_index": i} | t for k, h in zip(b[key], b[html], strict=True) for i, t in enumerate(extract(h))]
+            rows = [{"doc_key": str(k)} | t for k, h in zip(b[key], b[html], strict=True) for t in extract(h)]
             yield pd.DataFrame(rows, columns=names)
 
     return docs.select(key, html).mapInPandas(run, SCHEMA)
-
-
-def heading_chunks(markdown_text: str, size: int = 512) -> list[dict]:
-    """Chunks of up to `size` words under one heading path; a table's header is repeated in each chunk that it is cut into."""
-    path: list[str] = []
-    out: list[dict] = []
-    block: list[str] = []
-
-    def flush() -> None:
-        if not block:
-            return
-        table = all(x.startswith("|") for x in block)
-        head = block[:2] if table and len(block) > 2 else []
-        part, n = list(head), sum(len(x.split()) for x in head)
-        for x in block[len(head) :]:
-            if part[len(head) :] and n + len(x.split()) > size:
-                out.append({"section": " > ".join(path), "kind": "table" if table else "text", "text": "\n".join(part)})
-                part, n = list(head), sum(len(y.split()) for y in head)
-            part.append(x)
-            n += len(x.split())
-        if part:
-            out.append({"section": " > ".join(path), "kind": "table" if table else "text", "text": "\n".join(part)})
-        block.clear()
-
-    for x in markdown_text.splitlines():
-        if m := re.match(r"(#+)\s+(.*)", x):
-            flush()
-            del path[len(m[1]) - 1 :]
-            path.append(m[2].strip())
-        elif not x.strip():
-            flush()
-        else:
-            if block and x.startswith("|") != block[-1].startswith("|"):
-                flush()
-            block.append(x)
-    flush()
-    return out

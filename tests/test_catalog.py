@@ -43,8 +43,8 @@ def test_matches_sql(spark, sql, name):
     assert a == b
 
 
-def test_all_but_four_have_sql():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"invoice_assignment", "item_match_title", "rfc822_parse", "sec_table_extract"}
+def test_all_but_five_have_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"invoice_assignment", "item_match_title", "page_markdown", "rfc822_parse", "structural_chunks"}
 
 
 def test_invoice_assignment_by_a_loop(spark):
@@ -87,12 +87,3 @@ def test_mails_by_their_parts(spark):
         t = turns[r.path]
         assert (r.message_id, r.subject, r.from_address, r.from_name, r.to_addresses, r.sent_at.isoformat()) == (f"{t.conv_id}@x", f"turn {t.turn}", "ada@example.com", "Ada", ["b@example.com", "c@example.com"], "2024-01-02T09:00:00")
         assert r.body == markup.tidy(t.text or "") and r.attachments == []
-
-
-def test_filing_tables_of_all_pages(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet").count()
-    got = catalog.QUERIES["sec_table_extract"](spark, SF).collect()
-    assert len(got) == pages
-    first = got[0].asDict(recursive=True)
-    assert {str({k: v for k, v in r.asDict(recursive=True).items() if k != "doc_key"}) for r in got} == {str({k: v for k, v in first.items() if k != "doc_key"})}
-    assert "Net sales" in str(first) and "$1,234" in str(first) and "12%" in str(first) and "in millions" in str(first)
