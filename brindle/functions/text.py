@@ -93,17 +93,28 @@ def parse_amount(c: Column) -> Column:
 
 
 def citation_url(c: Column) -> Column:
-    """Host without www. in small letters and the path without final slash; null for what isn't http."""
+    """Host without www. in small letters and the path without final slash; null for what isn't http. White space around an
+    address doesn't count."""
+    c = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(c, r"(?i)^https?://([^/?#]*)", 1)), r"^www\.", "")
     path = F.regexp_replace(F.regexp_extract(c, r"(?i)^https?://[^/?#]*([^?#]*)", 1), "/+$", "")
     return F.when(c.rlike(r"(?i)^https?://[^/?#]"), F.concat(host, path))
 
 
 def compared_url(c: Column) -> Column:
-    """Scheme and host in small letters, the query without utm_ parameters, no fragment, no final slash."""
-    head = F.lower(F.regexp_extract(c, r"^([A-Za-z]+://[^/?#]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(c, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
-    query = F.array_join(F.filter(F.split(F.regexp_extract(c, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.startswith("utm_")), "&")
+    """Scheme and host in small letters, the query read and written again without utm_ parameters (in any case), no fragment,
+    no final slash, no white space around it. A parameter without value gets an empty one."""
+    c = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    web = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+    head = F.lower(F.regexp_extract(c, f"({web}[^/?#]*)", 1))
+    path = F.regexp_replace(F.regexp_extract(c, f"^(?:{web[1:]}[^/?#]*)?([^?#]*)", 1), "/+$", "")
+    # a percent sign that begins no escape stands for itself
+    read = lambda x: F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+    written = lambda x: F.replace(F.replace(F.url_encode(read(x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    parts = F.filter(F.split(F.regexp_extract(c, r"\?([^#]*)", 1), "&"), lambda p: p != "")
+    pairs = F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("").alias("v")))
+    kept = F.filter(pairs, lambda p: ~F.lower(read(p["k"])).startswith("utm_"))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(written(p["k"]), F.lit("="), written(p["v"]))), "&")
     return F.concat(head, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
@@ -134,14 +145,14 @@ def is_article_link(c: Column, hosts: tuple[str, ...] = NEWSLETTER_HOSTS) -> Col
     return F.coalesce(web & ~(is_front_page(c) & is_own_site(c, hosts)), F.lit(False))
 
 
-def url_in_text(c: Column, body: Column) -> Column:
+def url_in_text(c: Column, body: Column, hosts: tuple[str, ...] = NEWSLETTER_HOSTS) -> Column:
     """An article link that the text has: as it stands, without scheme and query, or, on GitHub, as owner/repo."""
     c = F.trim(c)
     path = F.regexp_extract(c, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
     bare = F.regexp_replace(F.concat(F.regexp_extract(c, r"^[A-Za-z]+://([^/?#]*)", 1), path), "/+$", "")
     repo = F.regexp_replace(path, "^/+|/+$", "")
     github = _host(c).isin("github.com", "www.github.com") & repo.rlike("^[^/]+/[^/]+$") & F.contains(body, repo)
-    return F.coalesce(is_article_link(c) & (F.contains(body, c) | F.contains(body, bare) | github), F.lit(False))
+    return F.coalesce(is_article_link(c, hosts) & (F.contains(body, c) | F.contains(body, bare) | github), F.lit(False))
 
 
 def title_key(c: Column) -> Column:

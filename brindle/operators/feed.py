@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.resolve import saved
+from brindle.operators.state import ranks
+
 
 def plan_stories(items: DataFrame, groups: DataFrame, edition: Column, days: int = 2, pair: tuple[str, str] | None = None) -> DataFrame:
     """id, plan of the items to plan anew for an edition: candidates, within `days` of it, by the group that links put them in,
@@ -38,8 +41,10 @@ def newest_positions(items: DataFrame) -> DataFrame:
 
 
 def story_lists(items: DataFrame, order: Sequence[str], value: str) -> DataFrame:
-    """story and its values in order."""
-    return items.groupBy("story").agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("l")).select("story", F.col(f"l.{value}").alias("values"))
+    """story and its values in order. An item without a story is a list of its own, so that no list grows with what was never
+    grouped."""
+    lists = items.where("story is not null").groupBy("story").agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("l")).select("story", F.col(f"l.{value}").alias("values"))
+    return lists.unionByName(items.where("story is null").select("story", F.array(value).alias("values")))
 
 
 def most_covered(stories: DataFrame, today: Column, days: int = 7) -> DataFrame:
@@ -49,9 +54,8 @@ def most_covered(stories: DataFrame, today: Column, days: int = 7) -> DataFrame:
 
 
 def without_sponsors(items: DataFrame, group: str, order: str) -> DataFrame:
-    """Items that no sponsor paid for, numbered from 0 without gaps; only what stays is numbered."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return items.where(~F.col("sponsor")).withColumn("position", place).drop("sponsor")
+    """Items that no sponsor paid for, numbered from 0 without gaps; only what stays is numbered, in groups of any size."""
+    return ranks(items.where(~F.col("sponsor")).drop("sponsor"), group, [order], "position")
 
 
 def relabelled(mail: DataFrame, verdicts: DataFrame, kinds: Sequence[str] = ("to_pay", "already_paid")) -> DataFrame:
@@ -107,11 +111,32 @@ def pooled(scores: DataFrame) -> DataFrame:
 
 def order_kept(pairs: DataFrame) -> DataFrame:
     """group and the share of its pairs of matched items that stand in the same order on both sides, null below two items.
-    pairs: group, expected_idx, actual_idx; a group is an edition, some dozens of items."""
-    ordered = pairs.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("expected_idx", "actual_idx"))).alias("p"))
-    right = F.aggregate(F.transform("p", lambda x, i: F.size(F.filter(F.slice("p", i + 2, F.size("p")), lambda y: y["actual_idx"] > x["actual_idx"]))), F.lit(0), lambda a, n: a + n)
-    n = F.size("p")
-    return ordered.select("group", F.when(n > 1, right * 2 / (n * (n - 1))).alias("order"))
+    pairs: group, expected_idx, actual_idx.
+
+    Counted by merging, over groups of any size: a pair of places differs first in one bit, and there one lies in the left and
+    the other in the right half of a block of that size. In each block, in the order of the other side, a right item follows as
+    many left ones as it keeps the order with. All blocks of all sizes are range-partitioned together, so that a large block is
+    counted by many tasks: running counts start at what the parts before have.
+    """
+    placed = ranks(pairs.select("group", "expected_idx", "actual_idx"), "group", ["expected_idx", "actual_idx"], "__e")
+    sizes = saved(placed.groupBy(F.col("group").alias("__g")).agg(F.count("*").alias("n")))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.col("n"), F.lit(2)))).cast("int") - 1)
+    each = placed.join(sizes, F.col("group").eqNullSafe(F.col("__g"))).select("group", "actual_idx", "__e", F.explode(levels).alias("level"))
+    block = F.floor(F.col("__e") / F.pow(F.lit(2.0), F.col("level") + 1)).cast("long")
+    half = F.floor(F.col("__e") / F.pow(F.lit(2.0), F.col("level"))).cast("long") % 2
+    # of equal places on the other side the right items come first, so that they don't count as kept
+    laid = each.select("group", "level", block.alias("block"), "actual_idx", (1 - half).cast("int").alias("left"))
+    key, order = ["group", "level", "block"], ["actual_idx", "left"]
+    spread = saved(laid.repartitionByRange(*key, *order).withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = spread.groupBy(*key, "part").agg(F.sum("left").alias("n")).select(*[F.col(c).alias(f"__{c}") for c in key], F.col("part").alias("__part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    same = F.col("part") == F.col("__part")
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    inside = F.sum("left").over(Window.partitionBy(*key, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = spread.withColumn("inside", inside).where("left = 0").join(first, same).groupBy("group").agg(F.sum(F.col("inside") + F.col("first")).alias("kept"))
+    pairs_of = F.col("n") * (F.col("n") - 1)
+    return sizes.join(kept, F.col("__g").eqNullSafe(F.col("group")), "left").select(F.col("__g").alias("group"), F.when(F.col("n") > 1, F.coalesce("kept", F.lit(0)) * 2 / pairs_of).alias("order"))
 
 
 def near_duplicate_cases(mails: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from brindle.functions import text as X
 from brindle.operators import feed, metrics, resolve, rules, search, state, workflow
 from brindle.plans.catalog import query, table
 from brindle.sources import bank
-from brindle.streaming import keyed
+from brindle.streaming import feeds, keyed
 
 _NEWS = """n AS (SELECT doc_id AS id, source, (DATE '2024-01-01' + (doc_id % 30)::INT)::DATE AS day, CASE WHEN doc_id % 4 <> 0 THEN 's' || (doc_id % 97) END AS story, doc_id % 12 AS position FROM documents)"""
 
@@ -48,7 +48,7 @@ def feed_newest_position(spark, d):
     return feed.newest_positions(_news(spark, d))
 
 
-@query(f"WITH {_NEWS} SELECT story, array_to_string(list(id ORDER BY day, position, id), ',') AS ids FROM n GROUP BY 1")
+@query(f"WITH {_NEWS} SELECT story, array_to_string(list(id ORDER BY day, position, id), ',') AS ids FROM n WHERE story IS NOT NULL GROUP BY 1 UNION ALL SELECT NULL, id::VARCHAR FROM n WHERE story IS NULL")
 def story_item_lists(spark, d):
     return feed.story_lists(_news(spark, d), ["day", "position"], "id").select("story", F.array_join("values", ",").alias("ids"))
 
@@ -88,9 +88,9 @@ def invoice_list_filter(spark, d):
     return feed.invoice_list(_bills(spark, d), F.col("status"), ["open", "overdue"], "1996-01-01", "1997-12-31", "17").select("id")
 
 
-@query(f"WITH {_BILLS} SELECT id, status FROM b WHERE id % 7 = 0 ORDER BY CASE WHEN status = 'overdue' THEN 0 ELSE 1 END, CASE WHEN status = 'overdue' THEN due END NULLS LAST, id LIMIT 200")
+@query(f"WITH {_BILLS} SELECT id, status FROM b ORDER BY CASE WHEN status = 'overdue' THEN 0 ELSE 1 END, CASE WHEN status = 'overdue' THEN due END NULLS LAST, id LIMIT 200")
 def invoices_overdue_first(spark, d):
-    return _bills(spark, d).where("id % 7 = 0").orderBy(*feed.overdue_first(F.col("status"), "due", "id")).limit(200).select("id", "status")
+    return _bills(spark, d).orderBy(*feed.overdue_first(F.col("status"), "due", "id")).limit(200).select("id", "status")
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND d.doc_id % 2 = 0 WHERE CASE WHEN l.doc_id % 3 = 0 THEN NULL ELSE l.toxic END IS NULL")
@@ -100,19 +100,29 @@ def notes_without_verdict(spark, d):
     return feed.unjudged(notes, items).select(F.col("key").alias("doc_id"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'llm.model,service' ELSE 'llm.model' END AS kept FROM documents")
+@query(
+    r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]+')) AS keys FROM documents)
+    SELECT doc_id, array_to_string(list_sort(list_filter(keys, lambda k: k IN ('the', 'la', 'of') OR starts_with(k, 'in') OR starts_with(k, 'ent'))), ',') AS kept FROM w"""
+)
 def attributes_allowed(spark, d):
-    k = F.col("doc_id")
-    attributes = F.create_map(F.lit("llm.model"), F.col("lang"), F.when(k % 2 == 0, "service").otherwise("secret"), F.lit("x"), F.lit("user"), F.lit("y"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.map_keys(feed.only_keys(attributes, ["service"], ["llm."]))), ",").alias("kept"))
+    """The words of a text's beginning as keys: some by name, some by how they begin."""
+    keys = F.array_distinct(F.regexp_extract_all(F.lower(F.substring("text", 1, 200)), F.lit("[a-z]+"), F.lit(0)))
+    attributes = F.map_from_arrays(keys, F.transform(keys, lambda k: F.length(k)))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.map_keys(feed.only_keys(attributes, ["the", "la", "of"], ["in", "ent"]))), ",").alias("kept"))
 
 
-@query("SELECT vec_id AS case_id, CASE WHEN vec_id % 3 <> 0 THEN ((vec_id % 2 = 0)::INT + (vec_id % 5 = 0)::INT) / 2.0::DOUBLE END AS distractor_rate FROM embeddings")
+@query(
+    """WITH x AS (SELECT o_custkey AS case_id, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 25), f AS (SELECT o_custkey AS case_id, o_orderkey FROM orders WHERE o_orderstatus = 'F')
+    SELECT c.c_custkey AS case_id, CASE WHEN count(x.l_orderkey) > 0 THEN count(DISTINCT f.o_orderkey) / count(DISTINCT x.l_orderkey)::DOUBLE END AS distractor_rate
+    FROM customer c LEFT JOIN x ON x.case_id = c.c_custkey LEFT JOIN f ON f.case_id = x.case_id AND f.o_orderkey = x.l_orderkey GROUP BY 1"""
+)
 def distractor_rates(spark, d):
-    k = F.col("vec_id")
-    cases = table(spark, d, "embeddings").select(k.alias("case_id"), F.when(k % 3 != 0, F.array(F.lit(1), F.lit(2), F.lit(2))).otherwise(F.array().cast("array<int>")).alias("distractors"))
-    hits = cases.where("case_id % 2 = 0").select("case_id", F.lit(1).alias("parent_id")).unionByName(cases.where("case_id % 5 = 0").select("case_id", F.lit(2).alias("parent_id"))).unionByName(cases.select("case_id", F.lit(9).alias("parent_id")))
-    return feed.distractor_rate(cases, hits)
+    """Distractors: orders with large lines, one for each line; hits: all finished orders. Customers without any have no rate."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("case_id"), "o_orderstatus")
+    large = table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey")).join(orders, "o_orderkey")
+    lists = large.groupBy("case_id").agg(F.collect_list("o_orderkey").alias("distractors"))
+    cases = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id")).join(lists, "case_id", "left").withColumn("distractors", F.coalesce("distractors", F.array().cast("array<long>")))
+    return feed.distractor_rate(cases, orders.where("o_orderstatus = 'F'").select("case_id", F.col("o_orderkey").alias("parent_id")))
 
 
 @query(
@@ -137,11 +147,13 @@ def extraction_order(spark, d):
     return feed.order_kept(p).select("group", F.round("order", 9).alias("order"))
 
 
-@query("SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'recall' END, CASE WHEN doc_id % 3 = 0 THEN 'url_exact' END, CASE WHEN doc_id % 2 = 1 THEN 'leaks' END, CASE WHEN doc_id % 7 > 3 THEN 'invented' END) AS missed FROM documents")
+@query(
+    """SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN 1 - l_tax < 0.97 THEN 'recall' END, CASE WHEN 1 - l_discount / 3 < 0.98 THEN 'url_exact' END, CASE WHEN l_quantity < 10 THEN 'leaks' END, CASE WHEN l_quantity > 45 THEN 'invented' END) AS missed FROM lineitem"""
+)
 def extraction_pass_bar(spark, d):
-    k = F.col("doc_id")
-    bars = metrics.pass_bar(F.when(k % 5 == 0, 0.96).otherwise(0.97), F.when(k % 3 == 0, 0.9).otherwise(1.0), k % 2, F.greatest(k % 7 - 3, F.lit(0)))
-    return table(spark, d, "documents").select("doc_id", F.array_join(bars, ",").alias("missed"))
+    """Lines as editions: rates from tax and discount, counts from quantities."""
+    bars = metrics.pass_bar(1 - F.col("l_tax"), 1 - F.col("l_discount") / 3, F.greatest(10 - F.ceil("l_quantity"), F.lit(0)), F.greatest(F.ceil("l_quantity") - 45, F.lit(0)))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(bars, ",").alias("missed"))
 
 
 @query(
@@ -182,18 +194,30 @@ def equals_any_case(spark, d):
     return c.where(search.equals_any("Customer#000000007", F.col("c_name")) | search.equals_any("BUILDING", F.col("c_mktsegment"))).select("c_custkey", "c_name")
 
 
-@query("SELECT doc_id, ((doc_id % 2 = 0)::INT + (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT) = 1 AS valid FROM documents")
+@query("SELECT doc_id, (lang <> 'en')::INT + (n_chars > 1500)::INT + (substr(text, 1, 1) BETWEEN 'A' AND 'M')::INT = 1 AS valid FROM documents")
 def exactly_one_target(spark, d):
-    k = F.col("doc_id")
-    return table(spark, d, "documents").select("doc_id", rules.exactly_one(*[F.when(k % n == 0, k) for n in (2, 3, 5)]).alias("valid"))
+    """Targets from three columns: a foreign language, a long text, a text that begins in the alphabet's first half."""
+    first = F.substring("text", 1, 1)
+    targets = F.nullif("lang", F.lit("en")), F.when(F.col("n_chars") > 1500, F.col("n_chars")), F.when(first.between("A", "M"), first)
+    return table(spark, d, "documents").select("doc_id", rules.exactly_one(*targets).alias("valid"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ai_newsletter' WHEN 1 THEN 'invoice' ELSE lang END AS label FROM documents")
+@query(
+    r"""WITH m AS (SELECT doc_id, lang, ' ' || upper(split_part(text, ' ', 1)) || '@' || source || '.Example ' AS address,
+      [split_part(text, ' ', 2) || '.pdf', split_part(text, ' ', 3) || CASE lang WHEN 'de' THEN '_Rechnung' WHEN 'fr' THEN ' FACTURE 7' WHEN 'es' THEN 'fact' ELSE '' END || CASE WHEN n_chars % 2 = 0 THEN '.PDF' ELSE '.doc' END] AS files FROM documents),
+    a AS (SELECT *, lower(trim(address)) AS known FROM m)
+    SELECT doc_id, CASE WHEN known IN ('the@src1.example', 'of@src2.example') OR split_part(known, '@', -1) = 'src3.example' THEN 'ai_newsletter'
+      WHEN len(list_filter(files, lambda f: lower(f) LIKE '%.pdf' AND regexp_matches(lower(f), 'rechnung|invoice|faktura|factura|facture|számla|szamla'))) > 0 THEN 'invoice' ELSE lang END AS label FROM a"""
+)
 def label_cascade(spark, d):
-    k = F.col("doc_id")
-    address = F.when(k % 8 == 0, " News@Letter.example ").when(k % 8 == 4, "any@sub.example").otherwise("a@b.example")
-    files = F.when(k % 4 <= 1, F.array(F.lit("note.txt"), F.lit("Rechnung_7.PDF"))).otherwise(F.array(F.lit("rechnung.doc"), F.lit("bill.pdf")))
-    return table(spark, d, "documents").select("doc_id", rules.label(address, files, {"news@letter.example": "a", "sub.example": "b"}, F.col("lang")).alias("label"))
+    """Senders from a text's first word and source, file names from the words after it, by language."""
+    word = lambda n: F.split_part(F.col("text"), F.lit(" "), F.lit(n))
+    address = F.concat(F.lit(" "), F.upper(word(1)), F.lit("@"), "source", F.lit(".Example "))
+    ending = F.when(F.col("n_chars") % 2 == 0, ".PDF").otherwise(".doc")
+    named = F.when(F.col("lang") == "de", "_Rechnung").when(F.col("lang") == "fr", " FACTURE 7").when(F.col("lang") == "es", "fact").otherwise("")
+    files = F.array(F.concat(word(2), F.lit(".pdf")), F.concat(word(3), named, ending))
+    known = {"the@src1.example": "a", "of@src2.example": "b", "src3.example": "c"}
+    return table(spark, d, "documents").select("doc_id", rules.label(address, files, known, F.col("lang")).alias("label"))
 
 
 @query("SELECT doc_id, CASE WHEN strlen(text) > 1000 THEN 'too_large' END AS reason, CASE WHEN strlen(text) > 1000 THEN NULL ELSE strlen(text) END AS kept FROM documents")
@@ -208,25 +232,33 @@ def invoice_field_clean(spark, d):
     return e.select("event_id", rules.clean_amount(F.col("value")).alias("amount"), F.upper(rules.clean_text(F.when(F.col("event_id") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "event_type")))).alias("code"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 5 = 0 THEN 'paid' WHEN o_orderkey % 3 = 0 THEN 'needs_info' ELSE 'open' END AS status FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' OR o_totalprice > 150000 THEN 'paid' WHEN o_orderpriority LIKE '1%' THEN 'needs_info' ELSE 'open' END AS status FROM orders")
 def paid_transitions(spark, d):
-    k = F.col("o_orderkey")
-    issues = F.when(k % 3 == 0, F.array(F.lit("missing_iban"))).otherwise(F.array().cast("array<string>"))
-    return table(spark, d, "orders").select("o_orderkey", workflow.paid(F.lit("paid"), issues, k % 4 == 0, k % 5 == 0).alias("status"))
+    """Paid by the owner: finished orders; matched: large ones; urgent ones have an issue."""
+    issues = F.when(F.col("o_orderpriority").startswith("1"), F.array(F.lit("missing_iban"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "orders").select("o_orderkey", workflow.paid(F.lit("paid"), issues, F.col("o_orderstatus") == "F", F.col("o_totalprice") > 150000).alias("status"))
 
 
-@query("SELECT o_orderkey, CASE WHEN k IN (0, 1) THEN 'sent' WHEN k IN (2, 3) THEN CASE WHEN a = 4 THEN 'failed' ELSE 'pending' END WHEN k = 4 THEN 'failed' ELSE 'sent' END AS status, k IN (2, 4) AS stops FROM (SELECT o_orderkey, o_orderkey % 6 AS k, (o_orderkey // 6) % 5 AS a FROM orders)")
+@query(
+    """WITH a AS (SELECT event_id, event_type = 'click' AS done, user_id % 6 AS attempts, CASE WHEN value < 20 THEN 429 WHEN value < 40 THEN 500 + floor(value)::INT WHEN value < 50 THEN 403 WHEN value < 55 THEN NULL ELSE 200 END AS code, hour(ts) AS h FROM events)
+    SELECT event_id, CASE WHEN done THEN 'sent' WHEN code = 200 THEN 'sent' WHEN (code IS NULL OR code = 429 OR code >= 500) AND attempts + 1 < 5 THEN 'pending' ELSE 'failed' END AS status,
+      coalesce(code <> 200 AND code < 500, false) AS stops, h >= 22 OR h < 7 AS waits FROM a"""
+)
 def delivery_states(spark, d):
-    k = F.col("o_orderkey") % 6
-    code = F.element_at(F.array(*map(F.lit, (200, 200, 429, 503, 403, 200))), (k + 1).cast("int"))
-    status = F.when(k == 5, "sent").otherwise("pending")
-    return table(spark, d, "orders").select("o_orderkey", rules.delivery(status, F.floor(F.col("o_orderkey") / 6) % 5, code).alias("status"), rules.stops_run(code).alias("stops"))
+    """Answers of every kind from an event's value, attempts from its user, the hour from its time."""
+    value = F.col("value")
+    code = F.when(value < 20, 429).when(value < 40, 500 + F.floor(value).cast("int")).when(value < 50, 403).when(value < 55, F.lit(None)).otherwise(200)
+    status = F.when(F.col("event_type") == "click", "sent").otherwise("pending")
+    waits = feeds.quiet(F.hour(F.col("ts").cast("timestamp")))
+    return table(spark, d, "events").select("event_id", rules.delivery(status, F.col("user_id") % 6, code).alias("status"), rules.stops_run(code).alias("stops"), waits.alias("waits"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a.b@x' WHEN 1 THEN '<inner' END AS message_id FROM documents")
+@query("SELECT page_id, nullif(trim(regexp_replace(trim(raw), '^<|>$', '', 'g')), '') AS message_id FROM (SELECT page_id, ' ' || repeat('<', (page_id % 3)::INT) || CASE WHEN length(url) % 5 = 0 THEN ' ' ELSE split_part(url, '/', 3) || '@' || length(html) END || repeat('>', (page_id % 4)::INT) || ' ' AS raw FROM pages)")
 def message_ids(spark, d):
-    raw = F.when(F.col("doc_id") % 3 == 0, " <a.b@x> ").when(F.col("doc_id") % 3 == 1, "<<inner>").otherwise("<>")
-    return table(spark, d, "documents").select("doc_id", X.message_id(raw).alias("message_id"))
+    """Identifiers made of hosts, some empty, in any number of brackets."""
+    body = F.when(F.length("url") % 5 == 0, " ").otherwise(F.concat(F.split_part(F.col("url"), F.lit("/"), F.lit(3)), F.lit("@"), F.length("html").cast("string")))
+    raw = F.concat(F.lit(" "), F.repeat(F.lit("<"), (F.col("page_id") % 3).cast("int")), body, F.repeat(F.lit(">"), (F.col("page_id") % 4).cast("int")), F.lit(" "))
+    return table(spark, d, "pages").select("page_id", X.message_id(raw).alias("message_id"))
 
 
 @query(
@@ -239,21 +271,48 @@ def chat_text_functions(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.strip_citation_markers(F.concat(text, F.lit(" [1, 2] end [3]."))).alias("plain"), X.xml_escape(F.concat(text, F.lit('<"&">'))).alias("escaped"), X.excerpt(text, 100).alias("excerpt"), X.title_key(text).alias("title_key"))
 
 
-@query("SELECT doc_id, doc_id % 4 IN (0, 1) AS amount, CASE doc_id % 3 WHEN 0 THEN 'Part I > Item 7.' WHEN 1 THEN 'Item 1A.' END AS section, CASE WHEN doc_id % 2 = 0 THEN 'invoice' ELSE 'other' END AS label, doc_id % 5 = 0 AS fact FROM documents")
+@query(
+    r"""WITH t AS (SELECT doc_id, lang, text, CASE n_chars % 4 WHEN 0 THEN '$' || n_chars || '.50' WHEN 1 THEN '(' || n_chars || ')' WHEN 2 THEN n_chars || ' USD' ELSE n_chars || '.1.' END AS cell,
+      list_filter(regexp_extract_all(substr(text, 1, 60), '[A-Z][a-z]+'), lambda w: length(w) > 5) AS heads, substr(text, 1, 50) || CASE WHEN n_chars % 3 = 0 THEN ' see iTem ' || n_chars % 20 || 'a. ' ELSE ' items 7' END AS body,
+      translate(replace(substr(text, 3, 12), ' ', chr(10) || ' '), 'aeinrst', 'AEINRST') AS fact FROM documents)
+    SELECT doc_id, regexp_matches(cell, '^\(?\$?[\d,]+(\.\d+)?\)?$') AS amount, coalesce(nullif(array_to_string(heads, ' > '), ''), nullif(regexp_extract(body, '\b(item\s+\d+[a-z]?\b\.?)', 1, 'i'), '')) AS section,
+      CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'other' END AS label, contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(fact, '\s+', ' ', 'g')))) AS fact FROM t"""
+)
 def table_text_functions(spark, d):
-    k = F.col("doc_id")
-    cell = F.element_at(F.array(*map(F.lit, ("$1,234.50", "(12)", "n/a", "1.2.3"))), (k % 4 + 1).cast("int"))
-    heads = F.when(k % 3 == 0, F.array(F.lit("Part I"), F.lit("Item 7."))).otherwise(F.array().cast("array<string>"))
-    body = F.when(k % 3 == 1, "see Item 1A. Risk").otherwise("none")
-    return table(spark, d, "documents").select("doc_id", X.is_amount(cell).alias("amount"), X.section_of(heads, body).alias("section"), X.known_or(F.when(k % 2 == 0, " Invoice ").otherwise("spam"), ("invoice", "other")).alias("label"), X.contains_fact(F.lit("Total  DUE: 5\nEUR"), F.when(k % 5 == 0, "due: 5 eur").otherwise("six")).alias("fact"))
+    """Cells, headings, bodies and facts cut from the texts."""
+    n, text = F.col("n_chars"), F.col("text")
+    number = n.cast("string")
+    cell = F.when(n % 4 == 0, F.concat(F.lit("$"), number, F.lit(".50"))).when(n % 4 == 1, F.concat(F.lit("("), number, F.lit(")"))).when(n % 4 == 2, F.concat(number, F.lit(" USD"))).otherwise(F.concat(number, F.lit(".1.")))
+    heads = F.filter(F.regexp_extract_all(F.substring(text, 1, 60), F.lit("[A-Z][a-z]+"), F.lit(0)), lambda w: F.length(w) > 5)
+    body = F.concat(F.substring(text, 1, 50), F.when(n % 3 == 0, F.concat(F.lit(" see iTem "), (n % 20).cast("string"), F.lit("a. "))).otherwise(" items 7"))
+    fact = F.translate(F.replace(F.substring(text, 3, 12), F.lit(" "), F.lit("\n ")), "aeinrst", "AEINRST")
+    return table(spark, d, "documents").select("doc_id", X.is_amount(cell).alias("amount"), X.section_of(heads, body).alias("section"), X.known_or(F.concat(F.lit(" "), F.initcap("lang")), ("en", "de")).alias("label"), X.contains_fact(text, fact).alias("fact"))
 
 
-@query("SELECT doc_id, u AS url, k IN (1, 3) AS own, k IN (0, 2, 3, 4, 5) AS article, k IN (0, 2, 4) AS supported FROM (SELECT doc_id, doc_id % 7 AS k, ['https://x.org/a?q=1', 'https://www.tldr.tech/?utm_source=z', 'https://x.org/', 'https://tldr.tech/ai/2024', 'https://github.com/ann/tool', 'https://y.org/no', 'READ MORE'][doc_id % 7 + 1] AS u FROM documents)")
+@query(
+    r"""WITH p AS (SELECT page_id, url, split_part(url, '/', 3) AS site FROM pages),
+    l AS (SELECT page_id, site, CASE page_id % 6 WHEN 0 THEN ' ' || url || ' ' WHEN 1 THEN 'https://' || site || '/?UTM_Source=x&utm_b' WHEN 2 THEN 'https://' || site || '?q=1' WHEN 3 THEN 'https://GitHub.com/' || replace(site, '.', '-') || '/tool/' WHEN 4 THEN 'read ' || site ELSE url END AS raw FROM p),
+    u AS (SELECT page_id, trim(raw) AS u, site FROM l),
+    q AS (SELECT *, lower(regexp_extract(u, '^[A-Za-z]+://([^/?#@]*@)?([^/?#:]*)', 2)) AS host, regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1) AS netloc, regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '\?([^#]*)', 1) AS query,
+      'see ' || CASE page_id % 5 WHEN 0 THEN u WHEN 1 THEN regexp_extract(u, '^[A-Za-z]+://([^?#]*)', 1) WHEN 2 THEN replace(site, '.', '-') || '/tool' ELSE 'nothing' END || ' today' AS body FROM u),
+    r AS (SELECT *, host IN ('example.com', 'example.net') OR host LIKE '%.example.com' OR host LIKE '%.example.net' AS own, regexp_matches(u, '^https?://[^/?#]', 'i') AS web,
+      path IN ('', '/') AND len(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_'))) = 0 AS front, regexp_replace(netloc || path, '/+$', '') AS bare, regexp_replace(path, '^/+|/+$', '', 'g') AS repo FROM q)
+    SELECT page_id, own, web AND NOT (front AND own) AS article, web AND NOT (front AND own) AND (contains(body, u) OR contains(body, bare) OR host IN ('github.com', 'www.github.com') AND regexp_matches(repo, '^[^/]+/[^/]+$') AND contains(body, repo)) AS supported FROM r"""
+)
 def news_link_rules(spark, d):
-    links = ("https://x.org/a?q=1", "https://www.tldr.tech/?utm_source=z", "https://x.org/", "https://tldr.tech/ai/2024", "https://github.com/ann/tool", "https://y.org/no", "READ MORE")
-    u = F.element_at(F.array(*map(F.lit, links)), (F.col("doc_id") % 7 + 1).cast("int"))
-    body = F.lit("read x.org/a and https://x.org/ or ann/tool today")
-    return table(spark, d, "documents").select("doc_id", u.alias("url"), X.is_own_site(u).alias("own"), X.is_article_link(u).alias("article"), X.url_in_text(u, body).alias("supported"))
+    """Addresses of pages, their front pages with and without other parameters, repositories and labels; texts that quote some."""
+    url, k = F.col("url"), F.col("page_id")
+    site = F.split_part(url, F.lit("/"), F.lit(3))
+    own = ("example.com", "example.net")
+    repo = F.replace(site, F.lit("."), F.lit("-"))
+    raw = (
+        F.when(k % 6 == 0, F.concat(F.lit(" "), url, F.lit(" "))).when(k % 6 == 1, F.concat(F.lit("https://"), site, F.lit("/?UTM_Source=x&utm_b"))).when(k % 6 == 2, F.concat(F.lit("https://"), site, F.lit("?q=1")))
+        .when(k % 6 == 3, F.concat(F.lit("https://GitHub.com/"), repo, F.lit("/tool/"))).when(k % 6 == 4, F.concat(F.lit("read "), site)).otherwise(url)
+    )
+    u = F.trim(raw)
+    quoted = F.when(k % 5 == 0, u).when(k % 5 == 1, F.regexp_extract(u, "^[A-Za-z]+://([^?#]*)", 1)).when(k % 5 == 2, F.concat(repo, F.lit("/tool"))).otherwise("nothing")
+    body = F.concat(F.lit("see "), quoted, F.lit(" today"))
+    return table(spark, d, "pages").select("page_id", X.is_own_site(raw, own).alias("own"), X.is_article_link(raw, own).alias("article"), X.url_in_text(raw, body, own).alias("supported"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'amount unknown' WHEN 1 THEN '€' || o_totalprice::DECIMAL(14,2) ELSE o_totalprice::DECIMAL(14,2) || ' USD' END AS shown FROM orders")
@@ -263,12 +322,18 @@ def plain_amounts(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.format_plain_amount(amount, F.when(k == 1, "EUR").otherwise("USD")).alias("shown"))
 
 
-@query("SELECT c_custkey, length(iban) = len AND CASE WHEN good THEN true ELSE false END AS valid FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'CZ6508000000192000145399' WHEN 1 THEN 'MT84MALT011000012345MTLCAST001S' ELSE 'CZ6508000000192000145398' END AS iban, CASE c_custkey % 3 WHEN 1 THEN 31 ELSE 24 END AS len, c_custkey % 3 <> 2 AS good FROM customer)")
+@query(
+    """WITH a AS (SELECT c_custkey, ['DE', 'GB', 'IE', 'FR', 'XX'][c_nationkey % 5 + 1] AS country, lpad(c_custkey::VARCHAR, 18, '0') AS account, c_acctbal < 0 AS broken FROM customer),
+    n AS (SELECT *, array_to_string(list_transform(string_split(country, ''), lambda x: (ord(x) - 55)::VARCHAR), '') AS code FROM a),
+    i AS (SELECT *, country || lpad((98 - (account || code || '00')::HUGEINT % 97)::VARCHAR, 2, '0') || CASE WHEN broken THEN '1' || substr(account, 2) ELSE account END AS iban FROM n)
+    SELECT c_custkey, country IN ('DE', 'GB', 'IE') AND (substr(iban, 5) || code || substr(iban, 3, 2))::HUGEINT % 97 = 1 AS valid FROM i"""
+)
 def iban_countries(spark, d):
-    """The registry's own examples, and one with a wrong last digit."""
-    k = F.col("c_custkey") % 3
-    iban = F.when(k == 0, "cz65 0800 0000 1920 0014 5399").when(k == 1, "MT84 MALT 0110 0001 2345 MTLC AST0 01S").otherwise("CZ6508000000192000145398")
-    return table(spark, d, "customer").select("c_custkey", X.iban_valid(iban).alias("valid"))
+    """IBANs of 22 characters of five countries, in small letters and groups of four; a digit is wrong where the balance is below zero."""
+    k = F.col("c_custkey")
+    made = F.element_at(F.array(*[X.demo_iban(k, c) for c in ("DE", "GB", "IE", "FR", "XX")]), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    iban = F.when(F.col("c_acctbal") < 0, F.concat(F.substring(made, 1, 4), F.lit("1"), F.substring(made, 6, 40))).otherwise(made)
+    return table(spark, d, "customer").select("c_custkey", X.iban_valid(F.regexp_replace(F.lower(iban), "(.{4})", "$1 ")).alias("valid"))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'h' || c_custkey ELSE 'old' || c_custkey END AS identification_hash FROM customer")
@@ -278,10 +343,10 @@ def accounts_rehashed(spark, d):
     return workflow.rehash_accounts(c, fetched).select("id", "identification_hash")
 
 
-@query("SELECT invoice_id, count(*) FILTER (invoice_id % 2 = 1) AS left FROM (SELECT o_custkey AS invoice_id FROM orders WHERE o_orderkey % 4 = 0) GROUP BY 1")
+@query("SELECT invoice_id, count(*) FILTER (invoice_id % 2 = 1) AS left FROM (SELECT o_custkey AS invoice_id FROM orders) GROUP BY 1")
 def match_reject(spark, d):
     """Every match of even invoices is rejected."""
-    m = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("invoice_id"), F.col("o_orderkey").alias("debit_id"), F.lit("linked").alias("status"))
+    m = table(spark, d, "orders").select(F.col("o_custkey").alias("invoice_id"), F.col("o_orderkey").alias("debit_id"), F.lit("linked").alias("status"))
     marked, _ = workflow.reject(m, m.where("invoice_id % 2 = 0").select("invoice_id", "debit_id"))
     return marked.groupBy("invoice_id").agg(F.count(F.when(F.col("status") == "linked", 1)).alias("left"))
 

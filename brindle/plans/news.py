@@ -75,8 +75,8 @@ def _feed(spark, d):
 def news_day_feed(spark, d):
     group = F.when(F.col("big"), 0).when(F.col("security"), 1).otherwise(2)
     page = _feed(spark, d).where((F.col("day") >= F.lit("2024-01-08").cast("date")) & (F.col("day") < F.lit("2024-01-15").cast("date")))
-    place = F.row_number().over(Window.partitionBy("day").orderBy(group, "links", "first_id"))
-    return page.withColumn("place", place).drop("first_id")
+    placed = state.ranks(page.withColumn("__group", group), "day", ["__group", "links", "first_id"], "place")
+    return placed.withColumn("place", F.col("place") + 1).drop("first_id", "__group")
 
 
 @query("SELECT CASE WHEN count(*) > 0 THEN DATE '2024-01-08' END AS next_before FROM (SELECT 1 FROM documents WHERE doc_id % 30 < 7 LIMIT 1)")

@@ -169,7 +169,7 @@ def text_vectors(spark, d):
 def scoped_hydration(spark, d):
     """Hits of another owner, or in a mailbox that isn't active, drop out."""
     docs = table(spark, d, "documents").withColumn("owner", F.col("doc_id") % 2)
-    names = [r[0] for r in docs.select("source").distinct().orderBy("source").collect()]
-    boxes = spark.createDataFrame([(n, i // 3 % 2, i < 3) for i, n in enumerate(names)], "id string, user_id int, is_active boolean")
+    first = docs.select(F.col("source").alias("id")).distinct().orderBy("id").limit(3)
+    boxes = first.select("id", F.lit(0).alias("user_id"), F.lit(True).alias("is_active")).unionByName(first.select(F.concat(F.lit("no "), "id").alias("id"), F.lit(1).alias("user_id"), F.lit(True).alias("is_active")))
     fused = search.rrf(_semantic(spark, d), _fulltext(spark, d))
     return search.scoped_hydrate(fused, docs, "doc_id", F.col("owner"), 0, F.col("source"), boxes).select("rank", F.col("doc_id").alias("id"), "source")

@@ -42,15 +42,20 @@ def ingest_action(spark, d):
 
 
 @query(
-    """SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#]', 'i') THEN regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') END AS citation,
-    lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')
-      || CASE WHEN q = '' THEN '' ELSE '?' || q END AS compared,
-    regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') AND NOT regexp_matches(regexp_replace(regexp_extract(url, '\\?([^#]*)', 1), '(^|&)(utm_[^&]*|&*)', '', 'gi'), '[^&]') AS front_page,
-    regexp_matches(url, '^https?://[^/?#]', 'i') AS article
-    FROM (SELECT page_id, url, array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_')), '&') AS q FROM pages)"""
+    r"""WITH v AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '  ' || url || chr(10) WHEN 2 THEN 'HTTP://WWW.' || upper(split_part(url, '/', 3)) || '/A/?UTM_Source=z&q=a%20b+c~*&=x&b&&utm%5Fx=1&100%&p=%C3%A9#f' ELSE url || '&Utm_y' END AS raw FROM pages),
+    t AS (SELECT page_id, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS url FROM v),
+    q AS (SELECT page_id, url, list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> ''), lambda p: [split_part(p, '=', 1), CASE WHEN contains(p, '=') THEN regexp_replace(p, '^[^=]*=', '') ELSE '' END]) AS pairs FROM t),
+    w AS (SELECT page_id, url, array_to_string(list_transform(list_filter(list_transform(pairs, lambda x: list_transform(x, lambda y: url_decode(replace(y, '+', ' ')))), lambda x: NOT starts_with(lower(x[1]), 'utm_')), lambda x: replace(url_encode(x[1]), '%20', '+') || '=' || replace(url_encode(x[2]), '%20', '+')), '&') AS q FROM q)
+    SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#]', 'i') THEN regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1, 'i')), '^www\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1, 'i'), '/+$', '') END AS citation,
+    lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') || CASE WHEN q = '' THEN '' ELSE '?' || q END AS compared,
+    regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') AND NOT regexp_matches(regexp_replace(regexp_extract(url, '\?([^#]*)', 1), '(^|&)(utm_[^&]*|&*)', '', 'gi'), '[^&]') AS front_page,
+    regexp_matches(url, '^https?://[^/?#]', 'i') AS article FROM w"""
 )
 def normalize_url(spark, d):
-    u = F.col("url")
+    """Addresses of pages as they are, between blanks, with a further parameter, and with queries of all kinds."""
+    url, k = F.col("url"), F.col("page_id")
+    odd = F.concat(F.lit("HTTP://WWW."), F.upper(F.split_part(url, F.lit("/"), F.lit(3))), F.lit("/A/?UTM_Source=z&q=a%20b+c~*&=x&b&&utm%5Fx=1&100%&p=%C3%A9#f"))
+    u = F.when(k % 4 == 0, url).when(k % 4 == 1, F.concat(F.lit("  "), url, F.lit("\n"))).when(k % 4 == 2, odd).otherwise(F.concat(url, F.lit("&Utm_y")))
     return table(spark, d, "pages").select("page_id", X.citation_url(u).alias("citation"), X.compared_url(u).alias("compared"), X.is_front_page(u).alias("front_page"), X.is_article_link(u).alias("article"))
 
 

@@ -74,13 +74,18 @@ def stream_answer_frames(spark, d):
 
 
 @query(
-    """SELECT doc_id AS answer_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 = 0 THEN 'wrong_refusal' WHEN doc_id % 4 = 0 AND doc_id % 5 <> 0 THEN 'missing_refusal' ELSE 'correct' END AS refusal,
-    CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 3 = 1)::INT END AS evidence_cited, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 3 = 2)::INT END AS distractor_cited, doc_id % 6 <> 0 AS grounded FROM documents"""
+    r"""WITH w AS (SELECT doc_id, lang, n_chars, regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]+') AS ws FROM documents),
+    a AS (SELECT doc_id, lang <> 'es' AS answerable, n_chars < 600 AS insufficient, ws[1:6] AS cited, ws[7:9] AS expected, CASE WHEN n_chars % 2 = 0 THEN ws[12:14] ELSE [] END AS distractors, ws[1] = 'the' AS bad FROM w)
+    SELECT doc_id AS answer_id, CASE WHEN answerable AND insufficient THEN 'wrong_refusal' WHEN NOT answerable AND NOT insufficient THEN 'missing_refusal' ELSE 'correct' END AS refusal,
+    CASE WHEN answerable THEN len(list_intersect(cited, expected)) > 0 END::INT AS evidence_cited, CASE WHEN len(distractors) > 0 THEN len(list_intersect(cited, distractors)) > 0 END::INT AS distractor_cited, coalesce(NOT bad, true) AS grounded FROM a"""
 )
 def answer_scores(spark, d):
-    k = F.col("doc_id")
-    none = F.array().cast("array<int>")
-    rows = table(spark, d, "documents").select(k.alias("answer_id"), (k % 4 != 0).alias("answerable"), (k % 5 == 0).alias("insufficient"), F.array((k % 3).cast("int")).alias("cited"), F.array(F.lit(1)).alias("expected"), F.when(k % 2 == 0, F.array(F.lit(2))).otherwise(none).alias("distractors"), F.when(k % 6 == 0, "unknown_chunk").alias("problem"))
+    """Words of a text as what is cited, expected and distracting; short texts refuse, Spanish ones can't be answered."""
+    words = F.regexp_extract_all(F.lower(F.substring("text", 1, 400)), F.lit("[a-z]+"), F.lit(0))
+    rows = table(spark, d, "documents").select(
+        F.col("doc_id").alias("answer_id"), (F.col("lang") != "es").alias("answerable"), (F.col("n_chars") < 600).alias("insufficient"), F.slice(words, 1, 6).alias("cited"), F.slice(words, 7, 3).alias("expected"),
+        F.when(F.col("n_chars") % 2 == 0, F.slice(words, 12, 3)).otherwise(F.array().cast("array<string>")).alias("distractors"), F.when(F.get(words, F.lit(0)) == "the", "unknown_chunk").alias("problem"),
+    )
     return workflow.answer_scores(rows).withColumns({c: F.col(c).cast("int") for c in ("evidence_cited", "distractor_cited")})
 
 
