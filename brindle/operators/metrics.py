@@ -54,19 +54,22 @@ def confusion(rows: DataFrame, expected: str, predicted: str) -> DataFrame:
 
 
 def extraction_scores(expected: DataFrame, actual: DataFrame, matched: DataFrame) -> DataFrame:
-    """Per group: recall, precision, url_exact, leaks (sponsored items returned), invented links are left to the caller.
+    """Per group: recall, precision, url_exact; leaks (sponsors returned as news), drops (news returned as sponsors) and invented
+    links (those of returned news that the text doesn't have).
 
-    expected: group, idx, url, sponsor; actual: group, idx, url; matched: group, expected_idx, actual_idx.
+    expected: group, idx, url, sponsor; actual: group, idx, url, sponsor, in_text; matched: group, expected_idx, actual_idx.
     """
-    e = expected.select("group", F.col("idx").alias("expected_idx"), F.col("url").alias("expected_url"), "sponsor")
-    a = actual.select("group", F.col("idx").alias("actual_idx"), F.col("url").alias("actual_url"))
+    e = expected.select("group", F.col("idx").alias("expected_idx"), F.trim("url").alias("expected_url"), F.col("sponsor").alias("paid"))
+    a = actual.select("group", F.col("idx").alias("actual_idx"), F.trim("url").alias("actual_url"), "sponsor")
     pairs = matched.join(e, ["group", "expected_idx"]).join(a, ["group", "actual_idx"])
-    found = pairs.groupBy("group").agg(F.count(F.when(~F.col("sponsor"), 1)).alias("found"), F.count(F.when(~F.col("sponsor") & (F.col("expected_url") == F.col("actual_url")), 1)).alias("exact"), F.count(F.when(F.col("sponsor"), 1)).alias("leaks"))
-    wanted = expected.groupBy("group").agg(F.count(F.when(~F.col("sponsor"), 1)).alias("wanted"))
-    given = actual.groupBy("group").agg(F.count("*").alias("given"))
+    news = ~F.col("paid") & ~F.col("sponsor")
+    count = lambda condition, name: F.count(F.when(condition, 1)).alias(name)
+    found = pairs.groupBy("group").agg(count(news, "found"), count(news & (F.col("expected_url") == F.col("actual_url")), "exact"), count(F.col("paid") & ~F.col("sponsor"), "leaks"), count(~F.col("paid") & F.col("sponsor"), "drops"))
+    wanted = expected.groupBy("group").agg(count(~F.col("sponsor"), "wanted"))
+    given = actual.groupBy("group").agg(count(~F.col("sponsor"), "given"), count(~F.col("sponsor") & (F.trim("url") != "") & ~F.col("in_text"), "invented"))
     each = wanted.join(given, "group", "left").join(found, "group", "left").na.fill(0)
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    return each.select("group", "wanted", "given", "found", "exact", "leaks", part("found", "wanted").alias("recall"), part("found", "given").alias("precision"), part("exact", "found").alias("url_exact"))
+    return each.select("group", "wanted", "given", "found", "exact", "leaks", "drops", "invented", part("found", "wanted").alias("recall"), part("found", "given").alias("precision"), part("exact", "found").alias("url_exact"))
 
 
 def pass_bar(recall: Column, url_exact: Column, leaks: Column, invented: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import uuid
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -118,19 +119,28 @@ def story_rank(found: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def match_signals(invoices: DataFrame, debits: DataFrame, days: int = MATCH_DAYS) -> DataFrame:
-    """invoice_id, debit_id, signals of all pairs of one amount and currency in the time after the invoice.
-
-    Signals: amount (all pairs have it), iban (equal), reference (number or reference, four characters or more, within the
-    remittance) and name (a common word of the payee). The equi-join on amount and currency carries the range as a residual condition.
-    """
-    i, d = invoices.alias("i"), debits.alias("d")
-    gate = (F.col("i.amount") == F.col("d.amount")) & (F.col("i.currency") == F.col("d.currency")) & F.col("d.booking_date").between(F.col("i.start"), F.date_add(F.col("i.start"), days))
+    """invoice_id, debit_id, signals of the pairs of one amount and currency, in the time after the invoice, that have a further
+    signal: iban (equal), reference (number or reference, four characters or more, within the remittance) or name (a common word
+    of the payee). Pairs that share the amount alone are never made, since a common price would pair every invoice of it with
+    every debit: the equi-join goes by amount, currency and a key of one of the signals. That of a reference is its first four
+    characters, which are looked up among all runs of four in the remittance."""
+    of = lambda tag, c: F.concat(F.lit(tag), c)
+    iban = lambda c: F.when(c != "", of("b", compact(c)))
+    name = lambda c: F.transform(F.coalesce(name_tokens(c, STOP_WORDS), F.array().cast("array<string>")), lambda w: of("n", w))
+    code = lambda c: F.when(F.length(compact(c)) >= LEAST_TOKEN, of("r", F.substring(compact(c), 1, LEAST_TOKEN)))
+    text = compact(F.coalesce("remittance", F.lit("")))
+    runs = F.when(F.length(text) >= LEAST_TOKEN, F.transform(F.sequence(F.lit(1), F.length(text) - LEAST_TOKEN + 1), lambda k: of("r", F.substr(text, k, F.lit(LEAST_TOKEN))))).otherwise(F.array().cast("array<string>"))
+    keys = lambda *c: F.explode(F.filter(F.array_distinct(F.concat(*c)), lambda k: k.isNotNull())).alias("key")
+    i = invoices.select("*", keys(F.array(iban(F.col("iban")), code(F.col("invoice_number")), code(F.col("reference"))), name(F.col("payee")))).alias("i")
+    d = debits.select("*", keys(F.array(iban(F.col("counterparty_iban"))), runs, name(F.col("counterparty_name")))).alias("d")
+    gate = (F.col("i.amount") == F.col("d.amount")) & (F.col("i.currency") == F.col("d.currency")) & (F.col("i.key") == F.col("d.key")) & F.col("d.booking_date").between(F.col("i.start"), F.date_add(F.col("i.start"), days))
     remittance = compact(F.coalesce("d.remittance", F.lit("")))
     within = lambda c: F.coalesce((F.length(compact(c)) >= LEAST_TOKEN) & F.contains(remittance, compact(c)), F.lit(False))
-    iban = F.coalesce((F.col("i.iban") != "") & (compact(F.col("i.iban")) == compact(F.col("d.counterparty_iban"))), F.lit(False))
-    name = F.coalesce(F.arrays_overlap(name_tokens(F.col("i.payee"), STOP_WORDS), name_tokens(F.col("d.counterparty_name"), STOP_WORDS)), F.lit(False))
-    signals = F.filter(F.array(F.lit("amount"), F.when(iban, "iban"), F.when(within(F.col("i.invoice_number")) | within(F.col("i.reference")), "reference"), F.when(name, "name")), lambda s: s.isNotNull())
-    return i.join(d, gate).select(F.col("i.id").alias("invoice_id"), F.col("d.id").alias("debit_id"), signals.alias("signals"))
+    same = F.coalesce((F.col("i.iban") != "") & (compact(F.col("i.iban")) == compact(F.col("d.counterparty_iban"))), F.lit(False))
+    named = F.coalesce(F.arrays_overlap(name_tokens(F.col("i.payee"), STOP_WORDS), name_tokens(F.col("d.counterparty_name"), STOP_WORDS)), F.lit(False))
+    signals = F.filter(F.array(F.lit("amount"), F.when(same, "iban"), F.when(within(F.col("i.invoice_number")) | within(F.col("i.reference")), "reference"), F.when(named, "name")), lambda s: s.isNotNull())
+    met = i.join(d, gate).select(F.col("i.id").alias("invoice_id"), F.col("d.id").alias("debit_id"), signals.alias("signals"))
+    return met.where(F.size("signals") > 1).distinct()
 
 
 def propose(pairs: DataFrame, rejected: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
@@ -152,16 +162,19 @@ def assign(pairs: DataFrame, order: DataFrame) -> DataFrame:
     follow the longest chain of conflicts, not the number of invoices. order: invoice_id, start.
     """
     left = saved(pairs.where(F.size("signals") > 1).join(order, "invoice_id"))
-    out = None
+    done = []
     while not left.isEmpty():
         first = left.groupBy("debit_id").agg(F.min(F.struct("start", "invoice_id")).alias("first"))
         ready = left.join(first, "debit_id").groupBy("invoice_id").agg(F.bool_and(F.col("first.invoice_id") == F.col("invoice_id")).alias("ok")).where("ok").select("invoice_id")
         ready = saved(ready)
         now = saved(propose(left.join(ready, "invoice_id", "left_semi").select("invoice_id", "debit_id", "signals")))
-        out = now if out is None else out.unionByName(now)
+        done.append(now)
         linked = now.where("status = 'linked'").select("debit_id")
-        left = saved(left.join(ready, "invoice_id", "left_anti").join(linked, "debit_id", "left_anti"))
-    return out if out is not None else propose(pairs)
+        rest = saved(left.join(ready, "invoice_id", "left_anti").join(linked, "debit_id", "left_anti"))
+        dropped(left, ready)
+        left = rest
+    dropped(left)
+    return reduce(DataFrame.unionByName, done) if done else propose(pairs)
 
 
 def apply_proposals(matches: DataFrame, proposals: DataFrame) -> DataFrame:

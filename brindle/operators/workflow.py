@@ -150,6 +150,17 @@ def weekday_near(first: Column, share: Column, taken: Column) -> Column:
     return best["day"]
 
 
+def appointments(slots: DataFrame) -> DataFrame:
+    """person, month, step, day: the slots of a person and month are given days in order of step, each the free weekday nearest
+    to its share of the month; a day that an earlier step took is no longer free. slots: person, month (any day of it), step,
+    share. The days taken so far are the state of a fold over a month's slots, which are few. No day is left after all
+    weekdays are taken: null."""
+    month = F.trunc("month", "month").cast("date")
+    lists = slots.groupBy("person", month.alias("month")).agg(F.array_sort(F.collect_list(F.struct("step", "share"))).alias("steps"))
+    days = F.aggregate("steps", F.array().cast("array<date>"), lambda taken, s: F.concat(taken, F.array(weekday_near(F.col("month"), s["share"], F.filter(taken, lambda d: d.isNotNull())))))
+    return lists.select("person", "month", F.inline(F.arrays_zip(F.col("steps.step").alias("step"), days.alias("day"))))
+
+
 def fill_dates(template: Column, values: dict[str, Column]) -> Column:
     """{name} as 2 January 2024 and {name:short} as 02.01.; unknown names stay."""
     out = template

@@ -39,8 +39,8 @@ def retrieval_metrics_by_kind(spark, d):
 def _extracted(spark, d):
     p = table(spark, d, "pages").select((F.col("page_id") % 20).cast("string").alias("group"), F.col("page_id").cast("int").alias("idx"), "url", F.substring("html", 60, 40).alias("title"))
     expected = p.withColumn("sponsor", F.col("idx") % 10 == 0)
-    actual = p.where("idx % 8 <> 1").select("group", (F.col("idx") + 1000).alias("idx"), F.when(F.col("idx") % 6 == 0, "").otherwise(F.col("url")).alias("url"), "title")
-    return expected, actual
+    sent = p.where("idx % 8 <> 1").withColumn("url", F.when(F.col("idx") % 6 == 0, "").otherwise(F.col("url"))).withColumn("sponsor", F.col("idx") % 15 == 0)
+    return expected, sent.withColumn("in_text", F.contains("url", F.lit("example.com"))).withColumn("idx", F.col("idx") + 1000)
 
 
 _X = """e AS (SELECT (page_id % 20)::VARCHAR AS g, page_id AS idx, url, page_id % 10 = 0 AS sponsor FROM pages), a AS (SELECT g, idx + 1000 AS idx, CASE WHEN idx % 6 = 0 THEN '' ELSE url END AS url FROM e WHERE idx % 8 <> 1),
@@ -64,13 +64,16 @@ def item_match_title(spark, d):
 
 
 @query(
-    f"""WITH {_X}, f AS (SELECT g, count(*) FILTER (NOT sponsor) AS found, count(*) FILTER (sponsor) AS leaks FROM x GROUP BY 1), w AS (SELECT g, count(*) FILTER (NOT sponsor) AS wanted FROM e GROUP BY 1), v AS (SELECT g, count(*) AS given FROM a GROUP BY 1)
-    SELECT g AS "group", wanted, given, coalesce(found, 0) AS found, coalesce(leaks, 0) AS leaks, round(CASE WHEN wanted > 0 THEN coalesce(found, 0) / wanted END, 6) AS recall FROM w LEFT JOIN v USING (g) LEFT JOIN f USING (g)"""
+    f"""WITH {_X}, b AS (SELECT (page_id % 20)::VARCHAR AS g, page_id + 1000 AS idx, CASE WHEN page_id % 6 = 0 THEN '' ELSE url END AS url, page_id % 15 = 0 AS sponsor FROM pages WHERE page_id % 8 <> 1),
+    p AS (SELECT x.g, x.sponsor AS paid, b.sponsor FROM x JOIN b ON b.g = x.g AND b.idx = actual_idx), f AS (SELECT g, count(*) FILTER (NOT paid AND NOT sponsor) AS found, count(*) FILTER (paid AND NOT sponsor) AS leaks, count(*) FILTER (NOT paid AND sponsor) AS drops FROM p GROUP BY 1),
+    w AS (SELECT g, count(*) FILTER (NOT sponsor) AS wanted FROM e GROUP BY 1), v AS (SELECT g, count(*) FILTER (NOT sponsor) AS given, count(*) FILTER (NOT sponsor AND url <> '' AND NOT contains(url, 'example.com')) AS invented FROM b GROUP BY 1)
+    SELECT g AS "group", wanted, given, coalesce(found, 0) AS found, coalesce(leaks, 0) AS leaks, coalesce(drops, 0) AS drops, invented, round(CASE WHEN wanted > 0 THEN coalesce(found, 0) / wanted END, 6) AS recall FROM w LEFT JOIN v USING (g) LEFT JOIN f USING (g)"""
 )
 def extraction_scores(spark, d):
+    """Links that don't name example.com stand for those that the newsletter's text doesn't have."""
     expected, actual = _extracted(spark, d)
     s = metrics.extraction_scores(expected, actual, resolve.match_urls(expected, actual))
-    return s.select("group", "wanted", "given", "found", "leaks", F.round("recall", 6).alias("recall"))
+    return s.select("group", "wanted", "given", "found", "leaks", "drops", "invented", F.round("recall", 6).alias("recall"))
 
 
 @query("SELECT quality AS expected, (n_chars > 500)::INT AS predicted, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")

@@ -27,7 +27,7 @@ def _sides(spark, d):
     return invoices, debits
 
 
-@query(f"WITH {_S} SELECT invoice_id, debit_id, signals FROM g")
+@query(f"WITH {_S} SELECT invoice_id, debit_id, signals FROM g WHERE iban OR ref OR nam")
 def invoice_match_signals(spark, d):
     return resolve.match_signals(*_sides(spark, d)).withColumn("signals", F.array_join("signals", ","))
 
@@ -129,7 +129,7 @@ def payment_refusal(spark, d):
 
 @query(
     f"""WITH {_S}, a AS (SELECT *, sum((ref OR iban)::INT) OVER (PARTITION BY invoice_id) AS n FROM g WHERE ref OR nam OR iban), p AS (SELECT invoice_id, debit_id, CASE WHEN n = 1 THEN 'linked' ELSE 'suggested' END AS status, signals FROM a WHERE n = 0 OR ref OR iban),
-    o AS (SELECT invoice_id, debit_id, CASE invoice_id % 6 WHEN 0 THEN 'rejected' WHEN 1 THEN 'linked' ELSE 'suggested' END AS was FROM g WHERE invoice_id % 2 = 0 OR invoice_id % 3 = 1),
+    o AS (SELECT invoice_id, debit_id, CASE invoice_id % 6 WHEN 0 THEN 'rejected' WHEN 1 THEN 'linked' ELSE 'suggested' END AS was FROM g WHERE (iban OR ref OR nam) AND (invoice_id % 2 = 0 OR invoice_id % 3 = 1)),
     m AS (SELECT invoice_id, debit_id, CASE WHEN was IN ('rejected', 'linked') THEN was ELSE coalesce(p.status, was) END AS status, CASE WHEN was IN ('rejected', 'linked') THEN 'old' ELSE coalesce(p.signals, 'old') END AS signals FROM o FULL JOIN p USING (invoice_id, debit_id))
     SELECT * FROM m WHERE NOT (status = 'suggested' AND (invoice_id IN (SELECT invoice_id FROM m WHERE status = 'linked') OR debit_id IN (SELECT debit_id FROM m WHERE status = 'linked')))"""
 )

@@ -119,6 +119,22 @@ def appointment_dates(spark, d):
     return o.select("o_orderkey", workflow.weekday_near(F.col("t"), F.lit(0.5), F.array().cast("array<date>")).alias("day"))
 
 
+@query(
+    """WITH RECURSIVE s AS (SELECT o_custkey % 40 AS person, date_trunc('month', o_orderdate)::DATE AS month, o_orderkey AS step, (o_orderkey % 11) / 10.0::DOUBLE AS share, row_number() OVER (PARTITION BY o_custkey % 40, date_trunc('month', o_orderdate) ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F'),
+    w AS (SELECT DISTINCT month, unnest(generate_series(month, last_day(month), INTERVAL 1 DAY))::DATE AS day, day(last_day(month)) AS len FROM s), m AS (SELECT month, any_value(len) AS len, list(day) AS days FROM w WHERE isodow(day) < 6 GROUP BY 1),
+    r AS (SELECT person, month, 0::BIGINT AS n, NULL::BIGINT AS step, NULL::DATE AS day, []::DATE[] AS taken FROM s GROUP BY ALL
+      UNION ALL SELECT s.person, s.month, s.n, s.step, list_sort(list_transform(list_filter(m.days, lambda x: NOT list_contains(r.taken, x)), lambda x: {'a': abs(day(x) - s.share * m.len), 'b': -day(x), 'c': x}))[1].c,
+        list_append(r.taken, list_sort(list_transform(list_filter(m.days, lambda x: NOT list_contains(r.taken, x)), lambda x: {'a': abs(day(x) - s.share * m.len), 'b': -day(x), 'c': x}))[1].c)
+      FROM r JOIN s ON s.person = r.person AND s.month = r.month AND s.n = r.n + 1 JOIN m ON m.month = s.month)
+    SELECT person, month, step, day FROM r WHERE n > 0"""
+)
+def appointments_in_order(spark, d):
+    """Orders of forty persons as appointments; those that came first keep later ones off their days."""
+    o = table(spark, d, "orders").where("o_orderstatus = 'F'")
+    slots = o.select((F.col("o_custkey") % 40).alias("person"), F.to_date("o_orderdate").alias("month"), F.col("o_orderkey").alias("step"), ((F.col("o_orderkey") % 11) / F.lit(10.0)).alias("share"))
+    return workflow.appointments(slots)
+
+
 @query("SELECT doc_id, lang AS run_1, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 4 = 0 THEN 'xx' ELSE lang END END AS run_2, doc_id % 3 = 0 OR doc_id % 4 = 0 AS disagree FROM documents")
 def run_alignment(spark, d):
     a = table(spark, d, "documents").select("doc_id", F.col("lang").alias("v"))
