@@ -146,3 +146,29 @@ def near_duplicate_cases(mails: DataFrame) -> DataFrame:
     order = Window.partitionBy("sender", "title", month).orderBy("day", "id")
     paired = mails.withColumn("second", F.lead("id").over(order)).where("second is not null")
     return paired.select(F.col("id").alias("first"), "second", month.alias("month"), F.last_day("day").alias("until"))
+
+
+def month_cases(mails: DataFrame, targeted: DataFrame) -> DataFrame:
+    """Cases that ask for a mail by its month: id, since, until (the month's first and last day) of the mails that stand near a
+    month's end and aren't targeted by a case already. mails: id, day, boundary; targeted: id."""
+    return mails.where("boundary").join(targeted.select("id").distinct(), "id", "left_anti").select("id", F.trunc("day", "month").alias("since"), F.last_day("day").alias("until"))
+
+
+def question_problems(question: Column, facts: Column, terms: Column, subject: Column) -> Column:
+    """Why a question gives its answer away: it has a fact's value, names a term that it must not (as a whole word), or has the
+    subject of the mail. All without regard to case."""
+    text = F.lower(question)
+    given = F.transform(F.filter(facts, lambda f: F.contains(text, F.lower(f))), lambda f: F.concat(F.lit("answer "), f))
+    whole = lambda t: F.concat(F.lit(r"\b\Q"), F.lower(t), F.lit(r"\E\b"))
+    named = F.transform(F.filter(terms, lambda t: F.regexp_like(text, whole(t))), lambda t: F.concat(F.lit("term "), t))
+    bare = F.regexp_replace(F.lower(subject), "^re: ", "")
+    return F.concat(given, named, F.when(F.contains(text, bare), F.array(F.concat(F.lit("subject "), subject))).otherwise(F.array().cast("array<string>")))
+
+
+def unbalanced(rows: DataFrame, label: str, known: Sequence[str], least: float = 2, share: float = 0.25) -> DataFrame:
+    """Known labels whose number of rows is further from the average than `least` or a share of it, whichever is larger."""
+    total = rows.agg(F.count("*").alias("__all"))
+    counts = rows.where(F.col(label).isin(*known)).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    every = total.select(F.explode(F.array(*map(F.lit, known))).alias("label"), (F.col("__all") / len(known)).alias("average"))
+    out = every.join(counts, "label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.where(F.abs(F.col("n") - F.col("average")) > F.greatest(F.lit(float(least)), F.col("average") * share)).select("label", "n")

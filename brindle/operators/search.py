@@ -7,9 +7,11 @@ each partition; only ids and scores are ranked, and texts are joined to the few
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
-from functools import reduce
+from base64 import b64decode
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -238,3 +240,30 @@ def fixed_chunks(rows: DataFrame, ident: str, text: str = "text", size: int = 51
     chunks = F.transform(parts, lambda p: F.struct(F.array_join(p, " ").alias("chunk_text"), F.greatest(F.size(p), F.lit(1)).alias("token_count")))
     split = rows.select(F.col(ident).alias("parent_id"), F.explode(F.array(w)).alias("__w")).select("parent_id", chunks.alias("__c"))
     return split.select("parent_id", F.posexplode("__c").alias("chunk_index", "c")).select("parent_id", "chunk_index", "c.chunk_text", "c.token_count")
+
+
+def token_chunks(rows: DataFrame, ident: str, subject: str, text: str, path: str, pattern: str, size: int = 512) -> DataFrame:
+    """Windows of `size` tokens, without overlap, of subject and text, stripped: parent_id, chunk_index, chunk_text, token_count.
+    Tokens are those of a file of ranks; a token that a window cuts within a character decodes to a replacement character. An
+    empty mail is one empty chunk with the count 1. A text's chunks are made one after the other, not as one row."""
+    whole = F.concat(F.coalesce(subject, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoding = ranked_encoding(path, pattern)
+        for b in batches:
+            for k, mail in zip(b["parent_id"], b["mail"], strict=True):
+                ids = encoding.encode_ordinary(mail.strip())
+                spans = [ids[i : i + size] for i in range(0, max(len(ids), 1), size)]
+                yield pd.DataFrame({"parent_id": k, "chunk_index": range(len(spans)), "chunk_text": [encoding.decode(x) for x in spans], "token_count": [max(len(x), 1) for x in spans]})
+
+    return rows.select(F.col(ident).alias("parent_id"), whole.alias("mail")).mapInPandas(run, "parent_id long, chunk_index int, chunk_text string, token_count int")
+
+
+@lru_cache(4)
+def ranked_encoding(path: str, pattern: str):
+    """A tokenizer from a file of ranks, without special tokens; one for each worker."""
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

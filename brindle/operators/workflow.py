@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable, Iterator, Sequence
 from datetime import UTC, datetime
 from functools import reduce
@@ -56,6 +57,44 @@ def merge_extraction(stored: DataFrame, extracted: DataFrame, fields: Sequence[s
     return kept.select(*keys, *[value(f) for f in fields], edited.alias("edited_fields"))
 
 
+def routed_extraction(emails: DataFrame, stored: DataFrame, extracted: DataFrame, fields: Sequence[str], issues: Callable[[], Column]) -> DataFrame:
+    """The invoices of every email after an extraction, by what a check said of it.
+
+    emails: email_id, sent_at, verdict (online_only, none, already_paid, other, null: the check failed), failed (the extraction
+    did). stored: email_id, position, the fields, edited_fields, status, issues, paid_at. extracted: email_id, position, the fields.
+
+    Found invoices are merged by position: edited fields stay, rows past the new list go unless edited; they are rechecked, or
+    paid when the mail came if the verdict says so. After a failed extraction all rows stay. Where there is no invoice, edited
+    rows stay, or else one empty row at position 0 says why. An email without rows gets such a row too.
+    """
+    keys = ["email_id", "position"]
+    edited = F.size(F.coalesce("edited_fields", F.array().cast("array<string>"))) > 0
+    has = stored.groupBy("email_id").agg(F.bool_or(edited).alias("__edited"), F.bool_or(F.col("position") == 0).alias("__first"))
+    found = extracted.select("email_id").distinct().withColumn("__found", F.lit(True))
+    none = F.col("verdict").isin("online_only", "none")
+    route = F.when(F.coalesce(none, F.lit(False)), "empty").when(F.col("failed"), "keep").when(F.col("__found").isNull(), "empty").otherwise("merge")
+    why = F.when(F.coalesce(none, F.lit(False)), F.when(F.col("verdict") == "online_only", "invoice_online").otherwise("no_invoice_found")).when(F.col("failed"), "extraction_failed").otherwise("no_invoice_found")
+    plan = emails.join(found, "email_id", "left").join(has, "email_id", "left")
+    plan = plan.select("email_id", "sent_at", (F.coalesce(F.col("verdict") == "already_paid", F.lit(False))).alias("__paid"), route.alias("__route"), why.alias("__why"), "__edited", F.coalesce("__first", F.lit(False)).alias("__first"))
+    columns = [*keys, *fields, "edited_fields", "status", "issues", "paid_at"]
+    planned = stored.join(plan, "email_id")
+    merging = plan.where("__route = 'merge'").select("email_id", "sent_at", "__paid")
+    merged = merge_extraction(planned.where("__route = 'merge'").select(*keys, *fields, "edited_fields"), extracted.join(merging.select("email_id"), "email_id", "left_semi"), fields)
+    old = stored.select(*keys, F.col("status").alias("__status"), F.col("issues").alias("__issues"), F.col("paid_at").alias("__at"))
+    new = extracted.select(*keys, F.lit(True).alias("__new"))
+    checked = merged.join(merging, "email_id").join(old, keys, "left").join(new, keys, "left").withColumn("__again", issues())
+    is_new = F.coalesce("__new", F.lit(False))
+    status = F.when(~is_new, F.col("__status")).when(F.col("__paid"), "paid").otherwise(F.when(F.col("__status").eqNullSafe("paid"), "paid").when(F.size("__again") == 0, "open").otherwise("needs_info"))
+    merged = checked.select(*keys, *fields, "edited_fields", status.alias("status"), F.when(is_new, F.col("__again")).otherwise(F.col("__issues")).alias("issues"), F.when(is_new & F.col("__paid"), F.coalesce("__at", "sent_at")).otherwise(F.col("__at")).alias("paid_at"))
+    kept = planned.where(F.when(F.col("__route") == "keep", True).otherwise((F.col("__route") == "empty") & F.col("__edited") & edited)).select(*columns)
+    bare = plan.where(F.when(F.col("__route") == "empty", ~F.coalesce("__edited", F.lit(False))).otherwise((F.col("__route") == "keep") & F.col("__edited").isNull()))
+    kinds = dict(stored.dtypes)
+    # what was at position 0 stays as a row: its time of payment is the only thing that an emptied row keeps
+    times = stored.where("position = 0").select("email_id", F.col("paid_at").alias("__at"))
+    empty = bare.join(times, "email_id", "left").select("email_id", F.lit(0).cast(kinds["position"]).alias("position"), *[F.lit(None).cast(kinds[f]).alias(f) for f in fields], F.array().cast("array<string>").alias("edited_fields"), F.lit("needs_info").alias("status"), F.array("__why").alias("issues"), F.col("__at").alias("paid_at"))
+    return merged.unionByName(kept).unionByName(empty)
+
+
 def draft_payments(invoices: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(invoice_id, outcome: created, not_open, already_approved) and the old drafts that a new one cancels."""
     approved = drafts.where("status = 'approved'").select("invoice_id").distinct().withColumn("__a", F.lit(True))
@@ -196,6 +235,71 @@ def embedded(rows: DataFrame, ident: str, text: str, embed: Callable[[list[str]]
     return rows.select(ident, text).mapInPandas(run, f"{ident} {kind}, embedding array<float>")
 
 
+def grouped_runs(items: DataFrame, reference: str, least: float = 0.85) -> DataFrame:
+    """The items of several runs over one newsletter side by side, in reading order.
+
+    items: newsletter, run, idx, url (as compared), link (an article's), title, sponsor, in_text. Result: newsletter, place,
+    position, versions (run, idx; in the order of runs), missing, reasons, choice.
+
+    Runs are taken by name after the reference. An item joins the group whose first version has the same link (first come, first
+    served) or else the most similar title; one that joins none stands half way between the groups of its neighbours in its
+    run, or half a place after the last. Reasons to look at a group: a run lacks it, addresses differ and the text doesn't
+    settle which is right, runs disagree on the sponsor, or all call it one. The choice is the run whose address alone is in
+    the text, or, if none is, the first that left it empty. A newsletter, some dozens of items a run, is one task's group.
+    """
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        runs = {name: part.sort_values("idx").to_dict("records") for name, part in frame.groupby("run", sort=True)}
+        names = [reference, *(n for n in runs if n != reference)]
+        groups = [{"at": float(k), "versions": {reference: x}} for k, x in enumerate(runs.get(reference, []))]
+        for name in names[1:]:
+            rows = runs[name]
+            joined = _joined([next(iter(g["versions"].values())) for g in groups], rows, least)
+            fixed = {i: groups[g]["at"] for i, g in joined.items()}
+            at, added = -1.0, []
+            for i, x in enumerate(rows):
+                if i in joined:
+                    groups[joined[i]]["versions"][name] = x
+                    at = fixed[i]
+                else:
+                    at = (at + next((fixed[j] for j in range(i + 1, len(rows)) if j in fixed), at + 1.0)) / 2
+                    added.append({"at": at, "versions": {name: x}})
+            groups += added
+        out = []
+        for place, g in enumerate(sorted(groups, key=lambda g: g["at"])):
+            found = g["versions"]
+            supported: dict[str, str] = {}
+            for n, x in found.items():
+                if x["in_text"]:
+                    supported.setdefault(x["url"], n)
+            choice = next(iter(supported.values())) if len(supported) == 1 else next((n for n, x in found.items() if not x["url"]), None) if not supported else None
+            lacking, flags = [n for n in names if n not in found], {bool(x["sponsor"]) for x in found.values()}
+            reasons = ["missing in " + ", ".join(lacking)] * bool(lacking)
+            reasons += ["different URLs"] * (len({x["url"] for x in found.values()}) > 1 and choice is None)
+            reasons += ["sponsor flag differs"] * (len(flags) > 1) + ["flagged sponsor"] * (flags == {True})
+            out.append((frame["newsletter"].iloc[0], place, g["at"], [{"run": n, "idx": int(found[n]["idx"])} for n in names if n in found], lacking, reasons, choice))
+        return pd.DataFrame(out, columns=["newsletter", "place", "position", "versions", "missing", "reasons", "choice"])
+
+    kind = dict(items.dtypes)["newsletter"]
+    return items.groupBy("newsletter").applyInPandas(one, f"newsletter {kind}, place int, position double, versions array<struct<run:string,idx:int>>, missing array<string>, reasons array<string>, choice string")
+
+
+def _joined(anchors: list[dict], rows: list[dict], least: float) -> dict[int, int]:
+    """The group that each row joins: by link in order, then greedily by title."""
+    waiting: dict[str, list[int]] = {}
+    for g, x in enumerate(anchors):
+        if x["link"]:
+            waiting.setdefault(x["url"], []).append(g)
+    out = {i: waiting[x["url"]].pop(0) for i, x in enumerate(rows) if x["link"] and waiting.get(x["url"])}
+    folded = lambda x: x["title"].casefold().strip()
+    free = [g for g in range(len(anchors)) if g not in out.values()]
+    scored = sorted((-difflib.SequenceMatcher(None, folded(anchors[g]), folded(x)).ratio(), g, i) for g in free for i, x in enumerate(rows) if i not in out)
+    for ratio, g, i in scored:
+        if -ratio >= least and i not in out and g not in out.values():
+            out[i] = g
+    return out
+
+
 def aligned_runs(runs: Sequence[DataFrame], key: str, value: str) -> DataFrame:
     """Several runs side by side: key, run_1 ... run_n, and whether they disagree (a run that lacks the key does)."""
     named = [r.select(key, F.col(value).alias(f"run_{i + 1}")) for i, r in enumerate(runs)]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import markup
 from brindle.functions import text as X
-from brindle.operators import rules, search, state
+from brindle.operators import feed, rules, search, state
 from brindle.plans.catalog import query, table
 from brindle.sources import bank, chunks, mail, tables
 
@@ -260,12 +262,60 @@ def evenly_spaced_sample(spark, d):
 @query(
     """SELECT 'orders_customer' AS check_name, count(*) AS broken FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
     UNION ALL SELECT 'lineitem_orders', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
-    UNION ALL SELECT 'customer_duplicates', count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)"""
+    UNION ALL SELECT 'customer_duplicates', count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'order_dates', count(*) FROM orders WHERE NOT (o_orderdate::DATE < DATE '1998-01-01' AND o_orderdate::DATE >= DATE '1993-01-01')
+    UNION ALL SELECT 'facts', count(*) FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(n, 0) NOT BETWEEN 1 AND 4
+    UNION ALL SELECT 'balance', count(*) FROM (SELECT s, (SELECT count(*) FROM orders WHERE o_orderstatus = s) AS n, (SELECT count(*) / 4.0::DOUBLE FROM orders) AS average FROM (SELECT unnest(['F', 'O', 'P', 'X']) AS s)) WHERE abs(n - average) > greatest(2, average / 4)"""
 )
 def scenario_integrity(spark, d):
+    """References, duplicates, ranges of dates and counts, balance of labels."""
     t = lambda n: table(spark, d, n)
-    one = t("orders").join(t("customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti")
-    two = t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti")
-    three = t("customer").groupBy("c_custkey").count().where("count > 1")
-    named = lambda df, n: df.agg(F.count("*").alias("broken")).select(F.lit(n).alias("check_name"), "broken")
-    return named(one, "orders_customer").unionByName(named(two, "lineitem_orders")).unionByName(named(three, "customer_duplicates"))
+    day = F.to_date("o_orderdate")
+    facts = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    checks = {
+        "orders_customer": t("orders").join(t("customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti"),
+        "lineitem_orders": t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti"),
+        "customer_duplicates": t("customer").groupBy("c_custkey").count().where("count > 1"),
+        "order_dates": t("orders").where(~((day < F.lit("1998-01-01").cast("date")) & (day >= F.lit("1993-01-01").cast("date")))),
+        "facts": t("orders").join(facts, "o_orderkey", "left").where(~F.coalesce("n", F.lit(0)).between(1, 4)),
+        "balance": feed.unbalanced(t("orders"), "o_orderstatus", ["F", "O", "P", "X"]),
+    }
+    named = [df.agg(F.count("*").alias("broken")).select(F.lit(n).alias("check_name"), "broken") for n, df in checks.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+@query(
+    """WITH m AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, day(o_orderdate) <= 2 OR day(o_orderdate + INTERVAL 2 DAY) <= 2 AS boundary, o_custkey, o_orderstatus FROM orders),
+    p AS (SELECT id, lead(id) OVER (PARTITION BY o_custkey, o_orderstatus, date_trunc('month', day) ORDER BY day, id) AS second FROM m)
+    SELECT id, date_trunc('month', day)::DATE AS since, last_day(day) AS until FROM m WHERE boundary AND id NOT IN (SELECT id FROM p WHERE second IS NOT NULL UNION ALL SELECT second FROM p WHERE second IS NOT NULL)"""
+)
+def month_boundary_cases(spark, d):
+    """Mails near a month's end that no case of near duplicates asks for."""
+    day = F.to_date("o_orderdate")
+    boundary = (F.dayofmonth(day) <= 2) | (F.dayofmonth(F.date_add(day, 2)) <= 2)
+    m = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("sender"), F.col("o_orderstatus").alias("title"), day.alias("day"), boundary.alias("boundary"))
+    pairs = feed.near_duplicate_cases(m)
+    return feed.month_cases(m, pairs.select(F.col("first").alias("id")).union(pairs.select("second")))
+
+
+@query(
+    r"""WITH q AS (SELECT doc_id, lower(substr(text, 1, 120)) AS q, [substr(text, 5, 4), substr(text, 200, 4)] AS facts, [split_part(text, ' ', 3), lang, 'on('] AS terms, 'Re: ' || split_part(text, ' ', 2) AS subject, lang FROM documents)
+    SELECT doc_id, array_to_string(list_concat(list_concat(list_transform(list_filter(facts, lambda f: contains(q, lower(f))), lambda f: 'answer ' || f),
+      list_transform(list_filter(terms, lambda t: regexp_matches(q, '(^|[^0-9a-z_])' || regexp_escape(lower(t)) || '($|[^0-9a-z_])') AND regexp_matches(t, '^[a-zA-Z]+$')), lambda t: 'term ' || t)),
+      CASE WHEN contains(q, lower(split_part(subject, 'Re: ', 2))) THEN ['subject ' || subject] ELSE [] END), ';') AS problems FROM q WHERE lang = 'en' AND regexp_matches(q, '^[\x00-\x7f]*$')"""
+)
+def question_problems(spark, d):
+    """Questions cut from English texts, held against pieces of the same text."""
+    word = lambda n: F.split_part(F.col("text"), F.lit(" "), F.lit(n))
+    docs = table(spark, d, "documents").withColumn("q", F.substring("text", 1, 120)).where((F.col("lang") == "en") & F.col("q").rlike(r"^[\x00-\x7f]*$"))
+    facts = F.array(F.substring("text", 5, 4), F.substring("text", 200, 4))
+    terms = F.filter(F.array(word(3), F.col("lang"), F.lit("on(")), lambda t: t.rlike("^[a-zA-Z]+$"))
+    return docs.select("doc_id", F.array_join(feed.question_problems(F.col("q"), facts, terms, F.concat(F.lit("Re: "), word(2))), ";").alias("problems"))
+
+
+@query()
+def chunk_bpe_tokens(spark, d):
+    """Windows of 512 tokens of source and text; checked token by token in the tests."""
+    import public_tokenizers
+
+    return search.token_chunks(table(spark, d, "documents"), "doc_id", "source", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

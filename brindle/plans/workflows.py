@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions import text as X
 from brindle.operators import workflow
 from brindle.plans.catalog import query, table
 
@@ -140,3 +144,45 @@ def run_alignment(spark, d):
     a = table(spark, d, "documents").select("doc_id", F.col("lang").alias("v"))
     b = a.where("doc_id % 3 <> 0").select(F.col("doc_id"), F.when(F.col("doc_id") % 4 == 0, "xx").otherwise(F.col("v")).alias("v"))
     return workflow.aligned_runs([a, b], "doc_id", "v")
+
+
+@query(
+    """WITH li AS (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey, max(l_partkey) AS l_partkey, max(l_extendedprice) AS l_extendedprice, max(l_quantity) AS l_quantity, max(l_tax) AS l_tax, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2),
+    em AS (SELECT o_orderkey AS e, o_orderdate::TIMESTAMP AS sent, CASE left(o_orderpriority, 1) WHEN '1' THEN 'online_only' WHEN '2' THEN 'none' WHEN '3' THEN 'already_paid' WHEN '4' THEN 'to_pay' END AS v, o_orderstatus = 'P' AS failed FROM orders),
+    st AS (SELECT l_orderkey AS e, l_linenumber - 1 AS p, 'S' || l_suppkey AS payee, l_extendedprice::DECIMAL(12,2) AS amount, l_returnflag = 'R' AS ed, CASE WHEN l_linestatus = 'F' THEN 'paid' ELSE 'open' END AS status FROM li WHERE l_quantity > 15),
+    ex AS (SELECT l_orderkey AS e, l_linenumber - 1 AS p, CASE WHEN l_tax > 0.02 THEN 'P' || l_partkey END AS payee, (l_extendedprice + 1)::DECIMAL(12,2) AS amount FROM li WHERE l_linenumber <= 3 AND l_quantity > 5),
+    plan AS (SELECT em.*, (SELECT bool_or(ed) FROM st WHERE st.e = em.e) AS has_ed, CASE WHEN v IN ('online_only', 'none') THEN 'empty' WHEN failed THEN 'keep' WHEN NOT EXISTS (SELECT 1 FROM ex WHERE ex.e = em.e) THEN 'empty' ELSE 'merge' END AS route FROM em),
+    mg AS (SELECT coalesce(st.e, ex.e) AS e, coalesce(st.p, ex.p) AS p, CASE WHEN ex.e IS NULL THEN st.payee ELSE ex.payee END AS payee, CASE WHEN ex.e IS NULL OR coalesce(ed, false) THEN st.amount ELSE ex.amount END AS amount, coalesce(ed, false) AS ed, st.status, ex.e IS NOT NULL AS new FROM st FULL JOIN ex ON st.e = ex.e AND st.p = ex.p WHERE ex.e IS NOT NULL OR ed),
+    r AS (SELECT mg.e, mg.p, payee, amount, CASE WHEN NOT new THEN status WHEN v = 'already_paid' OR status = 'paid' THEN 'paid' WHEN payee IS NULL THEN 'needs_info' ELSE 'open' END AS status, CASE WHEN new AND payee IS NULL THEN 'missing_payee' ELSE '' END AS issues, CASE WHEN new AND v = 'already_paid' THEN sent END AS paid_on
+      FROM mg JOIN plan ON plan.e = mg.e WHERE route = 'merge'
+    UNION ALL SELECT st.e, p, payee, amount, status, '', NULL FROM st JOIN plan ON plan.e = st.e WHERE route = 'keep' OR route = 'empty' AND has_ed AND ed
+    UNION ALL SELECT e, 0, NULL, NULL, 'needs_info', CASE WHEN v = 'online_only' THEN 'invoice_online' WHEN v = 'none' OR v IS NULL AND NOT failed THEN 'no_invoice_found' WHEN failed THEN 'extraction_failed' ELSE 'no_invoice_found' END, NULL FROM plan WHERE route = 'empty' AND NOT coalesce(has_ed, false) OR route = 'keep' AND has_ed IS NULL)
+    SELECT e AS email_id, p::BIGINT AS position, payee, amount, status, issues, paid_on AS paid_at FROM r"""
+)
+def extraction_routes(spark, d):
+    """Orders as mails, their lines as stored and as extracted invoices, verdicts by priority."""
+    o = table(spark, d, "orders")
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_tax", "l_returnflag", "l_linestatus")))
+    first = F.substring("o_orderpriority", 1, 1)
+    verdict = F.when(first == "1", "online_only").when(first == "2", "none").when(first == "3", "already_paid").when(first == "4", "to_pay")
+    emails = o.select(F.col("o_orderkey").alias("email_id"), F.col("o_orderdate").cast("timestamp").alias("sent_at"), verdict.alias("verdict"), (F.col("o_orderstatus") == "P").alias("failed"))
+    keys = F.col("l_orderkey").alias("email_id"), (F.col("l_linenumber") - 1).cast("long").alias("position")
+    none = F.array().cast("array<string>")
+    stored = li.where("l_quantity > 15").select(
+        *keys, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("payee"), F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"), F.when(F.col("l_returnflag") == "R", F.array(F.lit("amount"))).otherwise(none).alias("edited_fields"),
+        F.when(F.col("l_linestatus") == "F", "paid").otherwise("open").alias("status"), none.alias("issues"), F.lit(None).cast("timestamp").alias("paid_at"),
+    )
+    extracted = li.where("l_linenumber <= 3 AND l_quantity > 5").select(*keys, F.when(F.col("l_tax") > 0.02, F.concat(F.lit("P"), F.col("l_partkey").cast("string"))).alias("payee"), (F.col("l_extendedprice") + 1).cast("decimal(12,2)").alias("amount"))
+    found = workflow.routed_extraction(emails, stored, extracted, ["payee", "amount"], lambda: F.when(F.col("payee").isNull(), F.array(F.lit("missing_payee"))).otherwise(none))
+    return found.select("email_id", "position", "payee", "amount", "status", F.array_join("issues", ",").alias("issues"), F.col("paid_at").cast("timestamp_ntz").alias("paid_at"))
+
+
+@query()
+def runs_side_by_side(spark, d):
+    """Pages as newsletters of a dozen items, seen by three runs that miss, reorder and change some; a loop in the tests."""
+    k = F.col("page_id")
+    base = table(spark, d, "pages").select(F.floor(k / 12).alias("newsletter"), (k % 12).cast("int").alias("idx"), F.trim("url").alias("url"), F.substring("html", 60, 40).alias("title"), (k % 11 == 0).alias("sponsor"), "page_id")
+    runs = {"a": base, "b": base.where(k % 5 != 2).withColumn("url", F.when(k % 7 == 3, "").otherwise(F.col("url"))), "c": base.where(k % 6 != 4).withColumn("idx", 11 - F.col("idx")).withColumn("title", F.concat("title", F.lit("!"))).withColumn("sponsor", k % 22 == 0).withColumn("url", F.when(k % 8 == 1, F.concat("url", F.lit("x"))).otherwise(F.col("url")))}
+    items = reduce(DataFrame.unionByName, [r.withColumn("run", F.lit(n)) for n, r in runs.items()])
+    url = F.col("url")
+    return workflow.grouped_runs(items.select("newsletter", "run", "idx", X.compared_url(url).alias("url"), X.is_article_link(url).alias("link"), "title", "sponsor", (url.endswith("x") | (k % 3 == 0)).alias("in_text")), "a")

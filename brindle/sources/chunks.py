@@ -10,13 +10,12 @@ Tables that match nothing come last. Chunks are numbered over all.
 from __future__ import annotations
 
 import re
-from base64 import b64decode
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from brindle.operators.search import ranked_encoding
 from brindle.sources import tables
 
 BUDGET = 512
@@ -32,18 +31,9 @@ def count_words(text: str) -> int:
     return max(1, len(re.findall(r"\w+|[^\w\s]", text)))
 
 
-@lru_cache(4)
-def _encoding(path: str, pattern: str):
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
-    return tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
 def token_counter(path: str, pattern: str) -> Counter:
     """Tokens of a file of ranks, one at least; strings of special tokens are text."""
-    return lambda text: max(1, len(_encoding(path, pattern).encode_ordinary(text)))
+    return lambda text: max(1, len(ranked_encoding(path, pattern).encode_ordinary(text)))
 
 
 def pieces(markdown: str) -> Iterator[tuple[tuple[str, ...], str]]:
