@@ -175,9 +175,11 @@ def bookings(drafts: DataFrame, known: DataFrame, day: Column) -> DataFrame:
     return drafts.where("status = 'completed'").join(known.select(F.col("draft_id").alias("id")), "id", "left_anti").select(F.col("id").alias("draft_id"), day.alias("booking_date"), (-F.col("amount")).alias("amount"), F.col("payee").alias("counterparty_name"), F.col("reference").alias("remittance"))
 
 
-def days_between(spark: SparkSession, first: str, last: str) -> DataFrame:
-    """Days of a backfill, without the last."""
-    return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.date_sub(F.lit(last).cast("date"), 1))).alias("day")) if first < last else spark.createDataFrame([], "day date")
+def missing_days(rows: DataFrame, group: str, day: str) -> DataFrame:
+    """group and each day between a group's first and last that has no row: what a backfill has to fetch."""
+    have = rows.select(group, F.col(day).cast("date").alias("day")).where("day is not null").distinct()
+    ends = have.groupBy(group).agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    return ends.select(group, F.explode(F.sequence("a", "b")).alias("day")).join(have, [group, "day"], "left_anti")
 
 
 def weekday_near(first: Column, share: Column, taken: Column) -> Column:
@@ -208,11 +210,12 @@ def fill_dates(template: Column, values: dict[str, Column]) -> Column:
     return out
 
 
-def keywords(query: str, document_counts: DataFrame, k: int = 5) -> list[str]:
-    """Default of the pluggable keyword model: the query's rarest known terms; the query itself if none is known."""
+def keywords(query: str, document_counts: DataFrame, k: int = 5) -> DataFrame:
+    """term: default of the pluggable keyword model, the query's rarest known terms; the query itself if none is known."""
     terms = [t for t in dict.fromkeys(query.lower().split()) if t]
-    found = document_counts.where(F.col("term").isin(*terms)).orderBy("df", "term").limit(k).collect() if terms else []
-    return [r["term"] for r in found] or [query]
+    found = document_counts.where(F.col("term").isin(*terms)).orderBy("df", "term").limit(k).select("term")
+    none = found.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(query).alias("term"))
+    return found.unionByName(none)
 
 
 def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:

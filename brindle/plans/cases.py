@@ -351,9 +351,13 @@ def match_reject(spark, d):
     return marked.groupBy("invoice_id").agg(F.count(F.when(F.col("status") == "linked", 1)).alias("left"))
 
 
-@query("SELECT unnest(generate_series(DATE '2024-02-27', DATE '2024-03-01', INTERVAL 1 DAY))::DATE AS day")
+@query(
+    """WITH e AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM e GROUP BY 1)
+    SELECT user_id, day FROM r WHERE (user_id, day) NOT IN (SELECT (user_id, day) FROM e)"""
+)
 def backfill_days(spark, d):
-    return workflow.days_between(spark, "2024-02-27", "2024-03-02")
+    """Days between a user's first and last purchase that have none."""
+    return workflow.missing_days(table(spark, d, "events").where("event_type = 'purchase'").withColumn("day", F.to_date("ts")), "user_id", "day")
 
 
 @query("SELECT o_orderkey, 'due ' || strftime(o_orderdate, '%-d %B %Y') || ' or ' || strftime(o_orderdate, '%d.%m.') || ' {other}' AS text FROM orders")
@@ -370,14 +374,21 @@ def job_cooldown(spark, d):
 
 @query("SELECT term FROM (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS term FROM documents) WHERE term IN ('that', 'tion', 'zzz', 'thon') GROUP BY 1) ORDER BY df, term LIMIT 2")
 def rare_keywords(spark, d):
-    found = workflow.keywords("That TION zzz thon", workflow.document_counts(table(spark, d, "documents")), 2)
-    return spark.createDataFrame([(t,) for t in found], "term string")
+    return workflow.keywords("That TION zzz thon", workflow.document_counts(table(spark, d, "documents")), 2)
 
 
-@query("SELECT doc_id, length(text)::DOUBLE AS first, 2 AS dimensions FROM documents")
+@query("SELECT doc_id, (length(t) - length(replace(t, 'e', '')))::DOUBLE AS e, (length(t) - length(replace(t, 'n', '')))::DOUBLE AS n, 26 AS dimensions FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")
 def embeddings_in_batches(spark, d):
-    e = workflow.embedded(table(spark, d, "documents"), "doc_id", "text", lambda texts: [[float(len(t)), 1.0] for t in texts], 2)
-    return e.select("doc_id", F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").alias("dimensions"))
+    """A small embedder, a function of a batch of texts: counts of letters."""
+    e = workflow.embedded(table(spark, d, "documents"), "doc_id", "text", _letters, 26)
+    return e.select("doc_id", F.col("embedding")[4].cast("double").alias("e"), F.col("embedding")[13].cast("double").alias("n"), F.size("embedding").alias("dimensions"))
+
+
+def _letters(texts):
+    import numpy as np
+
+    raw = [np.frombuffer(t.encode("ascii", "ignore").lower(), np.uint8) for t in texts]
+    return np.stack([np.bincount(r[(r > 96) & (r < 123)] - 97, minlength=26) for r in raw]).astype(float).tolist()
 
 
 @query("SELECT count(DISTINCT user_id) AS n FROM events")

@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
-from brindle.operators import metrics, resolve, search
+from brindle.operators import ann, metrics, resolve
 from brindle.plans.catalog import query, table
 
-_HITS = """q AS (SELECT vec_id AS case_id, embedding::DOUBLE[] AS qe, label FROM embeddings WHERE vec_id < 20),
+_HITS = """q AS (SELECT vec_id AS case_id, embedding::DOUBLE[] AS qe, label FROM embeddings WHERE vec_id % 20 = 0),
 hits AS (SELECT case_id, q.label, e.label AS found, row_number() OVER (PARTITION BY case_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], qe), 6) DESC, e.vec_id) AS rank FROM embeddings e, q QUALIFY rank <= 10),
 want AS (SELECT q.case_id, count(*) AS wanted FROM q JOIN embeddings e ON e.label = q.label GROUP BY 1),
 m AS (SELECT case_id, label, sum((found = label)::INT) / any_value(wanted)::DOUBLE AS recall, sum((found = label AND rank <= 3)::INT) / any_value(wanted)::DOUBLE AS recall_at_near, sum((found = label)::INT) / 10.0::DOUBLE AS "precision",
   coalesce(1.0::DOUBLE / min(CASE WHEN found = label THEN rank END), 0) AS reciprocal_rank FROM hits JOIN want USING (case_id) GROUP BY 1, 2)"""
 
 
+def _queries(spark, d):
+    """All vectors, and those of every twentieth row as queries."""
+    vectors = ann.unit_vectors(table(spark, d, "embeddings"), "vec_id")
+    return vectors, vectors.where("id % 20 = 0")
+
+
 def _scores(spark, d):
-    """Twenty stated queries against all vectors: the query side is broadcast, the ranking is a top-k for each query."""
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("qe"), F.col("label").alias("kind"))
-    score = F.round(search.cosine(F.col("embedding"), F.col("qe")), 6)
-    pairs = e.crossJoin(F.broadcast(q)).select("case_id", F.col("vec_id").alias("parent_id"), score.alias("score"))
-    hits = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "parent_id"))).where("rank <= 10")
-    expected = e.join(F.broadcast(q.select("case_id", F.col("kind").alias("label"))), "label").select("case_id", F.col("vec_id").alias("parent_id"))
-    return metrics.retrieval_scores(hits, expected, q.select("case_id", "kind"))
+    """Every twentieth vector against all, in blocks."""
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    hits = ann.exact_topk(*_queries(spark, d))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("case_id"), F.col("label").alias("kind"))
+    expected = e.join(q.withColumnRenamed("kind", "label"), "label").select("case_id", F.col("vec_id").alias("parent_id"))
+    return metrics.retrieval_scores(hits, expected, q)
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS case_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT case_id, vec_id AS parent_id, round(list_cosine_similarity(embedding::DOUBLE[], qe), 6) AS score FROM embeddings, q)
+    SELECT case_id, parent_id, score, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, parent_id) AS rank FROM s QUALIFY rank <= 10"""
+)
+def semantic_topk_batch(spark, d):
+    """The ten nearest rows of every twentieth vector."""
+    return ann.exact_topk(*_queries(spark, d))
+
+
+@query()
+def ann_topk(spark, d):
+    """The same search in an inverted file with product codes; its recall is measured in the tests."""
+    vectors, queries = _queries(spark, d)
+    model = ann.train(vectors)
+    stored = ann.index(vectors, model, f"{resolve.shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    return ann.search(stored, model, queries)
 
 
 @query(f'WITH {_HITS} SELECT case_id, round(recall, 6) AS recall, round(recall_at_near, 6) AS recall_at_near, round("precision", 6) AS "precision", round(reciprocal_rank, 6) AS reciprocal_rank FROM m')
