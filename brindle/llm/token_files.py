@@ -8,6 +8,9 @@ Steps: (1) encode every text once into a stored table; (2) count ids per partiti
 driver is a count per vocabulary entry; (3) range-partition the stored ids by key, sort, write blocks with Spark's
 committing writer; (4) read the files back. Lost executors repeat only their tasks.
 
+A folder is complete by itself: blocks are in `blocks`, and `header`, one small row, has the format's version, the end id, the
+vocabulary's name and size and the id of each rank. read_files() and read_ids() take a path and nothing else.
+
 Nulls: a null text is an empty one and holds the end id only; a null key sorts first. Repeated keys and rows stay, each with
 its tokens, beside each other, in the order of a hash of their ids. Very long texts are a block of their own. An empty table
 gives no row. Other columns may have any name.
@@ -23,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, map_batches, shared_dir, small_batches, stored, text_of
@@ -139,7 +142,41 @@ def write_blocks(encoded: DataFrame, by_rank: np.ndarray, dtype: np.dtype, folde
 
     # rows of one key stand in the order of their ids' hash, so that retries write the same, and can go to several files
     ordered = encoded.select("key", "ids", F.xxhash64("ids").alias("tie")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
-    ordered.select("key", "ids").mapInArrow(run, "part int, block int, keys array<long>, counts array<int>, control binary, data binary").write.option("compression", "zstd").parquet(folder)
+    ordered.select("key", "ids").mapInArrow(run, "part int, block int, keys array<long>, counts array<int>, control binary, data binary").write.option("compression", "zstd").parquet(f"{folder}/blocks")
+
+
+VERSION = 1
+_BLOCKS = "part int, block int, keys array<long>, counts array<int>, control binary, data binary"
+_HEADER = "version int, end_id int, vocabulary string, size int, ids binary"
+
+
+def write_header(spark: SparkSession, by_rank: np.ndarray, vocabulary: str, folder: str, end_id: int = END_ID) -> None:
+    """What decoding needs beside the blocks; as large as the vocabulary."""
+    row = (VERSION, end_id, vocabulary, len(by_rank), by_rank.astype("<u4").tobytes())
+    spark.createDataFrame([row], _HEADER).coalesce(1).write.parquet(f"{folder}/header")
+
+
+def open_files(spark: SparkSession, folder: str) -> tuple[DataFrame, np.ndarray, int]:
+    """Blocks, the id of each rank and the end id of a folder."""
+    head = spark.read.schema(_HEADER).parquet(f"{folder}/header").first()
+    if head.version != VERSION:
+        raise ValueError(f"token files of version {head.version} can't be read")
+    return spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks"), np.frombuffer(bytes(head.ids), "<u4"), head.end_id
+
+
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """key and ids (with the end id) of each document."""
+    blocks, by_rank, _ = open_files(spark, folder)
+    shared = spark.sparkContext.broadcast(by_rank)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids = shared.value[unpack(r["control"], r["data"], sum(r["counts"]))].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(r["keys"], pa.int64()), pa.array(np.split(ids, np.cumsum(r["counts"])[:-1]), pa.list_(pa.int64()))], names=["key", "ids"])
+
+    small_batches(spark)
+    return blocks.mapInArrow(run, "key long, ids array<long>")
 
 
 def read_blocks(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
@@ -160,20 +197,13 @@ def read_blocks(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
     return blocks.mapInArrow(run, "part int, block int, place int, key long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", folder: str | None = None, pieces: int = PIECES) -> DataFrame:
-    """Encode docs, write the files and read them back: key, start, n_tokens, ids_crc32 of each document.
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """key, start, n_tokens, ids_crc32 of each document of a folder.
 
     start is the number of ids of all documents before it. Parts are summed first, so that the running sum over all parts
     has one row for each written part and the others run within a part.
     """
-    spark = docs.sparkSession
-    own: PieceEncoder = encoder(path)
-    encoded = stored(encode(docs, path, key, text, pieces=pieces), "token-ids", compression="none")
-    by_rank = frequency_ranks(encoded, own.size, own.dtype)
-    folder = folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    write_blocks(encoded, by_rank, own.dtype, folder)
-    drop_stored(encoded)
-    blocks = spark.read.schema("part int, block int, keys array<long>, counts array<int>, control binary, data binary").parquet(folder)
+    blocks, by_rank, _ = open_files(spark, folder)
     rows = read_blocks(blocks, by_rank)
     totals = blocks.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -181,4 +211,17 @@ def token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     within = Window.partitionBy("part").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     # one row for each written file: bounded by the number of tasks
-    return placed.join(F.broadcast(offsets), "part").select(F.col("key").alias(key), (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return placed.join(F.broadcast(offsets), "part").select("key", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", folder: str | None = None, pieces: int = PIECES) -> DataFrame:
+    """Encode docs, write the files and read them back, by their folder alone: see read_files()."""
+    spark = docs.sparkSession
+    own: PieceEncoder = encoder(path)
+    encoded = stored(encode(docs, path, key, text, pieces=pieces), "token-ids", compression="none")
+    by_rank = frequency_ranks(encoded, own.size, own.dtype)
+    folder = folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_blocks(encoded, by_rank, own.dtype, folder)
+    write_header(spark, by_rank, path.rpartition("/")[2], folder)
+    drop_stored(encoded)
+    return read_files(spark, folder).withColumnRenamed("key", key)

@@ -48,6 +48,32 @@ def test_token_files(docs, empty):
     assert token_files.token_files(empty, PATH).count() == 0
 
 
+def test_token_files_by_their_folder_alone(docs, tmp_path):
+    """A second process, with nothing but the path, decodes what this one wrote."""
+    import subprocess
+    import sys
+
+    folder = str(tmp_path / "files")
+    token_files.token_files(docs, PATH, folder=folder)
+    code = f"""
+import json
+from brindle.llm import token_files
+from brindle.session import get_session
+spark = get_session("reader", 2, 2)
+rows = [[r.key, r.ids] for r in token_files.read_ids(spark, {folder!r}).collect()]
+index = [[r.key, r.start, r.n_tokens, r.ids_crc32] for r in token_files.read_files(spark, {folder!r}).collect()]
+print("FOUND" + json.dumps([rows, index]))
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=corpus_pipeline.__file__.rpartition("/")[0]).stdout
+    import json
+
+    rows, index = json.loads(said.rpartition("FOUND")[2])
+    e = encoder(PATH)
+    wanted = sorted((str(k), [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]) for k, t, _ in ROWS)
+    assert sorted((str(k), ids) for k, ids in rows) == wanted
+    assert sorted(n for _, _, n, _ in index) == sorted(len(ids) for _, ids in wanted)
+
+
 def test_token_counts(docs, empty):
     got = by_id(token_counts.attribute(docs, RANKS, public_tokenizers.PATTERN))
     assert got[2].n_tokens == got[3].n_sections == 0
