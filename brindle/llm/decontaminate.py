@@ -17,9 +17,14 @@ sentences but the last) and answer (the last); the share of the question's and o
 passages must both reach `overlap`. A part of three to eight words is cut into shorter runs, of two or three words, so that
 one changed word needn't hide it; a shorter part must occur whole. A text that holds all the item's words as one run has both
 shares 1, also where the first or last word is part of a longer one. An item of fewer than five words, which any text may
-hold by chance, counts only where it is the whole text. Words are runs of letters and digits, so marks next to them don't
+hold by chance, counts where it is the whole text; elsewhere its words, one after the other, make a weak match, which is told
+apart (`weak_items`) and doesn't make clean() drop a text. Words are runs of letters and digits, so marks next to them don't
 count.
 
+A benchmark beyond `most_mb` MB of text is searched in shards of items, by hash of the item, one after the other: the driver
+and the workers hold one shard's index at a time. Matches are kept by row number in the shared folder and joined at the end.
+Each shard weighs words by its own items.
+
 Nulls: a null, empty or blank text matches nothing; items without words are left out. Repeated rows match alike; of repeated
 items each counts. Long texts and long items are searched whole. Empty tables give no match. Other columns may have any name.
 """
@@ -28,13 +33,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of, where_text
+from .common import map_batches, stored, text_of, where_text
 
 K1, B = 1.2, 0.75
 STRIDE = 64
@@ -83,6 +91,7 @@ class Index:
     blocks: np.ndarray  # of each bound, ascending within a term
     bounds: np.ndarray
     stride: int
+    short: dict[str, list[tuple[int, list[str]]]] = field(default_factory=dict)  # items of fewer than GRAM words, by the first
 
     def sums(self, terms: np.ndarray, cells: np.ndarray, n: int) -> np.ndarray:
         """Sums of the terms' bounds by cell, of n, and block."""
@@ -166,19 +175,36 @@ def build(rows: list[tuple[int, str]], stride: int = STRIDE) -> Index:
         bounds.append(np.maximum.reduceat(impacts, edges))
         first.append(first[-1] + len(edges))
     flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
-    return Index([i for i, _ in kept], [qa for _, qa in kept], np.array(item_of, np.int64), terms, postings, np.array(first), flat(blocks, np.int64), flat(bounds, np.float32), stride)
+    short: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
+    for i, (q, a) in kept:
+        if len(q + a) < GRAM:
+            short[(q + a)[0]].append((i, q + a))
+    return Index([i for i, _ in kept], [qa for _, qa in kept], np.array(item_of, np.int64), terms, postings, np.array(first), flat(blocks, np.int64), flat(bounds, np.float32), stride, dict(short))
+
+
+def _items(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, int]:
+    rows = benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{text}`").alias("text"))
+    return rows, rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
 
 
 def load_index(benchmark: DataFrame, item: str = "item_id", text: str = "text", stride: int = STRIDE, most_mb: int = MOST_MB) -> Index:
     """The test set is read into the driver: it is the stated query set, and doesn't grow with the corpus. One of more than
-    most_mb MB is refused; its parts can be searched for one after the other."""
-    rows = benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{text}`").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    most_mb MB is refused; search_benchmark() and clean_benchmark() search for it in shards."""
+    rows, size = _items(benchmark, item, text)
     if size > most_mb * 1_000_000:
         raise ValueError(f"a benchmark of {size / 1e6:.0f} MB is more than {most_mb} MB")
     return build([tuple(r) for r in rows.collect()], stride)
 
 
+def shards(benchmark: DataFrame, item: str = "item_id", text: str = "text", stride: int = STRIDE, most_mb: float = MOST_MB) -> Iterator[Index]:
+    """Indexes of at most about most_mb MB of items each, one for every benchmark within it."""
+    rows, size = _items(benchmark, item, text)
+    n = max(1, -(-size // int(most_mb * 1_000_000)))
+    of = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    for k in range(n):
+        yield build([tuple(r) for r in rows.where(of == k).collect()], stride)
+
+
 class _Ids(dict):
     """Word to term number; unknown words get the last number. A bounded number of words is kept."""
 
@@ -224,6 +250,17 @@ class Searcher:
                     out[int(ix.item_of[k])] = (max(best, score), [*passages, start + w])
         return out
 
+    def weak(self, text: str) -> list[int]:
+        """Ids of the short items whose words follow each other in a longer text, in order, each as often as it is an item."""
+        if not self.index.short:
+            return []
+        words, found = words_of(text), {}
+        for at, w in enumerate(words):
+            for k, (item, phrase) in enumerate(self.index.short.get(w, ())):
+                if words[at : at + len(phrase)] == phrase != words:
+                    found[w, k] = item
+        return sorted(found.values(), key=lambda i: (i is not None, i or 0))
+
     def matches(self, text: str) -> list[tuple[int, float, float, float]]:
         """item id, score, question overlap, answer overlap of each verified item, in the order of ids."""
         words = words_of(text)
@@ -258,7 +295,7 @@ class Searcher:
 
 
 def search(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """One row per row of docs: key, n_items and the verified items with their scores."""
+    """One row per row of docs: key, n_items, the verified items with their scores, and the short items that are weak matches."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     state: dict[str, Searcher] = {}
 
@@ -273,10 +310,11 @@ def search(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text
             "scores": [[round(m[1], 4) for m in f] for f in found],
             "question_overlap": [[round(m[2], 4) for m in f] for f in found],
             "answer_overlap": [[round(m[3], 4) for m in f] for f in found],
+            "weak_items": [state["searcher"].weak(x) for x in b["__text"].to_pylist()],
         }
 
     frame = docs.select(F.col(f"`{key}`").cast("long").alias("__key"), text_of(text).alias("__text"))
-    schema = "key long, n_items int, items array<long>, scores array<double>, question_overlap array<double>, answer_overlap array<double>"
+    schema = "key long, n_items int, items array<long>, scores array<double>, question_overlap array<double>, answer_overlap array<double>, weak_items array<long>"
     return map_batches(frame, run, schema).withColumnRenamed("key", key)
 
 
@@ -291,3 +329,36 @@ def clean(docs: DataFrame, index: Index, text: str = "text", threshold: float =
         return not state["searcher"].matches(text)
 
     return where_text(docs, free, text)
+
+
+_LISTS = ("items", "scores", "question_overlap", "answer_overlap")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a row number, stored, so that the number is the same in every pass."""
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "leak-rows")
+
+
+def search_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", most_mb: float = MOST_MB) -> DataFrame:
+    """search() for a benchmark of any size: one shard after the other."""
+    indexes = shards(benchmark, most_mb=most_mb)
+    first, second = next(indexes), next(indexes, None)
+    if second is None:
+        return search(docs, first, key, text)
+    rows = _numbered(docs.select(F.col(f"`{key}`").cast("long").alias("__key"), text_of(text).alias("__body")))
+    hits = []
+    for index in chain((first, second), indexes):
+        found = search(rows, index, "__row", "__body")
+        hits.append(stored(found.where("n_items > 0 OR size(weak_items) > 0"), "leak-hits"))
+    every = reduce(DataFrame.unionByName, hits)
+    joined = every.groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(*_LISTS)))).alias("m"), F.array_sort(F.flatten(F.collect_list("weak_items"))).alias("weak"))
+    none = F.array().cast("array<struct<items:long,scores:double,question_overlap:double,answer_overlap:double>>")
+    both = rows.select("__row", "__key").join(joined, "__row", "left").withColumns({"m": F.coalesce("m", none), "weak": F.coalesce("weak", F.array().cast("array<long>"))})
+    return both.select(F.col("__key").alias(key), F.size("m").alias("n_items"), *[F.col(f"m.{c}").alias(c) for c in _LISTS], F.col("weak").alias("weak_items"))
+
+
+def clean_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_mb: float = MOST_MB) -> DataFrame:
+    """clean() for a benchmark of any size: what one shard leaves is stored and searched for the next one's items."""
+    for k, index in enumerate(shards(benchmark, most_mb=most_mb)):
+        docs = clean(stored(docs, "leak-clean") if k else docs, index, text)
+    return docs

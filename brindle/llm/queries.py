@@ -49,7 +49,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.search(_table(spark, sf_dir, "documents"), decontaminate.load_index(_table(spark, sf_dir, "benchmark")))
+    return decontaminate.search_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,26 @@ print("FOUND" + json.dumps([rows, index]))
     assert sorted(n for _, _, n, _ in index) == sorted(len(ids) for _, ids in wanted)
 
 
+def test_short_items_and_shards(spark, docs):
+    """Short items within longer texts are weak matches; a benchmark in many shards gives the items of one index."""
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4000, n))
+    items = [(k, f"{word(9)}. {word(7)}") for k in range(60)] + [(90, "blue cat runs"), (91, None), (92, "cat runs")]
+    rows = [(k, f"{word(20)} {items[k][1]}! {items[(k + 7) % 60][1]} {word(9)}") for k in range(0, 60, 3)]
+    rows += [(1000, "the Blue cat, runs fast"), (1001, "blue cat runs"), (1002, None), (1003, "bluecat runs"), (1000, "a cat runs a cat runs"), (None, items[5][1])]
+    texts, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    shown = lambda frame: sorted(str((r.doc_id, r.n_items, r["items"], r.question_overlap, r.answer_overlap, r.weak_items)) for r in frame.collect())
+    one = decontaminate.search_benchmark(texts, bench)
+    got = one.collect()
+    assert sorted((r.doc_id, r.n_items, r.weak_items) for r in got if r.doc_id and r.doc_id >= 1000) == sorted([(1000, 0, [90, 92]), (1001, 1, [92]), (1002, 0, []), (1003, 0, []), (1000, 0, [92])])
+    assert all(sorted(r["items"]) == sorted({r.doc_id, (r.doc_id + 7) % 60}) for r in got if r.doc_id is not None and r.doc_id < 60)
+    many = decontaminate.search_benchmark(texts, bench, most_mb=0.001)
+    assert len(list(decontaminate.shards(bench, most_mb=0.001))) > 4 and many.columns == one.columns
+    assert shown(many) == shown(one)
+    left = decontaminate.clean_benchmark(texts, bench, most_mb=0.001)
+    assert sorted(r.doc_id for r in left.collect()) == [1000, 1000, 1002, 1003] and left.columns == texts.columns
+
+
 def test_token_counts(docs, empty):
     got = by_id(token_counts.attribute(docs, RANKS, public_tokenizers.PATTERN))
     assert got[2].n_tokens == got[3].n_sections == 0
