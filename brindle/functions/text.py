@@ -180,6 +180,11 @@ def excerpt(c: Column, most: int = 800) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
+def limited(c: Column, most: int = 12_000) -> Column:
+    """A text of at most `most` characters, the last three of a longer one dots."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("..."))).otherwise(c)
+
+
 def chat_title(c: Column, most: int = 80) -> Column:
     c = normalize_whitespace(c)
     return F.when(F.length(c) > most, F.concat(F.rtrim(F.substring(c, 1, most - 1)), F.lit("…"))).otherwise(c)
@@ -237,5 +242,11 @@ def known_or(c: Column, values: tuple[str, ...], default: str = "other") -> Colu
     return F.when(c.isin(*values), c).otherwise(default)
 
 
+def first_known(answers: list[Column], values: tuple[str, ...], default: str = "other") -> Column:
+    """The first of several answers that is a known value, trimmed and in small letters; else the default."""
+    plain = [F.lower(F.trim(a)) for a in answers]
+    return F.coalesce(*[F.when(a.isin(*values), a) for a in plain], F.lit(default))
+
+
 def contains_fact(body: Column, fact: Column) -> Column:
     return F.contains(F.lower(normalize_whitespace(body)), F.lower(normalize_whitespace(fact)))

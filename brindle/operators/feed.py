@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.resolve import saved
-from brindle.operators.state import ranks
+from brindle.operators.state import first_of, ranks
 
 
 def plan_stories(items: DataFrame, groups: DataFrame, edition: Column, days: int = 2, pair: tuple[str, str] | None = None) -> DataFrame:
@@ -172,3 +172,16 @@ def unbalanced(rows: DataFrame, label: str, known: Sequence[str], least: float =
     every = total.select(F.explode(F.array(*map(F.lit, known))).alias("label"), (F.col("__all") / len(known)).alias("average"))
     out = every.join(counts, "label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.where(F.abs(F.col("n") - F.col("average")) > F.greatest(F.lit(float(least)), F.col("average") * share)).select("label", "n")
+
+
+def edition_items(items: DataFrame, stories: DataFrame, first: str, last: str, big_only: bool) -> DataFrame:
+    """Items of editions from a day to another, both included, with their story's columns; with big_only those of big stories."""
+    found = items.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).join(stories, "story", "left")
+    return found.where(F.coalesce("is_big", F.lit(False))) if big_only else found
+
+
+def links_of(items: DataFrame) -> DataFrame:
+    """story and links, the first link of each of its sources, in the order in which these come. items: story, source, position,
+    url."""
+    first = first_of(items.where("url IS NOT NULL AND url <> ''"), ["story", "source"], ["position"], "position", "url")
+    return first.groupBy("story").agg(F.array_sort(F.collect_list(F.struct("position", "source", "url"))).alias("links"))

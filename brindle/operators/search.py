@@ -267,3 +267,18 @@ def ranked_encoding(path: str, pattern: str):
     with open(path, "rb") as lines:
         ranks = {b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def looked_up(rows: DataFrame, tables: Sequence[tuple[str, DataFrame]], default: str, name: str) -> DataFrame:
+    """rows with a value from the first of several tables that has their key, else the default. tables: pairs of a key column
+    and a table of that column and `value`, one row for each key."""
+    found = []
+    for n, (key, values) in enumerate(tables):
+        rows = rows.join(values.select(key, F.col("value").alias(f"__{n}")), key, "left")
+        found.append(F.col(f"__{n}"))
+    return rows.withColumn(name, F.coalesce(*found, F.lit(default))).drop(*[f"__{n}" for n in range(len(tables))])
+
+
+def placed(rows: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows and their place, from 1."""
+    return rows.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))

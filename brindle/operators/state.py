@@ -96,3 +96,9 @@ def doomed(parents: DataFrame, items: DataFrame, keep: DataFrame, replaced: Data
     used = items.select(key).where(F.col(key).isNotNull()).distinct()
     unused = parents.select(key).join(used, key, "left_anti").union(parents.select(key).join(replaced.select(key), key, "left_semi"))
     return unused.distinct().join(keep, key, "left_anti")
+
+
+def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *values: str) -> DataFrame:
+    """One row for each key: the values of its first row in an order. A reduction, so that no key is sorted as a whole."""
+    top = F.min(F.struct(*order, *[F.col(v).alias(f"__{v}") for v in values])).alias("__top")
+    return rows.groupBy(*keys).agg(top).select(*keys, *[F.col(f"__top.__{v}").alias(v) for v in values])

@@ -122,6 +122,29 @@ def verdicts(raw: DataFrame, count: str) -> DataFrame:
     return first.select("batch", "index", "security", F.when(F.col("security"), F.col("status")).alias("status"))
 
 
+def cards_of(cards: DataFrame, seen: DataFrame) -> DataFrame:
+    """turn, kind, ids, dropped: the ids of each card that were seen, and how many weren't; a card without any isn't one.
+    cards: turn, kind, id; seen: id."""
+    marked = cards.join(seen.select("id").distinct().withColumn("__seen", F.lit(True)), "id", "left")
+    kept = marked.groupBy("turn", "kind").agg(F.array_sort(F.collect_list(F.when(F.col("__seen"), F.col("id")))).alias("ids"), F.count(F.when(F.col("__seen").isNull(), 1)).alias("dropped"))
+    return kept.where(F.size("ids") > 0)
+
+
+def base_ledger(accounts: DataFrame, key: str, today: str, months: int = 3, salary: str = "4200.00", rent: str = "1350.00") -> DataFrame:
+    """account, month, kind, n, day, amount: for each month before a day a salary, a rent, and eight or nine purchases whose day
+    and price are hashes of account, month and number, so that every run makes the same."""
+    month = accounts.select(F.col(key).alias("account"), F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("month"))
+    ago = lambda n: F.date_sub(F.lit(today).cast("date"), (F.col("month") * 30 + n).cast("int"))
+    drawn = lambda n, what: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("account").cast("string"), F.col("month").cast("string"), n, F.lit(what))), 1, 6), 16, 10).cast("long")
+    money = lambda c: c.cast("decimal(12,2)").alias("amount")
+    fixed = [month.select("account", "month", F.lit(kind).alias("kind"), F.lit(0).alias("n"), ago(F.lit(days)).alias("day"), money(F.lit(amount))) for kind, days, amount in (("salary", 1, salary), ("rent", 3, f"-{rent}"))]
+    many = month.select("*", F.explode(F.sequence(F.lit(0), (7 + drawn(F.lit("0"), "count") % 2).cast("int"))).alias("n"))
+    number = F.col("n").cast("string")
+    price = -((350 + drawn(number, "price") % 8551).cast("decimal(12,2)") / 100)
+    shops = many.select("account", "month", F.lit("shop").alias("kind"), "n", ago(drawn(number, "day") % 30).alias("day"), money(price))
+    return fixed[0].unionByName(fixed[1]).unionByName(shops)
+
+
 def cooling_down(starts: DataFrame, job: str, now: Column, seconds: int = 600) -> DataFrame:
     """One row: whether the job started within the cooldown."""
     latest = starts.where(F.col("job") == job).agg(F.max("started_at").alias("t"))
@@ -137,7 +160,7 @@ def job_run(spark: SparkSession, job: str, work: Callable[[], dict[str, int]], w
     try:
         counts = work()
     except Exception as e:
-        write(row(datetime.now(UTC).replace(tzinfo=None), "failed", None, str(e)[:2000]))
+        write(row(datetime.now(UTC).replace(tzinfo=None), "failed", None, f"{type(e).__name__}: {e}"[:2000]))
         raise
     write(row(datetime.now(UTC).replace(tzinfo=None), "ok", counts, None))
     return counts

@@ -28,4 +28,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from brindle.plans import cases, evaluation, finance, news, retrieval, streams, texts, workflows  # noqa: E402,F401
+from brindle.plans import cases, evaluation, finance, news, retrieval, scans, streams, texts, workflows  # noqa: E402,F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -53,6 +53,23 @@ def manifest(raw: DataFrame, names: DataFrame) -> DataFrame:
     return filings.join(names, "ticker", "left").withColumn("company_name", F.coalesce("company_name", "ticker"))
 
 
+def guarded(rows: DataFrame, model: str, dimensions: int, vector: str = "embedding") -> DataFrame:
+    """Rows of a fixture, each checked as it is read: one of another model or of other dimensions fails the job."""
+    told = F.concat(F.lit("a vector of model "), F.coalesce("model", F.lit("none")), F.lit(" and dimensions "), F.coalesce(F.size(vector), F.lit(0)).cast("string"), F.lit(f" where {model} and {dimensions} are asked for"))
+    fits = F.coalesce((F.col("model") == model) & (F.size(vector) == dimensions), F.lit(False))
+    return rows.withColumn(vector, F.when(fits, F.col(vector)).otherwise(F.raise_error(told).cast(dict(rows.dtypes)[vector])))
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, key: str, lists: Sequence[str]) -> DataFrame:
+    """rows with the keys in their list columns replaced by ids, in order; a key that the map lacks fails the job. ids: key, id."""
+    for name in lists:
+        each = rows.select(key, F.posexplode(name).alias("__at", "key")).join(ids, "key", "left")
+        known = F.coalesce("id", F.raise_error(F.concat(F.lit("unknown key "), F.col("key"))).cast("string"))
+        found = each.withColumn("__id", known).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", "__id"))).alias("__l"))
+        rows = rows.drop(name).join(found, key, "left").withColumn(name, F.coalesce(F.col("__l.__id"), F.array().cast("array<string>"))).drop("__l")
+    return rows
+
+
 def encode_vector(c: Column) -> Column:
     """Base64 of little-endian 32-bit floats."""
     @F.pandas_udf("binary")

@@ -6,6 +6,7 @@ import pytest
 
 from brindle.operators import search, workflow
 from brindle.plans import catalog
+from brindle.sources import bank
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +90,26 @@ def test_token_windows(spark):
     empty = spark.createDataFrame([(1, None, None), (2, "", " ")], "doc_id long, source string, text string")
     got = search.token_chunks(empty, "doc_id", "source", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     assert sorted(map(tuple, got)) == [(1, 0, "", 1), (2, 0, "", 1)]
+
+
+def test_job_runs_are_recorded(spark):
+    """A running row first, then the counts or the error, which is raised on."""
+    rows = []
+    assert workflow.job_run(spark, "sync", lambda: {"new": 3}, lambda df: rows.append(df.first())) == {"new": 3}
+    with pytest.raises(ValueError, match="lost"):
+        workflow.job_run(spark, "sync", lambda: (_ for _ in ()).throw(ValueError("lost" + "x" * 3000)), lambda df: rows.append(df.first()))
+    assert [(r.status, r.counts, (r.error or "")[:16]) for r in rows] == [("running", None, ""), ("ok", {"new": 3}, ""), ("running", None, ""), ("failed", None, "ValueError: lost")]
+    assert len(rows[3].error) == 2000 and rows[1].finished_at >= rows[1].started_at
+
+
+def test_fixtures_of_another_model_fail(spark):
+    rows = spark.createDataFrame([("m1", [1.0, 2.0]), ("m2", [1.0, 2.0])], "model string, embedding array<float>")
+    assert bank.guarded(rows.where("model = 'm1'"), "m1", 2).count() == 1
+    for wrong, dims in ((rows, 2), (rows.where("model = 'm1'"), 3)):
+        with pytest.raises(Exception, match="are asked for"):
+            bank.guarded(wrong, "m1", dims).collect()
+    cases = spark.createDataFrame([("c", ["a", "b", "a"])], "case_id string, keys array<string>")
+    ids = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, id string")
+    assert bank.with_ids(cases, ids, "case_id", ["keys"]).first()["keys"] == ["1", "2", "1"]
+    with pytest.raises(Exception, match="unknown key b"):
+        bank.with_ids(cases, ids.where("key = 'a'"), "case_id", ["keys"]).collect()
