@@ -302,7 +302,9 @@ def search(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text
     def run(b: dict) -> dict:
         if "searcher" not in state:
             state["searcher"] = Searcher(shared.value, threshold, overlap)
-        found = [state["searcher"].matches(x) for x in b["__text"].to_pylist()]
+        texts = b["__text"].to_pylist()
+        found = [state["searcher"].matches(x) for x in texts]
+        weak = [state["searcher"].weak(x) for x in texts] if state["searcher"].index.short else [[]] * len(texts)
         return {
             "key": b["__key"],
             "n_items": [len(f) for f in found],
@@ -310,7 +312,7 @@ def search(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text
             "scores": [[round(m[1], 4) for m in f] for f in found],
             "question_overlap": [[round(m[2], 4) for m in f] for f in found],
             "answer_overlap": [[round(m[3], 4) for m in f] for f in found],
-            "weak_items": [state["searcher"].weak(x) for x in b["__text"].to_pylist()],
+            "weak_items": weak,
         }
 
     frame = docs.select(F.col(f"`{key}`").cast("long").alias("__key"), text_of(text).alias("__text"))

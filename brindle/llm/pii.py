@@ -6,9 +6,10 @@ numbers, spelled-out mail addresses), an identifier (social security, IBAN) or a
 label is a span, from its first to its last word or mark. Spans that touch one of the base are dropped.
 
 Words are runs of letters and digits, or of marks. The features of a word, and of the two before and the two after it, are its shape (runs of capitals, small letters and digits, as long as they are), coarser classes of it
-(kind, length, changes between letters and digits), and the word itself if it announces personal data. All weights are
-learned, by gradient ascent of the log-likelihood, from a small labelled table (training_table(), some hundreds of short
-rows); a feature that the table lacks weighs nothing, so that an unknown shape is judged by its coarser classes.
+(kind, length, changes between letters and digits), whether it is a common given name, and the word itself if it announces
+personal data. All weights are
+learned, by gradient ascent of the log-likelihood, from a small labelled table (training_table() and sentence_rows(), some
+hundreds of short rows each); a feature that the table lacks weighs nothing, so that an unknown shape is judged by its coarser classes.
 
 Decoding is exact Viterbi for all texts of a batch at once. A word whose score for "outside" exceeds every other label by
 more than any transitions can make up is outside in every best path; texts are cut there, so that only the short stretches
@@ -94,7 +95,14 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 #: Words that announce personal data.
-CUES = frozenset(("ssn", "social", "security", "iban", "account", "key", "api", "token", "secret", "password", "pwd", "call", "tel", "phone", "fax", "mail", "at", "dot", "mr", "mrs", "ms", "dr", "dear", "name", "signed", "street", "road", "avenue", "lane", "address", "no"))
+CUES = frozenset(("ssn", "social", "security", "iban", "account", "key", "api", "token", "secret", "password", "pwd", "call", "tel", "phone", "fax", "mail", "at", "dot", "mr", "mrs", "ms", "dr", "dear", "name", "signed", "street", "road", "avenue", "lane", "address", "no", "is", "am", "my", "me", "meet", "contact", "ask", "regards", "sincerely", "hello", "hi", "signed", "lives", "reach", "patient", "number", "login", "bearer", "sk", "ghp", "pk", "resident", "ring", "text", "thanks"))
+#: Given names that are common in several languages.
+GIVEN = frozenset(
+    "Adam Alice Amy Ana Andrea Andrew Angela Anna Anne Anthony Antonio Barbara Ben Bernd Brian Carl Carlos Carol Carmen Charles Chloe Chris Christine Claire Claudia Daniel David Diana Elena Elizabeth Emily "
+    "Emma Eric Eva Felix Fernando Frank Francisco George Grace Hans Helen Henry Isabel Jack James Jan Jane Javier Jean Jennifer Jessica Joe John Jorge Jose Joseph Juan Julia Julie Karen Karl Kevin Klaus Laura "
+    "Lisa Louis Lucas Luis Maria Marie Mark Martin Mary Max Michael Michelle Miguel Nicole Nina Noah Oliver Olivia Oscar Pablo Patricia Paul Pedro Peter Philip Pierre Rachel Ricardo Richard Robert Rosa Sandra "
+    "Sara Sarah Sofia Sophie Stefan Stephen Susan Thomas Tom Uwe Victor William".split()
+)
 
 #: Runs of letters and digits, and runs of marks.
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -119,9 +127,68 @@ def features(word: str) -> list[str]:
     kind = "digits" if word.isdigit() else "mixed" if any(runs) else "small" if word.islower() else "title" if word.istitle() else "capitals" if word.isupper() else "camel"
     longest = len(word).bit_length()
     found = [kind, f"s={shape(word)}" if changes < 5 else "s=long", f"{kind}:{longest}", f"{kind}~{1 + changes // 3 if changes else 0}", f"~{1 + changes // 3 if changes else 0}:{longest}"]
+    if kind == "title" and word in GIVEN:
+        found.append("given")
     return [*found, f"w={word.lower()}"] if word.lower() in CUES else found
 
 
+#: Sentences with places for a name, address, contact, identifier or secret, some that look alike but hold none, and made-up
+#: words in sentences (plain). The field
+#: learns from the first list; the second one is for the tests alone.
+SENTENCES = (
+    "My name is {name} and I work here.", "I am {name}, nice to see you.", "Please contact {name} at {address} today.", "Ask for {name} when you come in.", "Best regards, {name}", "Kind regards {name} from the office",
+    "Hello {name}, how are you?", "Hi {name}, see below.", "signed by {name} on Friday", "This is {name} speaking.", "I spoke to {name} about the plan.", "The patient {name} was seen at noon.", "{name} lives at {address}.", "{name} wrote to us last week.",
+    "We visited {name} and then left.", "Send it to {address}, please.", "He moved to {address} in May.", "Call me on {contact} after six.", "My number is {contact}.", "You can reach us at {contact} or come by.", "Ring {contact} for help.",
+    "Text me at {contact} tonight", "Her ssn is {identifier}.", "The iban {identifier} belongs to them.", "Use account {identifier} for the payment.", "The password is {secret} ok", "My password: {secret}", "login with password {secret} and wait", "Set the api key to {secret} first.",
+    "Authorization: Bearer {secret}", "export TOKEN={secret}", "the secret is {secret} here", "key {secret} was revoked",
+    "The meeting is on Monday at noon.", "Paris is in France.", "I am happy to see that.", "This is important for us.", "Please contact the office at once.", "My friend is here.", "Ask for help when you need it.", "Call me on Monday.", "The number is 42 today.", "See Chapter 3 of the Report.",
+    "She lives in Berlin, not in Rome.", "The New York Times wrote about it.", "Best regards from the team", "The key is on the table.", "The password is wrong.", "A secret is safe here.", "Hello World, again.", "It was built in 1987 at Main Station.", "He paid 250 for 12 items.",
+    *["{plain}", "{plain} is {plain}", "{plain} me. {plain}", "{plain} my {plain}", "{plain} am {plain}"] * 2,
+)
+HELD_OUT = (
+    "You may meet {name} on Monday.", "Thanks to {name} for the help.", "In her letter {name} asks for more time.", "Regards, {name}", "Yesterday {name} called again.", "The flat is at {address}, second floor.", "They deliver to {address} every day.", "If you need me, call {contact} now.", "phone {contact} before noon",
+    "Please text {contact} when done.", "social security {identifier} on file", "Pay to iban {identifier} by Friday.", "your new password is {secret}", "He used {secret} as the token.", "api key: {secret}", "The train is at the station.", "I am in London on Tuesday.", "Turn to Page 12 of the Book.", "The token is gone.", "Call the office on Friday.",
+)
+
+
+def sentence_rows(templates: tuple[str, ...], rows: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Sentences made of the templates in turn, with the spans of what was filled in."""
+    rng = np.random.default_rng(seed)
+    pick = lambda options: options[int(rng.integers(len(options)))]
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    letters = lambda n, alphabet="abcdefghijklmnopqrstuvwxyz": "".join(alphabet[int(i)] for i in rng.integers(0, len(alphabet), n))
+    some, upper, given = lambda a, b: int(rng.integers(a, b)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", sorted(GIVEN)
+    title = lambda: letters(1, upper) + letters(some(2, 9))
+    mixed = lambda n: letters(1) + "".join(pick([letters(1), letters(1, upper), digits(1)]) for _ in range(n - 3)) + digits(1) + letters(1)
+    fill = {
+        "name": lambda: pick([f"{pick(given)} {title()}"] * 4 + [pick(given)]),
+        "address": lambda: f"{digits(some(1, 4))} {title()} {pick(['Street', 'Road', 'Avenue', 'Lane', 'Drive'])}",
+        "contact": lambda: pick([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}"]),
+        "identifier": lambda: pick([f"{digits(3)}-{digits(2)}-{digits(4)}", f"{letters(2, upper)}{digits(some(16, 22))}"]),
+        "plain": lambda: " ".join(pick([letters(some(1, 9)), letters(some(2, 9)) + pick([".", ","]) + " " + title(), title()]) for _ in range(some(2, 7))),
+        "secret": lambda: pick([letters(some(3, 7)) + digits(some(1, 4)), mixed(some(16, 32)), f"sk-{mixed(24)}", f"sk-proj-{mixed(20)}", f"ghp_{mixed(30)}", f"AKIA{''.join(pick(upper + '0123456789') for _ in range(14))}{digits(1)}{letters(1, upper)}"]),
+    }
+    out = []
+    for r in range(rows):
+        text, spans = "", []
+        for part in re.split(r"\{(\w+)\}", templates[r % len(templates)]):
+            if part in fill:
+                item = fill[part]()
+                if part in ADDED:
+                    spans.append((len(text), len(text) + len(item), part))
+                text += item
+            else:
+                text += part
+        out.append((text, spans))
+    return out
+
+
+def labelled(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[str], list[str]]:
+    """Words and labels of a text."""
+    marks = list(_TOKEN.finditer(text))
+    return [m[0] for m in marks], [next((k for a, b, k in spans if a <= m.start() < b), "outside") for m in marks]
+
+
 def training_table(rows: int = 1000, seed: int = 5) -> list[tuple[list[str], list[str]]]:
     """Words and labels of short rows, made by a fixed rule: neutral words, and in most rows one item of one label."""
     rng = np.random.default_rng(seed)
@@ -240,7 +307,7 @@ class Field:
 @lru_cache(maxsize=1)
 def train(rounds: int = 170, rate: float = 0.2, decay: float = 1e-3) -> Field:
     """Gradient ascent of the mean log-likelihood over all rows of the table at once, with Adam; deterministic."""
-    table = training_table()
+    table = training_table() + [labelled(*row) for row in sentence_rows(SENTENCES, 8 * len(SENTENCES), 6)]
     names = {f: i for i, f in enumerate(sorted({f for words, _ in table for w in words for f in features(w)}))}
     n, m, longest = len(LABELS), len(table), max(len(w) for w, _ in table)
     # features of the different words, and which word stands at a place beside each word; the last is none

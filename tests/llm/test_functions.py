@@ -160,6 +160,38 @@ def test_field_on_held_out_rows():
     assert right / found > 0.93 and right / wanted > 0.93
 
 
+def test_labels_on_sentences_of_other_templates():
+    """Whole spans with their bounds, by label: nothing of these templates was learnt from."""
+    assert not set(pii.SENTENCES) & set(pii.HELD_OUT)
+    rows = pii.sentence_rows(pii.HELD_OUT, 1000, 99)
+    scores = pii._Scores(pii.train())
+    got = pii.added_spans([t for t, _ in rows], scores, [[] for _ in rows])
+    least = {"name": (0.95, 0.95), "address": (0.9, 0.85), "contact": (0.95, 0.95), "identifier": (0.95, 0.95), "secret": (0.75, 0.75)}
+    for label, (precision, recall) in least.items():
+        right = found = wanted = 0
+        for (_, gold), mine in zip(rows, got, strict=True):
+            a, b = {s for s in gold if s[2] == label}, {s for s in mine if s[2] == label}
+            right, found, wanted = right + len(a & b), found + len(b), wanted + len(a)
+        assert wanted >= 100 and right / found >= precision and right / wanted >= recall, (label, right / found, right / wanted)
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("My name is Maria Lopez", [("Maria Lopez", "name")]),
+        ("Meet Angela Merkel on Monday", [("Angela Merkel", "name")]),
+        ("The password is hunter2 ok", [("hunter2", "secret")]),
+        ("contact John Smith at 12 Baker Street", [("John Smith", "name"), ("12 Baker Street", "address")]),
+        ("sk-proj-abc123DEF456ghi789JKL", [("sk-proj-abc123DEF456ghi789JKL", "secret")]),
+        ("call me on 555-123-4567", [("555-123-4567", "contact")]),
+        ("The meeting is on Monday in Paris.", []),
+    ],
+)
+def test_sentences(text, wanted):
+    got = pii.added_spans([text], pii._Scores(pii.train()), [[]])[0]
+    assert [(text[a:b], k) for a, b, k in got] == wanted
+
+
 def test_emissions_by_brute_force():
     field, rng = pii.train(), random.Random(2)
     scores = pii._Scores(field)
