@@ -27,14 +27,14 @@ def _sides(spark, d):
     return invoices, debits
 
 
-@query(f"WITH {_S} SELECT invoice_id, debit_id, signals FROM g WHERE iban OR ref OR nam")
+@query(f"WITH {_S} SELECT invoice_id, debit_id, signals FROM g")
 def invoice_match_signals(spark, d):
     return resolve.match_signals(*_sides(spark, d)).withColumn("signals", F.array_join("signals", ","))
 
 
 @query(f"WITH {_S}, a AS (SELECT *, sum((ref OR iban)::INT) OVER (PARTITION BY invoice_id) AS n FROM g WHERE (ref OR nam OR iban) AND NOT (invoice_id = debit_id AND invoice_id % 30 = 0)) SELECT invoice_id, debit_id, CASE WHEN n = 1 THEN 'linked' ELSE 'suggested' END AS status, signals FROM a WHERE n = 0 OR ref OR iban")
 def invoice_match_propose(spark, d):
-    pairs = resolve.saved(resolve.match_signals(*_sides(spark, d)))
+    pairs = resolve.saved(resolve.match_signals(*_sides(spark, d), further=True))
     rejected = pairs.where("invoice_id = debit_id AND invoice_id % 30 = 0").select("invoice_id", "debit_id")
     return resolve.propose(pairs, rejected).withColumn("signals", F.array_join("signals", ","))
 
@@ -44,7 +44,7 @@ def invoice_assignment(spark, d):
     """Proposals in the order of invoices, without debits linked before; checked against a loop in the tests."""
     invoices, debits = _sides(spark, d)
     order = invoices.select(F.col("id").alias("invoice_id"), "start")
-    return resolve.assign(resolve.match_signals(invoices, debits), order).withColumn("signals", F.array_join("signals", ","))
+    return resolve.assign(resolve.match_signals(invoices, debits, further=True), order).withColumn("signals", F.array_join("signals", ","))
 
 
 @query(
@@ -144,7 +144,7 @@ def invoice_apply_proposals(spark, d):
     SELECT count(*) FILTER (n = 1 AND (ref OR iban)) AS linked, count(*) FILTER (n = 0 OR (n > 1 AND (ref OR iban))) AS suggested, count(DISTINCT CASE WHEN n = 1 THEN invoice_id END) AS paid FROM a"""
 )
 def invoice_proposal_counts(spark, d):
-    return resolve.proposal_counts(resolve.propose(resolve.match_signals(*_sides(spark, d))))
+    return resolve.proposal_counts(resolve.propose(resolve.match_signals(*_sides(spark, d), further=True)))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'paid' WHEN o_orderkey % 8 = 0 THEN 'pending' WHEN o_orderdate::DATE + 14 < DATE '1998-01-01' THEN 'overdue' ELSE 'open' END AS status FROM orders")
