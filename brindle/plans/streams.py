@@ -72,10 +72,11 @@ def stream_deliveries(spark, d):
     folder = f"{shared_folder(spark)}/sent-{uuid.uuid4().hex}"
     keyed.with_store(spark)
     messages = _events(spark, d).where("event_type = 'click'").select(F.col("event_id").alias("id"), F.concat(F.lit("at "), (F.col("event_id") % 7).cast("string")).alias("text"))
+    files = min(64, messages.rdd.getNumPartitions())
     for _ in range(2):
         for _ in range(3):
-            messages.coalesce(1).write.mode("append").parquet(f"{folder}/ticks")
-        feed = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/ticks")
+            messages.coalesce(files).write.mode("append").parquet(f"{folder}/ticks")
+        feed = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", files).parquet(f"{folder}/ticks")
         out = keyed.deliveries(feed, lambda text, tried: 200 if tried >= int(text[3:]) else 503)
         out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("id long, status string, attempts int").parquet(f"{folder}/rows").groupBy("id").agg(F.max_by("status", "attempts").alias("status"), F.max("attempts").alias("attempts"))

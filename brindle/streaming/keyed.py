@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,34 +89,46 @@ def once(feed: DataFrame, key: str, keep: int | None = None) -> DataFrame:
     return feed.groupBy(key).transformWithStateInPandas(Once(keep), feed.schema, "Append", mode)
 
 
+#: What is kept of a message: its id (none: it has no id), its status and its attempts.
+KEPT = np.dtype([("id", "<i8"), ("none", "?"), ("status", "i1"), ("attempts", "<i4")])
+STATUS = ("pending", "sent", "failed")
+
+
 class Delivery(StatefulProcessor):
-    """One attempt for each tick of a pending message; its attempts are the state, which goes with the last one."""
+    """One attempt for each tick of a pending message. The state of a bucket of messages is one value, which is read and written
+    once a batch: a key for each message would cost calls to the state store for each of them. Settled messages stay, so that
+    later ticks don't send them again."""
 
     def __init__(self, send: Callable[[str, int], int | None], most: int) -> None:
         self.send, self.most = send, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "status string, attempts int")
+        self.state = handle.getValueState("state", "kept binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        status, attempts = self.state.get() if self.state.exists() else ("pending", 0)
-        out = []
+        before = np.frombuffer(self.state.get()[0], KEPT).tolist() if self.state.exists() else []
+        kept = {(i, none): (status, attempts) for i, none, status, attempts in before}
         for b in rows:
-            for text in b["text"]:
-                if status == "pending":
+            out = []
+            for i, none, text in zip(b["id"].tolist(), b["none"].tolist(), b["text"].tolist(), strict=True):
+                status, attempts = kept.get((i, none), (0, 0))
+                if status == 0:
                     code = self.send(text, attempts)
                     attempts += 1
                     again = code is None or code == 429 or code >= 500
-                    status = "sent" if code == 200 else "pending" if again and attempts < self.most else "failed"
-                    out.append((key[0], status, attempts))
-        self.state.update((status, attempts))
-        yield pd.DataFrame(out, columns=["id", "status", "attempts"])
+                    status = 1 if code == 200 else 0 if again and attempts < self.most else 2
+                    out.append((None if none else i, STATUS[status], attempts))
+                    kept[i, none] = status, attempts
+            yield pd.DataFrame(out, columns=["id", "status", "attempts"]).astype({"id": "Int64", "status": object, "attempts": "int32"})
+        self.state.update((np.array([(*k, *v) for k, v in kept.items()], KEPT).tobytes(),))
 
     def close(self) -> None:
         pass
 
 
-def deliveries(ticks: DataFrame, send: Callable[[str, int], int | None], most: int = 5) -> DataFrame:
+def deliveries(ticks: DataFrame, send: Callable[[str, int], int | None], most: int = 5, buckets: int = 1024) -> DataFrame:
     """id, status, attempts after each attempt. ticks: id and text, once for each time that delivery is tried; send: a text and
-    its attempts so far to the answer's code, null for none."""
-    return ticks.select(F.col("id").cast("long").alias("id"), "text").groupBy("id").transformWithStateInPandas(Delivery(send, most), "id long, status string, attempts int", "Append", "None")
+    its attempts so far to the answer's code, null for none. The number of buckets stays as it was when a stream began."""
+    i = F.col("id").cast("long")
+    rows = ticks.select(F.coalesce(i, F.lit(0)).alias("id"), i.isNull().alias("none"), "text", F.pmod(F.xxhash64(i), F.lit(buckets)).alias("bucket"))
+    return rows.groupBy("bucket").transformWithStateInPandas(Delivery(send, most), "id long, status string, attempts int", "Append", "None")
