@@ -1,7 +1,7 @@
 """Vector search for many queries at once: exact in blocks, and an inverted file with product codes.
 
-Exact: vectors are packed into blocks of rows and queries into blocks of their own; a pair of blocks is one matrix product, of
-which each query keeps its k best, and these are merged. What is sent on grows with blocks times queries, not with pairs.
+Exact: rows and queries are parted into groups; a pair of groups is a task's matrix products, of which each query keeps its k
+best, and these are merged. What is sent on grows with groups times queries, not with pairs.
 
 Index: cells are the nearest of some centroids, and what is left of a vector is written as one byte for each of some
 subspaces. Both are trained by k-means on a sample of at most `sample` rows, those whose ids hash lowest; every row is indexed.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from brindle.operators.resolve import dropped, saved
 
-BLOCK, QUERIES = 4096, 256
+BLOCK = 4096
+ROWS, QUERIES = 32_768, 8192
 SAMPLE = 20_000
 HITS = "case_id long, parent_id long, score double"
 
@@ -58,43 +59,47 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return order[:, :k]
 
 
-def _blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows packed into blocks of at most `size`: ids and one matrix. Blocks are cut from partitions, whatever they hold."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list[int] = []
-        parts: list[bytes] = []
-        for b in batches:
-            ids += b["id"].tolist()
-            parts += b["v"].tolist()
-            while len(ids) >= size:
-                yield pd.DataFrame({f"{name}_ids": [ids[:size]], f"{name}_v": [b"".join(parts[:size])]})
-                del ids[:size], parts[:size]
-        if ids:
-            yield pd.DataFrame({f"{name}_ids": [ids], f"{name}_v": [b"".join(parts)]})
-
-    return saved(vectors.mapInPandas(run, f"{name}_ids array<long>, {name}_v binary"))
-
-
 def ranked_hits(hits: DataFrame, k: int) -> DataFrame:
     """case_id, parent_id, score, rank of the k best of each case; ties by parent."""
     order = Window.partitionBy("case_id").orderBy(F.desc("score"), "parent_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """The k nearest rows of every query; both as of unit_vectors(). Scores are rounded before they are ranked."""
-    left, right = _blocks(vectors, BLOCK, "r"), _blocks(queries, QUERIES, "q")
+def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of the k best of each row, ties by place; only what reaches the kth score is sorted."""
+    least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else scores.min(axis=1)
+    row, at = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((at, -scores[row, at], row))
+    row, at = row[order], at[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], at[kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples(index=False):
-                ids, cases = np.array(row.r_ids), np.array(row.q_ids)
-                scores = np.round(np.frombuffer(row.q_v).reshape(len(cases), -1) @ np.frombuffer(row.r_v).reshape(len(ids), -1).T, digits)
-                at = _best(scores, ids, k)
-                yield pd.DataFrame({"case_id": np.repeat(cases, at.shape[1]), "parent_id": ids[at].reshape(-1), "score": np.take_along_axis(scores, at, axis=1).reshape(-1)})
 
-    return ranked_hits(left.crossJoin(right).repartition(F.xxhash64("r_v", "q_v")).mapInPandas(run, HITS), k)
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+    """The k nearest rows of every query; both as of unit_vectors(). Scores are rounded before they are ranked.
+
+    Rows and queries are parted by hash into groups of some ROWS and QUERIES; a group of each meets in one task, which holds
+    no others. Rows are sent once for each group of queries, and queries once for each group of rows."""
+    rows, asked = saved(vectors.select("id", "v")), saved(queries.select("id", "v"))
+    n, m = max(1, -(-rows.count() // ROWS)), max(1, -(-asked.count() // QUERIES))
+
+    def sent(side: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(own)
+        return side.select("id", "v", part, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).groupBy("r", "q")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"case_id": [], "parent_id": [], "score": []})
+        left = left.sort_values("id", kind="stable")
+        ids, cases, x, y = left["id"].to_numpy(), right["id"].to_numpy(), _matrix(left["v"].tolist()).T, _matrix(right["v"].tolist())
+        out = []
+        for start in range(0, len(y), 64):
+            scores = np.round(y[start : start + 64] @ x, digits)
+            q, at = _top(scores, k)
+            out.append((cases[start + q], ids[at], scores[q, at]))
+        return pd.DataFrame(dict(zip(("case_id", "parent_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return ranked_hits(sent(rows, "r", n, "q", m).cogroup(sent(asked, "q", m, "r", n)).applyInPandas(run, HITS), k)
 
 
 def _leading(scores: np.ndarray, ids: np.ndarray, values: int, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -63,3 +63,23 @@ def test_clusters_copies_and_odd_rows(spark, monkeypatch):
         found.setdefault(r.case_id, set()).add((r.score))
     assert np.mean([np.mean([round(s, 5) in {round(x, 5) for x in found[i]} for _, s in w]) for i, w in wanted.items()]) >= 0.9
     assert ann.train(vectors.where("false")) is None
+
+
+def test_groups_of_rows_and_queries_meet(spark, monkeypatch):
+    """Every group of rows meets every group of queries, none as a whole; copies are ranked by id across groups."""
+    monkeypatch.setattr(ann, "ROWS", 30)
+    monkeypatch.setattr(ann, "QUERIES", 4)
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) if i % 3 else np.ones(6)).tolist()) for i in range(300)]
+    vectors = ann.unit_vectors(spark.createDataFrame(rows, SCHEMA), "vec_id")
+    got = {}
+    for r in ann.exact_topk(vectors, vectors.where("id % 20 = 0"), 7).orderBy("rank").collect():
+        got.setdefault(r.case_id, []).append(r.parent_id)
+    assert got == {i: [j for j, _ in v] for i, v in nearest(rows, {i for i, _ in rows if i % 20 == 0}, 7).items()}
+
+
+def test_most_rows_of_a_score_are_not_sorted():
+    scores = np.array([[1.0, 3.0, 3.0, 2.0, 3.0], [0.0, 0.0, 0.0, 0.0, 0.0]])
+    row, at = ann._top(scores, 2)
+    assert row.tolist() == [0, 0, 1, 1] and at.tolist() == [1, 2, 0, 1]
+    assert ann._top(scores[:, :1], 2)[1].tolist() == [0, 0]
