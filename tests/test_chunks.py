@@ -3,6 +3,7 @@
 import random
 from xml.etree import ElementTree
 
+import pandas as pd
 import pytest
 
 from brindle.plans import catalog, texts
@@ -118,3 +119,24 @@ def test_whole_queries(spark, name):
         by_doc.setdefault(r.doc_key, []).append(r)
     assert all([r.chunk_index for r in v] == list(range(len(v))) and v[0].section == f"Part {k}" and v[-1].chunk_text.endswith("The end.") for k, v in by_doc.items())
     assert all(r.token_count <= 512 for r in got if r.kind == "narrative")
+
+
+def test_pages_are_parsed_once_and_held_in_parts(spark, monkeypatch):
+    """Blocks are read once a page; the rows of a batch come in parts of so many pages."""
+    page = "<h1>A</h1><p>Sales</p><table><tr><th>Item</th><th>2024</th></tr><tr><td>x</td><td>$5</td></tr></table>"
+    read, plain = [], tables.blocks
+    monkeypatch.setattr(tables, "blocks", lambda html: read.append(1) or plain(html))
+    assert {c["kind"] for c in chunks.woven(page)} == {"narrative", "table_row"} and len(read) == 1
+    frames = []
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            frames.append(list(run(iter([pd.DataFrame({"k": range(150), "html": [page] * 150})]))))
+
+    tables.filing_tables(Docs(), "k", "html")
+    chunks.structural_chunks(Docs(), "k", "html")
+    for parts, each in zip(frames, (1, 3), strict=True):
+        assert [len(f) for f in parts] == [each * n for n in (64, 64, 22)]
