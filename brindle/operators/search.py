@@ -81,6 +81,8 @@ STOP_WORDS = (
 #: Of an array of words to that of their stems. A stem may end otherwise than its word in the last TAIL letters only.
 Stemmer = Callable[[Column], Column]
 TAIL = 2
+#: So many words of a text are stemmed at once.
+PIECE = 16
 
 
 def light_stem(words: Column) -> Column:
@@ -121,7 +123,10 @@ def lexemes(text: Column, stem: Stemmer = english) -> Column:
 
 def postings(rows: DataFrame, ident: str, text: str = "text", stem: Stemmer = english) -> DataFrame:
     """term, id, positions: the index. Written once, partitioned by term, it serves queries without the texts."""
-    each = rows.select(F.col(ident).alias("id"), F.explode(lexemes(F.col(text), stem)).alias("p"))
+    # words go to the stemmer in short pieces, so that a batch of long texts isn't held at once; explode makes them once
+    whole = rows.select(F.col(ident).alias("id"), F.explode(F.array(_placed(F.col(text)))).alias("placed")).where(F.size("placed") > 0)
+    pieces = whole.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("placed"), F.lit(PIECE)), lambda at: F.slice("placed", at, F.lit(PIECE)))).alias("piece"))
+    each = pieces.select("id", F.explode(_stemmed(F.col("piece"), stem)).alias("p"))
     return each.groupBy(F.col("p.term").alias("term"), "id").agg(F.array_sort(F.collect_list("p.pos")).alias("positions"))
 
 
