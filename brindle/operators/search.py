@@ -122,7 +122,7 @@ def lexemes(text: Column, stem: Stemmer = english) -> Column:
 
 
 def postings(rows: DataFrame, ident: str, text: str = "text", stem: Stemmer = english) -> DataFrame:
-    """term, id, positions: the index. Written once, partitioned by term, it serves queries without the texts."""
+    """term, id, positions: the index. Written once, by index_of, it serves queries without the texts."""
     # words go to the stemmer in short pieces, so that a batch of long texts isn't held at once; explode makes them once
     whole = rows.select(F.col(ident).alias("id"), F.explode(F.array(_placed(F.col(text)))).alias("placed")).where(F.size("placed") > 0)
     pieces = whole.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("placed"), F.lit(PIECE)), lambda at: F.slice("placed", at, F.lit(PIECE)))).alias("piece"))
@@ -130,6 +130,13 @@ def postings(rows: DataFrame, ident: str, text: str = "text", stem: Stemmer = en
     return each.groupBy(F.col("p.term").alias("term"), "id").agg(F.array_sort(F.collect_list("p.pos")).alias("positions"))
 
 
+def index_of(rows: DataFrame, ident: str, text: str = "text", stem: Stemmer = english) -> DataFrame:
+    """postings() as they are to be stored: each file in the order of its terms, so that a query reads the pages of its terms in
+    every file and skips the others. Lists aren't shuffled once more to lie in one file each: a frequent term's would be one
+    task's."""
+    return postings(rows, ident, text, stem).sortWithinPartitions("term", "id")
+
+
 def occurrences(rows: DataFrame, stems: Sequence[str], ident: str, text: str = "text", stem: Stemmer = english) -> DataFrame:
     """id, pos and term of the given stems in the texts that have the beginnings of all of them, without an index. Only these
     texts are cut into words."""
