@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from brindle.operators.matching import DAYS, THRESHOLD, decisions, nodes_of, words_of
+from brindle.operators.matching import DAYS, THRESHOLD, links, nodes_of, words_of
 from brindle.operators.resolve import components, dropped, saved
 
 LOGS = {"items": "id long, source string, day date, title string, batch long", "labels": "id long, day date, story long, batch long", "renames": "old long, story long, batch long"}
@@ -59,9 +59,9 @@ def add_batch(batch: DataFrame, number: int, folder: str, same: Callable[[Column
         return
     near = F.col("day").between(F.date_sub(F.lit(span.a), days), F.date_add(F.lit(span.b), days))  # dates of one row: reach the scan
     around = known.where(near).select("id", "source", "day", "title", F.lit(False).alias("fresh")).unionByName(new.withColumn("fresh", F.lit(True)))
-    links = decisions(around, same, threshold, days)
+    linked = links(around, same, threshold, days)
     label = saved(stories(spark, folder, number).where(near).select("id", "story").unionByName(new.select("id", F.col("id").alias("story"))))
-    touched = _story_links(around, links.where("answer").select("a", "b"), label)
+    touched = _story_links(around, linked.select("a", "b"), label)
     ends = touched.select(F.col("a").alias("id")).union(touched.select("b")).distinct()
     joined = components(ends, touched)
     moved = saved(joined.where("id <> story").withColumnRenamed("id", "old"))
@@ -72,7 +72,7 @@ def add_batch(batch: DataFrame, number: int, folder: str, same: Callable[[Column
     _write(older.unionByName(earlier), folder, "renames", number)
     _write(fresh, folder, "labels", number)
     _write(new, folder, "items", number)
-    dropped(new, links, label, moved, touched)
+    dropped(new, linked, label, moved, touched)
 
 
 def _story_links(items: DataFrame, links: DataFrame, label: DataFrame) -> DataFrame:
