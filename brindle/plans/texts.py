@@ -173,7 +173,7 @@ _FILED = """o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS p,
 )
 def sec_table_extract(spark, d):
     """Filings made of each customer's orders, parsed again."""
-    found = tables.filing_tables(_filings(spark, d), "k", "html").select("*", F.inline("rows"))
+    found = tables.table_rows(_filings(spark, d), "k", "html").select("*", F.inline("rows"))
     facts = F.flatten(F.transform("cells", lambda c: c["facts"]))
     return found.select(
         "doc_key", "table_index", "title", "units", "label", F.array_join(F.transform("cells", lambda c: c["text"]), " ").alias("cells"),
@@ -182,19 +182,28 @@ def sec_table_extract(spark, d):
 
 
 def _filings(spark, d):
-    """k and html of a filing of each customer with orders."""
-    key, amount = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(14,2)").cast("string")
-    share = (key % 90 + 1).cast("string")
-    fact = F.concat(F.lit('<ix:nonFraction name="Price" contextRef="c1" unitRef="EUR" decimals="2" scale="0" id="F'), key.cast("string"), F.lit('">'), amount, F.lit("</ix:nonFraction>"))
+    """k and html of a filing of each customer with orders. Orders are gathered before they are written as rows, which are ten
+    times as long; the number of parts is fixed, since by the orders' size they would be merged to fewer than there are cores."""
     cell = lambda *parts: F.concat(F.lit("<td>"), *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("</td>"))
-    way = key % 4
-    written = F.when(way == 0, F.concat(cell("$ ", fact), cell(share, "%"))).when(way == 1, F.concat(cell(fact), cell(share), cell("%"))).when(way == 2, F.concat(cell("( ", fact, " )"), cell(""), cell(share, "%"))).otherwise(F.concat(cell("$"), cell(fact), cell(share, " %")))
-    row = F.concat(F.lit("<tr>"), cell("<p>Order ", key.cast("string"), "</p> ", F.col("o_orderpriority")), written, F.lit("</tr>"))
-    share_cells = lambda even: F.when(even, cell("—")).otherwise(F.concat(cell(share), cell("%")))
-    change = F.concat(F.lit("<tr>"), cell("Order ", key.cast("string")), cell("$", amount), share_cells(F.lit(False)), cell(amount), share_cells(key % 2 == 0), F.lit("</tr>"))
-    made = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), key.alias("key"), F.regexp_replace(row, " %</td>", "%</td>").alias("row"), change.alias("change"))
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", c))), lambda x: x[c]), "")
-    each = made.groupBy("k").agg(joined("row").alias("rows"), joined("change").alias("changes"))
+
+    def written(o):
+        key, amount, share = o["key"].cast("string"), o["amount"], (o["key"] % 90 + 1).cast("string")
+        fact = F.concat(F.lit('<ix:nonFraction name="Price" contextRef="c1" unitRef="EUR" decimals="2" scale="0" id="F'), key, F.lit('">'), amount, F.lit("</ix:nonFraction>"))
+        way = o["key"] % 4
+        cells = F.when(way == 0, F.concat(cell("$ ", fact), cell(share, "%"))).when(way == 1, F.concat(cell(fact), cell(share), cell("%"))).when(way == 2, F.concat(cell("( ", fact, " )"), cell(""), cell(share, "%"))).otherwise(F.concat(cell("$"), cell(fact), cell(share, "%")))
+        return F.concat(F.lit("<tr>"), cell("<p>Order ", key, "</p> ", o["priority"]), cells, F.lit("</tr>"))
+
+    def change(o):
+        key, amount, share = o["key"].cast("string"), o["amount"], (o["key"] % 90 + 1).cast("string")
+        share_cells = F.concat(cell(share), cell("%"))
+        return F.concat(F.lit("<tr>"), cell("Order ", key), cell("$", amount), share_cells, cell(amount), F.when(o["key"] % 2 == 0, cell("—")).otherwise(share_cells), F.lit("</tr>"))
+
+    order = F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").cast("decimal(14,2)").cast("string").alias("amount"), F.col("o_orderpriority").alias("priority"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    made = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), order.alias("o")).repartition(parts, "k")
+    orders = made.groupBy("k").agg(F.array_sort(F.collect_list("o")).alias("orders"))
+    joined = lambda f: F.array_join(F.transform("orders", f), "")
+    each = orders.select("k", joined(written).alias("rows"), joined(change).alias("changes"))
     k = F.col("k").cast("string")
     units, note = F.when(F.col("k") % 2 == 0, "<p>(in thousands)</p>").otherwise(""), F.when(F.col("k") % 3 == 0, F.concat(F.lit("<p>(1) Of customer "), k, F.lit("</p>"))).otherwise("")
     html = F.concat(
